@@ -1,11 +1,13 @@
 """Queries and DuckDB oracles of the training-data operators."""
 
-from veilspan.llm import chat, langid, mixing, quality, sql, urlfilter
+from veilspan.llm import bpe, chat, langid, mixing, quality, secrets, sql, urlfilter
 
 QUERIES = {
     f.__name__: f
     for f in (
         langid.op1_language_id,
+        secrets.op4_secret_scans,
+        bpe.op5_bpe,
         quality.op6_quality_rules,
         chat.op8_chat_formatting,
         urlfilter.op9_url_filters,
