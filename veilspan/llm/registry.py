@@ -1,12 +1,13 @@
 """Queries and DuckDB oracles of the training-data operators."""
 
-from veilspan.llm import bpe, chat, langid, mixing, neardup, quality, secrets, sql, urlfilter
+from veilspan.llm import bpe, chat, langid, mixing, neardup, quality, secrets, sql, substring, urlfilter
 
 QUERIES = {
     f.__name__: f
     for f in (
         langid.op1_language_id,
         neardup.op2_minhash_near_dedup,
+        substring.op3_substring_dedup,
         secrets.op4_secret_scans,
         bpe.op5_bpe,
         quality.op6_quality_rules,
