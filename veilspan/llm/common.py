@@ -88,3 +88,14 @@ def has_letter(text: str) -> bool:
 
 def ordered(name: str) -> Column:
     return F.col(f"`{name}`")
+
+
+def sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
+    """At most `rows` rows by the smallest hash of a key; only rows under a hash threshold are carried."""
+    total = df.count()
+    order = F.xxhash64(F.col(key), F.lit(seed))
+    if total > rows:
+        # a quarter more than wanted pass the threshold, so that the limit is nearly always filled
+        share = min(1.0, (1.25 * rows + 100) / total)
+        df = df.where(order <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True))
+    return df.withColumn("_order", order).orderBy("_order").limit(rows).drop("_order")

@@ -1,6 +1,6 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax.
 
-Every word is its hashed character 1- to 4-grams; a text is the average of their embeddings over
+Every word is its hashed character bigrams and trigrams, and its first and last four letters; a text is the average of their embeddings over
 the whole text. Embeddings and softmax are trained together by stochastic gradient descent in
 numpy on a bounded sample of labelled documents. Because the average is linear, each word adds a
 fixed vector of logits, so that prediction is one lookup per distinct word of a text.
@@ -29,20 +29,43 @@ from veilspan.llm import common
 SAMPLE_DOCS = 3000  # labelled documents to learn from, at most
 SAMPLE_CHARS = 20_000  # longer documents are not sampled (all are predicted)
 BUCKETS, DIM, EPOCHS, RATE, REJECT_ERROR = 1 << 14, 16, 6, 0.5, 0.01
+WORDS = 150_000  # words that a worker remembers
+
+
+class Grams(dict):
+    """The bucket of each n-gram, remembered up to a fixed number."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) > 100_000:
+            self.clear()
+        self[gram] = out = zlib.crc32(gram.encode("utf-8", "surrogatepass")) % BUCKETS
+        return out
+
+
+_GRAMS = Grams()
 
 
 def features(word: str) -> list[int]:
-    """Hashed character n-grams (1 to 4) of a word with its boundaries."""
+    """Hashed character bigrams and trigrams of a word with its boundaries, and its ends of four."""
     w = f"<{word}>"
-    out = [zlib.crc32(w.encode()) % BUCKETS]
-    for n in (1, 2, 3, 4):
-        out += [zlib.crc32(w[i : i + n].encode()) % BUCKETS for i in range(len(w) - n + 1)]
-    return out
+    grams = [w[i : i + 3] for i in range(len(w) - 2)]
+    grams += [w[i : i + 2] for i in range(1, len(w) - 2)]
+    grams += [w[:5], w[-5:]]
+    return [_GRAMS[g] for g in grams]
+
 
+ENDS = "0123456789.,;:!?()[]{}<>#*$%&|\"'`~@^+=/\\_-"
 
-def tokens(text: str) -> list[str]:
-    """Lower-cased words with everything but letters cut off their ends."""
-    return [x for w in text.lower().split() if (x := w.strip("0123456789.,;:!?()[]{}<>#*$%&|\"'`~@^+=/\\_-"))]
+
+def tokens(text: str) -> Counter[str]:
+    """How often each lower-cased word occurs, with everything but letters cut off its ends."""
+    out: Counter[str] = Counter()
+    for w, n in Counter(text.lower().split()).items():
+        if not w.isalpha():
+            w = w.strip(ENDS)
+        if w:
+            out[w] += n
+    return out
 
 
 @dataclass
@@ -54,22 +77,39 @@ class Model:
     threshold: float
 
     def __post_init__(self) -> None:
-        self.words: dict[str, np.ndarray] = {}
-
-    def word(self, w: str) -> np.ndarray:
-        got = self.words.get(w)
-        if got is None:
-            if len(self.words) > 200_000:
+        self.words: dict[str, int] = {}  # place of a word in table
+        self.table = np.zeros((WORDS, len(self.langs) + 1))  # its summed logits and number of features
+
+    def learn(self, new: list[str]) -> None:
+        """Enter words into the table."""
+        grams = [features(w) for w in new]
+        sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+        flat = np.fromiter((g for f in grams for g in f), np.int64, int(sizes.sum()))
+        at = len(self.words)
+        self.table[at : at + len(new), :-1] = np.add.reduceat(self.logits[flat], np.cumsum(sizes) - sizes)
+        self.table[at : at + len(new), -1] = sizes
+        self.words.update(zip(new, range(at, at + len(new)), strict=True))
+
+    def total(self, count: Counter[str]) -> np.ndarray:
+        """Logits and number of features, summed over all words; texts with very many words go in portions."""
+        out = np.zeros(len(self.langs) + 1)
+        every = list(count)
+        for i in range(0, len(every), WORDS // 2):
+            part = every[i : i + WORDS // 2]
+            new = [w for w in part if w not in self.words]
+            if len(self.words) + len(new) > WORDS:
                 self.words.clear()
-            f = features(w)
-            got = self.words[w] = np.append(self.logits[f].sum(0), len(f))
-        return got
+                new = part
+            if new:
+                self.learn(new)
+            own = np.fromiter(map(self.words.__getitem__, part), np.int64, len(part))
+            out += np.fromiter(map(count.__getitem__, part), float, len(part)) @ self.table[own]
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if not text or not self.langs or not common.has_letter(text):
             return "und", 0.0, True
-        count = Counter(tokens(text)) or Counter([text.strip()[:100]])
-        total = np.array([self.word(w) for w in count]).T @ np.fromiter(count.values(), float, len(count))
+        total = self.total(tokens(text) or Counter([text.strip()[:100]]))
         z = (total[:-1] / max(total[-1], 1) + self.bias) / self.temperature
         p = np.exp(z - z.max())
         p /= p.sum()
@@ -88,7 +128,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     data = []
     for t, y in rows:
         c: Counter[int] = Counter()
-        for w, n in Counter(tokens(t)).items():
+        for w, n in tokens(t).items():
             if w not in memo:
                 memo[w] = features(w)
             for f in memo[w]:
@@ -142,9 +182,9 @@ def held_out(doc_id: str = "doc_id"):
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Learn from at most sample_docs rows that are not held out, chosen by a hash of their id."""
-    pool = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
-    pool = pool.where(F.length("text") <= sample_chars)
-    pick = pool.select("text", "lang", F.xxhash64(F.col("doc_id"), F.lit(11)).alias("_o")).orderBy("_o", "lang").limit(sample_docs)
+    pool = docs.where(F.col("lang").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
+    pick = common.sample(pool.select("doc_id", "text", "lang"), "doc_id", sample_docs, 11)
+    pick = pick.where(F.length("text") <= sample_chars)
     return train([(r["text"], r["lang"]) for r in pick.select("text", "lang").collect()])
 
 

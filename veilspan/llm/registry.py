@@ -1,6 +1,6 @@
 """Queries and DuckDB oracles of the training-data operators."""
 
-from veilspan.llm import bpe, chat, langid, mixing, neardup, quality, secrets, sql, substring, urlfilter
+from veilspan.llm import ann, bpe, chat, langid, mixing, neardup, quality, secrets, sql, substring, urlfilter
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,7 @@ QUERIES = {
         substring.op3_substring_dedup,
         secrets.op4_secret_scans,
         bpe.op5_bpe,
+        ann.op7_nearest_neighbours,
         quality.op6_quality_rules,
         chat.op8_chat_formatting,
         urlfilter.op9_url_filters,

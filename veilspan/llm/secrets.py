@@ -77,7 +77,7 @@ def with_base(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, sample_docs: int = TRAIN_DOCS) -> list[float]:
     """Log-likelihood ratios of all transitions, random over ordinary, learnt from at most sample_docs documents."""
     text = F.coalesce("text", F.lit(""))
-    pick = docs.select(text.alias("text"), F.xxhash64("doc_id", F.lit(5)).alias("o")).orderBy("o").limit(sample_docs).select("text")
+    pick = common.sample(docs.select("doc_id", text.alias("text")), "doc_id", sample_docs, 5).select("text")
     values = [F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("text", F.lit(rf"AKIA[A-Z0-9]{{{MIN_ACCESS - 4},}}"), F.lit(0)),
               F.regexp_extract_all("text", F.lit(rf"[0-9a-f]{{{MIN_HEX},}}"), F.lit(0))]
     bare = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), rf"AKIA[A-Z0-9]{{{MIN_ACCESS - 4},}}|[0-9a-f]{{{MIN_HEX},}}", " ")

@@ -164,9 +164,9 @@ def parts(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
 
 
 def fit(labelled: DataFrame, sample_urls: int = SAMPLE_URLS) -> Boosted:
-    """Learn from at most sample_urls distinct rows (url, host, path, verdict), chosen by a hash of the url."""
-    pick = labelled.where("verdict is not null and url is not null").select("url", "host", "path", "verdict", F.xxhash64("url", F.lit(3)).alias("_o"))
-    got = pick.distinct().orderBy("_o", "verdict").limit(sample_urls).collect()
+    """Learn from at most sample_urls rows (url, host, path, verdict), chosen by a hash of the url; equal rows count once."""
+    known = labelled.where("verdict is not null and url is not null").select("url", "host", "path", "verdict")
+    got = common.sample(known, "url", sample_urls, 3).distinct().orderBy("url", "verdict").collect()
     return train([(r["url"], r["host"], r["path"]) for r in got], [int(r["verdict"] == "block") for r in got])
 
 
