@@ -181,7 +181,7 @@ def whole_word_occurrences(text: str, needle: str) -> str:
     Candidate starts come from a search that steps over each occurrence found, so that the cost is
     one pass over the text, not one test per character.
     """
-    step = f"""aggregate(sequence(0, cast((length({text}) - length(replace({text}, {needle}, ''))) / length({needle}) as int) * greatest(1, length({needle}))),
+    step = f"""aggregate(sequence(0, ((length({text}) - length(replace({text}, {needle}, ''))) div length({needle}) + 1) * length({needle})),
       struct(0 as at, cast(array() as array<int>) as out),
       (a, i) -> if(a.at < 0, a, transform(array(locate({needle}, {text}, a.at + 1)), p -> if(p = 0, struct(-1 as at, a.out as out), struct(p as at, array_append(a.out, p - 1) as out)))[0])).out"""
     none = "cast(array() as array<int>)"

@@ -1,4 +1,584 @@
-"""Every query of the span engine, with its DuckDB equivalent where SQL can express it."""
+"""Every query of the span engine, with its DuckDB equivalent where SQL can express it.
 
-QUERIES = {}
-ORACLES = {}
+Where the tables do not exercise a rule, texts are derived from key columns by SQL that both
+engines read alike (the templates below); the oracle then states the expected spans.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilspan.functions import checksums, normalize
+from veilspan.functions.spans import has_context_before, is_whole_word, whole_word_occurrences
+from veilspan.functions import lexicon
+from veilspan.operators import evaluate, ingest, ner, redact, resolve, review, rules, verify
+from veilspan.sources.readers import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", "text")
+
+
+def _derived(spark: SparkSession, sf: str, name: str, key: str, text: str) -> DataFrame:
+    """(doc_id, text) built from a key column."""
+    return table(spark, sf, name).select(F.col(key).alias("k")).selectExpr("k as doc_id", f"{text} as text")
+
+
+def _found(docs: DataFrame, rule: str, exact: bool = False) -> DataFrame:
+    d = rules.apply(rules.prepare_for(docs, [rule], exact), rule, "c")
+    return d.select("doc_id", F.explode("c").alias("c")).select("doc_id", "c.start", "c.end", "c.confidence")
+
+
+# --- texts -------------------------------------------------------------------------------------
+_N = "lower(translate(text, chr(10) || chr(9) || chr(12) || chr(13), '    '))"
+
+
+@query(f"SELECT doc_id, {_N} AS n FROM documents")
+def normalize_text(spark, sf):
+    return normalize.prepare(_docs(spark, sf)).select("doc_id", "n")
+
+
+@query(f"SELECT conv_id, turn, {_N} AS n FROM conversations")
+def normalize_conversations(spark, sf):
+    c = table(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("doc_id"), "text")
+    return c.select("doc_id.conv_id", "doc_id.turn", normalize.fast(F.col("text")).alias("n"))
+
+
+NEEDLES = ["the", "et la", "nd"]
+_OCC = f"""WITH d AS (SELECT doc_id, {_N} AS n FROM documents), k AS (SELECT unnest({NEEDLES!r}) AS needle),
+h AS (SELECT doc_id, n, needle, unnest(range(length(n) - length(needle) + 1)) AS s FROM d, k WHERE contains(n, needle)),
+m AS (SELECT doc_id, needle, s::INT AS start, substring(n, s, 1) AS b, substring(n, s + 1, 1) AS f, substring(n, s + length(needle), 1) AS l,
+  substring(n, s + length(needle) + 1, 1) AS a FROM h WHERE substring(n, s + 1, length(needle)) = needle)
+SELECT doc_id, needle, start FROM m WHERE NOT (start > 0 AND regexp_matches(b, '^[\\p{{L}}\\p{{N}}\\p{{M}}]$') AND regexp_matches(f, '^[\\p{{L}}\\p{{N}}\\p{{M}}]$'))
+  AND NOT (regexp_matches(l, '^[\\p{{L}}\\p{{N}}\\p{{M}}]$') AND regexp_matches(a, '^[\\p{{L}}\\p{{N}}\\p{{M}}]$'))"""
+
+
+@query(_OCC)
+def whole_word_occurrences_of_needles(spark, sf):
+    d = normalize.prepare(_docs(spark, sf), exact=False).select("doc_id", "n", F.explode(F.array(*map(F.lit, NEEDLES))).alias("needle"))
+    return d.select("doc_id", "needle", F.explode(F.expr(whole_word_occurrences("n", "needle"))).alias("start"))
+
+
+# --- checksums ---------------------------------------------------------------------------------
+_CARD = "concat('4', lpad(cast(k * 7919 as string), 14, '0'), cast(k % 10 as string))"
+_LUHN = """(SELECT sum(CASE WHEN i % 2 = 0 THEN d ELSE CASE WHEN 2 * d > 9 THEN 2 * d - 9 ELSE 2 * d END END) % 10 = 0
+  FROM (SELECT i, substring({s}, length({s}) - i, 1)::INT AS d FROM (SELECT unnest(range(length({s}))) AS i)))"""
+
+
+@query(f"WITH x AS (SELECT o_orderkey AS k, {_CARD.replace('k', 'o_orderkey', 1).replace('(k', '(o_orderkey')} AS s FROM orders) SELECT k, s, {_LUHN.format(s='s')} AS valid FROM x")
+def luhn_checks(spark, sf):
+    x = table(spark, sf, "orders").selectExpr("o_orderkey as k")
+    return x.selectExpr("k", f"{_CARD} as s").selectExpr("k", "s", f"{checksums.luhn('s')} as valid")
+
+
+_IBAN = "concat('GB', lpad(cast(k % 97 + 2 as string), 2, '0'), 'WEST', lpad(cast(k * 31 as string), 14, '0'))"
+
+
+@query(f"""WITH x AS (SELECT c_custkey AS k FROM customer), y AS (SELECT k, {_IBAN} AS s FROM x)
+SELECT k, s, ('32142829' || lpad(cast(k * 31 as string), 14, '0') || '1611' || lpad(cast(k % 97 + 2 as string), 2, '0'))::HUGEINT % 97 = 1 AS valid FROM y""")
+def iban_checks(spark, sf):
+    x = table(spark, sf, "customer").selectExpr("c_custkey as k").selectExpr("k", f"{_IBAN} as s")
+    return x.selectExpr("k", "s", f"{checksums.iban('s')} as valid")
+
+
+_VAT = "concat(lpad(cast(k * 13 as string), 10, '0'), cast(k % 10 as string))"
+_VAT_OK = """((10 - (SELECT sum(CASE WHEN i % 2 = 0 THEN d WHEN 2 * d > 9 THEN 2 * d - 9 ELSE 2 * d END)
+  FROM (SELECT i, substring({s}, i + 1, 1)::INT AS d FROM (SELECT unnest(range(10)) AS i))) % 10) % 10 = substring({s}, 11, 1)::INT)"""
+
+
+@query(f"WITH x AS (SELECT c_custkey AS k FROM customer), y AS (SELECT k, {_VAT} AS s FROM x) SELECT k, s, {_VAT_OK.format(s='s')} AS valid FROM y")
+def vat_checks(spark, sf):
+    x = table(spark, sf, "customer").selectExpr("c_custkey as k").selectExpr("k", f"{_VAT} as s")
+    return x.selectExpr("k", "s", f"{checksums.vat('s')} as valid")
+
+
+_TAX = "concat('RSSMRA85T10A', lpad(cast(k % 1000 as string), 3, '0'), chr(cast(65 + k % 26 as int)))"
+_ODD = "[1, 0, 5, 7, 9, 13, 15, 17, 19, 21]"
+_ODD_L = "[1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23]"
+_TAX_OK = f"""(65 + (SELECT sum(CASE WHEN i % 2 = 0 THEN CASE WHEN c < 58 THEN {_ODD}[c - 47] ELSE {_ODD_L}[c - 64] END ELSE CASE WHEN c < 58 THEN c - 48 ELSE c - 65 END END)
+  FROM (SELECT i, ascii(substring(s, i + 1, 1)) AS c FROM (SELECT unnest(range(15)) AS i))) % 26 = ascii(substring(s, 16, 1)))"""
+
+
+@query(f"WITH x AS (SELECT s_suppkey AS k FROM supplier), y AS (SELECT k, {_TAX} AS s FROM x) SELECT k, s, {_TAX_OK} AS valid FROM y")
+def tax_code_checks(spark, sf):
+    x = table(spark, sf, "supplier").selectExpr("s_suppkey as k").selectExpr("k", f"{_TAX} as s")
+    return x.selectExpr("k", "s", f"{checksums.tax_code('s')} as valid")
+
+
+_CONTEXT = "concat('no. ', cast(k as string), repeat(' z', cast(k % 23 as int)), ' p.iva', repeat(' ', cast(k % 47 as int)), '#')"
+
+
+@query(f"""WITH x AS (SELECT c_custkey AS k FROM customer), y AS (SELECT k, {_CONTEXT} AS n FROM x)
+SELECT k, regexp_matches(substring(n, greatest(length(n) - 1 - 40, 0) + 1, least(40, length(n) - 1)), '(^|[^\\p{{L}}\\p{{N}}])(?:p\\.iva|p\\. iva|partita iva|piva|iva|vat|vat number|vat no)') AS called FROM y""")
+def keyword_context(spark, sf):
+    x = table(spark, sf, "customer").selectExpr("c_custkey as k").selectExpr("k", f"{_CONTEXT} as n")
+    return x.select("k", has_context_before(F.col("n"), F.length("n") - 1, lexicon.VAT_KEYWORDS).alias("called"))
+
+
+# --- rules on the tables -----------------------------------------------------------------------
+def _matches(source: str, pattern: str, kept: str = "true", span: str = "") -> str:
+    """DuckDB: leftmost matches; group 1 is the left boundary that is consumed, group 2 the value, group 3 the right boundary."""
+    return f"""WITH d AS (SELECT doc_id, {_N} AS n FROM {source}),
+g AS (SELECT doc_id, n, regexp_split_to_array(n, '{pattern}') AS gaps, regexp_extract_all(n, '{pattern}', 0) AS f, regexp_extract_all(n, '{pattern}', 1) AS l, regexp_extract_all(n, '{pattern}', 2) AS v FROM d WHERE regexp_matches(n, '{pattern}')),
+u AS (SELECT doc_id, n, gaps, f, l, v, unnest(range(1, len(f) + 1)) AS i FROM g),
+m AS (SELECT doc_id, n, v[i] AS value, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) + length(l[i]))::INT AS start FROM u){span}"""
+
+
+_EMAIL = r"(^|[^\p{L}\p{N}._%+-])([a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,24})($|[^\p{L}\p{N}])"
+
+
+@query(_matches("documents", _EMAIL) + " SELECT doc_id, start, (start + length(value))::INT AS \"end\", 'high' AS confidence FROM m")
+def detect_email(spark, sf):
+    return _found(_docs(spark, sf), "email")
+
+
+@query()
+def detect_url(spark, sf):
+    return _found(table(spark, sf, "pages").selectExpr("page_id as doc_id", "html as text"), "url")
+
+
+_LONG = r"(^|[^\p{L}\p{N}.,/])([0-9](?:-?[0-9]){7,})"
+
+
+@query(_matches("documents", _LONG) + r""" SELECT doc_id, start, (start + length(value))::INT AS "end", 'high' AS confidence FROM m
+WHERE length(replace(value, '-', '')) <= 16 AND NOT (start >= 2 AND regexp_matches(substring(n, start - 1, 2), '^[0-9][ -]$'))
+AND NOT regexp_matches(substring(n, start + length(value) + 1, 2), '^([\p{L}\p{N}]|[.,/][0-9]|[ -][0-9])')""")
+def detect_long_number(spark, sf):
+    return _found(_docs(spark, sf), "long-number")
+
+
+_CARDS = r"(^|[^\p{L}\p{N}])([0-9](?:[ -]?[0-9]){12,22})($|[^\p{L}\p{N}])"
+_ISSUER = r"^(?:4|5[1-5]|2(?:2[2-9]|[3-6][0-9]|7[01]|720)|3[47]|3[068]|35|6011|65)"
+
+
+@query(_matches("documents", _CARDS, span=", q AS (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM m)") + rf""",
+p AS (SELECT *, CASE WHEN length(d) BETWEEN 13 AND 19 AND regexp_matches(substring(n, greatest(start - 30, 0) + 1, least(30, start)), '(^|[^\p{{L}}\p{{N}}])(?:carta|bancomat|card|credit card|debit card)') THEN length(d)
+  ELSE (SELECT max(k) FROM (SELECT unnest(range(13, 20)) AS k) WHERE k <= length(d) AND regexp_matches(substring(d, 1, k), '{_ISSUER}') AND
+    (SELECT sum(CASE WHEN i % 2 = 0 THEN x WHEN 2 * x > 9 THEN 2 * x - 9 ELSE 2 * x END) % 10 = 0 FROM (SELECT i, substring(d, (k - i)::BIGINT, 1)::INT AS x FROM (SELECT unnest(range(k)) AS i)))) END AS digits FROM q),
+e AS (SELECT doc_id, start, value, digits, (SELECT min(i) FROM (SELECT unnest(range(1, length(value) + 1)) AS i) WHERE length(regexp_replace(substring(value, 1, i), '[^0-9]', '', 'g')) = digits) AS len FROM p WHERE digits IS NOT NULL)
+SELECT doc_id, start, (start + len)::INT AS "end", 'high' AS confidence FROM e""")
+def detect_card(spark, sf):
+    return _found(_docs(spark, sf), "payment-card")
+
+
+# --- rules on derived texts --------------------------------------------------------------------
+def _expect(source: str, key: str, text: str, spans: str) -> str:
+    return f"WITH x AS (SELECT {key} AS k FROM {source}), y AS (SELECT k, {text} AS text FROM x) {spans}"
+
+
+_PHONES = """case k % 4 when 0 then concat('Tel. 347 555 ', lpad(cast(k % 10000 as string), 4, '0')) when 1 then concat('347 555 ', lpad(cast(k % 10000 as string), 4, '0'))
+  when 2 then concat('call +39 347 555 ', lpad(cast(k % 10000 as string), 4, '0'), ' now') else concat('tel 1/347 555 ', lpad(cast(k % 10000 as string), 4, '0')) end"""
+
+
+@query(_expect("customer", "c_custkey", _PHONES, """SELECT k AS doc_id, 5 AS start, CASE WHEN k % 4 = 0 THEN 17 ELSE 21 END AS "end", 'high' AS confidence FROM y WHERE k % 4 IN (0, 2)"""))
+def detect_phone(spark, sf):
+    return _found(_derived(spark, sf, "customer", "c_custkey", _PHONES), "phone")
+
+
+_VATS = f"case k % 3 when 0 then concat('P.IVA ', {_VAT}) when 1 then concat('partita iva del cliente numero ', {_VAT}) else concat('codice ', {_VAT}) end"
+
+
+@query(_expect("customer", "c_custkey", f"{_VAT} AS s, {_VATS}", f"""SELECT k AS doc_id, CASE WHEN k % 3 = 0 THEN 6 ELSE 31 END AS start, CASE WHEN k % 3 = 0 THEN 17 ELSE 42 END AS "end", 'high' AS confidence
+FROM y WHERE k % 3 = 0 OR (k % 3 = 1 AND {_VAT_OK.format(s='s')})"""))
+def detect_vat(spark, sf):
+    return _found(_derived(spark, sf, "customer", "c_custkey", _VATS), "it-vat")
+
+
+_IBANS = f"case k % 3 when 0 then concat('IBAN ', {_IBAN}, '.') when 1 then concat('pay to ', {_IBAN}) else concat('pay to ', {_IBAN}, '9') end"
+_IBAN_OK = "('32142829' || lpad(cast(k * 31 as string), 14, '0') || '1611' || lpad(cast(k % 97 + 2 as string), 2, '0'))::HUGEINT % 97 = 1"
+
+
+@query(_expect("customer", "c_custkey", _IBANS, f"""SELECT k AS doc_id, CASE WHEN k % 3 = 0 THEN 5 ELSE 7 END AS start, CASE WHEN k % 3 = 0 THEN 27 ELSE 29 END AS "end",
+CASE WHEN k % 3 = 0 OR {_IBAN_OK} THEN 'high' ELSE 'medium' END AS confidence FROM y WHERE k % 3 <> 2"""))
+def detect_iban(spark, sf):
+    return _found(_derived(spark, sf, "customer", "c_custkey", _IBANS), "iban")
+
+
+_TAXES = f"case k % 3 when 0 then concat('C.F. ', {_TAX}) when 1 then concat('le ', {_TAX}, ' qui') else concat('le RSSMRA 85T10 ', substring({_TAX}, 12, 5)) end"
+
+
+@query(_expect("supplier", "s_suppkey", f"{_TAX} AS s, {_TAXES}", f"""SELECT k AS doc_id, CASE WHEN k % 3 = 0 THEN 5 ELSE 3 END AS start, CASE WHEN k % 3 = 0 THEN 21 WHEN k % 3 = 1 THEN 19 ELSE 21 END AS "end",
+CASE WHEN k % 3 = 0 OR {_TAX_OK} THEN 'high' ELSE 'medium' END AS confidence FROM y WHERE k % 3 <> 2 OR {_TAX_OK}"""))
+def detect_tax_code(spark, sf):
+    return _found(_derived(spark, sf, "supplier", "s_suppkey", _TAXES), "it-tax-code")
+
+
+_IDS = "case k % 3 when 0 then concat('passaporto AA', lpad(cast(k % 10000000 as string), 7, '0')) when 1 then concat('ID card CA', lpad(cast(k % 100000 as string), 5, '0'), 'BB;') else concat('serial AA', lpad(cast(k % 10000000 as string), 7, '0')) end"
+
+
+@query(_expect("orders", "o_orderkey", _IDS, """SELECT k AS doc_id, CASE WHEN k % 3 = 0 THEN 11 ELSE 8 END AS start, CASE WHEN k % 3 = 0 THEN 20 ELSE 17 END AS "end", 'high' AS confidence FROM y WHERE k % 3 <> 2"""))
+def detect_id_document(spark, sf):
+    return _found(_derived(spark, sf, "orders", "o_orderkey", _IDS), "id-document")
+
+
+_REFS = "case k % 4 when 0 then concat('fattura n. ', cast(k as string), '-B') when 1 then concat('Codice cliente: ', cast(k as string)) when 2 then concat('order #', cast(k as string), ' 12 sent') else concat('legge n. ', cast(k as string)) end"
+
+
+@query(_expect("orders", "o_orderkey", _REFS, """SELECT k AS doc_id, CASE k % 4 WHEN 0 THEN 11 WHEN 1 THEN 16 ELSE 7 END AS start,
+(CASE k % 4 WHEN 0 THEN 13 WHEN 1 THEN 16 ELSE 10 END + length(cast(k as string)))::INT AS "end", 'high' AS confidence FROM y WHERE k % 4 = 2 OR (k % 4 < 2 AND k >= 10)"""))
+def detect_contextual_id(spark, sf):
+    return _found(_derived(spark, sf, "orders", "o_orderkey", _REFS), "contextual-id")
+
+
+_LOTS = "case k % 2 when 0 then concat('vedi Foglio ', cast(k as string), ', particella ', cast(k % 7 as string), ' ecc.') else concat('foglio ', cast(k as string)) end"
+
+
+@query(_expect("part", "p_partkey", _LOTS, """SELECT k AS doc_id, 5 AS start, (5 + 7 + length(cast(k as string)) + 14)::INT AS "end", 'high' AS confidence FROM y WHERE k % 2 = 0"""))
+def detect_cadastral(spark, sf):
+    return _found(_derived(spark, sf, "part", "p_partkey", _LOTS), "cadastral-reference")
+
+
+_PLATES = "case k % 3 when 0 then concat('auto AB ', lpad(cast(k % 1000 as string), 3, '0'), ' CD') when 1 then concat('targa MI ', lpad(cast(k % 1000000 as string), 6, '0'), ' DEL') else concat('auto QI ', lpad(cast(k % 1000 as string), 3, '0'), ' CD') end"
+
+
+@query(_expect("part", "p_partkey", _PLATES, """SELECT k AS doc_id, CASE WHEN k % 3 = 0 THEN 5 ELSE 6 END AS start, CASE WHEN k % 3 = 0 THEN 14 ELSE 15 END AS "end", 'high' AS confidence FROM y WHERE k % 3 <> 2"""))
+def detect_plate(spark, sf):
+    return _found(_derived(spark, sf, "part", "p_partkey", _PLATES), "vehicle-plate")
+
+
+_STREETS = "case k % 3 when 0 then concat('abita in via Roma ', cast(k % 100 + 1 as string), ', 20100 Milano (MI).') when 1 then concat(cast(k % 100 + 1 as string), ' Baker Street') else 'inviato via email 12' end"
+
+
+@query(_expect("supplier", "s_suppkey", _STREETS, """SELECT k AS doc_id, CASE WHEN k % 3 = 0 THEN 9 ELSE 0 END AS start,
+(length(cast(k % 100 + 1 as string)) + CASE WHEN k % 3 = 0 THEN 37 ELSE 13 END)::INT AS "end", 'high' AS confidence FROM y WHERE k % 3 <> 2"""))
+def detect_address(spark, sf):
+    return _found(_derived(spark, sf, "supplier", "s_suppkey", _STREETS), "address")
+
+
+_ORGS = "case k % 3 when 0 then 'con Alfa Servizi S.r.l. oggi' when 1 then 'il Comune di Bari dice' else 'il comune di residenza' end"
+
+
+@query(_expect("nation", "n_nationkey", _ORGS, """SELECT k AS doc_id, CASE WHEN k % 3 = 0 THEN 4 ELSE 3 END AS start, CASE WHEN k % 3 = 0 THEN 23 ELSE 17 END AS "end", 'high' AS confidence FROM y WHERE k % 3 <> 2"""))
+def detect_organization(spark, sf):
+    return _found(_derived(spark, sf, "nation", "n_nationkey", _ORGS), "organization")
+
+
+_PEOPLE = """case k % 5 when 0 then concat('Cognome ROSSI', chr(10), 'nr ', cast(k as string)) when 1 then 'la dott.ssa Greco scrive' when 2 then 'scrive Bianchi Mario, poi BIANCHI'
+  when 3 then 'nata a Reggio di Calabria' else 'niente di nuovo' end"""
+_PERSON_SPANS = """SELECT k AS doc_id, {s} AS start, {e} AS "end", 'high' AS confidence FROM y WHERE k % 5 {w}"""
+
+
+@query(_expect("customer", "c_custkey", _PEOPLE, _PERSON_SPANS.format(s="CASE WHEN k % 5 = 0 THEN 8 ELSE 7 END", e="CASE WHEN k % 5 = 0 THEN 13 ELSE 25 END", w="IN (0, 3)")))
+def detect_labeled_field(spark, sf):
+    return _found(_derived(spark, sf, "customer", "c_custkey", _PEOPLE), "labeled-field", True)
+
+
+@query(_expect("customer", "c_custkey", _PEOPLE, _PERSON_SPANS.format(s="12", e="17", w="= 1")))
+def detect_titled_name(spark, sf):
+    return _found(_derived(spark, sf, "customer", "c_custkey", _PEOPLE), "titled-name", True)
+
+
+@query(_expect("customer", "c_custkey", _PEOPLE, _PERSON_SPANS.format(s="7", e="20", w="= 2")))
+def detect_first_name_pair(spark, sf):
+    return _found(_derived(spark, sf, "customer", "c_custkey", _PEOPLE), "first-name-pair", True)
+
+
+@query(_expect("customer", "c_custkey", _PEOPLE, """SELECT k AS doc_id, 'first-name-pair' AS rule, 7 AS start, 20 AS "end" FROM y WHERE k % 5 = 2
+UNION ALL SELECT k, 'propagation', 26, 33 FROM y WHERE k % 5 = 2 UNION ALL SELECT k, 'titled-name', 12, 17 FROM y WHERE k % 5 = 1 UNION ALL SELECT k, 'labeled-field', 8, 13 FROM y WHERE k % 5 = 0
+UNION ALL SELECT k, 'labeled-field', 7, 25 FROM y WHERE k % 5 = 3"""))
+def propagate_names(spark, sf):
+    d = resolve.findings(resolve.detect(_derived(spark, sf, "customer", "c_custkey", _PEOPLE), ["labeled-field", "titled-name", "first-name-pair"]))
+    return d.select("doc_id", "rule", "start", "end")
+
+
+# --- resolution --------------------------------------------------------------------------------
+_INTERVALS = """l_orderkey AS doc_id, l_linenumber AS ln, cast(l_partkey % 97 as int) AS start, cast(l_partkey % 97 + 1 + l_linenumber * 2 as int) AS "end",
+  CASE l_suppkey % 4 WHEN 0 THEN 'ORGANIZATION' WHEN 1 THEN 'CONTEXTUAL_ID' WHEN 2 THEN 'PERSON' ELSE 'EMAIL' END AS category, CASE WHEN l_partkey % 3 = 0 THEN 'medium' ELSE 'high' END AS confidence,
+  cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) as int) AS ord"""
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT {_INTERVALS} FROM lineitem),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence = 'medium', category = 'ORGANIZATION', start - "end", category = 'CONTEXTUAL_ID', start, ord) AS rk FROM c),
+r AS (SELECT DISTINCT doc_id, 0::BIGINT AS rk, []::STRUCT(s INT, e INT)[] AS acc, false AS ok FROM c UNION ALL
+  SELECT p.doc_id, p.rk, CASE WHEN len(list_filter(acc, lambda x: x.s < p."end" AND p.start < x.e)) = 0 THEN list_append(acc, {{'s': p.start, 'e': p."end"}}) ELSE acc END,
+    len(list_filter(acc, lambda x: x.s < p."end" AND p.start < x.e)) = 0 FROM r JOIN p ON p.doc_id = r.doc_id AND p.rk = r.rk + 1)
+SELECT p.doc_id, p.ord, p.start, p."end", p.category, p.confidence FROM p JOIN r ON p.doc_id = r.doc_id AND p.rk = r.rk WHERE r.ok""")
+def merge_candidates(spark, sf):
+    c = spark.sql("SELECT " + _INTERVALS.replace('"end"', "`end`") + " FROM {t}", t=table(spark, sf, "lineitem"))
+    return resolve.merge_rows(c).select("doc_id", "ord", "start", "end", "category", "confidence")
+
+
+@query()
+def detect_all(spark, sf):
+    return resolve.findings(resolve.detect(_docs(spark, sf)))
+
+
+@query()
+def category_confidence_summary(spark, sf):
+    return detect_all(spark, sf).groupBy("category", "confidence").agg(F.count("*").alias("findings"), F.countDistinct("doc_id").alias("documents"))
+
+
+@query()
+def segmented_detect(spark, sf):
+    return resolve.findings(resolve.detect_segmented(_docs(spark, sf), rule_names=["email", "payment-card", "long-number"]))
+
+
+@query("SELECT doc_id, length(text)::BIGINT AS chars, true AS faithful FROM documents")
+def chunk_text(spark, sf):
+    d = _docs(spark, sf)
+    k = d.select("doc_id", "text", F.explode(ner.chunks(F.col("text"))).alias("k"))
+    k = k.selectExpr("doc_id", "k.start + length(k.text) as stop", "substring(text, k.start + 1, length(k.text)) = k.text and length(k.text) <= 1001 as ok")
+    return k.groupBy("doc_id").agg(F.max("stop").cast("long").alias("chars"), F.bool_and("ok").alias("faithful"))
+
+
+# --- model stage -------------------------------------------------------------------------------
+_LABELS = """SELECT user_id AS doc_id, 0 AS chunk, cast(row_number() OVER (PARTITION BY user_id ORDER BY event_id) as int) AS word,
+  CASE WHEN length(event_type) % 3 = 0 THEN concat('B-', upper(event_type)) WHEN event_id % 3 = 0 THEN 'O' WHEN event_id % 3 = 1 THEN concat('I-', upper(event_type)) ELSE concat('B-', upper(event_type)) END AS label,
+  round(abs(value) - floor(abs(value)), 3) AS score FROM events"""
+_WORDS = f"SELECT *, word * 6 AS start, word * 6 + 5 AS \"end\" FROM ({_LABELS})"
+
+
+@query(f"""WITH w AS (SELECT *, substring(label, 3) AS type FROM ({_WORDS}) WHERE label <> 'O'),
+i AS (SELECT *, sum(CASE WHEN label LIKE 'I-%' AND pw = word - 1 AND pt = type THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY word) AS e
+  FROM (SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY word) AS pw, lag(type) OVER (PARTITION BY doc_id ORDER BY word) AS pt FROM w))
+SELECT doc_id, min(start)::INT AS start, max("end")::INT AS "end", any_value(type) AS type, round(avg(score), 4) AS score FROM i GROUP BY doc_id, e""")
+def bio_aggregate(spark, sf):
+    w = spark.sql(_WORDS.replace('"end"', "`end`").replace("FROM events", "FROM {t}"), t=table(spark, sf, "events"))
+    e = ner.entities(w)
+    return e.select("doc_id", "start", "end", "type", F.round("score", 4).alias("score"))
+
+
+_VOTES = """SELECT l_orderkey AS doc_id, CASE WHEN l_suppkey % 2 = 0 THEN 'PERSON' ELSE 'EMAIL' END AS category, cast(l_partkey % 60 as int) AS start, cast(l_partkey % 60 + 3 + l_linenumber as int) AS "end",
+  round(l_discount, 2) AS score, concat('m', cast(l_suppkey % 3 as string)) AS model FROM lineitem"""
+
+
+@query(f"""WITH v AS ({_VOTES}), r AS (SELECT *, max("end") OVER (PARTITION BY doc_id, category ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, category ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM r)
+SELECT doc_id, category, min(start)::INT AS start, max("end")::INT AS "end", max(score) AS score, count(DISTINCT model) AS models FROM g GROUP BY doc_id, category, island""")
+def ensemble_clusters(spark, sf):
+    v = spark.sql(_VOTES.replace('"end"', "`end`").replace("FROM lineitem", "FROM {t}"), t=table(spark, sf, "lineitem"))
+    return ner.clusters(v).select("doc_id", "category", "start", "end", "score", "models")
+
+
+# --- pages and geometry ------------------------------------------------------------------------
+_LINES = """l AS (SELECT doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+n AS (SELECT doc_id, (i // 40)::INT AS page, (i % 40)::INT AS line, i, ls[i + 1] AS text FROM l),
+s AS (SELECT doc_id, page, line, text, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start FROM n)"""
+
+
+@query(f"""WITH {_LINES} SELECT doc_id, page, line, start, (start + length(text))::INT AS "end" FROM s WHERE length(text) > 0""")
+def text_model_spans(spark, sf):
+    return ingest.spans_of(ingest.lines_of(_docs(spark, sf))).drop("text")
+
+
+@query(f"""WITH {_LINES}, p AS (SELECT doc_id, page, bool_or(regexp_matches(text, '[^\\s]')) AS has_text FROM n GROUP BY doc_id, page)
+SELECT doc_id, CASE WHEN count(*) FILTER (has_text) = 0 THEN 'imageOnly' WHEN count(*) FILTER (has_text) < count(*) THEN 'partiallySupported' ELSE 'supported' END AS support FROM p GROUP BY doc_id""")
+def classify_pages(spark, sf):
+    lines = ingest.lines_of(_docs(spark, sf))
+    pages = lines.groupBy("doc_id", "page").agg(F.bool_or(F.col("text").rlike(r"\S")).alias("has_text"))
+    return ingest.classify_pages(pages).select("doc_id", "support")
+
+
+_RANGES = "SELECT doc_id, k AS range_id, cast(k * 37 as int) AS r_start, cast(k * 37 + 25 as int) AS r_end FROM documents, (SELECT unnest([0, 1, 2, 5]) AS k)"
+
+
+@query(f"""WITH {_LINES}, r AS ({_RANGES}), j AS (SELECT r.doc_id, range_id, page, line, greatest(r_start, start) - start AS a, least(r_end, start + length(text)) - start AS b
+  FROM r JOIN s ON r.doc_id = s.doc_id WHERE length(text) > 0 AND start < r_end AND r_start < start + length(text))
+SELECT doc_id, range_id, page, line, (10 + 5 * a)::DOUBLE AS x, (10 + 12 * line)::DOUBLE AS y, (5 * (b - a))::DOUBLE AS w, 12::DOUBLE AS h FROM j""")
+def page_areas(spark, sf):
+    spans = ingest.fixed_boxes(ingest.spans_of(ingest.lines_of(_docs(spark, sf))))
+    r = _docs(spark, sf).select("doc_id", F.explode(F.array(*map(F.lit, (0, 1, 2, 5)))).alias("range_id")).selectExpr("doc_id", "range_id", "range_id * 37 as r_start", "range_id * 37 + 25 as r_end")
+    return ingest.areas_for(spans, r).select("doc_id", "range_id", "page", "line", "box.x", "box.y", "box.w", "box.h")
+
+
+@query(f"""WITH {_LINES}, r AS ({_RANGES}) SELECT r.doc_id, range_id, arg_min(page, start) AS page
+FROM r JOIN s ON r.doc_id = s.doc_id WHERE length(text) > 0 AND start < r_end AND r_start < start + length(text) GROUP BY r.doc_id, range_id""")
+def page_of(spark, sf):
+    spans = ingest.spans_of(ingest.lines_of(_docs(spark, sf)))
+    r = _docs(spark, sf).select("doc_id", F.explode(F.array(*map(F.lit, (0, 1, 2, 5)))).alias("range_id")).selectExpr("doc_id", "range_id", "range_id * 37 as r_start", "range_id * 37 + 25 as r_end")
+    return ingest.page_of(spans, r)
+
+
+@query(f"""WITH {_LINES}, v AS (SELECT doc_id, page, line, regexp_replace(text, '\\s+', '', 'g') AS t FROM n),
+o AS (SELECT *, length(t) - length(regexp_replace(t, '[^\\p{{Latin}}0-9!-/:-@\\[-`{{-~«»°€£§·•–—‘’‚“”„…′″±½¼¾¹²³µ©®™]', '', 'g')) AS odd FROM v)
+SELECT doc_id, count(*) AS lines, count(*) FILTER (odd >= 3 AND odd >= 0.3 * length(t)) AS unreadable FROM o GROUP BY doc_id""")
+def unreadable_lines(spark, sf):
+    lines = ingest.lines_of(_docs(spark, sf))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(ingest.is_unreadable(F.col("text"))).alias("unreadable"))
+
+
+@query("SELECT page_id, octet_length(encode(html))::BIGINT AS size, CASE WHEN octet_length(encode(html)) > 52428800 THEN 'tooLarge' ELSE 'notPdf' END AS support FROM pages WHERE html NOT LIKE '%PDF-%'")
+def classify_size(spark, sf):
+    p = table(spark, sf, "pages").where("html not like '%PDF-%'").select("page_id", F.col("html").cast("binary").alias("content"))
+    return p.select("page_id", F.octet_length("content").cast("long").alias("size"), ingest.classify_file(F.octet_length("content"), F.col("content")).alias("support"))
+
+
+# --- review ------------------------------------------------------------------------------------
+_PICK = """SELECT doc_id, cast(k as int) AS ord, cast(k * 11 % 90 as int) AS start, cast(k * 11 % 90 + 8 as int) AS "end", CASE WHEN k % 2 = 0 THEN 'PERSON' ELSE 'LOCATION' END AS category,
+  CASE WHEN (doc_id + k) % 3 = 0 THEN 'high' ELSE 'medium' END AS confidence, text FROM documents, (SELECT unnest(range(9)) AS k) WHERE length(text) > 100"""
+_INTAKE = f"""WITH p AS ({_PICK}), q AS (SELECT *, substring(text, start + 1, 8) AS raw FROM p), t AS (SELECT *, regexp_replace(regexp_replace(raw, '^\\s+', ''), '\\s+$', '') AS value FROM q WHERE NOT regexp_matches(raw, '^\\s*$')),
+k AS (SELECT *, {_N.replace('text', 'value')} AS key, CASE confidence WHEN 'high' THEN 2 ELSE 1 END AS r FROM t),
+i AS (SELECT doc_id, key, arg_min(value, ord) AS text, arg_min(category, ord) AS category, max(r) AS r FROM k GROUP BY doc_id, key)"""
+
+
+def _picked(spark, sf):
+    d = _docs(spark, sf).where("length(text) > 100")
+    k = d.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k"))
+    return k.selectExpr("doc_id", "k as ord", "k * 11 % 90 as start", "k * 11 % 90 + 8 as end", "if(k % 2 = 0, 'PERSON', 'LOCATION') as category", "if((doc_id + k) % 3 = 0, 'high', 'medium') as confidence")
+
+
+@query(f"{_INTAKE} SELECT doc_id, key, text, category, CASE r WHEN 2 THEN 'high' ELSE 'medium' END AS confidence, r = 2 AS selected FROM i")
+def review_intake(spark, sf):
+    return review.intake(_picked(spark, sf), _docs(spark, sf)).select("doc_id", "key", "text", "category", "confidence", "selected")
+
+
+@query(f"""{_INTAKE}, m AS (SELECT doc_id, key FROM i WHERE length(key) % 5 = 0 UNION SELECT doc_id, 'added by hand' FROM documents WHERE doc_id % 10 = 0),
+j AS (SELECT coalesce(i.doc_id, m.doc_id) AS doc_id, m.key IS NOT NULL AS by_hand, coalesce(i.r = 2, false) OR m.key IS NOT NULL AS selected FROM i FULL JOIN m ON i.doc_id = m.doc_id AND i.key = m.key)
+SELECT doc_id, count(*) AS total, count(*) FILTER (NOT by_hand) AS automatic, count(*) FILTER (by_hand) AS manual, count(*) FILTER (selected) AS selected FROM j GROUP BY doc_id""")
+def manual_upgrade_summary(spark, sf):
+    auto = review.intake(_picked(spark, sf), _docs(spark, sf))
+    by_hand = auto.where("length(key) % 5 = 0").select("doc_id", "key", "text").union(_docs(spark, sf).where("doc_id % 10 = 0").select("doc_id", F.lit("added by hand"), F.lit("added by hand")))
+    return review.summary(review.with_manual(auto, by_hand))
+
+
+@query(f"{_INTAKE} SELECT doc_id, list_sort(list(DISTINCT key)) AS texts, count(*) AS n FROM i WHERE r = 2 GROUP BY doc_id".replace("list_sort(list(DISTINCT key)) AS texts", "array_to_string(list_sort(list(DISTINCT key)), '|') AS texts"))
+def redaction_plan(spark, sf):
+    auto = review.intake(_picked(spark, sf), _docs(spark, sf)).withColumn("source", F.lit("automatic"))
+    no_areas = spark.createDataFrame([], "doc_id long, key string, page int, box struct<x:double,y:double,w:double,h:double>, origin string")
+    p = review.plan(auto, no_areas)
+    return p.select("doc_id", F.array_join("texts", "|").alias("texts"), F.size("texts").cast("long").alias("n"))
+
+
+@query("""WITH a AS (SELECT page_id AS doc_id, 0 AS page, unnest([{'x': -0.4, 'y': 10.0, 'w': 20.0, 'h': 5.0}, {'x': 590.0, 'y': 10.0, 'w': 6.0, 'h': 5.0}, {'x': 10.0, 'y': 10.0, 'w': (page_id % 700)::DOUBLE, 'h': 5.0}]) AS box FROM pages)
+SELECT doc_id, count(*) AS valid FROM a WHERE box.x >= -0.5 AND box.x + box.w <= 595.5 GROUP BY doc_id""")
+def area_validation(spark, sf):
+    p = table(spark, sf, "pages").selectExpr("page_id as doc_id", "0 as page")
+    a = p.select("doc_id", "page", F.explode(F.expr("array(named_struct('x', -0.4D, 'y', 10D, 'w', 20D, 'h', 5D), named_struct('x', 590D, 'y', 10D, 'w', 6D, 'h', 5D), named_struct('x', 10D, 'y', 10D, 'w', double(doc_id % 700), 'h', 5D))")).alias("box"))
+    sizes = p.selectExpr("doc_id", "page", "595D as width", "842D as height")
+    return review.valid_areas(a, sizes).groupBy("doc_id").agg(F.count("*").alias("valid"))
+
+
+@query()
+def undo_redo_fold(spark, sf):
+    ops = "array('add', 'addManual', 'deselect', 'select', 'delete', 'undo', 'redo', 'deselectAll')"
+    e = table(spark, sf, "events").selectExpr("user_id as doc_id", "event_id as seq", f"{ops}[pmod(event_id, 8)] as op", "concat('k', cast(pmod(event_id * 7, 5) as string)) as key")
+    return review.replay(e)
+
+
+# --- redaction and proof -----------------------------------------------------------------------
+TEXTS = ["the", "and of", "le"]
+_SCRUB = f"""WITH d AS (SELECT doc_id, text, {_N} AS n FROM documents),
+k AS (SELECT unnest({TEXTS!r}) AS needle),
+h AS (SELECT doc_id, n, needle, unnest(range(length(n) - length(needle) + 1)) AS s FROM d, k WHERE contains(n, needle)),
+m AS (SELECT doc_id, s::INT AS s, (s + length(needle))::INT AS e FROM h WHERE substring(n, s + 1, length(needle)) = needle
+  AND NOT (s > 0 AND regexp_matches(substring(n, s, 1), '^[\\p{{L}}\\p{{N}}\\p{{M}}]$')) AND NOT regexp_matches(substring(n, s + length(needle) + 1, 1), '^[\\p{{L}}\\p{{N}}\\p{{M}}]$')),
+r AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM m),
+g AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM r) GROUP BY doc_id, i),
+c AS (SELECT doc_id, count(*) AS removed, sum(e - s) AS gone FROM g GROUP BY doc_id)"""
+
+
+def _scrubbed(spark, sf):
+    d = normalize.prepare(_docs(spark, sf), exact=False).withColumn("texts", F.array(*map(F.lit, TEXTS)))
+    return redact.scrub(d, "text")
+
+
+@query(f"{_SCRUB} SELECT d.doc_id, coalesce(c.removed, 0)::INT AS removed, (length(text) - coalesce(gone, 0))::INT AS chars_left FROM d LEFT JOIN c ON d.doc_id = c.doc_id")
+def scrub_text(spark, sf):
+    return _scrubbed(spark, sf).select("doc_id", "removed", F.length("scrubbed").alias("chars_left"))
+
+
+@query(f"{_SCRUB} SELECT source AS channel, sum(removed)::BIGINT AS removed FROM c JOIN documents USING (doc_id) GROUP BY source")
+def channel_counts(spark, sf):
+    s = _scrubbed(spark, sf).select("doc_id", "removed").join(table(spark, sf, "documents").select("doc_id", F.col("source").alias("channel")), "doc_id")
+    return redact.channel_counts(s.withColumn("doc_id", F.lit(0))).select("channel", "removed")
+
+
+@query(f"""{_SCRUB} SELECT d.doc_id, CASE WHEN c.removed > 0 THEN 'remove' ELSE 'keep' END AS decision FROM d LEFT JOIN c ON d.doc_id = c.doc_id""")
+def attachment_decision(spark, sf):
+    d = normalize.prepare(_docs(spark, sf), exact=False).withColumn("texts", F.array(*map(F.lit, TEXTS)))
+    return d.select("doc_id", redact.attachment_decision("concat('file ', cast(doc_id as string))", "n", "texts").alias("decision"))
+
+
+def _control(spark, sf):
+    """The scrubbed texts, but every tenth document is left as it was; as (doc_id, page, n)."""
+    s = _scrubbed(spark, sf).select("doc_id", F.when(F.col("doc_id") % 10 == 0, F.col("text")).otherwise(F.col("scrubbed")).alias("text"))
+    return s.select("doc_id", F.lit(0).alias("page"), normalize.fast(F.col("text")).alias("n"))
+
+
+def _plans(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.array(*map(F.lit, TEXTS)).alias("texts"))
+
+
+@query(f"{_SCRUB} SELECT doc_id, 0 AS page FROM c WHERE doc_id % 10 = 0")
+def verify_text_absent(spark, sf):
+    return verify.text_absent(_control(spark, sf), _plans(spark, sf)).where("doc_id % 10 = 0").select("doc_id", "page").distinct()
+
+
+@query(f"""{_SCRUB} SELECT d.doc_id, CASE WHEN d.doc_id % 10 = 0 AND c.removed > 0 THEN 'failed' ELSE 'verified' END AS outcome FROM d LEFT JOIN c ON d.doc_id = c.doc_id
+WHERE d.doc_id % 10 = 0""")
+def verify_outcome(spark, sf):
+    docs = _docs(spark, sf)
+    absent = verify.text_absent(_control(spark, sf), _plans(spark, sf))
+    checks = verify.checks_from(docs, {"textAbsent": absent, "sideChannels": absent.limit(0)})
+    return verify.report(docs, checks).where("doc_id % 10 = 0").select("doc_id", "outcome")
+
+
+@query(f"""{_SCRUB} SELECT doc_id, 'body' AS channel, count(*) AS failures FROM (SELECT DISTINCT m.doc_id, substring(n, s + 1, e - s) AS t FROM m JOIN d ON m.doc_id = d.doc_id) GROUP BY doc_id""")
+def verify_side_channels(spark, sf):
+    values = normalize.prepare(_docs(spark, sf), exact=False).select("doc_id", F.lit("body").alias("channel"), "n")
+    return verify.side_channels(values, _plans(spark, sf)).groupBy("doc_id", "channel").agg(F.count("*").alias("failures"))
+
+
+@query(f"""WITH {_LINES}, g AS (SELECT doc_id, page, 10 + 5 * unnest(range(length(text))) + 2.5 AS cx, 10 + 12 * line + 6 AS cy FROM s WHERE length(text) > 0)
+SELECT DISTINCT doc_id, page FROM g WHERE cx > 100 AND cx < 100 + doc_id % 50 AND cy > 400 AND cy < 420""")
+def verify_geometry(spark, sf):
+    spans = ingest.fixed_boxes(ingest.spans_of(ingest.lines_of(_docs(spark, sf))))
+    glyphs = spans.select("doc_id", "page", F.explode("char_boxes").alias("box"))
+    areas = spans.select("doc_id", "page").distinct().select("doc_id", "page", F.expr("named_struct('x', 100D, 'y', 400D, 'w', double(doc_id % 50), 'h', 20D)").alias("box"))
+    return verify.geometry(glyphs, areas)
+
+
+@query("SELECT label, count(*) AS n, CASE label % 2 WHEN 0 THEN 'removeIfCovered' ELSE 'removeIfTouched' END AS mode FROM embeddings GROUP BY label")
+def line_art_mode(spark, sf):
+    e = table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    return e.select("label", "n", redact.line_art_mode(F.when(F.col("label") % 2 == 0, "text").otherwise("area")).alias("mode"))
+
+
+# --- evaluation --------------------------------------------------------------------------------
+_SENTENCES = "concat('Il signor Mario Rossi nr ', cast(k as string), ' abita qui')"
+_GOLD = "k AS doc_id, 0 AS gold_id, 10 AS start, 21 AS \"end\", CASE WHEN k % 2 = 0 THEN 'it' ELSE 'en' END AS lang"
+_PROPOSED = "k AS doc_id, 10 AS start, CASE k % 4 WHEN 0 THEN 15 ELSE 21 END AS \"end\", CASE WHEN k % 3 = 0 THEN 'medium' ELSE 'high' END AS confidence"
+
+
+def _gold(spark, sf):
+    k = table(spark, sf, "customer").selectExpr("c_custkey as k")
+    gold, proposed = (spark.sql("SELECT " + c.replace('"end"', "`end`") + " FROM {t}", t=t) for c, t in ((_GOLD, k), (_PROPOSED, k.where("k % 5 <> 0"))))
+    return gold, proposed, k.selectExpr("k as doc_id", f"{_SENTENCES} as text")
+
+
+_FOUND = "WITH x AS (SELECT c_custkey AS k FROM customer), f AS (SELECT k, CASE WHEN k % 2 = 0 THEN 'it' ELSE 'en' END AS lang, k % 5 <> 0 AND k % 4 <> 0 AS found FROM x)"
+
+
+@query(f"{_FOUND} SELECT k AS doc_id, found FROM f")
+def eval_coverage(spark, sf):
+    return evaluate.covered(*_gold(spark, sf)).select("doc_id", "found")
+
+
+@query(f"{_FOUND} SELECT lang, count(*) FILTER (found) AS found, count(*) AS total, round(count(*) FILTER (found) / count(*), 6) AS recall FROM f GROUP BY ROLLUP (lang)")
+def eval_recall(spark, sf):
+    return evaluate.recall(evaluate.covered(*_gold(spark, sf)), ["lang"]).withColumn("recall", F.round("recall", 6))
+
+
+@query(f"{_FOUND} SELECT count(*)::BIGINT AS shown, count(*)::BIGINT AS shown_correct, count(*) FILTER (k % 3 <> 0) AS preselected, CASE WHEN count(*) > 0 THEN 'fail' END AS tier FROM f WHERE k % 5 <> 0")
+def eval_precision_tier(spark, sf):
+    gold, proposed, texts = _gold(spark, sf)
+    p = evaluate.precision(proposed, gold).agg(F.sum("shown").alias("shown"), F.sum("shown_correct").alias("shown_correct"), F.sum("preselected").alias("preselected"), F.sum("preselected_correct").alias("ok"))
+    r = evaluate.recall(evaluate.covered(gold, proposed, texts), []).select("recall")
+    p = p.crossJoin(r)  # two one-row totals
+    return p.select("shown", "shown_correct", "preselected", evaluate.tier(F.col("recall"), F.col("ok") / F.col("preselected")).alias("tier"))
