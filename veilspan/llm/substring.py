@@ -49,18 +49,11 @@ def anchors(h: np.ndarray) -> np.ndarray:
     left = np.minimum.accumulate(x, 1).ravel()
     right = np.minimum.accumulate(x[:, ::-1], 1)[:, ::-1].ravel()
     low = np.minimum(right[:n], left[SPAN - 1 : SPAN - 1 + n])
-    # leftmost place of the minimum: the next place with that value from the window's start
-    place = np.full(n, -1)
-    is_low = np.flatnonzero(np.isin(g, low))
-    order = np.lexsort((is_low, g[is_low]))
-    values, where = g[is_low][order], is_low[order]
-    key = np.searchsorted(values, low)
-    end = np.searchsorted(values, low, "right")
-    single = end - key == 1
-    place[single] = where[key[single]]
-    for i in np.flatnonzero(~single):
-        own = where[key[i] : end[i]]
-        place[i] = own[np.searchsorted(own, i)]
+    # leftmost place of the minimum: the first place of that value from the window's start on
+    values, code = np.unique(g, return_inverse=True)
+    order = np.lexsort((np.arange(len(g)), code))
+    keys = code[order] * len(g) + order
+    place = order[np.searchsorted(keys, np.searchsorted(values, low) * len(g) + np.arange(n))]
     return np.unique(place)
 
 
@@ -69,28 +62,28 @@ def bounds(n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(0, at - SPAN + 1), np.minimum(n, at + WINDOW)
 
 
-def occurrences(doc_id: int, text_key: int, text: str | None) -> list[tuple]:
-    """(anchor, context hash, doc_id, text_key, pos, lo, hi) of each elected anchor of a text."""
+def occurrences(text: str | None) -> tuple[np.ndarray, ...]:
+    """Arrays anchor, context hash, pos, lo, hi of the elected anchors of a text."""
     h = common.word_hashes(common.words(text))
     at = anchors(h)
-    if not len(at):
-        return []
     lo, hi = bounds(len(h), at)
     g = common.shingles(h, GRAM)[at]
     # windows may be cut off by the text's ends: the anchor's place is part of the context
     c = common.mix(window_hash(h, lo, hi) ^ common.mix((at - lo).astype(np.uint64)))
-    i64 = lambda x: x.astype(np.int64).tolist()
-    return list(zip(i64(g), i64(c), [doc_id] * len(at), [text_key] * len(at), i64(at), i64(lo), i64(hi), strict=True))
+    return g.astype(np.int64), c.astype(np.int64), at, lo, hi
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def window_hash(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Order-dependent hashes of ranges of at most SPAN - 1 + WINDOW words, computed range by range in columns."""
-    out = np.zeros(len(lo), np.uint64)
-    size = hi - lo
-    for i in range(int(size.max(initial=0))):
-        own = i < size
-        out[own] = out[own] * np.uint64(0x9E3779B97F4A7C15) + h[lo[own] + i]
-    return common.mix(out + size.astype(np.uint64))
+    """Order-dependent 64-bit hashes of word ranges, from prefix sums of a polynomial."""
+    n = len(h)
+    power = np.cumprod(np.append(np.uint64(1), np.full(n, _BASE, np.uint64)))
+    back = np.cumprod(np.append(np.uint64(1), np.full(n, _INVERSE, np.uint64)))
+    total = np.append(np.uint64(0), np.cumsum(common.mix(h + np.uint64(1)) * power[:n]))
+    return common.mix((total[hi] - total[lo]) * back[lo] + (hi - lo).astype(np.uint64))
 
 
 class FMIndex:
@@ -276,13 +269,11 @@ _OCC_COLS = ["key", "ctx", "doc", "text_key", "pos", "lo", "hi"]
 
 def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows: list[tuple] = []
-        for d, k, t in zip(b["doc"].tolist(), b["text_key"].tolist(), b["text"], strict=True):
-            rows += occurrences(d, k, t)
-            if len(rows) > 50_000:
-                yield pd.DataFrame(rows, columns=_OCC_COLS)
-                rows = []
-        yield pd.DataFrame(rows, columns=_OCC_COLS)
+        found = [occurrences(t) for t in b["text"]]
+        n = [len(f[0]) for f in found]
+        key, ctx, pos, lo, hi = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 5
+        doc, text_key = (np.repeat(b[c].to_numpy(np.int64), n) for c in ("doc", "text_key"))
+        yield pd.DataFrame(dict(zip(_OCC_COLS, (key, ctx, doc, text_key, pos, lo, hi), strict=True)))
 
 
 def pieces(h: np.ndarray, at: int, hot: bool) -> Iterator[tuple[int, int, int, int | None]]:
