@@ -4,8 +4,8 @@ Base spans are leftmost non-overlapping matches of three patterns. The method ad
 (runs of 20 or more of `[A-Za-z0-9+/_=-]`) that overlap no base span and that a first-order Markov
 model of random strings explains better than one of ordinary identifiers, by the mean
 log-likelihood ratio of their transitions. Both models are transition counts, trained from
-labelled samples: values that the base patterns found are random, all other tokens of the sampled
-documents are ordinary. The trained table has 94 x 94 numbers and is a literal of the query.
+labelled samples: values that the base patterns found are random, other tokens of the sampled
+documents that are made of words or numbers are ordinary. The trained table has 94 x 94 numbers and is a literal of the query.
 
 Offsets are code points, ends exclusive. Nulls: null text is empty and has no spans; a null doc_id
 is a value. Spans with one start are ordered by kind. Overlapping kinds are all reported; redaction
@@ -30,9 +30,11 @@ KINDS = ["assign", "access", "hex", "random"]  # in the order of listing
 MIN_VALUE, MIN_ACCESS, MIN_HEX, MIN_TOKEN = 6, 20, 24, 20
 TRAIN_DOCS = 3000  # sampled documents to learn from, at most
 TRAIN_TOKEN, TRAIN_RANDOM = 8, 16  # shortest tokens to learn from, ordinary and random
-PRIOR_RANDOM, PRIOR_ORDINARY = 2.0, 0.2  # pseudo-counts per transition; random strings are near uniform
+PRIOR_RANDOM, PRIOR_ORDINARY = 20.0, 0.2  # pseudo-counts per transition; random strings are near uniform
 ALPHABET = 66
-THRESHOLD = 0.8  # mean log-likelihood ratio of a transition, in nats
+THRESHOLD = 0.5  # mean log-likelihood ratio of a transition, in nats
+# words, snake and camel case, capitals and numbers, joined in any way
+ORDINARY = "^(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/+=]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]+))*$"
 MASK = "[SECRET]"
 _FIRST, _WIDTH = 33, 94  # printable ASCII
 
@@ -85,7 +87,8 @@ def train(docs: DataFrame, sample_docs: int = TRAIN_DOCS) -> list[float]:
     labelled = pick.select(F.explode(F.concat(
         F.transform(F.concat(*values), lambda t: F.struct(F.lit(1).alias("y"), t.alias("t"))),
         F.transform(ordinary, lambda t: F.struct(F.lit(0).alias("y"), t.alias("t"))),
-    )).alias("e")).select("e.y", "e.t").where(f"length(t) >= if(y = 1, {TRAIN_RANDOM}, {TRAIN_TOKEN}) and t rlike '^[!-~]+$'")
+    )).alias("e")).select("e.y", "e.t").where(
+        f"t rlike '^[!-~]+$' and if(y = 1, length(t) >= {TRAIN_RANDOM}, length(t) >= {TRAIN_TOKEN} and t rlike '{ORDINARY}')")
     pairs = labelled.select("y", F.explode(F.expr("transform(sequence(1, length(t) - 1), i -> substring(t, i, 2))")).alias("p"))
     count = {(r["y"], r["p"]): r["n"] for r in pairs.groupBy("y", "p").agg(F.count("*").alias("n")).collect()}
     row: dict[tuple[int, str], int] = {}
