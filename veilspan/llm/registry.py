@@ -18,5 +18,7 @@ QUERIES = {
     )
 }
 ORACLES: dict[str, str] = {
+    "op3_substring_dedup": sql.SUBSTRING,
+    "op8_chat_formatting": sql.CHAT,
     "op10_mixing_sources": sql.mixing(mixing.WEIGHTS, mixing.DEFAULT, mixing.PERIOD, mixing.BLOCK_DOCS),
 }

@@ -29,3 +29,27 @@ FROM b LEFT JOIN plan ON plan.source = b.source AND plan.idx = b.block % b.units
 def mixing(weights: dict[str, float], default: float, period: int, block: int) -> str:
     cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items())
     return MIXING.format(cases=cases, default=default, period=period, block=block)
+
+
+# words of the whole text; firsts: the smallest document of each 50-word window
+SUBSTRING = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 49 + 1, 1))) AS i FROM w)),
+firsts AS (SELECT k, min(doc_id) AS f FROM win GROUP BY k),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT win.doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN firsts USING (k) WHERE f < win.doc_id) GROUP BY doc_id),
+o AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+g AS (SELECT doc_id, unnest(ps) AS p FROM gone),
+k AS (SELECT o.doc_id, string_agg(word, ' ' ORDER BY o.p) AS kept, count(*) AS n FROM o LEFT JOIN g ON o.doc_id = g.doc_id AND o.p = g.p WHERE g.p IS NULL GROUP BY o.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+"""
+
+# the template: <turn ROLE>, newline, escaped text, </turn>, newline
+CHAT = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'),
+e AS (SELECT *, replace(replace(replace(replace(text, '\', '\b'), '<turn', '\lturn'), '</turn', '\l/turn'), '###', '\h') AS esc FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(role) + length(esc) + 16)::BIGINT AS formatted_chars FROM e GROUP BY conv_id
+"""

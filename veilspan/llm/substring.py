@@ -113,7 +113,13 @@ class FMIndex:
     @staticmethod
     def _suffixes(symbols: np.ndarray) -> np.ndarray:
         n = len(symbols)
-        rank, depth = symbols.astype(np.int64), 1
+        sigma = int(symbols.max(initial=0)) + 1
+        depth = 4 if sigma < 1 << 15 else 3 if sigma < 1 << 20 else 1
+        # the first ranks are of whole pieces of `depth` symbols (positions past the end count as 0)
+        rank = symbols.astype(np.int64)
+        for i in range(1, depth):
+            rank = rank * sigma + np.append(symbols[i:], np.zeros(i, np.int64))
+        rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
         while True:
             nxt = np.zeros(n, np.int64)
             nxt[: n - depth] = rank[depth:] + 1 if depth < n else 0
@@ -195,7 +201,11 @@ def matches(index: FMIndex, symbols: np.ndarray, start: np.ndarray, first: np.nd
     lo, hi = np.zeros(len(lane), np.int64), np.full(len(lane), index.n, np.int64)
     while len(lane):
         sym = symbols[start + cur + WINDOW - 1 - got]
-        lo, hi = index.extend(lo, hi, sym)
+        old = np.flatnonzero(got)
+        new_lo, new_hi = index.first[sym], index.first[sym + 1]  # ranges of single words
+        if len(old):
+            new_lo[old], new_hi[old] = index.extend(lo[old], hi[old], sym[old])
+        lo, hi = new_lo, new_hi
         ok = index.earliest(lo, hi) < doc
         done = ok & (got == WINDOW - 1)
         got += 1
@@ -276,13 +286,9 @@ def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(dict(zip(_OCC_COLS, (key, ctx, doc, text_key, pos, lo, hi), strict=True)))
 
 
-def pieces(h: np.ndarray, at: int, hot: bool) -> Iterator[tuple[int, int, int, int | None]]:
-    """(base, end, last window, route) of the pieces of a context; a hot anchor's context is sliced."""
-    n = len(h)
-    top = min(at, n - WINDOW)
-    if not hot:
-        yield 0, n, top, None
-        return
+def pieces(h: np.ndarray, at: int) -> Iterator[tuple[int, int, int, int]]:
+    """(base, end, last window, route) of the slices of a hot anchor's context."""
+    top = min(at, len(h) - WINDOW)
     for o in range(0, at + 1, SLICE):  # windows whose anchor is o to o + SLICE - 1 words from their start
         a, b = max(0, at - o - SLICE + 1), min(top, at - o)
         if a <= b:
@@ -296,18 +302,22 @@ def pieces(h: np.ndarray, at: int, hot: bool) -> Iterator[tuple[int, int, int, i
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["route", "key", "ctx", "doc", "base", "last", "words"]
     for b in batches:
         rows = []
-        for d, t, want in zip(b["doc"].tolist(), b["text"], b["want"], strict=True):
-            words = common.word_hashes(common.words(t))
-            for w in want:
-                h = words[w["lo"] : w["hi"]]
-                for base, end, last, route in pieces(h, w["pos"] - w["lo"], w["hot"]):
-                    rows.append((w["key"] if route is None else route, w["key"], w["ctx"], d, base, last, h[base:end].astype("<i8").tobytes()))
+        for d, t, *want in b[["doc", "text", "key", "ctx", "pos", "lo", "hi", "hot"]].itertuples(index=False):
+            h = common.word_hashes(common.words(t))
+            raw = h.astype("<i8").tobytes()
+            for key, ctx, pos, lo, hi, hot in zip(*(w.tolist() for w in want), strict=True):
+                if not hot:
+                    rows.append((key, key, ctx, d, 0, min(pos - lo, hi - lo - WINDOW), raw[8 * lo : 8 * hi]))
+                    continue
+                for base, end, last, route in pieces(h[lo:hi], pos - lo):
+                    rows.append((route, key, ctx, d, base, last, raw[8 * (lo + base) : 8 * (lo + end)]))
             if len(rows) > 20_000:
-                yield pd.DataFrame(rows, columns=["route", "key", "ctx", "doc", "base", "last", "words"])
+                yield pd.DataFrame(rows, columns=columns)
                 rows = []
-        yield pd.DataFrame(rows, columns=["route", "key", "ctx", "doc", "base", "last", "words"])
+        yield pd.DataFrame(rows, columns=columns)
 
 
 def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -345,7 +355,7 @@ def intervals(docs: DataFrame) -> DataFrame:
     several = one.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > HOT).alias("hot"))
     todo = common.cut(one.join(several, "key"), "todo")
     want = todo.groupBy("doc", "text_key").agg(F.collect_list(F.struct("key", "ctx", "pos", "lo", "hi", "hot")).alias("want"))  # bounded by the document
-    ctx = d.join(want, ["doc", "text_key"]).select("doc", "text", "want")
+    ctx = d.join(want, ["doc", "text_key"]).select("doc", "text", *[F.col(f"want.{c}").alias(c) for c in ("key", "ctx", "pos", "lo", "hi", "hot")])
     ctx = ctx.mapInPandas(_contexts, "route long, key long, ctx long, doc long, base int, last int, words binary")
     shards = max(1, -(-todo.count() // SHARD_CONTEXTS))
     ctx = ctx.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
