@@ -28,8 +28,8 @@ from veilspan.llm import common
 DEGREE, ROUNDS = 32, 3
 BLOCK, ORDERS, BITS = 256, 3, 14  # size of starting blocks, how many orders, code bits
 PER_JOIN = 12  # best new neighbours that one local join offers to a node
-BEAM, EXPAND, RERANK = 256, 64, 32  # nodes kept and expanded by a walk, nodes ranked exactly after it
-PART_NODES = 20_000  # nodes in one part of the table that walks look up vectors in
+BEAM, EXPAND, RERANK = 256, 128, 32  # nodes kept and expanded by a walk, nodes ranked exactly after it
+PART_NODES = 2_000  # nodes in one part of the table that walks look up vectors in
 NEAREST, QUERY_STEP = 5, 50
 
 
@@ -189,8 +189,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame) -> DataFrame:
     """
     near = common.cut(both_ways(graph), "near")
     schema = "q long, node long, s double, open boolean"
-    shuffles = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(shuffles, -(-nodes.count() // PART_NODES))
+    parts = max(1, -(-nodes.count() // PART_NODES))
     part = F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part")
     table = nodes.select("node", "vec", part).groupBy("part")
     qv = common.cut(queries.select("q", F.col("vec").alias("qvec")), "askers")
