@@ -37,8 +37,11 @@ def any_of(words: list[str], escape: bool = True) -> str:
     return "(?:" + "|".join(parts) + ")"
 
 
-def find(text: Column, pattern: str, group: int = 0) -> Column:
-    """All leftmost non-overlapping matches of a pattern that never matches the empty string."""
+def find(text: Column, pattern: str, group: int = 0, gate: Column | None = None) -> Column:
+    """All leftmost non-overlapping matches of a pattern that never matches the empty string.
+
+    gate: a cheap condition without which there is no match; it spares most texts the pattern.
+    """
     p = F.lit(pattern)
     values = F.regexp_extract_all(text, p, F.lit(0))
     grp = F.regexp_extract_all(text, p, F.lit(group)) if group else values
@@ -52,10 +55,11 @@ def find(text: Column, pattern: str, group: int = 0) -> Column:
         return F.struct(end.alias("at"), F.array_append(a["out"], hit).alias("out"))
 
     found = F.aggregate(F.filter(zipped, lambda x: x["value"].isNotNull()), seed, step, lambda a: a["out"])
-    return F.when(text.rlike(pattern), found).otherwise(empty(MATCHES))
+    hit = text.rlike(pattern) if gate is None else gate & text.rlike(pattern)
+    return F.when(hit, found).otherwise(empty(MATCHES))
 
 
-def find_at_starts(text: Column, pattern: str) -> Column:
+def find_at_starts(text: Column, pattern: str, gate: Column | None = None) -> Column:
     """Matches of a zero-width pattern whose group 1 looks ahead: every start is tried, so values may overlap."""
     p = F.lit(pattern)
     values = F.regexp_extract_all(text, p, F.lit(1))
@@ -71,7 +75,8 @@ def find_at_starts(text: Column, pattern: str) -> Column:
         return F.struct(start.alias("at"), F.array_append(a["out"], hit).alias("out"))
 
     found = F.aggregate(F.filter(zipped, lambda x: x["value"].isNotNull()), seed, step, lambda a: a["out"])
-    return F.when(text.rlike(pattern), found).otherwise(empty(MATCHES))
+    hit = text.rlike(pattern) if gate is None else gate & text.rlike(pattern)
+    return F.when(hit, found).otherwise(empty(MATCHES))
 
 
 def context(n: str, start: str, keywords: list[str], window: int) -> str:
@@ -178,12 +183,18 @@ def is_whole_word(text: str, start: str, end: str) -> str:
 def whole_word_occurrences(text: str, needle: str) -> str:
     """SQL: starts (0-based) of all whole-word occurrences, overlapping ones included; none for an empty needle.
 
-    Candidate starts come from a search that steps over each occurrence found, so that the cost is
-    one pass over the text, not one test per character.
+    A needle that cannot overlap itself is found by one split at a quoted pattern; others (and
+    needles that would end the quotation) by a search that steps over each occurrence found.
     """
+    w, none = r"[\p{L}\p{N}\p{M}]", "cast(array() as array<int>)"
+    edge = sql(f"^{w}$")
+    pattern = f"""concat(if(substring({needle}, 1, 1) rlike {edge}, {sql(f"(?<!{w})")}, ''), {sql(chr(92) + "Q")}, {needle}, {sql(chr(92) + "E")},
+      if(right({needle}, 1) rlike {edge}, {sql(f"(?!{w})")}, ''))"""
+    fast = f"""aggregate(split({text}, {pattern}, -1), struct(0 as at, {none} as out), (a, g) -> struct(
+      a.at + length(g) + length({needle}) as at, array_append(a.out, a.at + length(g)) as out), a -> slice(a.out, 1, size(a.out) - 1))"""
     step = f"""aggregate(sequence(0, ((length({text}) - length(replace({text}, {needle}, ''))) div length({needle}) + 1) * length({needle})),
-      struct(0 as at, cast(array() as array<int>) as out),
+      struct(0 as at, {none} as out),
       (a, i) -> if(a.at < 0, a, transform(array(locate({needle}, {text}, a.at + 1)), p -> if(p = 0, struct(-1 as at, a.out as out), struct(p as at, array_append(a.out, p - 1) as out)))[0])).out"""
-    none = "cast(array() as array<int>)"
-    hits = f"case when coalesce(length({needle}), 0) = 0 or not contains({text}, {needle}) then {none} else {step} end"
-    return f"filter({hits}, s -> {is_whole_word(text, 's', f's + length({needle})')})"
+    slow = f"filter({step}, s -> {is_whole_word(text, 's', f's + length({needle})')})"
+    overlaps_itself = f"exists(sequence(0, length({needle}) - 1), k -> k > 0 and startswith({needle}, right({needle}, k))) or contains({needle}, {sql(chr(92) + 'E')})"
+    return f"""case when coalesce(length({needle}), 0) = 0 or not contains({text}, {needle}) then {none} when {overlaps_itself} then {slow} else {fast} end"""

@@ -96,9 +96,12 @@ class Rule:
     start: str = "x.start"
     end: str = "x.end"
     at_starts: bool = False
+    needs: str = "[0-9]"  # a character class without which there is no match
 
     def apply(self, df: DataFrame, out: str) -> DataFrame:
-        found = (find_at_starts if self.at_starts else lambda t, p: find(t, p, self.group))(F.col(self.on), self.pattern)
+        text = F.col(self.on)
+        gate = text.contains(self.needs) if len(self.needs) == 1 else text.rlike(self.needs)
+        found = find_at_starts(text, self.pattern, gate) if self.at_starts else find(text, self.pattern, self.group, gate)
         df = df.withColumn("_m", found)
         first, last = "y.s", "y.e"
         if self.on == "n":
@@ -138,7 +141,7 @@ _URL_LEVEL = f"""case when substring(text, if(starts is null, x.start, element_a
 _RULES = {
     r.name: r
     for r in (
-        Rule("email", "EMAIL", EMAIL),
+        Rule("email", "EMAIL", EMAIL, needs="@"),
         Rule("iban", "IBAN", IBAN, group=1, level=_IBAN_LEVEL, end="x.start + length(x.grp)"),
         Rule("payment-card", "PAYMENT_CARD", CARD, end=_CARD_END),
         Rule("phone-international", "PHONE", PHONE_INTERNATIONAL, level=f"if({_PLAUSIBLE}, 'high', null)"),
@@ -150,12 +153,12 @@ _RULES = {
         Rule("long-number", "CONTEXTUAL_ID", LONG_NUMBER, level=f"if(length({_digits('x.value')}) <= 16, 'high', null)"),
         Rule("address-italian", "LOCATION", ADDRESS_ITALIAN, on="text", end="x.start + length(rtrim(x.value))", level=f"if(x.value rlike {sql(BY_MEANS)}, null, 'high')"),
         Rule("address-english", "LOCATION", ADDRESS_ENGLISH, on="text"),
-        Rule("url", "URL", URL, end=f"x.start + length({_URL_VALUE})", level=_URL_LEVEL),
+        Rule("url", "URL", URL, needs=".", end=f"x.start + length({_URL_VALUE})", level=_URL_LEVEL),
         Rule("plate-announced", "VEHICLE_PLATE", PLATE_ANNOUNCED, on="text", group=1, start="x.end - length(x.grp)", end=f"x.end - length(x.grp) + length({_PLATE})"),
         Rule("plate", "VEHICLE_PLATE", PLATE, on="text"),
-        Rule("company", "ORGANIZATION", COMPANY, on="text"),
+        Rule("company", "ORGANIZATION", COMPANY, on="text", needs=_FORM),
         Rule(
-            "institution", "ORGANIZATION", INSTITUTION, on="text", group=1, end="x.end - if(x.value like '%.', 1, 0)",
+            "institution", "ORGANIZATION", INSTITUTION, on="text", group=1, needs=_HEADS, end="x.end - if(x.value like '%.', 1, 0)",
             level=f"""if(exists(split(x.grp, {sql("[ \\t'’]+")}), w -> w rlike {sql("^\\p{Lu}")})
                 and not exists(split(x.grp, {sql("[ \\t'’]+")}), w -> w rlike {sql("^\\p{Lu}")} and lower(w) in ({", ".join(f"'{w}'" for w in lexicon.FORM_LABELS)})), 'high', null)""",
         ),
@@ -171,7 +174,7 @@ def _by_start(column: str) -> str:
 def _tax_codes(df: DataFrame, out: str) -> DataFrame:
     """Zero-width tries at every word start; a code is taken if it begins after the last one taken and is valid or compact."""
     value = "replace(x.value, ' ', '')"
-    df = df.withColumn("_m", find_at_starts(F.col("n"), TAX_CODE))
+    df = df.withColumn("_m", find_at_starts(F.col("n"), TAX_CODE, F.col("n").rlike("[0-9lmnpqrstuv]{2}")))
     df = df.withColumn("_m", F.expr(f"filter(transform(_m, x -> struct(x.start as s, x.end as e, {checksums.tax_code(value)} as valid, x.value as value)), x -> x.valid or not contains(x.value, ' '))"))
     taken = """aggregate(_m, struct(0 as at, slice(_m, 1, 0) as out), (a, x) -> if(x.s >= a.at, struct(x.e as at, array_append(a.out, x) as out), a)).out"""
     spans = f"""transform({taken}, x -> struct(if(starts is null, x.s, element_at(starts, x.s + 1)) as start, if(ends is null, x.e, element_at(ends, x.e)) as end,
