@@ -124,6 +124,20 @@ def test_near_duplicate_classes(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({find(i) for i in range(len(texts))})
 
 
+def test_near_pairs_among_dissimilar_texts_of_one_bucket(spark, monkeypatch):
+    rng = random.Random(6)
+    template, texts = prose(rng, 150), []
+    for _ in range(300):  # one template, similarity about 0.6, all in one bucket of more than 256 members
+        texts.append(f"{template} {prose(rng, 50)}")
+    pairs = [(20 * k + 3, 300 + k) for k in range(15)]
+    texts += [texts[a].rsplit(" ", 1)[0] + " edit" for a, _ in pairs]
+    real = neardup.bands
+    monkeypatch.setattr(neardup, "bands", lambda t: ([7] * neardup.BANDS, real(t)[1]))
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
+    assert got == {i: i for i in range(300)} | {b: a for a, b in pairs}
+
+
 def test_signature_estimates_weighted_similarity():
     rng = random.Random(2)
     import numpy as np

@@ -7,11 +7,13 @@ coordinates the earliest. Signatures are cut into bands; documents that share a
 candidates, and pairs are verified by their weighted Jaccard similarity over all shingles.
 
 Equal texts are one node from the start. In each bucket only pivots are compared with the other
-members, never all pairs: members in the pivots' components are decided, the others become pivots
-in later rounds, as many at once as keep the comparisons of a bucket near ROUND_PAIRS. Buckets of
-up to 16 members are tested completely. Larger ones go on for as long as rounds still find links:
-after IDLE rounds without any, only pairs whose members failed against all pivots so far are left.
-Components are found by minimum labels with pointer jumping over tables in the shared folder.
+members: members in the pivots' components are decided, the others become pivots in ROUNDS later
+rounds, as many at once as keep the comparisons of a bucket near ROUND_PAIRS. What is then left in
+buckets of two components or more is settled exactly by a prefix filter: of two similar texts, the
+first shared element in any fixed order lies among the first fifth of both, so that texts of
+different components meet by those elements, rare ones first. The order comes from a sample; only
+the number of pairs depends on it, not the links. Components are found by minimum labels with
+pointer jumping over tables in the shared folder.
 
 Result: doc_id and class_id, the smallest doc_id of the class. Nulls: null or empty text (no
 words) is a class of its own, as is every row in it; null doc_ids are grouped by text and have
@@ -37,7 +39,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS = 5, 20
 K = ROWS * BANDS
 DARTS = K * math.log(K) + 2 * K  # expected darts that fill all coordinates
-PIVOTS, ROUND_PAIRS, IDLE = 32, 512, 2  # pivots and comparisons of a bucket in a later round, rounds without links
+PIVOTS, ROUND_PAIRS, ROUNDS = 32, 512, 2  # pivots and comparisons of a bucket in a later round, rounds before the prefix filter
+RANKED_TEXTS, RANKED = 5_000, 300_000  # texts of the sample that orders elements, and elements it tells apart from rare ones
 LOW = -1  # the lowest rank region is [0, 2**LOW): few regions matter more than spare darts of long texts
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -201,6 +204,65 @@ def _fits(a: str, b: str) -> str:
     return f"least({a}, {b}) >= {SIMILARITY} * greatest({a}, {b})"
 
 
+def ranks(texts: DataFrame, sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted elements that two texts or more of a sample of texts (fp) have, and how many have each."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            e, n = np.unique(np.concatenate([np.unique(np.frombuffer(s, "<u4")) for s in b["s"]] or [np.zeros(0, "<u4")]), return_counts=True)
+            yield pd.DataFrame({"e": e.astype(np.int64), "n": n.astype(np.int64)})
+
+    some = sets.join(common.sample(texts, "fp", RANKED_TEXTS, 11), "fp", "left_semi").select("s")
+    found = some.mapInPandas(count, "e long, n long").groupBy("e").agg(F.sum("n").alias("n")).where("n > 1")
+    found = found.orderBy(F.desc("n"), "e").limit(RANKED).toPandas().sort_values("e")  # bounded by RANKED
+    return found["e"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+
+
+def prefix(s: bytes, known: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first elements of a text, rare ones first: any text similar to it has one of them among its own; and the number of all."""
+    x = np.unique(np.frombuffer(s, "<u4")).astype(np.int64)
+    n = np.zeros(len(x), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        n = np.where(known[at] == x, seen[at], 0)
+    size = len(s) // 4
+    return x[np.lexsort((x, n))][: size - math.ceil(SIMILARITY * size - 1e-9) + 1], len(x)
+
+
+def left_over(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): all pairs of texts (fp, label, size) of different labels that may be similar, by prefix filter."""
+    known, seen = ranks(open_.select("fp"), sets)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [prefix(s, known, seen) for s in b["s"]]
+            n = [len(x) for x, _ in got]
+            out = b[["fp", "label", "size"]].loc[b.index.repeat(n)]
+            out["e"] = np.concatenate([x for x, _ in got] or [np.zeros(0, np.int64)])
+            out["rest"] = np.concatenate([total - np.arange(len(x)) for x, total in got] or [np.zeros(0, np.int64)])
+            yield out
+
+    p = open_.join(sets, "fp").select("fp", "label", "size", "s").mapInPandas(run, "fp long, label long, size long, e long, rest long")
+    p = common.cut(p, "prefixes")
+    met = p.groupBy("e").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("e")
+    p = common.cut(p.join(met, "e", "left_semi"), "met")  # elements of one component decide nothing
+    x = p.select("e", F.col("fp").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"), F.col("rest").alias("ra"))
+    y = p.select("e", F.col("fp").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), F.col("rest").alias("rb"))
+    # nothing before the first shared element is shared: what comes from it on must be enough
+    enough = f"least(ra, rb) >= {SIMILARITY / (1 + SIMILARITY)} * (na + nb) - 1e-6"
+    return x.join(y, "e").where("a < b and la <> lb and " + _fits("na", "nb") + " and " + enough).select("a", "b").distinct()
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (fp, label) with the components joined that the new links join."""
+    near = labels.select(F.col("fp").alias("a"), F.col("label").alias("la"))
+    far = labels.select(F.col("fp").alias("b"), F.col("label").alias("lb"))
+    joined = links.join(near, "a", "left").join(far, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b")
+    moved = components(joined).select(F.col("fp").alias("label"), F.col("label").alias("to"))
+    nodes_ = labels.union(links.select("a", "a")).union(links.select("b", "b")).groupBy("fp").agg(F.min("label").alias("label"))
+    return common.cut(nodes_.join(moved, "label", "left").select("fp", F.coalesce("to", "label").alias("label")), "classes")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(fp, label) of all nodes that are linked with another."""
     spread = common.cut(buckets(docs), "buckets")
@@ -212,37 +274,28 @@ def classes(docs: DataFrame) -> DataFrame:
     tested = common.cut(tested, "pairs")
     labels = components(common.cut(verified(tested, sets), "links"))
     used = spread.where("fp = head").select("h", "fp")
-    idle = 0
-    while idle < IDLE:
+    for i in range(ROUNDS + 1):
         state = spread.select("h", "fp", "size").join(labels, "fp", "left").select("h", "fp", "size", F.coalesce("label", "fp").alias("label"))
         state = common.cut(state, "state")
         main = state.groupBy("h").agg(F.min("label").alias("main"), F.max("label").alias("hi"), F.count("*").alias("members")).where("main < hi").select("h", "main", "members")
         open_ = state.join(main, "h")
-        left = open_.where("label <> main").join(used, ["h", "fp"], "left_anti")
-        order = F.row_number().over(Window.partitionBy("h").orderBy("fp"))
-        pivots = left.withColumn("n", order).where(F.col("n") <= F.greatest(F.lit(1), F.least(F.lit(PIVOTS), F.expr(f"{ROUND_PAIRS} div members"))))
-        pivots = common.cut(pivots.select("h", F.col("fp").alias("p"), F.col("label").alias("pl"), F.col("size").alias("ps")), "pivots")
-        if pivots.isEmpty():
-            return labels
-        used = common.cut(used.union(pivots.select("h", F.col("p").alias("fp"))), "used")
-        idle += 1
-        fresh = open_.join(pivots, "h").where("label <> pl and " + _fits("size", "ps"))
-        fresh = fresh.select(F.least("p", "fp").alias("a"), F.greatest("p", "fp").alias("b")).distinct()
+        if i == ROUNDS:
+            fresh = left_over(common.cut(open_.select("fp", "label", "size").distinct(), "open"), sets)
+        else:
+            left = open_.where("label <> main").join(used, ["h", "fp"], "left_anti")
+            order = F.row_number().over(Window.partitionBy("h").orderBy("fp"))
+            pivots = left.withColumn("n", order).where(F.col("n") <= F.greatest(F.lit(1), F.least(F.lit(PIVOTS), F.expr(f"{ROUND_PAIRS} div members"))))
+            pivots = common.cut(pivots.select("h", F.col("fp").alias("p"), F.col("label").alias("pl"), F.col("size").alias("ps")), "pivots")
+            if pivots.isEmpty():
+                return labels
+            used = common.cut(used.union(pivots.select("h", F.col("p").alias("fp"))), "used")
+            fresh = open_.join(pivots, "h").where("label <> pl and " + _fits("size", "ps"))
+            fresh = fresh.select(F.least("p", "fp").alias("a"), F.greatest("p", "fp").alias("b")).distinct()
         fresh = common.cut(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            continue
-        tested = common.cut(tested.union(fresh), "tested")
         links = common.cut(verified(fresh, sets), "links")
-        if links.isEmpty():
-            continue
-        idle = 0
-        # components that the new links join
-        near = labels.select(F.col("fp").alias("a"), F.col("label").alias("la"))
-        far = labels.select(F.col("fp").alias("b"), F.col("label").alias("lb"))
-        joined = links.join(near, "a", "left").join(far, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b")
-        moved = components(joined).select(F.col("fp").alias("label"), F.col("label").alias("to"))
-        nodes_ = labels.union(links.select("a", "a")).union(links.select("b", "b")).groupBy("fp").agg(F.min("label").alias("label"))
-        labels = common.cut(nodes_.join(moved, "label", "left").select("fp", F.coalesce("to", "label").alias("label")), "classes")
+        tested = common.cut(tested.union(fresh), "tested") if i < ROUNDS else tested
+        if not links.isEmpty():
+            labels = merged(labels, links)
     return labels
 
 
