@@ -88,6 +88,14 @@ def test_frequent_lines_deplete(spark):
     assert quality.keep_good(spark.createDataFrame(rows, SCHEMA)).columns == [c.split()[0] for c in SCHEMA.split(", ")]
 
 
+def test_documents_that_share_their_smallest_shingle_are_counted(spark):
+    rng = random.Random(12)
+    spam = prose(rng, 85)  # similarity 0.7: no near copies, but most have their smallest shingle here
+    rows = [(i, f"{spam}\n{prose(rng, 15)}", "en", "s", 0) for i in range(60)]
+    got = quality.assess(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 60 and all(r.n_removed_words == 85 and not r.kept for r in got)
+
+
 # --- near duplicates ---------------------------------------------------------------------------
 def _similar(a, b):
     x, y = (Counter(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in (a, b))

@@ -2,8 +2,9 @@
 
 Lines are lower-cased and their whitespace runs made one space; their hashes are counted over the
 distinct documents of a host (the `source` column; null is a host of its own). Copies count as one
-document: documents are told apart by their smallest hashed 5-word shingle, which near copies
-share, so that a document is not rejected because it was copied. Lines above the limit are
+document, so that a document is not rejected because it was copied: documents are told apart by
+their verified near-duplicate classes, which are worked out for the whole table as soon as one line
+is in more than the limit of distinct texts. Lines above the limit are
 removed, and a document that loses most of its words is depleted and rejected.
 
 Nulls: null text is an empty text (rejected, under 50 words). Null doc_id and source are values.
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import common
+from veilspan.llm import common, neardup
 
 MIN_WORDS = 50  # fewer fail
 MAX_REPEAT_PERCENT = 50  # a larger share of words in repeated 3-word windows fails
@@ -30,8 +31,8 @@ LINE_SHARE = 0.01  # ... and than this share of them is above the limit
 DEPLETED = 0.2  # a smaller share of words left means rejection
 
 SCHEMA = (
-    "doc_id long, host string, text_key long, n_words long, word_chars long, n_symbols long,"
-    " n_dup_lines long, n_repeat_words long, sig long, lines array<struct<h:long,n:int>>"
+    "doc_id long, host string, text_key long, fp long, n_words long, word_chars long, n_symbols long,"
+    " n_dup_lines long, n_repeat_words long, lines array<struct<h:long,n:int>>"
 )
 
 
@@ -54,7 +55,7 @@ def repeat_words(ws: list[bytes]) -> int:
 
 
 def measure(text: str | None) -> tuple:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, sig, lines) of one text."""
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines) of one text."""
     text = text or ""
     ws = common.words(text)
     spaces = sum(map(text.count, " \t\n\v\f\r"))
@@ -70,26 +71,22 @@ def measure(text: str | None) -> tuple:
         seen.add(line)
         norm = b" ".join(common.words(line.lower()))
         lines.append((zlib.crc32(norm) << 31 ^ zlib.crc32(norm[::-1], 7), len(own)))
-    h = common.word_hashes(ws)
-    grams = common.shingles(h, 5)
-    if not len(grams):
-        grams = common.shingles(h, max(1, len(h))) if len(h) else np.zeros(1, np.uint64)
-    return len(ws), len(text) - spaces, symbols, dup, repeat_words(ws), int(grams.min().astype(np.int64)), lines
+    return len(ws), len(text) - spaces, symbols, dup, repeat_words(ws), lines
 
 
 def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = [measure(t) for t in b["text"]]
-        out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "sig", "lines"])
+        out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
         out["lines"] = [[{"h": h, "n": n} for h, n in x] for x in out["lines"]]
-        yield pd.concat([b[["doc_id", "host", "text_key"]].reset_index(drop=True), out], axis=1)[
-            ["doc_id", "host", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "sig", "lines"]
-        ].astype({"doc_id": "Int64"})
+        yield pd.concat([b[["doc_id", "host", "text_key", "fp"]].reset_index(drop=True), out], axis=1)[
+            ["doc_id", "host", "text_key", "fp", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"]
+        ].astype({"doc_id": "Int64", "fp": "Int64"})
 
 
 def measured(docs: DataFrame) -> DataFrame:
     src = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("host"), F.xxhash64("text").alias("text_key"), "text"
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("host"), F.xxhash64("text").alias("text_key"), neardup.fingerprint(F.col("text")).alias("fp"), "text"
     )
     return src.mapInPandas(_measure, SCHEMA)
 
@@ -98,15 +95,23 @@ def assess(docs: DataFrame, *, line_docs: int = LINE_DOCS, line_share: float = L
     """One row per document: the counts, words on removed lines, base_failed, and kept."""
     m = common.cut(measured(docs), "quality")
     host = F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias("host")
-    one = m.select(host, "doc_id", "text_key", "sig", "lines")
-    lines = one.select("host", "doc_id", "text_key", "sig", F.explode("lines").alias("l")).select(
-        "host", "doc_id", "text_key", "sig", F.col("l.h").alias("h"), F.col("l.n").alias("n")
-    )
-    sizes = one.select("host", "sig").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    often = (
-        lines.select("host", "h", "sig").distinct().groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > line_docs)
-        .join(sizes, "host").where(F.col("docs") > F.col("host_docs") * line_share).select("host", "h")
+    one = m.select(host, "doc_id", "text_key", "fp", "lines")
+    lines = one.select("host", "doc_id", "text_key", "fp", F.explode("lines").alias("l")).select(
+        "host", "doc_id", "text_key", "fp", F.col("l.h").alias("h"), F.col("l.n").alias("n")
     )
+    # no line is in more classes than in texts
+    often = lines.select("host", "h", "fp").distinct().groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > line_docs)
+    often = common.cut(often.select("host", "h"), "often")
+    if not often.isEmpty():
+        labels = common.cut(neardup.classes(docs), "classes")
+        node = F.coalesce("label", "fp").alias("node")  # texts without words are one
+        sizes = one.select("host", "fp").distinct().join(labels, "fp", "left").select("host", F.coalesce(node, F.lit(0)).alias("node"))
+        sizes = sizes.distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+        docs_of = lines.join(often, ["host", "h"], "left_semi").select("host", "h", "fp").distinct().join(labels, "fp", "left").select("host", "h", node)
+        often = (
+            docs_of.distinct().groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > line_docs)
+            .join(sizes, "host").where(F.col("docs") > F.col("host_docs") * line_share).select("host", "h")
+        )
     gone = lines.join(often, ["host", "h"], "left_semi")
     key = [F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), "text_key"]
     # repeated rows have the same lines: an average over the copies is the count of one of them
@@ -115,7 +120,7 @@ def assess(docs: DataFrame, *, line_docs: int = LINE_DOCS, line_share: float = L
         "k", "text_key", F.expr("gone div copies").alias("n_removed_words")
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = m.drop("lines", "sig").withColumn("k", F.coalesce("doc_id", F.lit(-(2**63)))).join(gone, ["k", "text_key"], "left")
+    out = m.drop("lines", "fp").withColumn("k", F.coalesce("doc_id", F.lit(-(2**63)))).join(gone, ["k", "text_key"], "left")
     removed = F.coalesce("n_removed_words", F.lit(0))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
