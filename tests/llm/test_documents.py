@@ -193,6 +193,21 @@ def test_substring_dedup(docs, monkeypatch, hot):
         assert (r.n_words, r.n_removed, bytes(r.kept).decode()) == want[r.doc_id]
 
 
+def test_passages_at_the_ends_of_texts_of_hot_anchors(spark, monkeypatch):
+    monkeypatch.setattr(substring, "HOT", 0)
+    monkeypatch.setattr(substring, "SHARD_CONTEXTS", 1)
+    rng = random.Random(13)
+    rows = []
+    for k in range(12):
+        passage = prose(rng, 50 + k % 5)
+        three = [f"{prose(rng, 60)} {passage}", f"{prose(rng, 30)} {passage} {prose(rng, 60)}", f"{passage} {prose(rng, 60)}"]
+        rng.shuffle(three)
+        rows += [(3 * k + i, t, "en", "s", 0) for i, t in enumerate(three)]
+    want = removed_by_force(rows)
+    for r in substring.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert (r.n_words, r.n_removed, bytes(r.kept).decode()) == want[r.doc_id]
+
+
 def test_backward_search_equals_counting():
     import numpy as np
 

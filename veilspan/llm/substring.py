@@ -269,7 +269,7 @@ def search(shard: pd.DataFrame) -> pd.DataFrame:
     k = list(rows)
     base = shard["base"].to_numpy()
     cuts = [[x + int(base[i]) for x in rows[i]] for i in k]
-    return pd.DataFrame({"key": shard["key"].to_numpy()[k], "ctx": shard["ctx"].to_numpy()[k], "cuts": cuts})
+    return pd.DataFrame({"key": shard["key"].to_numpy()[k], "ctx": shard["ctx"].to_numpy()[k], "cuts": pd.Series(cuts, dtype=object)})
 
 
 # ------------------------------------------------------------------------------- Spark jobs
@@ -292,13 +292,9 @@ def pieces(h: np.ndarray, at: int) -> Iterator[tuple[int, int, int, int]]:
     for o in range(0, at + 1, SLICE):  # windows whose anchor is o to o + SLICE - 1 words from their start
         a, b = max(0, at - o - SLICE + 1), min(top, at - o)
         if a <= b:
-            # the route is a gram that all windows of the slice share, whatever the text's ends
+            # the route is a gram that all windows of the slice share: where one of them fits, so does the gram
             core = h[at - o : at - o - SLICE + 1 + WINDOW]
-            if len(core) == WINDOW - SLICE + 1 and at - o <= top:
-                yield a, b + WINDOW, b - a, int(common.mix(window_hash(core, np.array([0]), np.array([len(core)])) + np.uint64(o)).astype(np.int64)[0])
-            else:  # cut off by an end of the text: single windows, each its own route
-                for w in range(a, b + 1):
-                    yield w, w + WINDOW, 0, int(window_hash(h, np.array([w]), np.array([w + WINDOW])).astype(np.int64)[0])
+            yield a, b + WINDOW, b - a, int(common.mix(window_hash(core, np.array([0]), np.array([len(core)])) + np.uint64(o)).astype(np.int64)[0])
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
