@@ -1,8 +1,10 @@
 """Corpus pipeline: quality rules, near-dedup, secret scans, mixing and tokenization of documents.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of docs. Quality rules and near-dedup drop documents, the secret scan masks spans in the
-texts, mixing orders all rows, and the last stage encodes the texts.
+columns of docs. Quality rules drop documents and lines, near-dedup drops documents, the secret
+scan masks spans in the texts, mixing orders all rows, and the last stage encodes the texts. As
+files are not read again in order, it states each row's place in the mix: by mix_slot (null last),
+source and mix_n.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.token_table(docs)
+    return bpe.token_table(mixing.positions(docs), carried=("mix_slot", "mix_n"))
 
 
 STAGES = [

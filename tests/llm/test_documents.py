@@ -96,6 +96,20 @@ def test_documents_that_share_their_smallest_shingle_are_counted(spark):
     assert len(got) == 60 and all(r.n_removed_words == 85 and not r.kept for r in got)
 
 
+def test_pipeline_removes_lines_and_states_the_mix(spark):
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    spam = prose(rng, 20)
+    rows = [(i, f"{prose(rng, 30)}\n{spam}\n{prose(rng, 50)}", "en", "src0" if i % 2 else "src5", 7) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = corpus_pipeline.quality_rules(spark, df, "")
+    assert {r.doc_id: (r.text, r.n_chars) for r in kept.collect()} == {i: (x := t.replace(spam + "\n", ""), len(x)) for i, t, *_ in rows}
+    got = corpus_pipeline.encode(spark, df.repartition(5), "").collect()
+    want = {r.doc_id: (r.mix_slot, r.mix_n) for r in mixing.positions(df).collect()}
+    assert {r.doc_id: (r.mix_slot, r.mix_n) for r in got} == want and len(set(want.values())) == 60
+
+
 # --- near duplicates ---------------------------------------------------------------------------
 def _similar(a, b):
     x, y = (Counter(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in (a, b))

@@ -239,8 +239,8 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     return src.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def token_table(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, source, n_tokens, ids and decoded_sha256 of each document: what a trainer reads."""
+def token_table(docs: DataFrame, path: str | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, n_tokens, ids and decoded_sha256 of each document, and carried long columns: what a trainer reads."""
     path = path or default_path()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,10 +250,11 @@ def token_table(docs: DataFrame, path: str | None = None) -> DataFrame:
             back = [hashlib.sha256(c.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in ids]
             yield pd.DataFrame(
                 {"doc_id": b["doc_id"].astype("Int64"), "source": b["source"], "n_tokens": [len(x) for x in ids], "ids": ids, "decoded_sha256": back}
+                | {c: b[c].astype("Int64") for c in carried}
             )
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
-    return src.mapInPandas(run, "doc_id long, source string, n_tokens long, ids array<int>, decoded_sha256 string")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text", *[F.col(c).cast("long").alias(c) for c in carried])
+    return src.mapInPandas(run, ", ".join(["doc_id long, source string, n_tokens long, ids array<int>, decoded_sha256 string", *[f"{c} long" for c in carried]]))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm import common, neardup
@@ -54,6 +54,11 @@ def repeat_words(ws: list[bytes]) -> int:
     return int(cover.sum())
 
 
+def line_hash(line: str) -> int:
+    norm = b" ".join(common.words(line.lower()))
+    return zlib.crc32(norm) << 31 ^ zlib.crc32(norm[::-1], 7)
+
+
 def measure(text: str | None) -> tuple:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines) of one text."""
     text = text or ""
@@ -69,8 +74,7 @@ def measure(text: str | None) -> tuple:
         if line in seen:
             dup += 1
         seen.add(line)
-        norm = b" ".join(common.words(line.lower()))
-        lines.append((zlib.crc32(norm) << 31 ^ zlib.crc32(norm[::-1], 7), len(own)))
+        lines.append((line_hash(line), len(own)))
     return len(ws), len(text) - spaces, symbols, dup, repeat_words(ws), lines
 
 
@@ -91,10 +95,18 @@ def measured(docs: DataFrame) -> DataFrame:
     return src.mapInPandas(_measure, SCHEMA)
 
 
-def assess(docs: DataFrame, *, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, depleted: float = DEPLETED) -> DataFrame:
-    """One row per document: the counts, words on removed lines, base_failed, and kept."""
+def host_key(host: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), host), F.lit(""))
+
+
+def id_key(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(-(2**63)))
+
+
+def verdicts(docs: DataFrame, *, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, depleted: float = DEPLETED) -> DataFrame:
+    """One row per document: the counts, words on removed lines, base_failed, kept, keys (host_key, k, text_key) and removed lines."""
     m = common.cut(measured(docs), "quality")
-    host = F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias("host")
+    host = host_key(F.col("host")).alias("host")
     one = m.select(host, "doc_id", "text_key", "fp", "lines")
     lines = one.select("host", "doc_id", "text_key", "fp", F.explode("lines").alias("l")).select(
         "host", "doc_id", "text_key", "fp", F.col("l.h").alias("h"), F.col("l.n").alias("n")
@@ -113,26 +125,48 @@ def assess(docs: DataFrame, *, line_docs: int = LINE_DOCS, line_share: float = L
             .join(sizes, "host").where(F.col("docs") > F.col("host_docs") * line_share).select("host", "h")
         )
     gone = lines.join(often, ["host", "h"], "left_semi")
-    key = [F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), "text_key"]
+    key = ["host", id_key(F.col("doc_id")).alias("k"), "text_key"]
     # repeated rows have the same lines: an average over the copies is the count of one of them
     copies = one.groupBy(*key).agg(F.count("*").alias("copies"))
-    gone = gone.groupBy(*key).agg(F.sum("n").alias("gone")).join(copies, ["k", "text_key"]).select(
-        "k", "text_key", F.expr("gone div copies").alias("n_removed_words")
+    gone = gone.groupBy(*key).agg(F.sum("n").alias("gone"), F.collect_set("h").alias("removed")).join(copies, ["host", "k", "text_key"]).select(
+        F.col("host").alias("host_key"), "k", "text_key", "removed", F.expr("gone div copies").alias("n_removed_words")
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = m.drop("lines", "fp").withColumn("k", F.coalesce("doc_id", F.lit(-(2**63)))).join(gone, ["k", "text_key"], "left")
+    out = m.drop("lines", "fp").withColumns({"k": id_key(F.col("doc_id")), "host_key": host}).join(gone, ["host_key", "k", "text_key"], "left")
     removed = F.coalesce("n_removed_words", F.lit(0))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & (F.col("n_words") - removed >= depleted * F.col("n_words"))).alias("kept"),
-        removed.cast("long").alias("n_removed_words"), "text_key",
+        removed.cast("long").alias("n_removed_words"), "text_key", "host_key", "k", "removed",
     )
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are not rejected, with their own columns."""
-    bad = assess(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(bad["_bad_id"]) & (F.xxhash64(docs["text"]) == bad["_bad_key"]), "left_anti")
+def assess(docs: DataFrame, **limits) -> DataFrame:
+    """One row per document: the counts, words on removed lines, base_failed, and kept."""
+    return verdicts(docs, **limits).drop("host_key", "k", "removed")
+
+
+def without_lines(text: pd.Series, removed: pd.Series) -> pd.Series:
+    """Texts without the lines of these hashes."""
+
+    def left(t: str, gone: set[int]) -> str:
+        return "\n".join(x for x in t.split("\n") if not (common.words(x) and line_hash(x) in gone))
+
+    return pd.Series([t if t is None or r is None else left(t, set(map(int, r))) for t, r in zip(text, removed, strict=True)], dtype=object)
+
+
+def keep_good(docs: DataFrame, **limits) -> DataFrame:
+    """The documents that are not rejected, without their lines above the limits, with their own columns; n_chars counted anew."""
+    v = verdicts(docs, **limits).where("not kept or removed is not null")
+    v = v.select(F.col("host_key").alias("_host"), F.col("k").alias("_k"), F.col("text_key").alias("_key"), F.col("kept").alias("_kept"), F.col("removed").alias("_removed"))
+    v = v.dropDuplicates(["_host", "_k", "_key"])
+    same = (host_key(docs["source"]) == v["_host"]) & (id_key(docs["doc_id"]) == v["_k"]) & F.xxhash64(docs["text"]).eqNullSafe(v["_key"])
+    d = docs.join(v, same, "left").where(F.coalesce("_kept", F.lit(True)))
+    changed = F.col("_removed").isNotNull()
+    d = d.withColumn("text", F.when(changed, F.pandas_udf(without_lines, "string")("text", "_removed")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        d = d.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return d.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
