@@ -86,8 +86,15 @@ def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
-def ordered(name: str) -> Column:
-    return F.col(f"`{name}`")
+def packed(docs: DataFrame) -> Column:
+    """All columns of docs as one struct `row`, so that their names cannot clash with working columns."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of docs from `row`, with new values for those that docs has, in their own types."""
+    own = [new[f.name].cast(f.dataType).alias(f.name) if f.name in new else F.col(f"row.`{f.name}`") for f in docs.schema.fields]
+    return rows.select(*own)
 
 
 def sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:

@@ -1,11 +1,11 @@
 """Quality rules: per-document counts, then cross-document line frequency.
 
 Lines are lower-cased and their whitespace runs made one space; their hashes are counted over the
-distinct documents of a host (the `source` column; null is a host of its own). Copies count as one
-document, so that a document is not rejected because it was copied: documents are told apart by
-their verified near-duplicate classes, which are worked out for the whole table as soon as one line
-is in more than the limit of distinct texts. Lines above the limit are
-removed, and a document that loses most of its words is depleted and rejected.
+distinct documents of a host (the `source` column; null is a host of its own). Documents of a host
+with equal texts are one document, so that a text is not rejected for having been copied verbatim;
+texts that differ anywhere are different documents, near copies too. A line in more than
+LINE_DOCS documents of its host and in more than LINE_SHARE of them is above the limit and is
+removed; a document with less than DEPLETED of its words left is rejected.
 
 Nulls: null text is an empty text (rejected, under 50 words). Null doc_id and source are values.
 Repeated rows each get their verdict. Ties cannot occur. An empty table gives an empty result.
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import common, neardup
+from veilspan.llm import common
 
 MIN_WORDS = 50  # fewer fail
 MAX_REPEAT_PERCENT = 50  # a larger share of words in repeated 3-word windows fails
@@ -31,7 +31,7 @@ LINE_SHARE = 0.01  # ... and than this share of them is above the limit
 DEPLETED = 0.2  # a smaller share of words left means rejection
 
 SCHEMA = (
-    "doc_id long, host string, text_key long, fp long, n_words long, word_chars long, n_symbols long,"
+    "doc_id long, host string, text_key long, n_words long, word_chars long, n_symbols long,"
     " n_dup_lines long, n_repeat_words long, lines array<struct<h:long,n:int>>"
 )
 
@@ -83,15 +83,13 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [measure(t) for t in b["text"]]
         out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
         out["lines"] = [[{"h": h, "n": n} for h, n in x] for x in out["lines"]]
-        yield pd.concat([b[["doc_id", "host", "text_key", "fp"]].reset_index(drop=True), out], axis=1)[
-            ["doc_id", "host", "text_key", "fp", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"]
-        ].astype({"doc_id": "Int64", "fp": "Int64"})
+        yield pd.concat([b[["doc_id", "host", "text_key"]].reset_index(drop=True), out], axis=1)[
+            ["doc_id", "host", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"]
+        ].astype({"doc_id": "Int64"})
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    src = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("host"), F.xxhash64("text").alias("text_key"), neardup.fingerprint(F.col("text")).alias("fp"), "text"
-    )
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), F.xxhash64("text").alias("text_key"), "text")
     return src.mapInPandas(_measure, SCHEMA)
 
 
@@ -107,23 +105,12 @@ def verdicts(docs: DataFrame, *, line_docs: int = LINE_DOCS, line_share: float =
     """One row per document: the counts, words on removed lines, base_failed, kept, keys (host_key, k, text_key) and removed lines."""
     m = common.cut(measured(docs), "quality")
     host = host_key(F.col("host")).alias("host")
-    one = m.select(host, "doc_id", "text_key", "fp", "lines")
-    lines = one.select("host", "doc_id", "text_key", "fp", F.explode("lines").alias("l")).select(
-        "host", "doc_id", "text_key", "fp", F.col("l.h").alias("h"), F.col("l.n").alias("n")
-    )
-    # no line is in more classes than in texts
-    often = lines.select("host", "h", "fp").distinct().groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > line_docs)
-    often = common.cut(often.select("host", "h"), "often")
-    if not often.isEmpty():
-        labels = common.cut(neardup.classes(docs), "classes")
-        node = F.coalesce("label", "fp").alias("node")  # texts without words are one
-        sizes = one.select("host", "fp").distinct().join(labels, "fp", "left").select("host", F.coalesce(node, F.lit(0)).alias("node"))
-        sizes = sizes.distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-        docs_of = lines.join(often, ["host", "h"], "left_semi").select("host", "h", "fp").distinct().join(labels, "fp", "left").select("host", "h", node)
-        often = (
-            docs_of.distinct().groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > line_docs)
-            .join(sizes, "host").where(F.col("docs") > F.col("host_docs") * line_share).select("host", "h")
-        )
+    one = m.select(host, "doc_id", "text_key", "lines")
+    lines = one.select("host", "doc_id", "text_key", F.explode("lines").alias("l")).select("host", "doc_id", "text_key", F.col("l.h").alias("h"), F.col("l.n").alias("n"))
+    sizes = one.select("host", "text_key").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    # equal (host, line, text) are dropped before anything is counted by line, so that a line of many copies is no hot key
+    often = lines.select("host", "h", "text_key").distinct().groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > line_docs)
+    often = common.cut(often.join(sizes, "host").where(F.col("docs") > F.col("host_docs") * line_share).select("host", "h"), "often")
     gone = lines.join(often, ["host", "h"], "left_semi")
     key = ["host", id_key(F.col("doc_id")).alias("k"), "text_key"]
     # repeated rows have the same lines: an average over the copies is the count of one of them
@@ -132,7 +119,7 @@ def verdicts(docs: DataFrame, *, line_docs: int = LINE_DOCS, line_share: float =
         F.col("host").alias("host_key"), "k", "text_key", "removed", F.expr("gone div copies").alias("n_removed_words")
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = m.drop("lines", "fp").withColumns({"k": id_key(F.col("doc_id")), "host_key": host}).join(gone, ["host_key", "k", "text_key"], "left")
+    out = m.drop("lines").withColumns({"k": id_key(F.col("doc_id")), "host_key": host}).join(gone, ["host_key", "k", "text_key"], "left")
     removed = F.coalesce("n_removed_words", F.lit(0))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
@@ -157,16 +144,16 @@ def without_lines(text: pd.Series, removed: pd.Series) -> pd.Series:
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """The documents that are not rejected, without their lines above the limits, with their own columns; n_chars counted anew."""
-    v = verdicts(docs, **limits).where("not kept or removed is not null")
-    v = v.select(F.col("host_key").alias("_host"), F.col("k").alias("_k"), F.col("text_key").alias("_key"), F.col("kept").alias("_kept"), F.col("removed").alias("_removed"))
-    v = v.dropDuplicates(["_host", "_k", "_key"])
-    same = (host_key(docs["source"]) == v["_host"]) & (id_key(docs["doc_id"]) == v["_k"]) & F.xxhash64(docs["text"]).eqNullSafe(v["_key"])
-    d = docs.join(v, same, "left").where(F.coalesce("_kept", F.lit(True)))
-    changed = F.col("_removed").isNotNull()
-    d = d.withColumn("text", F.when(changed, F.pandas_udf(without_lines, "string")("text", "_removed")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns])
+    v = verdicts(docs, **limits).where("not kept or removed is not null").select("host_key", "k", "text_key", "kept", "removed")
+    v = v.dropDuplicates(["host_key", "k", "text_key"])
+    d = docs.select(
+        common.packed(docs), host_key(F.col("source").cast("string")).alias("host_key"), id_key(F.col("doc_id")).alias("k"), F.xxhash64("text").alias("text_key")
+    )
+    d = d.join(v, ["host_key", "k", "text_key"], "left").where(F.coalesce("kept", F.lit(True)))
+    changed = F.col("removed").isNotNull()
+    text = F.when(changed, F.pandas_udf(without_lines, "string")("row.text", "removed")).otherwise(F.col("row.text"))
+    d = d.select("row", "removed", text.alias("text"))
+    return common.unpacked(d, docs, text=F.col("text"), n_chars=F.when(changed, F.length("text")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(0)))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,9 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op3_substring_dedup": sql.SUBSTRING,
+    "op6_quality_rules": sql.QUALITY.format(
+        line_docs=quality.LINE_DOCS, line_share=quality.LINE_SHARE, min_words=quality.MIN_WORDS, max_repeat=quality.MAX_REPEAT_PERCENT, depleted=quality.DEPLETED
+    ),
     "op8_chat_formatting": sql.CHAT,
     "op10_mixing_sources": sql.mixing(mixing.WEIGHTS, mixing.DEFAULT, mixing.PERIOD, mixing.BLOCK_DOCS),
 }

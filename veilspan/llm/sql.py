@@ -53,3 +53,27 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length(role) + length(esc) + 16)::BIGINT AS formatted_chars FROM e GROUP BY conv_id
 """
+
+# words of whole texts; a line counts once for each distinct text of its host
+QUALITY = r"""
+WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+g AS (SELECT doc_id, i, md5(ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, k FROM g GROUP BY doc_id, k HAVING count(*) > 1),
+rw AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT g.doc_id, unnest([i, i + 1, i + 2]) AS p FROM g JOIN r ON g.doc_id = r.doc_id AND g.k = r.k) GROUP BY doc_id),
+l AS (SELECT doc_id, host, md5(t) AS tk, unnest(string_split(t, chr(10))) AS line FROM d),
+n AS (SELECT *, array_to_string(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'), ' ') AS norm, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM n GROUP BY doc_id),
+hosts AS (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host),
+often AS (SELECT n.host, norm FROM n GROUP BY n.host, norm HAVING count(DISTINCT tk) > {line_docs}
+  AND count(DISTINCT tk) > {line_share} * (SELECT docs FROM hosts WHERE hosts.host = n.host)),
+gone AS (SELECT doc_id, sum(words) AS n FROM n JOIN often ON n.host = often.host AND n.norm = often.norm GROUP BY doc_id),
+c AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  coalesce(rw.n, 0)::BIGINT AS n_repeat_words, coalesce(dl.n, 0)::BIGINT AS n_dup_lines, coalesce(gone.n, 0)::BIGINT AS n_removed_words
+  FROM w LEFT JOIN rw ON rw.doc_id = w.doc_id LEFT JOIN dl ON dl.doc_id = w.doc_id LEFT JOIN gone ON gone.doc_id = w.doc_id)
+SELECT d.doc_id, n_words, word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, n_dup_lines, n_repeat_words,
+  n_words < {min_words} OR 100 * n_repeat_words > {max_repeat} * n_words AS base_failed,
+  NOT (n_words < {min_words} OR 100 * n_repeat_words > {max_repeat} * n_words) AND n_words - n_removed_words >= {depleted} * n_words AS kept, n_removed_words
+FROM d JOIN c ON c.doc_id = d.doc_id
+"""
