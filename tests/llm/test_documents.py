@@ -223,6 +223,19 @@ def test_passages_at_the_ends_of_texts_of_hot_anchors(spark, monkeypatch):
         assert (r.n_words, r.n_removed, bytes(r.kept).decode()) == want[r.doc_id]
 
 
+def test_one_passage_with_many_edges(spark, monkeypatch):
+    monkeypatch.setattr(substring, "HOT", 40)
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    monkeypatch.setattr(common, "FEW", 10**9)
+    rng = random.Random(17)
+    passage = prose(rng, 75)
+    rows = [(i, f"{prose(rng, rng.randint(0, 60))} {passage} {prose(rng, rng.randint(0, 60))}".strip(), "en", "s", 0) for i in range(200)]
+    rows += [(200 + i, rows[i % 7][1], "en", "s", 0) for i in range(60)]
+    want = removed_by_force(rows)
+    for r in substring.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert (r.n_words, r.n_removed, bytes(r.kept).decode()) == want[r.doc_id]
+
+
 def test_backward_search_equals_counting():
     import numpy as np
 
@@ -239,7 +252,7 @@ def test_backward_search_equals_counting():
                 lo, hi = index.extend(lo, hi, np.array([s]))
             at = [i for i in range(400 - n) if (symbols[i : i + n] == p).all()]
             assert hi[0] - lo[0] == len(at)
-            assert index.earliest(lo, hi)[0] == (min(docs[i] for i in at) if at else substring.LAST)
+            assert index.earliest(lo, hi)[0] == (min(docs[i] for i in at) if at else substring.NONE)
 
 
 # --- secrets -----------------------------------------------------------------------------------

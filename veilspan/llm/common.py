@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
-import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,25 +51,64 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered by each Python worker up to a fixed number of words."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        a = zlib.crc32(word)
-        b = zlib.crc32(word[::-1], 0x9E3779B9)
-        self[word] = h = (a << 32 | b) ^ (len(word) * 0x9E3779B97F4A7C15 & M64)
+def mix_one(x: int) -> int:
+    return int(mix(np.array([x & M64], np.uint64))[0])
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(8)] + [M64], np.uint64)  # masks of the first 0 to 8 bytes
+LONG_WORD = 256  # longer words are hashed one by one
+GOLD = np.uint64(0x9E3779B97F4A7C15)
+UNGOLD = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+class Words:
+    """The words `[^\\x20\\x09-\\x0D]+` of all texts of one Arrow column, as arrays.
+
+    data: the UTF-8 bytes; start, end: each word's place in them; first: the number of the first
+    word of each text (one entry more than texts); row: the text of each word.
+    """
+
+    def __init__(self, texts: pa.Array | pa.ChunkedArray) -> None:
+        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+        _, places, raw = texts.buffers()
+        at = np.frombuffer(places, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if places else np.zeros(len(texts) + 1, np.int64)
+        n = int(at[-1] - at[0])
+        self.data = np.zeros(n + 8, np.uint8)  # eight bytes can be read from any place
+        if n:
+            self.data[:n] = np.frombuffer(raw, np.uint8)[at[0] : at[-1]]
+        bounds = at - at[0]
+        ink = ~_SPACE[self.data[:n]]
+        begins, ends = ink.copy(), ink.copy()
+        begins[1:] &= ~ink[:-1]
+        ends[:-1] &= ~ink[1:]
+        edge = bounds[:-1][bounds[:-1] < n]
+        begins[edge] = ink[edge]
+        edge = bounds[1:][bounds[1:] > 0] - 1
+        ends[edge] = ink[edge]
+        self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        self.first = np.searchsorted(self.start, bounds)
+        self.row = np.repeat(np.arange(len(texts)), np.diff(self.first))
+
+    def hashes(self) -> np.ndarray:
+        """64-bit hashes of the words, eight bytes at a time; words of up to eight bytes never collide with each other."""
+        chunks = np.ndarray((len(self.data) - 7,), "<u8", self.data.data, 0, (1,))
+        size = self.end - self.start
+        h = mix(chunks[self.start] & _LOW_BYTES[np.minimum(size, 8)]) if len(size) else np.zeros(0, np.uint64)
+        live, k = np.flatnonzero(size > 8), 8
+        while len(live) and k < LONG_WORD:
+            h[live] = mix(h[live] * GOLD + (chunks[self.start[live] + k] & _LOW_BYTES[np.minimum(size[live] - k, 8)]))
+            k += 8
+            live = live[size[live] > k]
+        for i in live.tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.data[self.start[i] : self.end[i]].tobytes(), digest_size=8).digest(), "little")
         return h
 
 
-_HASHES = WordHashes()
-
-
-def word_hashes(ws: list[bytes]) -> np.ndarray:
-    return mix(np.fromiter(map(_HASHES.__getitem__, ws), np.uint64, len(ws)))
+def text_words(text: str | None) -> Words:
+    return Words(pa.array([text], pa.string()))
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
@@ -78,7 +118,7 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for i in range(k):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+        out = out * GOLD + h[i : i + n]
     return mix(out)
 
 
@@ -106,3 +146,24 @@ def sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
         share = min(1.0, (1.25 * rows + 100) / total)
         df = df.where(order <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True))
     return df.withColumn("_order", order).orderBy("_order").limit(rows).drop("_order")
+
+
+FEW = 100_000  # most rows of the hot side of a skewed join
+
+
+def skewed_join(rows: DataFrame, small: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """rows inner-joined with small (one row per key; n: how many of rows have the key), without the column n.
+
+    Keys with more than 1 / FEW of all rows (and HOT_ROWS at least) are fewer than FEW: their side
+    is broadcast, so that such a key stays spread over all tasks. The other keys are shuffled.
+    """
+    limit = max(HOT_ROWS, rows.count() // FEW)
+    hot = small.where(F.col(n) > limit).drop(n)
+    plain = small.where(F.col(n) <= limit).drop(n)
+    if hot.isEmpty():
+        return rows.join(plain, keys)
+    few = F.broadcast(hot)
+    return rows.join(few, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(plain, keys))
+
+
+HOT_ROWS = 5_000

@@ -99,7 +99,7 @@ def signature(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def weighted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of a text and how often each occurs."""
-    h = common.word_hashes(common.words(text))
+    h = common.text_words(text).hashes()
     return np.unique(common.shingles(h, min(SHINGLE, max(1, len(h)))), return_counts=True)
 
 

@@ -3,14 +3,17 @@
 Anchors route the work: each 50-word window elects the smallest hash of its 8-word grams
 (winnowing), so equal windows elect the same anchor at the same place. Only anchors seen in two
 documents or more matter. Around each occurrence of an anchor lies its context, all words of the
-windows that may have elected it; equal contexts are stored once, with the earliest document.
-Contexts go to shards by anchor. A shard builds a compressed FM-index over its contexts (a wavelet
-tree on the Burrows-Wheeler transform of word symbols, with a minimum-document table on the suffix
-order) and streams the contexts through it: backward search extends a match word by word while it
-still occurs in an earlier document, and matches of 50 words or more become intervals. A failed
-search skips all windows that hold the failed piece. An anchor with very many contexts is split by
-43-word grams inside its windows, so that its contexts spread over shards, and equal pieces enter
-an index once.
+windows that may have elected it. Contexts go to shards by anchor, each distinct one once, from its
+earliest document (they are told apart by 128 bits). A shard builds a compressed FM-index over its
+contexts (a wavelet tree on the Burrows-Wheeler transform of word symbols, with a minimum-document
+table on the suffix order; symbols stand for the words themselves, not for hashes) and streams the
+contexts through it: backward search extends a match word by word while it still occurs in an
+earlier document, and matches of 50 words become reported intervals with the earliest document that
+holds them. A failed search skips all windows that hold the failed piece. All removals come from
+these reports: an occurrence of a context loses the reported intervals whose document is smaller.
+
+An anchor with very many contexts does not enter one shard: its windows do, on their own, each
+distinct window of two documents or more once, routed by its own hash.
 
 Nulls: null or empty text has no words and loses none; a null doc_id counts as the largest id.
 Repeated rows (one doc_id) never remove each other's words, as no id is smaller. Empty tables give
@@ -19,71 +22,58 @@ empty results. Only doc_id and text are read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm import common
+from veilspan.llm.common import GOLD, UNGOLD
 
 WINDOW, GRAM = 50, 8
 SPAN = WINDOW - GRAM + 1  # grams in a window
 SHARD_CONTEXTS = 6_000  # contexts of a shard that the number of shards aims at
-HOT = 2_000  # an anchor with more distinct contexts is split by longer grams
-SLICE = 8  # window starts of one slice of a split context; they share WINDOW - SLICE + 1 words
+HOT = 2_000  # the windows of an anchor with more distinct contexts are routed one by one
 LAST = 2**63 - 1
+NONE = 2**31 - 1
 
 
-def anchors(h: np.ndarray) -> np.ndarray:
-    """Positions of the grams that some window elects: smallest hash, leftmost on ties."""
-    g = common.shingles(h, GRAM)
-    n = len(g) - SPAN + 1
+def grams(h: np.ndarray) -> np.ndarray:
+    """64-bit hashes of all 8-word grams, from pairs, fours and eights."""
+    for k in (1, 2, 4):
+        h = h[:-k] * GOLD**np.uint64(k) + h[k:]
+    return common.mix(h)
+
+
+def anchors(g: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Places of the grams that some window elects: smallest hash, leftmost on ties; row: the text of each word."""
+    n = len(row) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.int64)
+    # upper half: hash, lower half: place, so that the smallest is also the leftmost
+    key = (g & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(g), dtype=np.uint64)
     # sliding minimum by prefix and suffix minima of blocks of SPAN
-    pad = -len(g) % SPAN
-    x = np.append(g, np.full(pad, np.iinfo(np.uint64).max, np.uint64)).reshape(-1, SPAN)
+    x = np.append(key, np.full(-len(key) % SPAN, np.iinfo(np.uint64).max, np.uint64)).reshape(-1, SPAN)
     left = np.minimum.accumulate(x, 1).ravel()
     right = np.minimum.accumulate(x[:, ::-1], 1)[:, ::-1].ravel()
-    low = np.minimum(right[:n], left[SPAN - 1 : SPAN - 1 + n])
-    # leftmost place of the minimum: the first place of that value from the window's start on
-    values, code = np.unique(g, return_inverse=True)
-    order = np.lexsort((np.arange(len(g)), code))
-    keys = code[order] * len(g) + order
-    place = order[np.searchsorted(keys, np.searchsorted(values, low) * len(g) + np.arange(n))]
-    return np.unique(place)
-
-
-def bounds(n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last (exclusive) word of the contexts around anchors of a text of n words."""
-    return np.maximum(0, at - SPAN + 1), np.minimum(n, at + WINDOW)
-
+    low = np.minimum(right[:n], left[SPAN - 1 : SPAN - 1 + n])[row[:n] == row[WINDOW - 1 :]]
+    place = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return place[np.append(True, place[1:] != place[:-1])] if len(place) else place
 
-def occurrences(text: str | None) -> tuple[np.ndarray, ...]:
-    """Arrays anchor, context hash, pos, lo, hi of the elected anchors of a text."""
-    h = common.word_hashes(common.words(text))
-    at = anchors(h)
-    lo, hi = bounds(len(h), at)
-    g = common.shingles(h, GRAM)[at]
-    # windows may be cut off by the text's ends: the anchor's place is part of the context
-    c = common.mix(window_hash(h, lo, hi) ^ common.mix((at - lo).astype(np.uint64)))
-    return g.astype(np.int64), c.astype(np.int64), at, lo, hi
 
+class RangeHashes:
+    """Order-dependent 64-bit hashes of word ranges, from prefix sums of a polynomial."""
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
+    def __init__(self, h: np.ndarray) -> None:
+        power = np.cumprod(np.append(np.uint64(1), np.full(len(h), GOLD, np.uint64)))
+        self.back = np.cumprod(np.append(np.uint64(1), np.full(len(h), UNGOLD, np.uint64)))
+        self.total = np.append(np.uint64(0), np.cumsum(common.mix(h + np.uint64(1)) * power[:-1]))
 
-def window_hash(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Order-dependent 64-bit hashes of word ranges, from prefix sums of a polynomial."""
-    n = len(h)
-    power = np.cumprod(np.append(np.uint64(1), np.full(n, _BASE, np.uint64)))
-    back = np.cumprod(np.append(np.uint64(1), np.full(n, _INVERSE, np.uint64)))
-    total = np.append(np.uint64(0), np.cumsum(common.mix(h + np.uint64(1)) * power[:n]))
-    return common.mix((total[hi] - total[lo]) * back[lo] + (hi - lo).astype(np.uint64))
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return common.mix((self.total[hi] - self.total[lo]) * self.back[lo] + (hi - lo).astype(np.uint64))
 
 
 class FMIndex:
@@ -94,7 +84,7 @@ class FMIndex:
     """
 
     def __init__(self, symbols: np.ndarray, docs: np.ndarray) -> None:
-        """symbols: 0 for separators, 1.. for words; docs: the document of each position."""
+        """symbols: 0 for separators, 1.. for words; docs: the document of each position, as ranks."""
         n = len(symbols)
         self.sigma = int(symbols.max(initial=0)) + 1
         self.n = n
@@ -103,7 +93,7 @@ class FMIndex:
         self.first = np.append(0, np.cumsum(np.bincount(symbols, minlength=self.sigma)))
         self._wavelet(bwt)
         # minima of documents over ranges of the suffix order
-        self.low = [docs[sa]]
+        self.low = [docs[sa].astype(np.int32)]
         width = 1
         while 2 * width <= n:
             prev = self.low[-1]
@@ -169,8 +159,8 @@ class FMIndex:
         return base + both[:k] - start, base + both[k:] - start
 
     def earliest(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """The smallest document in each non-empty range, LAST for empty ones."""
-        out = np.full(len(lo), LAST, np.int64)
+        """The smallest rank in each non-empty range, NONE for empty ones."""
+        out = np.full(len(lo), NONE, np.int32)
         size = hi - lo
         level = np.zeros(len(lo), np.int64)
         full = size > 0
@@ -182,18 +172,18 @@ class FMIndex:
         return out
 
 
-def matches(index: FMIndex, symbols: np.ndarray, start: np.ndarray, first: np.ndarray, last: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
-    """(lane, from, to) of words covered by windows that occur in an earlier document.
+def matches(index: FMIndex, symbols: np.ndarray, start: np.ndarray, last: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lanes, first words and documents of windows that occur in an earlier document and cover all words that such windows cover.
 
     Lane k streams the context that begins at start[k] in symbols, testing the windows that start
-    at first[k] to last[k] (within the context), for documents before doc[k]. From the left, the
+    at 0 to last[k] (within the context), for documents before doc[k]. From the left, the
     window tested is the one that would cover most beyond what is decided; each success covers 50
     words, each failure rules out all windows that hold the failed piece.
     """
-    out: list[tuple[int, int, int]] = []
-    lane = np.flatnonzero(first <= last)
+    out = [(np.zeros(0, np.int64),) * 3]
+    lane = np.flatnonzero(last >= 0)
     start, last, doc = start[lane], last[lane], doc[lane]
-    cur = first[lane].copy()  # window under test
+    cur = np.zeros(len(lane), np.int64)  # window under test
     low = cur.copy()  # smallest start not ruled out
     todo = cur.copy()  # words before this one are decided
     failed = np.zeros(len(lane), np.int64)  # all windows before this one are ruled out or tested
@@ -206,12 +196,12 @@ def matches(index: FMIndex, symbols: np.ndarray, start: np.ndarray, first: np.nd
         if len(old):
             new_lo[old], new_hi[old] = index.extend(lo[old], hi[old], sym[old])
         lo, hi = new_lo, new_hi
-        ok = index.earliest(lo, hi) < doc
+        low_doc = index.earliest(lo, hi)
+        ok = low_doc < doc
         done = ok & (got == WINDOW - 1)
         got += 1
         if done.any():
-            for k in np.flatnonzero(done):
-                out.append((int(lane[k]), int(cur[k]), int(cur[k]) + WINDOW))
+            out.append((lane[done], cur[done].copy(), low_doc[done].astype(np.int64)))
             todo[done] = cur[done] + WINDOW
             low[done] = np.maximum(cur[done] + 1, failed[done])
             cur[done] = np.maximum(todo[done], low[done])
@@ -233,143 +223,197 @@ def matches(index: FMIndex, symbols: np.ndarray, start: np.ndarray, first: np.nd
         live = ~(over & (cur > last))
         if not live.all():
             lane, start, last, doc, cur, low, todo, failed, got, lo, hi = (x[live] for x in (lane, start, last, doc, cur, low, todo, failed, got, lo, hi))
-    return out
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def search(shard: pd.DataFrame) -> pd.DataFrame:
-    """Intervals of removed words, from the context's start, for the pieces of a shard.
-
-    Columns key, ctx, doc, base (the piece's first word in its context), last (its last window) and words.
-    """
-    code = pd.factorize(shard["words"])[0]
-    doc = shard["doc"].to_numpy(np.int64)
-    order = np.lexsort((doc, code))
-    head = np.append(True, code[order][1:] != code[order][:-1])
-    first_row = order[head]  # the earliest document's copy of each piece, in the order of code
-    unique = shard.iloc[first_row]
-    parts = [np.frombuffer(w, "<i8") for w in unique["words"]]
+def indexed(pieces: list[bytes], doc: np.ndarray) -> tuple[FMIndex, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The index of texts, its symbols, where each text begins and how many words it has, and the sorted documents that ranks stand for."""
+    codes: dict[bytes, int] = {}
+    parts = [np.fromiter((codes.setdefault(w, len(codes) + 1) for w in p.split()), np.int64) for p in pieces]
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    _, sym = np.unique(np.concatenate(parts), return_inverse=True)
     start = np.cumsum(sizes + 1) - sizes - 1
     symbols = np.zeros(int(sizes.sum()) + len(parts), np.int64)
     inside = np.ones(len(symbols), bool)
     inside[start + sizes] = False
-    symbols[inside] = sym + 1
-    docs, last = doc[first_row], unique["last"].to_numpy(np.int64)
-    index = FMIndex(symbols, np.repeat(docs, sizes + 1))
-    rows: dict[int, list[int]] = {}
-    for lane, a, b in matches(index, symbols, start, np.zeros(len(parts), np.int64), last, docs):
-        rows.setdefault(int(first_row[lane]), []).extend((a, b))
-    for i in np.flatnonzero(doc > docs[code]):  # copies of an earlier document's piece
-        rows[int(i)] = [0, int(shard["last"].iat[i]) + WINDOW]
-    for i in np.flatnonzero(doc == docs[code]):  # other places of the earliest document
-        own = rows.get(int(first_row[code[i]]))
-        if own and i != first_row[code[i]]:
-            rows[int(i)] = own
-    k = list(rows)
-    base = shard["base"].to_numpy()
-    cuts = [[x + int(base[i]) for x in rows[i]] for i in k]
-    return pd.DataFrame({"key": shard["key"].to_numpy()[k], "ctx": shard["ctx"].to_numpy()[k], "cuts": pd.Series(cuts, dtype=object)})
+    symbols[inside] = np.concatenate(parts)
+    ranked, rank = np.unique(doc, return_inverse=True)
+    return FMIndex(symbols, np.repeat(rank, sizes + 1)), symbols, start, sizes, ranked
+
+
+def search(shard: pd.DataFrame) -> pd.DataFrame:
+    """For each piece (key, ctx, doc, words, later) its reported windows: place of the first word, and the earliest document.
+
+    later: whether documents after doc hold the piece, too, so that the windows that only doc holds matter as well.
+    """
+    doc = shard["doc"].to_numpy(np.int64)
+    index, symbols, start, sizes, ranked = indexed(list(shard["words"]), doc)
+    rank = np.searchsorted(ranked, doc)
+    last = sizes - WINDOW
+    found = [matches(index, symbols, start, last, rank)]
+    later = np.flatnonzero(shard["later"].to_numpy(bool))
+    lane, at, first = matches(index, symbols, start[later], last[later], rank[later] + 1)
+    found.append((later[lane], at, first))
+    lane, at, first = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(lane, kind="stable")
+    lane, at, first = lane[order], at[order], ranked[first[order]]
+    own, head = np.unique(lane, return_index=True)
+    ats, firsts = np.split(at, head[1:]) if len(own) else [], np.split(first, head[1:]) if len(own) else []
+    return pd.DataFrame({
+        "key": shard["key"].to_numpy()[own], "ctx": shard["ctx"].to_numpy()[own],
+        "ats": pd.Series([x.astype(np.int32) for x in ats], dtype=object), "firsts": pd.Series(list(firsts), dtype=object),
+    })
 
 
 # ------------------------------------------------------------------------------- Spark jobs
-_OCC = "key long, ctx long, doc long, text_key long, pos int, lo int, hi int"
-_OCC_COLS = ["key", "ctx", "doc", "text_key", "pos", "lo", "hi"]
+_REPORT = "key long, ctx long, ats array<int>, firsts array<long>"
 
 
-def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [occurrences(t) for t in b["text"]]
-        n = [len(f[0]) for f in found]
-        key, ctx, pos, lo, hi = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 5
-        doc, text_key = (np.repeat(b[c].to_numpy(np.int64), n) for c in ("doc", "text_key"))
-        yield pd.DataFrame(dict(zip(_OCC_COLS, (key, ctx, doc, text_key, pos, lo, hi), strict=True)))
-
-
-def pieces(h: np.ndarray, at: int) -> Iterator[tuple[int, int, int, int]]:
-    """(base, end, last window, route) of the slices of a hot anchor's context."""
-    top = min(at, len(h) - WINDOW)
-    for o in range(0, at + 1, SLICE):  # windows whose anchor is o to o + SLICE - 1 words from their start
-        a, b = max(0, at - o - SLICE + 1), min(top, at - o)
-        if a <= b:
-            # the route is a gram that all windows of the slice share: where one of them fits, so does the gram
-            core = h[at - o : at - o - SLICE + 1 + WINDOW]
-            yield a, b + WINDOW, b - a, int(common.mix(window_hash(core, np.array([0]), np.array([len(core)])) + np.uint64(o)).astype(np.int64)[0])
-
-
-def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["route", "key", "ctx", "doc", "base", "last", "words"]
+        w = common.Words(b["text"])
+        h = w.hashes()
+        g = grams(h) if len(h) >= WINDOW else np.zeros(0, np.uint64)
+        at = anchors(g, w.row)
+        row = w.row[at]
+        lo, hi = np.maximum(w.first[row], at - SPAN + 1), np.minimum(w.first[row + 1], at + WINDOW)
+        # windows may be cut off by the text's ends: the anchor's place is part of the context
+        ctx = common.mix(RangeHashes(h).of(lo, hi) ^ common.mix((at - lo).astype(np.uint64)))
+        base = w.first[row]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(g[at].view(np.int64)), pa.array(ctx.view(np.int64)), b["doc"].take(pa.array(row)), b["text_key"].take(pa.array(row)),
+             pa.array((at - base).astype(np.int32)), pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32))],
+            ["key", "ctx", "doc", "text_key", "pos", "lo", "hi"],
+        )
+
+
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of ranges: rows (text, want: array of (key, ctx, lo, hi)) to (key, ctx, words)."""
     for b in batches:
-        rows = []
-        for d, t, *want in b[["doc", "text", "key", "ctx", "pos", "lo", "hi", "hot"]].itertuples(index=False):
-            h = common.word_hashes(common.words(t))
-            raw = h.astype("<i8").tobytes()
-            for key, ctx, pos, lo, hi, hot in zip(*(w.tolist() for w in want), strict=True):
-                if not hot:
-                    rows.append((key, key, ctx, d, 0, min(pos - lo, hi - lo - WINDOW), raw[8 * lo : 8 * hi]))
-                    continue
-                for base, end, last, route in pieces(h[lo:hi], pos - lo):
-                    rows.append((route, key, ctx, d, base, last, raw[8 * (lo + base) : 8 * (lo + end)]))
-            if len(rows) > 20_000:
-                yield pd.DataFrame(rows, columns=columns)
-                rows = []
-        yield pd.DataFrame(rows, columns=columns)
-
-
-def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = common.Words(b["text"])
+        raw = w.data.tobytes()
+        keys, ctxs, out = [], [], []
+        for i, want in enumerate(b["want"].to_pylist()):
+            for x in want:
+                keys.append(x["key"])
+                ctxs.append(x["ctx"])
+                out.append(raw[w.start[w.first[i] + x["lo"]] : w.end[w.first[i] + x["hi"] - 1]])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ctxs, pa.int64()), pa.array(out, pa.binary())], ["key", "ctx", "words"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All windows of wanted contexts: (key, ctx, at, lo, hash); at: place in the context, lo: in the text."""
     for b in batches:
-        rows = []
-        for d, t, cuts in zip(b["doc_id"], b["text"], b["cuts"], strict=True):
-            ws = common.words(t)
-            gone = np.zeros(len(ws) + 1, np.int64)
-            if cuts is not None:
-                for c in cuts:
-                    edge = np.asarray(c, np.int64)
-                    np.add.at(gone, edge[0::2], 1)
-                    np.add.at(gone, edge[1::2], -1)
-            keep = np.cumsum(gone)[:-1] <= 0
-            kept = ws if keep.all() else [w for w, k in zip(ws, keep.tolist(), strict=True) if k]
-            rows.append((None if pd.isna(d) else int(d), len(ws), len(ws) - len(kept), b" ".join(kept)))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept"]).astype({"doc_id": "Int64"})
+        w = common.Words(b["text"])
+        hashes = RangeHashes(w.hashes())
+        rows = [(x["key"], x["ctx"], k, x["lo"] + k, w.first[i] + x["lo"] + k) for i, want in enumerate(b["want"].to_pylist()) for x in want for k in range(x["pos"] - x["lo"] + 1) if x["lo"] + k + WINDOW <= x["hi"]]
+        key, ctx, at, lo, place = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 5
+        h = hashes.of(place, place + WINDOW)
+        n = np.fromiter((sum(1 for x in want for k in range(x["pos"] - x["lo"] + 1) if x["lo"] + k + WINDOW <= x["hi"]) for want in b["want"].to_pylist()), np.int64, b.num_rows)
+        row = pa.array(np.repeat(np.arange(b.num_rows), n))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key), pa.array(ctx), b["doc"].take(row), b["text_key"].take(row), pa.array(at.astype(np.int32)), pa.array(lo.astype(np.int32)), pa.array(h.view(np.int64))],
+            ["key", "ctx", "doc", "text_key", "at", "lo", "hash"],
+        )
+
+
+def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, n_words, n_removed and the kept words, joined by one space."""
+    for b in batches:
+        w = common.Words(b["text"])
+        change = np.zeros(len(w.start) + 1, np.int64)
+        cuts = b["cuts"]
+        for i in np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            at = np.fromiter((x for c in cuts[i].as_py() for x in c), np.int64) + w.first[i]
+            np.add.at(change, at, 1)
+            np.add.at(change, at + WINDOW, -1)
+        keep = np.cumsum(change)[:-1] <= 0
+        kept = np.flatnonzero(keep)
+        ends = w.end[kept].copy()
+        more = np.flatnonzero(w.row[kept][1:] == w.row[kept][:-1])  # kept words that others of their text follow
+        w.data[ends[more]] = 0x20  # a text has white space after such a word
+        ends[more] += 1
+        edge = np.zeros(len(w.data) + 1, np.int8)
+        np.add.at(edge, w.start[kept], 1)
+        np.add.at(edge, ends, -1)
+        left = w.data[np.cumsum(edge[:-1], dtype=np.int8) > 0]
+        size = np.bincount(w.row[kept], ends - w.start[kept], b.num_rows).astype(np.int64)
+        place = np.append(0, np.cumsum(size))
+        texts = pa.Array.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(place.astype(np.int64).tobytes()), pa.py_buffer(left.tobytes())]).cast(pa.binary())
+        n = np.diff(w.first)
+        gone = n - np.bincount(w.row[kept], minlength=b.num_rows)
+        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n.astype(np.int64)), pa.array(gone.astype(np.int64)), texts], ["doc_id", "n_words", "n_removed", "kept"])
 
 
 def _docs(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("text_key"), "text")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
+
+
+def _wanted(d: DataFrame, ranges: DataFrame) -> DataFrame:
+    """doc, text_key, text and want of the texts that ranges (doc, text_key, key, ctx, pos, lo, hi) lie in; a list is bounded by its text."""
+    want = ranges.groupBy("doc", "text_key").agg(F.collect_list(F.struct("key", "ctx", "pos", "lo", "hi")).alias("want"))
+    return d.join(want, ["doc", "text_key"])
+
+
+def _searched(pieces: DataFrame, n: int) -> DataFrame:
+    """The reports of shards of (key, ctx, route, doc, later, words)."""
+    shards = max(1, -(-n // SHARD_CONTEXTS))
+    return pieces.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).groupBy("shard").applyInPandas(search, _REPORT)
+
+
+def reports(d: DataFrame, one: DataFrame) -> DataFrame:
+    """(key, ctx, ats, firsts) of distinct contexts (key, ctx, doc, text_key, pos, lo, hi, later)."""
+    total = one.count()
+    limit = max(HOT, total // common.FEW)
+    hot_keys = one.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("key")
+    hot_keys = common.cut(hot_keys, "hot")
+    if hot_keys.isEmpty():
+        plain, hot = one, None
+    else:  # fewer than FEW keys can have more than total / FEW contexts
+        plain, hot = one.join(F.broadcast(hot_keys), "key", "left_anti"), one.join(F.broadcast(hot_keys), "key", "left_semi")
+    words = _wanted(d, plain).select("text", "want").mapInArrow(_cut_out, "key long, ctx long, words binary").dropDuplicates(["key", "ctx"])
+    pieces = words.join(plain.select("key", "ctx", "doc", "later"), ["key", "ctx"]).withColumn("route", F.col("key"))
+    out = common.cut(_searched(pieces, total), "reports")
+    if hot is None:
+        return out
+    w = _wanted(d, hot).select("doc", "text_key", "text", "want").mapInArrow(_windows, "key long, ctx long, doc long, text_key long, at int, lo int, hash long")
+    w = common.cut(w.dropDuplicates(["key", "ctx", "at"]), "windows")  # repeated rows cut out the same
+    once = w.groupBy("hash").agg(F.min(F.struct("doc", "text_key", "lo")).alias("o"), F.max("doc").alias("last"), F.count("*").alias("n"))
+    # contexts that several documents share stand for windows that later documents hold
+    shared = w.join(hot.where("later").select("key", "ctx"), ["key", "ctx"], "left_semi").select("hash").distinct().withColumn("again", F.lit(True))
+    once = once.join(shared, "hash", "left").where("again or o.doc < last").select("hash", "o.*", "n")
+    once = common.cut(once, "distinct_windows")
+    ranges = once.selectExpr("doc", "text_key", "hash as key", "0L as ctx", "lo as pos", "lo", f"lo + {WINDOW} as hi")
+    words = _wanted(d, ranges).select("text", "want").mapInArrow(_cut_out, "key long, ctx long, words binary").dropDuplicates(["key", "ctx"])
+    pieces = words.join(once.selectExpr("hash as key", "doc"), "key").selectExpr("key", "ctx", "key as route", "doc", "true as later", "words")
+    first = _searched(pieces, once.count()).select(F.col("key").alias("hash"), F.array_min("firsts").alias("first"))
+    first = common.cut(first.join(once.select("hash", "n"), "hash"), "first_windows")
+    found = common.skewed_join(w, first, ["hash"], "n")
+    return out.unionByName(found.groupBy("key", "ctx").agg(F.collect_list(F.struct("at", "first")).alias("x")).select("key", "ctx", F.col("x.at").alias("ats"), F.col("x.first").alias("firsts")))
 
 
 def intervals(docs: DataFrame) -> DataFrame:
-    """(doc, text_key, cuts): runs of removed words [from, to, from, to, ...] of each document that loses any."""
+    """(doc, text_key, cuts): starts of removed windows of each document that loses any, as lists."""
     d = _docs(docs)
-    occ = common.cut(d.mapInPandas(_occurrences, _OCC), "anchors")
+    occ = common.cut(d.mapInArrow(_occurrences, "key long, ctx long, doc long, text_key long, pos int, lo int, hi int"), "anchors")
     # anchors of two documents or more
-    shared = occ.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("key")
-    occ = common.cut(occ.join(common.cut(shared, "shared"), "key", "left_semi"), "occurrences")
+    shared = occ.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).where("a < b").select("key", "n")
+    occ = common.cut(common.skewed_join(occ, common.cut(shared, "shared"), ["key"], "n"), "occurrences")
     # one occurrence of each distinct context, in its earliest document
-    one = occ.groupBy("key", "ctx").agg(F.min(F.struct("doc", "text_key", "pos", "lo", "hi")).alias("o"))
-    one = common.cut(one.select("key", "ctx", "o.*"), "contexts")
-    # an anchor with a single context has no earlier window to find; many contexts are split
-    several = one.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > HOT).alias("hot"))
-    todo = common.cut(one.join(several, "key"), "todo")
-    want = todo.groupBy("doc", "text_key").agg(F.collect_list(F.struct("key", "ctx", "pos", "lo", "hi", "hot")).alias("want"))  # bounded by the document
-    ctx = d.join(want, ["doc", "text_key"]).select("doc", "text", *[F.col(f"want.{c}").alias(c) for c in ("key", "ctx", "pos", "lo", "hi", "hot")])
-    ctx = ctx.mapInPandas(_contexts, "route long, key long, ctx long, doc long, base int, last int, words binary")
-    shards = max(1, -(-todo.count() // SHARD_CONTEXTS))
-    ctx = ctx.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
-    cuts = ctx.groupBy("shard").applyInPandas(search, "key long, ctx long, cuts array<int>")
-    cuts = common.cut(cuts, "cuts")
-    # all windows of a later document's occurrence of the same context occur earlier
-    back = occ.join(one.select("key", "ctx", F.col("doc").alias("first")), ["key", "ctx"])
-    later = back.where("doc > first").select("doc", "text_key", F.array("lo", "hi").alias("c"))
-    own = back.where("doc = first").join(cuts, ["key", "ctx"]).select("doc", "text_key", F.expr("transform(cuts, c -> c + lo)").alias("c"))
-    return later.union(own).groupBy("doc", "text_key").agg(F.collect_list("c").alias("cuts"))
+    one = occ.groupBy("key", "ctx").agg(F.min(F.struct("doc", "text_key", "pos", "lo", "hi")).alias("o"), F.max("doc").alias("last"), F.count("*").alias("n"))
+    one = common.cut(one.select("key", "ctx", "o.*", (F.col("o.doc") < F.col("last")).alias("later"), "n"), "contexts")
+    found = common.cut(reports(d, one).join(one.select("key", "ctx", "n"), ["key", "ctx"]), "found")
+    back = common.skewed_join(occ, found, ["key", "ctx"], "n")
+    gone = F.expr("transform(filter(arrays_zip(ats, firsts), x -> x.firsts < doc), x -> x.ats + lo)")
+    back = back.select("doc", "text_key", gone.alias("c")).where("size(c) > 0")
+    return back.groupBy("doc", "text_key").agg(F.collect_list("c").alias("cuts"))  # bounded by the document
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space)."""
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     src = src.withColumns({"doc": F.coalesce("doc_id", F.lit(LAST)), "text_key": F.xxhash64("text")})
     out = src.join(intervals(docs), ["doc", "text_key"], "left").select("doc_id", "text", "cuts")
-    return out.mapInPandas(_removed, "doc_id long, n_words long, n_removed long, kept binary")
+    return out.mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
