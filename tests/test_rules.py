@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from veilspan.functions import checksums, normalize
 from veilspan.operators import names, ner, resolve, review
@@ -68,17 +69,38 @@ def test_checksums(spark, expr, value, want):
 
 
 def test_chunks_cover_the_text():
-    text = "\n".join("x" * (37 * i % 300) for i in range(60))
-    out = ner.split_chunks(text, 500)
-    assert all(text[c["start"] : c["start"] + len(c["text"])] == c["text"] for c in out)
-    assert out[-1]["start"] + len(out[-1]["text"]) == len(text)
-    assert all(b["start"] <= a["start"] + len(a["text"]) for a, b in zip(out, out[1:], strict=False))
+    text = "\n".join("x" * (37 * i % 300) for i in range(60)) + "\n" + "y " * 700 + "z" * 1300
+    out = list(ner.chunk_ranges(text, 500))
+    assert out[0][0] == 0 and out[-1][1] == len(text) and all(0 < b - a <= 501 for a, b in out)
+    assert all(c <= b and c > a for (a, b), (c, _) in zip(out, out[1:], strict=False))
+    assert list(ner.chunk_ranges("ab\ncd\nefghij", 6)) == [(0, 6), (6, 12)] and list(ner.chunk_ranges("", 6)) == []
+    assert list(ner.chunk_ranges("ab\ncd\nefghij", 7)) == [(0, 6), (3, 6), (6, 12)]  # a line below half the limit is read again
 
 
-def test_token_alignment():
+def test_token_alignment(spark):
     tokens = ["Mar", "##io", "[UNK]", "Rossi", ","]
-    assert ner.align_tokens("Mario Rossi,", tokens) == [(0, 3), (3, 5), None, (6, 11), (11, 12)]
-    assert ner.word_starts(tokens) == [True, False, True, True, True]
+    df = spark.createDataFrame([(1, 0, "Mario Rossi,", tokens)], "doc_id long, chunk int, text string, tokens array<string>")
+    r = df.select(ner.token_spans(F.col("text"), F.col("tokens")).alias("s"), ner.word_starts(F.col("tokens")).alias("f")).first()
+    assert [x and tuple(x) for x in r.s] == [(0, 3), (3, 5), None, (6, 11), (11, 12)] and r.f == [True, False, True, True, True]
+    words = [(w.first_token, w.start, w.end) for w in ner.aligned(df).orderBy("word").collect()]
+    assert words == [(0, 0, 5), (2, None, None), (3, 6, 11), (4, 11, 12)]
+
+
+def test_model_casing(spark):
+    df = spark.createDataFrame([("ROSSI e SpA, IL Dott. ÈVA A",)], "t string")
+    assert df.select(ner.model_casing(F.col("t")).alias("t")).first().t == "Rossi e SpA, Il Dott. Èva A"
+
+
+def test_equal_findings_of_overlapping_chunks(spark):
+    e = spark.createDataFrame([(1, 1, 5, 9, "PERSON", 0.7), (1, 0, 5, 9, "PERSON", 0.9), (1, 0, 5, 9, "EMAIL", 0.4)], "doc_id long, chunk int, start int, end int, category string, score double")
+    assert {(r.category, r.score) for r in ner.dedupe(e).collect()} == {("PERSON", 0.9), ("EMAIL", 0.4)}
+
+
+def test_first_names_from_a_table(spark):
+    df = spark.createDataFrame([(1, "scrive Zelda Bianchi oggi")], "doc_id long, text string")
+    table = spark.createDataFrame([("Zelda",), (None,)], "name string")
+    assert resolve.detect(df, ["first-name-pair"]).first().candidates == []
+    assert [(c.start, c.end) for c in resolve.detect(df, ["first-name-pair"], first_names=table).first().candidates] == [(7, 20)]
 
 
 def test_policies():

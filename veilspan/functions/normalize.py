@@ -1,24 +1,21 @@
 """Normalised text with exact offsets into the original.
 
 Stable texts (characters that NFKC and lower-casing map one to one, no white-space runs) are
-normalised in the JVM and need no offsets: `starts` and `ends` are null. Others are normalised in
-an Arrow pass over the rows.
+normalised in the JVM and need no offsets: `starts` and `ends` are null. Only the others travel to
+an Arrow UDF.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterator
-
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.functions.spans import CANDIDATES
-
-# Characters outside this class, or two white-space characters in a row, make a text unstable.
-STABLE = r"^(?!.*[ \t\n\f\r]{2})[\t\n\f\r -~À-ÖØ-öø-įĴ-ľŁ-ňŊ-ž‘’“”–—€]*\z"
+# A character outside the first class, or two white-space characters in a row, make a text unstable;
+# most texts need the cheaper test of the second class only.
+_ODD, _NOT_ASCII = r"[^\t\n\f\r -~À-ÖØ-öø-įĴ-ľŁ-ňŊ-ž‘’“”–—€]", r"[^\t\n\f\r -~]"
 _DROPPED = regex.compile("[​-‍⁠﻿­]")
 _CLUSTER = regex.compile(r"\P{M}\p{M}*|\p{M}+")
 
@@ -50,36 +47,30 @@ def fast(text: Column) -> Column:
 
 
 def is_stable(text: Column) -> Column:
-    return text.rlike("(?s)" + STABLE)
+    return ~(F.translate(text, "\t\n\f\r", "    ").contains("  ") | (text.rlike(_NOT_ASCII) & text.rlike(_ODD)))
+
+
+def _normalized(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(None, None, None) if t is None else normalize(t) for t in texts], columns=["n", "starts", "ends"], dtype=object)
+
 
+def normalized(text: Column) -> Column:
+    """struct<n,starts,ends> of an unstable text; stable ones send no more than a null to Python."""
+    udf = F.pandas_udf(_normalized, "struct<n:string,starts:array<int>,ends:array<int>>")
+    return udf(F.when(~is_stable(text), text))
 
-def prepare(docs: DataFrame, exact: bool = True, extra: Callable[[str, str, list[int] | None], list[list[dict]]] | None = None, extra_columns: list[str] | None = None) -> DataFrame:
-    """doc_id and text with n, starts and ends.
 
-    exact: rows go through Arrow once, where unstable texts are normalised; stable ones are
-    normalised in the JVM before. Without it every text is taken for stable and stays in the JVM.
-    extra: candidates of further columns, from (text, n, starts), computed in the same pass.
-    """
-    d = docs.select("doc_id", "text", F.when(is_stable(F.col("text")) if exact else F.lit(True), fast(F.col("text"))).alias("n"))
-    if not exact:
-        return d.withColumns({"starts": F.lit(None).cast("array<int>"), "ends": F.lit(None).cast("array<int>")})
-    names = extra_columns or []
+def prepare(docs: DataFrame) -> DataFrame:
+    """doc_id and text with n, starts and ends; stable texts are normalised in the JVM."""
+    d = docs.select("doc_id", "text", normalized(F.col("text")).alias("u"))
+    return d.select("doc_id", "text", F.coalesce("u.n", fast(F.col("text"))).alias("n"), "u.starts", "u.ends")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for t, n in zip(b["text"], b["n"], strict=True):
-                got = (n, None, None) if t is None or n is not None else normalize(t)
-                more = extra(t, got[0], got[1]) if extra and t else [[] for _ in names]
-                rows.append((*got, *more))
-            new = pd.DataFrame(rows, columns=["n", "starts", "ends", *names], index=b.index)
-            yield pd.concat([b[["doc_id", "text"]], new], axis=1)
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, text string, n string, starts array<int>, ends array<int>" + "".join(f", {c} {CANDIDATES}" for c in names)
-    return d.mapInPandas(run, schema)
+def form(text: Column) -> Column:
+    """The normalised form of any text, without places."""
+    return F.coalesce(normalized(text)["n"], fast(text))
 
 
 def key(text: Column) -> Column:
-    """The key of a redaction: the trimmed normalised form of a stable text."""
-    return F.trim(fast(text))
+    """The key of a redaction: the trimmed normalised form."""
+    return F.trim(form(text))

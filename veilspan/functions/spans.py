@@ -37,46 +37,47 @@ def any_of(words: list[str], escape: bool = True) -> str:
     return "(?:" + "|".join(parts) + ")"
 
 
-def find(text: Column, pattern: str, group: int = 0, gate: Column | None = None) -> Column:
-    """All leftmost non-overlapping matches of a pattern that never matches the empty string.
+def by_initial(forms: list[str]) -> str:
+    """An alternation of forms that begin with a plain letter, tried by their first letter only; forms of one letter keep their order."""
+    groups: dict[str, list[str]] = {}
+    for f in forms:
+        groups.setdefault(f[0], []).append(f[1:])
+    return f"(?=[{''.join(groups)}])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in groups.items()) + ")"
 
-    gate: a cheap condition without which there is no match; it spares most texts the pattern.
-    """
-    p = F.lit(pattern)
-    values = F.regexp_extract_all(text, p, F.lit(0))
-    grp = F.regexp_extract_all(text, p, F.lit(group)) if group else values
-    zipped = F.arrays_zip(F.split(text, p, -1).alias("gap"), values.alias("value"), grp.alias("grp"))
+
+def _placed(text: Column, p: Column, values: Column, grp: Column | None, zero_width: bool) -> Column:
+    """Matches with their places: each begins where the piece before it ends."""
+    gaps = F.split(text, p, -1)
+    if zero_width:  # a match at the very beginning leaves no empty piece before it
+        gaps = F.transform(F.array(gaps), lambda g: F.when(F.size(g) == F.size(values), F.concat(F.array(F.lit("")), g)).otherwise(g))[0]
+    zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(values)).alias("gap"), values.alias("value"), (values if grp is None else grp).alias("grp"))
     seed = F.struct(F.lit(0).alias("at"), empty(MATCHES).alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + F.length(x["gap"])
         end = start + F.length(x["value"])
         hit = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), x["grp"].alias("grp"))
-        return F.struct(end.alias("at"), F.array_append(a["out"], hit).alias("out"))
+        return F.struct((start if zero_width else end).alias("at"), F.array_append(a["out"], hit).alias("out"))
 
-    found = F.aggregate(F.filter(zipped, lambda x: x["value"].isNotNull()), seed, step, lambda a: a["out"])
-    hit = text.rlike(pattern) if gate is None else gate & text.rlike(pattern)
-    return F.when(hit, found).otherwise(empty(MATCHES))
+    return F.aggregate(zipped, seed, step, lambda a: a["out"])
 
 
-def find_at_starts(text: Column, pattern: str, gate: Column | None = None) -> Column:
-    """Matches of a zero-width pattern whose group 1 looks ahead: every start is tried, so values may overlap."""
+def find(text: Column, pattern: str, group: int = 0, gate: Column | None = None) -> Column:
+    """All leftmost non-overlapping matches of a pattern that never matches the empty string.
+
+    A text without a match is read once. gate: a cheap condition without which there is no match.
+    """
     p = F.lit(pattern)
-    values = F.regexp_extract_all(text, p, F.lit(1))
-    gaps = F.split(text, p, -1)
-    # a zero-width match at the very beginning leaves no empty piece before it
-    gaps = F.when(F.size(gaps) == F.size(values), F.concat(F.array(F.lit("")), gaps)).otherwise(gaps)
-    zipped = F.arrays_zip(gaps.alias("gap"), values.alias("value"))
-    seed = F.struct(F.lit(0).alias("at"), empty(MATCHES).alias("out"))
+    grp = F.regexp_extract_all(text, p, F.lit(group)) if group else None
+    found = F.transform(F.array(F.regexp_extract_all(text, p, F.lit(0))), lambda v: F.when(F.size(v) > 0, _placed(text, p, v, grp, False)).otherwise(empty(MATCHES)))[0]
+    return F.coalesce(found if gate is None else F.when(gate, found), empty(MATCHES))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["gap"])
-        hit = F.struct(start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value"), x["value"].alias("grp"))
-        return F.struct(start.alias("at"), F.array_append(a["out"], hit).alias("out"))
 
-    found = F.aggregate(F.filter(zipped, lambda x: x["value"].isNotNull()), seed, step, lambda a: a["out"])
-    hit = text.rlike(pattern) if gate is None else gate & text.rlike(pattern)
-    return F.when(hit, found).otherwise(empty(MATCHES))
+def find_at_starts(text: Column, pattern: str, gate: Column | None = None) -> Column:
+    """Matches of a zero-width pattern whose group 1 looks ahead: every start is tried, so values may overlap."""
+    p = F.lit(pattern)
+    found = F.transform(F.array(F.regexp_extract_all(text, p, F.lit(1))), lambda v: F.when(F.size(v) > 0, _placed(text, p, v, None, True)).otherwise(empty(MATCHES)))[0]
+    return F.coalesce(found if gate is None else F.when(gate, found), empty(MATCHES))
 
 
 def context(n: str, start: str, keywords: list[str], window: int) -> str:

@@ -6,11 +6,12 @@ candidates never leave its row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilspan.functions.spans import CANDIDATES, CONFIDENCE
+from veilspan.functions import normalize
+from veilspan.functions.spans import CANDIDATES
 
 MIN_CHARS = 3
 SEGMENT_CHARS = 12_000
@@ -53,15 +54,16 @@ def finalize(df: DataFrame, column: str = "candidates", propagate: bool = True)
     return names.propagate(df, column)
 
 
-def detect(docs: DataFrame, rule_names: list[str] | None = None, model: DataFrame | None = None, assessor=None, exact: bool = True) -> DataFrame:
+def detect(docs: DataFrame, rule_names: list[str] | None = None, model: DataFrame | None = None, assessor=None, first_names: list[str] | DataFrame | None = None) -> DataFrame:
     """doc_id, text, candidates (final) and degraded, from documents.
 
     model: optional rows (doc_id, candidates, failed) of a recogniser; a document whose recogniser
     failed keeps its rule findings and is degraded. assessor: optional DataFrame to DataFrame step.
+    first_names: a list or a one-column table instead of the default sample.
     """
     from veilspan.operators import rules
 
-    d = rules.detect(rules.prepare_for(docs, rule_names, exact), rule_names)
+    d = rules.detect(normalize.prepare(docs), rule_names, first_names=first_names)
     d = d.select("doc_id", "text", "candidates")
     if model is not None:
         extra = model.select("doc_id", F.col("candidates").alias("_model"), F.col("failed").alias("_failed"))
@@ -76,12 +78,16 @@ def detect(docs: DataFrame, rule_names: list[str] | None = None, model: DataFram
 
 def findings(detected: DataFrame) -> DataFrame:
     """One row per final candidate."""
-    c = detected.select("doc_id", F.posexplode("candidates").alias("ord", "c"))
+    # an outer explode: from an inner one a filter on the size is pushed to the scan, with all rules in it once more
+    c = detected.select("doc_id", F.posexplode_outer("candidates").alias("ord", "c")).where("c is not null")
     return c.select("doc_id", "ord", "c.start", "c.end", "c.category", "c.confidence", "c.method", "c.rule")
 
 
-def detect_segmented(docs: DataFrame, segment_chars: int = SEGMENT_CHARS, rule_names: list[str] | None = None) -> DataFrame:
-    """doc_id, text, candidates: segments are resolved on their own, then together once more."""
+def detect_segmented(docs: DataFrame, segment_chars: int = SEGMENT_CHARS, rule_names: list[str] | None = None, failed: DataFrame | None = None) -> DataFrame:
+    """doc_id, text, candidates, degraded: segments are resolved on their own, then together once more.
+
+    failed: optional rows (doc_id, at) of segments whose recogniser failed; their documents are degraded.
+    """
     from veilspan.operators.ner import chunks
 
     pieces = docs.select("doc_id", "text", F.explode(chunks(F.col("text"), segment_chars)).alias("k"))
@@ -94,7 +100,11 @@ def detect_segmented(docs: DataFrame, segment_chars: int = SEGMENT_CHARS, rule_n
     together = shifted.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "c"))).alias("s"))
     together = together.select("doc_id", F.expr(f"cast(flatten(transform(s, x -> x.c)) as {CANDIDATES})").alias("candidates"))
     d = docs.select("doc_id", "text").join(together, "doc_id", "left")
-    return finalize(d.withColumn("candidates", F.coalesce("candidates", F.expr(f"cast(array() as {CANDIDATES})"))))
+    d = finalize(d.withColumn("candidates", F.coalesce("candidates", F.expr(f"cast(array() as {CANDIDATES})"))))
+    if failed is None:
+        return d.withColumn("degraded", F.lit(False))
+    bad = failed.select("doc_id").distinct().withColumn("_bad", F.lit(True))
+    return d.join(bad, "doc_id", "left").withColumn("degraded", F.coalesce("_bad", F.lit(False))).drop("_bad")
 
 
 def merge_rows(candidates: DataFrame) -> DataFrame:
@@ -104,10 +114,6 @@ def merge_rows(candidates: DataFrame) -> DataFrame:
     return one.select("doc_id", F.explode(F.expr(merged("c"))).alias("c")).select("doc_id", "c.*")
 
 
-def confidence_rank(column: str = "confidence") -> Column:
-    return F.array_position(F.array(*map(F.lit, CONFIDENCE)), F.col(column)) - 1
-
-
 def islands(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", touching: bool = False) -> DataFrame:
     """df with `island`: ranges of one key that overlap (or touch) through others share a number."""
     order = Window.partitionBy(*keys).orderBy(start, end)

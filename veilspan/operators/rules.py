@@ -1,115 +1,137 @@
 """The rule detectors: prepared documents to arrays of candidates, one array per rule.
 
-All patterns are fixed grammars evaluated in the JVM. A rule looks at the column n (normalised) or
-text (original) of `prepare` and adds a candidates column; the order of RULES is the order in which
-equal-ranking candidates win. Three name rules need look-around over words and live in `names`.
+A rule has a trigger, a pattern that is cheap where nothing is found, and reads what else it needs
+around the trigger afterwards, with checks on the words and numbers found. It looks at the column n
+(normalised) or text (original) of `prepare`; the order of RULES is the order in which
+equal-ranking candidates win. Everything is evaluated in the JVM. The name rules are in `names`.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.functions import checksums, lexicon, normalize
-from veilspan.functions.spans import CANDIDATES, any_of, context, find, find_at_starts, sql
+from veilspan.functions import checksums, lexicon
+from veilspan.functions.spans import CANDIDATES, any_of, by_initial, context, find, find_at_starts, sql
 from veilspan.operators import names
 
-L, R = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"  # isolated on the left, on the right
+LETTER_OR_NUMBER = r"[\p{L}\p{N}]"
+L, R = rf"(?<!{LETTER_OR_NUMBER})", rf"(?!{LETTER_OR_NUMBER})"  # isolated on the left, on the right
 
+
+def times(unit: str, low: int, high: int | None = None, between: str = "") -> str:
+    """A unit repeated low to high times (exactly low times without high), with something between."""
+    more = f"{{{low - 1}}}" if high is None else f"{{{low - 1},{high - 1}}}"
+    return f"{unit}(?:{between}{unit}){more}"
+
+
+def numbers(*groups: str, sep: str) -> str:
+    """Groups of digits such as '3' or '2,4' with an optional separator between."""
+    return f"{sep}?".join(f"[0-9]{{{g}}}" for g in groups)
+
+
+# --- numbers and codes (on n) ------------------------------------------------------------------
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,24}" + R
-_HOST = r"[a-z0-9-]+(?:\.[a-z0-9-]+)*"
-URL = (
-    rf"(?<![\p{{L}}\p{{N}}@._/-])(?:(?:https?://|www\.){_HOST}\.[a-z]{{2,24}}|{_HOST}\.{any_of(lexicon.BARE_TLDS)})(?![\p{{L}}\p{{N}}@_-])"
-    r"(?::[0-9]{2,5})?(?:[/?#][^\s<>\x22\x27]*)?"
-)
-CARD = L + r"[0-9](?:[ -]?[0-9]){12,22}" + R
-ISSUER = r"^(?:4|5[1-5]|2(?:2[2-9]|[3-6][0-9]|7[01]|720)|3[47]|3[068]|35|6011|65)"
-PHONE_INTERNATIONAL = r"(?<![\p{N}+])\+[0-9]{1,3}[ .-]?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}(?!\p{N})"
-PHONE_ITALIAN = r"(?<![\p{N}+/])(?:3[0-9]{2}[ .-]?[0-9]{3}[ .-]?[0-9]{3,4}|0[0-9]{1,3}(?:[ .-]?[0-9]{2,8}){1,3})(?![\p{N}/])"
+CARD = L + times("[0-9]", 13, 23, "[ -]?") + R
+ISSUER = "^(?:4|5[1-5]|2(?:2[2-9]|[3-6][0-9]|7[01]|720)|3[047]|3[68]|35|6011|65)"
+_DOTTED = "[ .-]"
+PHONE_INTERNATIONAL = rf"(?<![\p{{N}}+])\+{numbers('1,3', '1,4', sep=_DOTTED)}(?:{_DOTTED}?[0-9]{{2,4}}){{1,4}}(?!\p{{N}})"
+_MOBILE, _LANDLINE = "3" + numbers("2", "3", "3,4", sep=_DOTTED), f"0[0-9]{{1,3}}(?:{_DOTTED}?[0-9]{{2,8}}){{1,3}}"
+PHONE_ITALIAN = rf"(?<![\p{{N}}+/])(?:{_MOBILE}|{_LANDLINE})(?![\p{{N}}/])"
 VAT = L + r"(?:it ?)?[0-9]{11}(?!\p{N})"
-ID_DOCUMENT = L + r"(?:[a-z]{2}[0-9]{5}[a-z]{2}|[a-z]{2}[0-9]{7})" + R
-LONG_NUMBER = r"(?<![\p{L}\p{N}.,/])(?<![0-9][ -])[0-9](?:-?[0-9]){7,}(?![\p{L}\p{N}]|[.,/][0-9]|[ -][0-9])"
-CONTEXTUAL = (
-    rf"(?<!\p{{L}}){any_of(lexicon.CONTEXT_ID_KEYWORDS, False)}(?!\p{{L}})\s*[:#]?\s*"
-    r"([0-9]+(?: [0-9]+){1,5}(?![\p{L}\p{N}])|[a-z0-9][a-z0-9/_-]*[0-9][a-z0-9/_-]*)"
-)
+ID_DOCUMENT = L + "[a-z]{2}(?:[0-9]{7}|[0-9]{5}[a-z]{2})" + R
+# a run of digits cannot be cut short: what follows a shorter one would be a digit or a dash and a digit
+LONG_NUMBER = r"(?<![\p{L}\p{N}.,/])(?<![0-9][ -])[0-9](?:-?[0-9]){7,}+(?![\p{L}\p{N}]|[.,/ -][0-9])"
+_GROUPS, _TOKEN = r"[0-9]+(?: [0-9]+){1,5}" + R, r"[a-z0-9][a-z0-9/_-]*[0-9][a-z0-9/_-]*"
+CONTEXTUAL = rf"(?<!\p{{L}}){by_initial(lexicon.CONTEXT_ID_KEYWORDS)}(?!\p{{L}})\s*[:#]?\s*({_GROUPS}|{_TOKEN})"
 _LOT = r"(?:n\. ?)?[0-9]+[a-z]?"
-CADASTRAL = rf"(?<!\p{{L}})foglio {_LOT},? (?:particella|mappale|p\.lla|part\.|mapp\.) {_LOT}(?:,? (?:subalterno|sub\.?) {_LOT})?" + R
-_TAX_SHAPE = ["[a-z]"] * 6 + ["[0-9lmnpqrstuv]"] * 2 + ["[abcdehlmprst]"] + ["[0-9lmnpqrstuv]"] * 2 + ["[a-z]"] + ["[0-9lmnpqrstuv]"] * 3 + ["[a-z]"]
-TAX_CODE = rf"{L}(?=({' ?'.join(_TAX_SHAPE)}){R})"
-PLATE = L + "[A-HJ-NPR-TV-Z]{2}[ -]?[0-9]{3}[ -]?[A-HJ-NPR-TV-Z]{2}" + R
-PLATE_ANNOUNCED = (
-    rf"(?<!\p{{L}})(?iu:{any_of(lexicon.PLATE_KEYWORDS, False)})(?!\p{{L}})[ \t]*(?:[nN]\.[ \t]*)?:?[ \t]*([A-Z0-9]{{1,7}}(?:[ -][A-Z0-9]{{1,6}}){{0,2}})" + R
-)
-
-
-def _iban_pattern() -> str:
-    by_length: dict[int, list[str]] = {}
-    for country, n in lexicon.IBAN_LENGTHS.items():
-        by_length.setdefault(n, []).append(country.lower())
-    forms = [rf"(?:{'|'.join(c)})[0-9]{{2}}(?: ?[a-z0-9]){{{n - 4}}}" for n, c in sorted(by_length.items())]
-    # the whole number is looked ahead at, so that each start is tried on its own
-    return rf"{L}(?=((?:{'|'.join(forms)})(?![a-z0-9])))[a-z]{{2}}[0-9]{{2}}"
-
-
-IBAN = _iban_pattern()
-
-# addresses, on the original text
-_STREET = rf"(?:(?iu:{any_of(sorted(lexicon.STREET_TYPES + lexicon.STREET_SHORT, key=len, reverse=True))})|{any_of(sorted(lexicon.STREET_CAPITALISED, key=len, reverse=True))})"
-_ORDINAL = r"(?:(?:[IVX]{1,4}|[0-9]{1,2}[ªa°º]?)[ \t]+)?"
-_PART = r"(?:(?:dei|degli|della|delle|del|dello|di|da|de|d\x27|san|santa|santo)[ \t]+|[\p{Lu}0-9][\p{L}\x27’.0-9-]*"
-_HOUSE = r"(?:n\.?\s*|nr\.?\s*)?[0-9]{1,4}(?:[ \t]?[A-Za-z](?!\p{L}))?(?:/[\p{L}0-9]+)?(?:[ \t](?:bis|ter|quater)(?!\p{L}))?"
-_SEP = r"(?:[ \t]*[,\-–][ \t]*|[ \t]+)"
-_CITY = r"\p{Lu}[\p{L}\x27’-]+(?:[ \t]+(?:(?:di|del|della|sul|in)[ \t]+)?\p{Lu}[\p{L}\x27’-]+){0,2}"
-_TAIL = rf"(?:{_SEP}[0-9]{{5}})?(?:{_SEP}{_CITY}(?:[ \t]+\(\p{{Lu}}{{2}}\))?)?"
-ADDRESS_ITALIAN = rf"(?<![\p{{L}}0-9]){_ORDINAL}{_STREET}[ \t]+(?:{_PART}[ \t]+)){{0,6}}?(?:{_PART})),?[ \t]*{_HOUSE}(?:{_TAIL})?"
-ADDRESS_ENGLISH = rf"{L}[0-9]{{1,5}}[ \t]+(?:\p{{Lu}}[\p{{L}}\x27’.-]*[ \t]+){{1,4}}{any_of(lexicon.STREET_SUFFIXES, False)}"
+_PARCEL, _UNIT = ["particella", "mappale", "p.lla", "part.", "mapp."], r"(?:subalterno|sub\.?)"
+CADASTRAL = rf"(?<!\p{{L}})foglio {_LOT},? {any_of(_PARCEL)} {_LOT}(?:,? {_UNIT} {_LOT})?" + R
+_OMOCODE = "[0-9lmnpqrstuv]"  # letters may stand for digits
+_TAX_PLACES = ["[a-z]"] * 6 + [_OMOCODE] * 2 + ["[abcdehlmprst]"] + [_OMOCODE] * 2 + ["[a-z]"] + [_OMOCODE] * 3 + ["[a-z]"]
+TAX_CODE = rf"{L}(?=({' ?'.join(_TAX_PLACES)}){R})"
+IBAN_HEAD = L + by_initial([c.lower() for c in lexicon.IBAN_LENGTHS]) + "[0-9]{2}(?= ?[a-z0-9])"
+# any dotted host; which of its labels is the top-level domain is looked at afterwards
+URL = r"(?<![\p{L}\p{N}@._/-])(?:https?://)?+[a-z0-9-]++(?:\.[a-z0-9-]++)++(?:(?![\p{L}\p{N}@_-])(?::[0-9]{2,5})?(?:[/?#][^\s<>\x22\x27]*)?)?"
+
+# --- plates, addresses, organisations (on text) ------------------------------------------------
+PLATE = rf"{L}(?=([A-Z]{{2}}[ -]?[0-9]{{3}}[ -]?[A-Z]{{2}}){R})"
+PLATE_KEYWORD = rf"(?<!\p{{L}})(?iu:{by_initial(lexicon.PLATE_KEYWORDS)})(?!\p{{L}})[ \t]*(?:[nN]\.[ \t]*)?:?[ \t]*([A-Z0-9]+(?:[ -][A-Z0-9]+)*+)"
+
+_WORD, _APOSTROPHE = r"[\p{L}'’-]", "['’]"
+_STREETS = f"(?:(?iu:{by_initial([w.replace('.', chr(92) + '.') for w in sorted(lexicon.STREET_TYPES + lexicon.STREET_SHORT, key=len, reverse=True)])})|{by_initial(sorted(lexicon.STREET_CAPITALISED, key=len, reverse=True))})"
+STREET = rf"(?<![\p{{L}}0-9]){_STREETS}(?=[ \t])"
+_ORDINAL = r"(?<![\p{L}0-9])(?:[IVX]{1,4}|[0-9]{1,2}[ªa°º]?)[ \t]+$"
+_SMALL = ["dei", "degli", "della", "delle", "del", "dello", "di", "da", "de", "d'", "san", "santa", "santo"]
+_STREET_NAME = rf"(?:{any_of(_SMALL)}[ \t]+|[\p{{Lu}}0-9][\p{{L}}'’.0-9-]*"
+_NUMBER = r"(?:nr?\.?\s*)?[0-9]{1,4}(?:[ \t]?[A-Za-z](?!\p{L}))?(?:/[\p{L}0-9]+)?(?:[ \t](?:bis|ter|quater)(?!\p{L}))?"
+_GAP = r"(?:[ \t]*[,\-–][ \t]*|[ \t]+)"
+_CITY = rf"\p{{Lu}}{_WORD}+(?:[ \t]+(?:(?:di|del|della|sul|in)[ \t]+)?\p{{Lu}}{_WORD}+){{0,2}}"
+STREET_TAIL = rf"^[ \t]+(?:{_STREET_NAME}[ \t]+)){{0,6}}?(?:{_STREET_NAME})),?[ \t]*{_NUMBER}(?:{_GAP}[0-9]{{5}})?(?:{_GAP}{_CITY}(?:[ \t]+\(\p{{Lu}}{{2}}\))?)?"
+ADDRESS_ENGLISH = rf"{L}[0-9]{{1,5}}[ \t]+(?:\p{{Lu}}[\p{{L}}'’.-]*[ \t]+){{1,4}}{any_of(lexicon.STREET_SUFFIXES, False)}"
 BY_MEANS = rf"(?iu)^via[ \t]+{any_of(lexicon.BY_MEANS_OF, False)}(?!\p{{L}})"
 
-# organisations, on the original text
-_FORM = "(?:" + "|".join(
-    [f"(?iu:{any_of([f[:-1]])[3:-1]})\\.?" for f in lexicon.DOTTED_FORMS] + [f.replace(".", r"\.") for f in lexicon.PLAIN_FORMS]
-) + ")"
-_LINK = rf"(?:(?:(?iu:{'|'.join(lexicon.LINKS)})|&)[ \t]+|(?iu:{'|'.join(lexicon.ELIDED_LINKS)})[\x27’])"
-_ORG_WORD = rf"(?!{_FORM}(?![\p{{L}}\p{{N}}]))[\p{{Lu}}0-9][\p{{L}}\p{{N}}\x27’&.-]*"
-COMPANY = rf"(?<![\p{{L}}\p{{N}}.]){_ORG_WORD}(?:[ \t]+{_LINK}?{_ORG_WORD}){{0,3}}[ \t]*,?[ \t]+{_FORM}" + R
-_PLAIN = r"\p{Lu}[\p{L}\x27’-]*"
-_HEADS = any_of([form for head in lexicon.INSTITUTION_HEADS for form in (head, head.upper())])
-INSTITUTION = rf"{L}{_HEADS}((?:[ \t]+{_PLAIN}){{0,3}}(?:[ \t]+{_LINK}{_PLAIN}(?:[ \t]+{_PLAIN})?){{0,2}})" + R
+_DOTTED_FORM = "(?iu:" + by_initial([f[:-1].replace(".", r"\.") for f in lexicon.DOTTED_FORMS]) + r")\.?"
+_PLAIN_FORM = by_initial([f.replace(".", r"\.") for f in lexicon.PLAIN_FORMS])
+_FORM = f"(?:{_DOTTED_FORM}|{_PLAIN_FORM})"
+LEGAL_FORM = rf"(?<=[ \t]){_FORM}" + R
+_LINK = rf"(?:(?:(?iu:{'|'.join(lexicon.LINKS)})|&)[ \t]+|(?iu:{'|'.join(lexicon.ELIDED_LINKS)}){_APOSTROPHE})"
+_FIRM_WORD = rf"(?!{_FORM}{R})[\p{{Lu}}0-9][\p{{L}}\p{{N}}'’&.-]*"
+FIRM = rf"(?<![\p{{L}}\p{{N}}.]){_FIRM_WORD}(?:[ \t]+{_LINK}?{_FIRM_WORD}){{0,3}}[ \t]*,?[ \t]+$"
+_PROPER = rf"\p{{Lu}}{_WORD}*"
+INSTITUTION = L + by_initial([form for head in lexicon.INSTITUTION_HEADS for form in (head, head.upper())]) + r"(?=[ \t])"
+INSTITUTION_TAIL = rf"^((?:[ \t]+{_PROPER}){{0,3}}(?:[ \t]+{_LINK}{_PROPER}(?:[ \t]+{_PROPER})?){{0,2}}){R}"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Matches of a pattern, each with a span and a confidence in SQL over the match x (null: dropped).
+    """Matches of a trigger, each with a span and a confidence in SQL over the match x (null: dropped).
 
-    x has start, end, value and grp (the group's text); span is relative to the text matched on.
+    x has start, end, value and grp: the group's text, or what `reads` (SQL over x) finds around
+    the trigger (the group is then called group); if that is empty, the match is dropped. Spans are relative to the text matched on, and
+    those of triggers that may overlap are taken from left to right.
     """
 
     name: str
     category: str
-    pattern: str
+    trigger: str
     on: str = "n"
     group: int = 0
     level: str = "'high'"
     start: str = "x.start"
     end: str = "x.end"
+    reads: str = ""
     at_starts: bool = False
-    needs: str = "[0-9]"  # a character class without which there is no match
+    needs: tuple[str, ...] = ()  # one of these is in every text with a match
+    digits: bool = True  # so is a digit
 
-    def apply(self, df: DataFrame, out: str) -> DataFrame:
+    def found(self) -> Column:
+        """The matches of the trigger."""
         text = F.col(self.on)
-        gate = text.contains(self.needs) if len(self.needs) == 1 else text.rlike(self.needs)
-        found = find_at_starts(text, self.pattern, gate) if self.at_starts else find(text, self.pattern, self.group, gate)
-        df = df.withColumn("_m", found)
-        first, last = "y.s", "y.e"
-        if self.on == "n":
-            first, last = "if(starts is null, y.s, element_at(starts, y.s + 1))", "if(ends is null, y.e, element_at(ends, y.e))"
-        graded = f"transform(_m, x -> struct({self.start} as s, {self.end} as e, {self.level} as level))"
-        spans = f"""transform(filter({graded}, y -> y.level is not null and y.s is not null and y.e > y.s), y -> struct(cast({first} as int) as start,
-            cast({last} as int) as end, '{self.category}' as category, y.level as confidence, 'rule' as method, '{self.name}' as rule))"""
-        return df.withColumn(out, F.expr(f"if(size(_m) = 0, cast(array() as {CANDIDATES}), {spans})")).drop("_m")
+        gate = F.lit(not self.needs)
+        for word in self.needs:
+            gate = gate | text.contains(word)
+        if self.digits:
+            gate = gate & text.rlike("[0-9]")
+        return find_at_starts(text, self.trigger, gate) if self.at_starts else find(text, self.trigger, self.group, gate)
+
+    def read(self, m: str) -> Column:
+        """The matches in the column m with what is read around them."""
+        return F.expr(f"filter(transform({m}, x -> struct(x.start, x.end, x.value, {self.reads} as grp, x.grp as group)), x -> x.grp <> '')") if self.reads else F.col(m)
+
+    def judged(self, m: str) -> Column:
+        """The matches in the column m as candidates."""
+        graded = f"filter(transform({m}, x -> struct({self.start} as s, {self.end} as e, {self.level} as level)), y -> y.level is not null and y.s is not null and y.e > y.s)"
+        if self.reads or self.at_starts:
+            graded = f"aggregate({graded}, struct(0 as at, cast(array() as array<struct<s:int,e:int,level:string>>) as out), (a, y) -> if(y.s >= a.at, struct(y.e as at, array_append(a.out, y) as out), a)).out"
+        return F.expr(f"if(size({m}) = 0, cast(array() as {CANDIDATES}), {self._candidates(graded)})")
+
+    def _candidates(self, spans: str) -> str:
+        first, last = ("if(starts is null, y.s, element_at(starts, y.s + 1))", "if(ends is null, y.e, element_at(ends, y.e))") if self.on == "n" else ("y.s", "y.e")
+        return f"""transform({spans}, y -> struct(cast({first} as int) as start, cast({last} as int) as end, '{self.category}' as category,
+            y.level as confidence, 'rule' as method, '{self.name}' as rule))"""
 
 
 def _digits(value: str) -> str:
@@ -117,7 +139,10 @@ def _digits(value: str) -> str:
 
 
 _PLAUSIBLE = f"length({_digits('x.value')}) between 8 and 15"
-_NUMBER = "regexp_replace(x.value, '^it ?', '')"
+_VAT_NUMBER = "regexp_replace(x.value, '^it ?', '')"
+_LENGTHS = "map(" + ", ".join(f"'{c.lower()}', {n}" for c, n in lexicon.IBAN_LENGTHS.items()) + ")"
+# as many letters and digits as the country has, with single spaces, and none after them
+_IBAN_READS = f"regexp_extract(substring(n, x.start + 1, 80), concat('^[a-z]{{2}}[0-9]{{2}}(?: ?[a-z0-9]){{', {_LENGTHS}[substring(x.value, 1, 2)] - 4, '}}(?![a-z0-9])'), 0)"
 _IBAN = "replace(x.grp, ' ', '')"
 _IBAN_LEVEL = f"""case when {checksums.iban(_IBAN)} then 'high'
     when startswith(x.grp, 'it') and not {_IBAN} rlike {sql("^it[0-9]{2}[a-z][0-9]{10}[a-z0-9]{12}$")} then null
@@ -127,86 +152,78 @@ _CARD_DIGITS = f"""if(length({_digits("x.value")}) between 13 and 19 and {contex
     get(filter(sequence(19, 13, -1), k -> k <= length({_digits("x.value")}) and substring({_digits("x.value")}, 1, k) rlike {sql(ISSUER)}
         and {checksums.luhn(f"substring({_digits('x.value')}, 1, k)")}), 0))"""
 _CARD_END = f"""x.start + get(filter(sequence(1, length(x.value)), i -> length({_digits("substring(x.value, 1, i)")}) = {_CARD_DIGITS}), 0)"""
-_VAT_LEVEL = f"""case when if({checksums.vat(_NUMBER)}, {context("n", "x.start", lexicon.VAT_KEYWORDS, 40)},
+_VAT_LEVEL = f"""case when if({checksums.vat(_VAT_NUMBER)}, {context("n", "x.start", lexicon.VAT_KEYWORDS, 40)},
     {context("n", "x.start", lexicon.VAT_KEYWORDS, 16)}) then 'high' end"""
-_PLATE_SHAPED = "length(replace(replace(g, ' ', ''), '-', '')) between 5 and 9 and g rlike '[A-Z]' and g rlike '[0-9]'"
-# the longest run of leading groups that has the shape of a plate
-_PLATE = f"""get(filter(transform(filter(sequence(length(x.grp), 1, -1), i -> i = length(x.grp) or substring(x.grp, i + 1, 1) in (' ', '-')),
-    i -> substring(x.grp, 1, i)), g -> {_PLATE_SHAPED}), 0)"""
-_URL_VALUE = "regexp_replace(x.value, '[.,;:!?)\\\\]]+$', '')"
-_URL_LEVEL = f"""case when substring(text, if(starts is null, x.start, element_at(starts, x.start + 1)) + 1, length({_URL_VALUE})) rlike '(?i)^(?:https?://|www[.])'
-    or not substring(text, if(starts is null, x.start, element_at(starts, x.start + 1)) + 1, length({_URL_VALUE}))
-        rlike {sql(r"^[^/?#:]*[.]\p{Lu}\p{Ll}+(?=$|[/?#:])")} then 'high' end"""
+_TAX_VALUE = "replace(x.value, ' ', '')"
+_TAX_LEVEL = f"""case when {checksums.tax_code(_TAX_VALUE)} then 'high' when contains(x.value, ' ') then null
+    when {context("n", "x.start", lexicon.TAX_CODE_KEYWORDS, 24)} then 'high' else 'medium' end"""
+
+# the longest run of leading groups with the right sizes, isolated, in the shape of a plate
+_PLATE_READS = f"""coalesce(get(transform(filter(transform(sequence(least(size(split(x.grp, '[ -]')), 3), 1, -1), k -> struct(k as k, split(x.grp, '[ -]') as g,
+    regexp_extract(x.grp, concat('^[A-Z0-9]+(?:[ -][A-Z0-9]+){{', k - 1, '}}'), 0) as v)),
+    c -> length(c.g[0]) <= 7 and forall(slice(c.g, 2, c.k - 1), w -> length(w) <= 6) and (c.k < size(c.g) or not substring(text, x.end + 1, 1) rlike {sql(LETTER_OR_NUMBER)})
+      and length(regexp_replace(c.v, '[ -]', '')) between 5 and 9 and c.v rlike '[A-Z]' and c.v rlike '[0-9]'), c -> c.v), 0), '')"""
+
+# which labels of a host are the domain: with scheme or www any top-level domain, else a known one; the longest that ends well
+_SCHEME = "regexp_extract(x.value, '^https?://', 0)"
+_HOST = f"regexp_extract(substring(x.value, length({_SCHEME}) + 1), '^[a-z0-9.-]+[a-z0-9-]', 0)"
+_BARE = ", ".join(f"'{t}'" for t in lexicon.BARE_TLDS)
+_URL_READS = f"""coalesce(transform(array(struct({_SCHEME} as scheme, split({_HOST}, '[.]') as g, substring(x.value, length({_SCHEME}) + length({_HOST}) + 1) as tail)),
+    h -> transform(array(filter(sequence(size(h.g), 2, -1), k -> k < size(h.g) or h.tail <> '' or not substring(n, x.end + 1, 1) rlike {sql(r"[\p{L}\p{N}@_-]")})),
+      ks -> transform(array(coalesce(get(filter(ks, k -> h.g[k - 1] rlike '^[a-z]{{2,24}}$' and (h.scheme <> '' or (h.g[0] = 'www' and k > 2))), 0),
+          get(filter(ks, k -> h.scheme = '' and h.g[k - 1] in ({_BARE})), 0))),
+        k -> concat(h.scheme, array_join(slice(h.g, 1, k), '.'), if(k = size(h.g), h.tail, '')))[0])[0])[0], '')"""
+_URL_VALUE = "regexp_replace(x.grp, '[.,;:!?)\\\\]]+$', '')"
+_URL_SEEN = f"substring(text, if(starts is null, x.start, element_at(starts, x.start + 1)) + 1, length({_URL_VALUE}))"
+_URL_LEVEL = f"""case when {_URL_SEEN} rlike '(?i)^(?:https?://|www[.])' or not {_URL_SEEN} rlike {sql(r"^[^/?#:]*[.]\p{Lu}\p{Ll}+(?=$|[/?#:])")} then 'high' end"""
+
+_LINE_BEFORE = "substring_index(substring(text, 1, x.start), '\\n', -1)"
+_AFTER = "substring(text, x.end + 1)"
+_STREET_START = f"x.start - length(regexp_extract(substring(text, greatest(x.start - 40, 0) + 1, least(40, x.start)), {sql(_ORDINAL)}, 0))"
+_TAIL_WORDS = f"split(x.grp, {sql('[ \\t' + chr(39) + '’]+')})"
+_LABELS = ", ".join(f"'{w}'" for w in lexicon.FORM_LABELS)
+_PROPER_TAIL = f"exists({_TAIL_WORDS}, w -> w rlike {sql('^\\p{Lu}')}) and not exists({_TAIL_WORDS}, w -> w rlike {sql('^\\p{Lu}')} and lower(w) in ({_LABELS}))"
 
 _RULES = {
     r.name: r
     for r in (
-        Rule("email", "EMAIL", EMAIL, needs="@"),
-        Rule("iban", "IBAN", IBAN, group=1, level=_IBAN_LEVEL, end="x.start + length(x.grp)"),
+        Rule("email", "EMAIL", EMAIL, needs=("@",), digits=False),
+        Rule("iban", "IBAN", IBAN_HEAD, reads=_IBAN_READS, level=_IBAN_LEVEL, end="x.start + length(x.grp)"),
         Rule("payment-card", "PAYMENT_CARD", CARD, end=_CARD_END),
-        Rule("phone-international", "PHONE", PHONE_INTERNATIONAL, level=f"if({_PLAUSIBLE}, 'high', null)"),
-        Rule("phone-italian", "PHONE", PHONE_ITALIAN, level=f"if({_PLAUSIBLE} and {context('n', 'x.start', lexicon.PHONE_KEYWORDS, 40)}, 'high', null)"),
-        Rule("it-tax-code", "IT_TAX_CODE", TAX_CODE, at_starts=True),
-        Rule("it-vat", "IT_VAT", VAT, level=_VAT_LEVEL),
+        Rule("phone-international", "PHONE", PHONE_INTERNATIONAL, level=f"if({_PLAUSIBLE}, 'high', null)", needs=("+",)),
+        Rule("phone-italian", "PHONE", PHONE_ITALIAN, level=f"if({_PLAUSIBLE} and {context('n', 'x.start', lexicon.PHONE_KEYWORDS, 40)}, 'high', null)", needs=("tel", "cell", "phone", "mobile", "fax")),
+        Rule("it-tax-code", "IT_TAX_CODE", TAX_CODE, at_starts=True, level=_TAX_LEVEL, digits=False),
+        Rule("it-vat", "IT_VAT", VAT, level=_VAT_LEVEL, needs=("iva", "vat")),
         Rule("id-document", "ID_DOCUMENT", ID_DOCUMENT, level=f"if({context('n', 'x.start', lexicon.ID_DOCUMENT_KEYWORDS, 50)}, 'high', null)"),
         Rule("contextual-id", "CONTEXTUAL_ID", CONTEXTUAL, group=1, start="x.end - length(x.grp)", level=f"if(length({_digits('x.grp')}) <= 20, 'high', null)"),
         Rule("long-number", "CONTEXTUAL_ID", LONG_NUMBER, level=f"if(length({_digits('x.value')}) <= 16, 'high', null)"),
-        Rule("address-italian", "LOCATION", ADDRESS_ITALIAN, on="text", end="x.start + length(rtrim(x.value))", level=f"if(x.value rlike {sql(BY_MEANS)}, null, 'high')"),
+        Rule("address-italian", "LOCATION", STREET, on="text", reads=f"regexp_extract({_AFTER}, {sql(STREET_TAIL)}, 0)", start=_STREET_START, end="x.end + length(rtrim(x.grp))",
+             level=f"if(concat(substring(text, {_STREET_START} + 1, x.end - ({_STREET_START})), x.grp) rlike {sql(BY_MEANS)}, null, 'high')"),
         Rule("address-english", "LOCATION", ADDRESS_ENGLISH, on="text"),
-        Rule("url", "URL", URL, needs=".", end=f"x.start + length({_URL_VALUE})", level=_URL_LEVEL),
-        Rule("plate-announced", "VEHICLE_PLATE", PLATE_ANNOUNCED, on="text", group=1, start="x.end - length(x.grp)", end=f"x.end - length(x.grp) + length({_PLATE})"),
-        Rule("plate", "VEHICLE_PLATE", PLATE, on="text"),
-        Rule("company", "ORGANIZATION", COMPANY, on="text", needs=_FORM),
-        Rule(
-            "institution", "ORGANIZATION", INSTITUTION, on="text", group=1, needs=_HEADS, end="x.end - if(x.value like '%.', 1, 0)",
-            level=f"""if(exists(split(x.grp, {sql("[ \\t'’]+")}), w -> w rlike {sql("^\\p{Lu}")})
-                and not exists(split(x.grp, {sql("[ \\t'’]+")}), w -> w rlike {sql("^\\p{Lu}")} and lower(w) in ({", ".join(f"'{w}'" for w in lexicon.FORM_LABELS)})), 'high', null)""",
-        ),
-        Rule("cadastral-reference", "CONTEXTUAL_ID", CADASTRAL),
+        Rule("url", "URL", URL, needs=(".",), digits=False, reads=_URL_READS, end=f"x.start + length({_URL_VALUE})", level=_URL_LEVEL),
+        Rule("plate-announced", "VEHICLE_PLATE", PLATE_KEYWORD, on="text", group=1, reads=_PLATE_READS,
+             start="x.end - length(x.group)", end="x.end - length(x.group) + length(x.grp)"),
+        Rule("plate", "VEHICLE_PLATE", PLATE, on="text", at_starts=True, level="if(x.value rlike '[IOQU]', null, 'high')"),
+        Rule("company", "ORGANIZATION", LEGAL_FORM, on="text", digits=False, reads=f"regexp_extract({_LINE_BEFORE}, {sql(FIRM)}, 0)", start="x.start - length(x.grp)"),
+        Rule("institution", "ORGANIZATION", INSTITUTION, on="text", digits=False, reads=f"regexp_extract({_AFTER}, {sql(INSTITUTION_TAIL)}, 1)", end="x.end + length(x.grp)",
+             level=f"if({_PROPER_TAIL}, 'high', null)"),
+        Rule("cadastral-reference", "CONTEXTUAL_ID", CADASTRAL, needs=("foglio",)),
     )
 }
 
 
-def _by_start(column: str) -> str:
-    return f"array_sort({column}, (a, b) -> case when a.start < b.start then -1 when a.start > b.start then 1 else 0 end)"
-
-
-def _tax_codes(df: DataFrame, out: str) -> DataFrame:
-    """Zero-width tries at every word start; a code is taken if it begins after the last one taken and is valid or compact."""
-    value = "replace(x.value, ' ', '')"
-    df = df.withColumn("_m", find_at_starts(F.col("n"), TAX_CODE, F.col("n").rlike("[0-9lmnpqrstuv]{2}")))
-    df = df.withColumn("_m", F.expr(f"filter(transform(_m, x -> struct(x.start as s, x.end as e, {checksums.tax_code(value)} as valid, x.value as value)), x -> x.valid or not contains(x.value, ' '))"))
-    taken = """aggregate(_m, struct(0 as at, slice(_m, 1, 0) as out), (a, x) -> if(x.s >= a.at, struct(x.e as at, array_append(a.out, x) as out), a)).out"""
-    spans = f"""transform({taken}, x -> struct(if(starts is null, x.s, element_at(starts, x.s + 1)) as start, if(ends is null, x.e, element_at(ends, x.e)) as end,
-        'IT_TAX_CODE' as category, if(x.valid or {context("n", "x.s", lexicon.TAX_CODE_KEYWORDS, 24)}, 'high', 'medium') as confidence, 'rule' as method, 'it-tax-code' as rule))"""
-    return df.withColumn(out, F.expr(f"if(size(_m) = 0, cast(array() as {CANDIDATES}), {spans})")).drop("_m")
+def _plates(announced: Column, current: Column) -> Column:
+    new = F.filter(current, lambda x: ~F.exists(announced, lambda y: y["start"] == x["start"]))
+    return names.by_start(F.concat(announced, new))
 
 
-def _merge(df: DataFrame, out: str, first: str, second: str, dedupe: bool = False) -> DataFrame:
-    df = _RULES[second].apply(_RULES[first].apply(df, "_a"), "_b")
-    other = "filter(_b, b -> not exists(_a, a -> a.start = b.start))" if dedupe else "_b"
-    return df.withColumn(out, F.expr(_by_start(f"concat(_a, {other})"))).drop("_a", "_b")
-
-
-def apply(df: DataFrame, rule: str, out: str) -> DataFrame:
-    """A prepared table with the candidates of one rule in the column `out`."""
-    if rule == "phone":
-        return _merge(df, out, "phone-international", "phone-italian")
-    if rule == "vehicle-plate":
-        return _merge(df, out, "plate-announced", "plate", dedupe=True)
-    if rule == "address":
-        df = _RULES["address-english"].apply(_RULES["address-italian"].apply(df, "_a"), "_b")
-        return df.withColumn(out, F.concat("_a", "_b")).drop("_a", "_b")
-    if rule == "organization":
-        from veilspan.operators.resolve import merged
-
-        df = _RULES["institution"].apply(_RULES["company"].apply(df, "_a"), "_b")
-        return df.withColumn("_c", F.concat("_a", "_b")).withColumn(out, F.expr(merged("_c"))).drop("_a", "_b", "_c")
-    if rule == "it-tax-code":
-        return _tax_codes(df, out)
-    if rule in names.RULES:
-        return df.withColumn(out, F.col(name_column(rule)))  # found by prepare_for
-    return _RULES[rule].apply(df, out)
+# rules made of two: their parts, and how the candidates are combined
+_PAIRS = {
+    "phone": ("phone-international", "phone-italian", lambda a, b: names.by_start(F.concat(a, b))),
+    "vehicle-plate": ("plate-announced", "plate", _plates),
+    "address": ("address-italian", "address-english", F.concat),
+    "organization": ("company", "institution", F.concat),  # merged afterwards
+}
 
 
 # The order is a tie-break of the resolution.
@@ -216,22 +233,27 @@ RULES = [
 ]
 
 
-def name_column(rule: str) -> str:
-    return "_name_" + rule.replace("-", "_")
-
-
-def prepare_for(docs: DataFrame, rules: list[str] | None = None, exact: bool = True, first_names: list[str] | None = None) -> DataFrame:
-    """The prepared table for the given rules; name rules are found in its one Arrow pass."""
-    own = [r for r in (RULES if rules is None else rules) if r in names.RULES]
-    if not own:
-        return normalize.prepare(docs, exact)
-    return normalize.prepare(docs, True, names.finder(own, first_names), [name_column(r) for r in own])
+def detect(prepared: DataFrame, rules: list[str] | None = None, out: str = "candidates", first_names: list[str] | DataFrame | None = None) -> DataFrame:
+    """A prepared table with the candidates of all rules, in the order of the rules, in one array column.
 
+    All triggers are one step, then all that is read around them, then the judgements, so that the
+    plan has few steps however many rules there are.
+    """
+    from veilspan.operators.resolve import merged
 
-def detect(prepared: DataFrame, rules: list[str] | None = None, out: str = "candidates") -> DataFrame:
-    """A prepared table with the candidates of all rules, in the order of the rules, in one array column."""
     rules = RULES if rules is None else rules
-    for i, rule in enumerate(rules):
-        prepared = apply(prepared, rule, f"_c{i}")
-    columns = [f"_c{i}" for i in range(len(rules))]
-    return prepared.withColumn(out, F.concat(*columns)).drop(*columns)
+    parts = [p for r in rules for p in (_PAIRS[r][:2] if r in _PAIRS else () if r in names.RULES else (r,))]
+    named = {f"_{r}": names.column(r, first_names) for r in rules if r in names.RULES}
+    d = prepared.withColumns({f"_{p}": _RULES[p].found() for p in parts} | named)
+    reading = {f"_{p}": _RULES[p].read(f"`_{p}`") for p in parts if _RULES[p].reads}
+    d = d.withColumns(reading) if reading else d
+    d = d.withColumns({f"_{p}": _RULES[p].judged(f"`_{p}`") for p in parts}) if parts else d
+    pairs = {f"_{r}": _PAIRS[r][2](F.col(f"`_{_PAIRS[r][0]}`"), F.col(f"`_{_PAIRS[r][1]}`")) for r in rules if r in _PAIRS}
+    d = d.withColumns(pairs) if pairs else d
+    own = [F.expr(merged("`_organization`")) if r == "organization" else F.col(f"`_{r}`") for r in rules]
+    return d.withColumn(out, F.concat(*own)).select(*[F.col(c) for c in prepared.columns], out)
+
+
+def apply(df: DataFrame, rule: str, out: str, first_names: list[str] | DataFrame | None = None) -> DataFrame:
+    """A prepared table with the candidates of one rule in the column `out`."""
+    return detect(df, [rule], out, first_names)

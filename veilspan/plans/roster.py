@@ -15,7 +15,7 @@ from veilspan.functions import checksums, normalize
 from veilspan.functions.spans import has_context_before, is_whole_word, whole_word_occurrences
 from veilspan.functions import lexicon
 from veilspan.operators import evaluate, ingest, ner, redact, resolve, review, rules, verify
-from veilspan.sources.readers import table
+from veilspan.sources.readers import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,17 +32,18 @@ def query(oracle: str | None = None):
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 def _derived(spark: SparkSession, sf: str, name: str, key: str, text: str) -> DataFrame:
     """(doc_id, text) built from a key column."""
-    return table(spark, sf, name).select(F.col(key).alias("k")).selectExpr("k as doc_id", f"{text} as text")
+    return spread(table(spark, sf, name).select(F.col(key).alias("k"))).selectExpr("k as doc_id", f"{text} as text")
 
 
-def _found(docs: DataFrame, rule: str, exact: bool = False) -> DataFrame:
-    d = rules.apply(rules.prepare_for(docs, [rule], exact), rule, "c")
-    return d.select("doc_id", F.explode("c").alias("c")).select("doc_id", "c.start", "c.end", "c.confidence")
+def _found(docs: DataFrame, rule: str) -> DataFrame:
+    d = rules.apply(normalize.prepare(docs), rule, "c")
+    d = d.select("doc_id", F.explode_outer("c").alias("c")).where("c is not null")
+    return d.select("doc_id", "c.start", "c.end", "c.confidence")
 
 
 # --- texts -------------------------------------------------------------------------------------
@@ -71,7 +72,7 @@ SELECT doc_id, needle, start FROM m WHERE NOT (start > 0 AND regexp_matches(b, '
 
 @query(_OCC)
 def whole_word_occurrences_of_needles(spark, sf):
-    d = normalize.prepare(_docs(spark, sf), exact=False).select("doc_id", "n", F.explode(F.array(*map(F.lit, NEEDLES))).alias("needle"))
+    d = normalize.prepare(_docs(spark, sf)).select("doc_id", "n", F.explode(F.array(*map(F.lit, NEEDLES))).alias("needle"))
     return d.select("doc_id", "needle", F.explode(F.expr(whole_word_occurrences("n", "needle"))).alias("start"))
 
 
@@ -150,7 +151,7 @@ def detect_email(spark, sf):
 
 @query()
 def detect_url(spark, sf):
-    return _found(table(spark, sf, "pages").selectExpr("page_id as doc_id", "html as text"), "url")
+    return _found(spread(table(spark, sf, "pages").selectExpr("page_id as doc_id", "html as text")), "url")
 
 
 _LONG = r"(^|[^\p{L}\p{N}.,/])([0-9](?:-?[0-9]){7,})"
@@ -278,17 +279,17 @@ _PERSON_SPANS = """SELECT k AS doc_id, {s} AS start, {e} AS "end", 'high' AS con
 
 @query(_expect("customer", "c_custkey", _PEOPLE, _PERSON_SPANS.format(s="CASE WHEN k % 5 = 0 THEN 8 ELSE 7 END", e="CASE WHEN k % 5 = 0 THEN 13 ELSE 25 END", w="IN (0, 3)")))
 def detect_labeled_field(spark, sf):
-    return _found(_derived(spark, sf, "customer", "c_custkey", _PEOPLE), "labeled-field", True)
+    return _found(_derived(spark, sf, "customer", "c_custkey", _PEOPLE), "labeled-field")
 
 
 @query(_expect("customer", "c_custkey", _PEOPLE, _PERSON_SPANS.format(s="12", e="17", w="= 1")))
 def detect_titled_name(spark, sf):
-    return _found(_derived(spark, sf, "customer", "c_custkey", _PEOPLE), "titled-name", True)
+    return _found(_derived(spark, sf, "customer", "c_custkey", _PEOPLE), "titled-name")
 
 
 @query(_expect("customer", "c_custkey", _PEOPLE, _PERSON_SPANS.format(s="7", e="20", w="= 2")))
 def detect_first_name_pair(spark, sf):
-    return _found(_derived(spark, sf, "customer", "c_custkey", _PEOPLE), "first-name-pair", True)
+    return _found(_derived(spark, sf, "customer", "c_custkey", _PEOPLE), "first-name-pair")
 
 
 @query(_expect("customer", "c_custkey", _PEOPLE, """SELECT k AS doc_id, 'first-name-pair' AS rule, 7 AS start, 20 AS "end" FROM y WHERE k % 5 = 2
@@ -486,7 +487,7 @@ c AS (SELECT doc_id, count(*) AS removed, sum(e - s) AS gone FROM g GROUP BY doc
 
 
 def _scrubbed(spark, sf):
-    d = normalize.prepare(_docs(spark, sf), exact=False).withColumn("texts", F.array(*map(F.lit, TEXTS)))
+    d = normalize.prepare(_docs(spark, sf)).withColumn("texts", F.array(*map(F.lit, TEXTS)))
     return redact.scrub(d, "text")
 
 
@@ -503,7 +504,7 @@ def channel_counts(spark, sf):
 
 @query(f"""{_SCRUB} SELECT d.doc_id, CASE WHEN c.removed > 0 THEN 'remove' ELSE 'keep' END AS decision FROM d LEFT JOIN c ON d.doc_id = c.doc_id""")
 def attachment_decision(spark, sf):
-    d = normalize.prepare(_docs(spark, sf), exact=False).withColumn("texts", F.array(*map(F.lit, TEXTS)))
+    d = normalize.prepare(_docs(spark, sf)).withColumn("texts", F.array(*map(F.lit, TEXTS)))
     return d.select("doc_id", redact.attachment_decision("concat('file ', cast(doc_id as string))", "n", "texts").alias("decision"))
 
 
@@ -533,7 +534,7 @@ def verify_outcome(spark, sf):
 
 @query(f"""{_SCRUB} SELECT doc_id, 'body' AS channel, count(*) AS failures FROM (SELECT DISTINCT m.doc_id, substring(n, s + 1, e - s) AS t FROM m JOIN d ON m.doc_id = d.doc_id) GROUP BY doc_id""")
 def verify_side_channels(spark, sf):
-    values = normalize.prepare(_docs(spark, sf), exact=False).select("doc_id", F.lit("body").alias("channel"), "n")
+    values = normalize.prepare(_docs(spark, sf)).select("doc_id", F.lit("body").alias("channel"), "n")
     return verify.side_channels(values, _plans(spark, sf)).groupBy("doc_id", "channel").agg(F.count("*").alias("failures"))
 
 

@@ -12,6 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ROW_GROUP = 128 << 20  # bytes that one task reads at least, as a row group is not split
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if it is too small to be read by all of them; larger tables are left as they are.
+
+    The rows of a small table lie in one row group, which one task reads, while detection is bound by the CPU.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < ROW_GROUP * cores else df
+
+
 def files(spark: SparkSession, path: str, max_bytes: int = ingest.MAX_BYTES) -> DataFrame:
     """path, size, support and content; contents over the limit are never read (the filter on length is pushed down)."""
     raw = spark.read.format("binaryFile").load(path)
