@@ -244,6 +244,10 @@ def test_backward_search_equals_counting():
     symbols[-1] = 0
     docs = rng.integers(0, 50, 400)
     index = substring.FMIndex(symbols, docs)
+    place = np.arange(300)
+    lo, hi = index.seeded(place)
+    for i in place:
+        assert hi[i] - lo[i] == sum((symbols[j : j + index.seed] == symbols[i : i + index.seed]).all() for j in range(401 - index.seed))
     for n in (1, 2, 3, 5, 9):
         for _ in range(40):
             p = rng.integers(1, 5, n)

@@ -80,7 +80,9 @@ class FMIndex:
     """Backward search for up to WINDOW symbols over concatenated contexts.
 
     Suffixes are sorted by their first 64 symbols or more, which is all that patterns of WINDOW
-    symbols can see. Contexts end with a separator that no pattern holds.
+    symbols can see. Contexts end with a separator that no pattern holds. The sort also gives each
+    place of the text the range of the suffixes that share its next `seed` symbols (24 or 32), so
+    that a search for a piece of the indexed text starts with these symbols matched.
     """
 
     def __init__(self, symbols: np.ndarray, docs: np.ndarray) -> None:
@@ -92,6 +94,8 @@ class FMIndex:
         bwt = symbols[sa - 1]  # position -1 is the final separator
         self.first = np.append(0, np.cumsum(np.bincount(symbols, minlength=self.sigma)))
         self._wavelet(bwt)
+        zero, self.zones = np.zeros(1, np.int64), np.zeros(self.sigma, np.int64)
+        self.zones = self._down(np.repeat(zero, self.sigma), np.arange(self.sigma))
         # minima of documents over ranges of the suffix order
         self.low = [docs[sa].astype(np.int32)]
         width = 1
@@ -100,8 +104,7 @@ class FMIndex:
             self.low.append(np.minimum(prev[: n - 2 * width + 1], prev[width : n - width + 1]))
             width *= 2
 
-    @staticmethod
-    def _suffixes(symbols: np.ndarray) -> np.ndarray:
+    def _suffixes(self, symbols: np.ndarray) -> np.ndarray:
         n = len(symbols)
         sigma = int(symbols.max(initial=0)) + 1
         depth = 4 if sigma < 1 << 15 else 3 if sigma < 1 << 20 else 1
@@ -119,6 +122,9 @@ class FMIndex:
             new = np.empty(n, np.int64)
             new[order] = np.append(0, np.cumsum(sorted_key[1:] != sorted_key[:-1]))
             rank, depth = new, depth * 2
+            if depth <= WINDOW:
+                self.seed, self.rank = depth, rank.astype(np.int32)
+                self.ranges = np.append(0, np.cumsum(np.bincount(rank)))
             if depth > WINDOW or rank[order[-1]] == n - 1:
                 return order
 
@@ -141,22 +147,24 @@ class FMIndex:
         word, rest = i >> 6, (i & 63).astype(np.uint64)
         return before[word] + np.bitwise_count(packed[word] & ((np.uint64(1) << rest) - np.uint64(1)))
 
+    def _down(self, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Where places of the transform get to at the bottom of the tree on the way of a symbol."""
+        for level in self.levels:
+            ones = self._ones(level, at)
+            at = np.where(symbol >> level[0] & 1, level[3] + ones, at - ones)
+        return at
+
+    def seeded(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranges of the `seed` symbols at places of the indexed text."""
+        r = self.rank[place]
+        return self.ranges[r], self.ranges[r + 1]
+
     def extend(self, lo: np.ndarray, hi: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranges of the patterns symbol + P from the ranges of the patterns P."""
-        both = np.concatenate([lo, hi])
-        start = np.zeros(len(symbol), np.int64)
-        sym2 = np.concatenate([symbol, symbol])
-        # the symbol's zone at each level begins at start; ranks are followed down the tree
-        for level in self.levels:
-            b, _, _, zeros = level
-            one = (sym2 >> b & 1).astype(bool)
-            ones = self._ones(level, np.concatenate([both, start]))
-            r, s = ones[: len(both)], ones[len(both) :]
-            both = np.where(one, zeros + r, both - r)
-            start = np.where(one[: len(start)], zeros + s, start - s)
         k = len(symbol)
-        base = self.first[symbol]
-        return base + both[:k] - start, base + both[k:] - start
+        both = self._down(np.concatenate([lo, hi]), np.concatenate([symbol, symbol]))
+        base = self.first[symbol] - self.zones[symbol]
+        return base + both[:k], base + both[k:]
 
     def earliest(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The smallest rank in each non-empty range, NONE for empty ones."""
@@ -190,16 +198,16 @@ def matches(index: FMIndex, symbols: np.ndarray, start: np.ndarray, last: np.nda
     got = np.zeros(len(lane), np.int64)  # words matched so far
     lo, hi = np.zeros(len(lane), np.int64), np.full(len(lane), index.n, np.int64)
     while len(lane):
-        sym = symbols[start + cur + WINDOW - 1 - got]
-        old = np.flatnonzero(got)
-        new_lo, new_hi = index.first[sym], index.first[sym + 1]  # ranges of single words
+        fresh, old = np.flatnonzero(got == 0), np.flatnonzero(got)
         if len(old):
-            new_lo[old], new_hi[old] = index.extend(lo[old], hi[old], sym[old])
-        lo, hi = new_lo, new_hi
+            lo[old], hi[old] = index.extend(lo[old], hi[old], symbols[start[old] + cur[old] + WINDOW - 1 - got[old]])
+            got[old] += 1
+        if len(fresh):  # a window's last words
+            lo[fresh], hi[fresh] = index.seeded(start[fresh] + cur[fresh] + WINDOW - index.seed)
+            got[fresh] = index.seed
         low_doc = index.earliest(lo, hi)
         ok = low_doc < doc
-        done = ok & (got == WINDOW - 1)
-        got += 1
+        done = ok & (got == WINDOW)
         if done.any():
             out.append((lane[done], cur[done].copy(), low_doc[done].astype(np.int64)))
             todo[done] = cur[done] + WINDOW
@@ -241,10 +249,11 @@ def indexed(pieces: list[bytes], doc: np.ndarray) -> tuple[FMIndex, np.ndarray,
 
 
 def search(shard: pd.DataFrame) -> pd.DataFrame:
-    """For each piece (key, ctx, doc, words, later) its reported windows: place of the first word, and the earliest document.
+    """For each piece (key, ctx, doc, later, n, words) its reported windows: place of the first word, and the earliest document.
 
     later: whether documents after doc hold the piece, too, so that the windows that only doc holds matter as well.
     """
+    shard = shard.drop_duplicates(["key", "ctx"], ignore_index=True)
     doc = shard["doc"].to_numpy(np.int64)
     index, symbols, start, sizes, ranked = indexed(list(shard["words"]), doc)
     rank = np.searchsorted(ranked, doc)
@@ -259,13 +268,15 @@ def search(shard: pd.DataFrame) -> pd.DataFrame:
     own, head = np.unique(lane, return_index=True)
     ats, firsts = np.split(at, head[1:]) if len(own) else [], np.split(first, head[1:]) if len(own) else []
     return pd.DataFrame({
-        "key": shard["key"].to_numpy()[own], "ctx": shard["ctx"].to_numpy()[own],
+        "key": shard["key"].to_numpy()[own], "ctx": shard["ctx"].to_numpy()[own], "n": shard["n"].to_numpy()[own],
         "ats": pd.Series([x.astype(np.int32) for x in ats], dtype=object), "firsts": pd.Series(list(firsts), dtype=object),
     })
 
 
 # ------------------------------------------------------------------------------- Spark jobs
-_REPORT = "key long, ctx long, ats array<int>, firsts array<long>"
+_REPORT = "key long, ctx long, n long, ats array<int>, firsts array<long>"
+_PIECE = "key long, ctx long, doc long, later boolean, n long, words binary"
+_PIECE_COLS = ["key", "ctx", "doc", "later", "n", "words"]
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,17 +298,18 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of ranges: rows (text, want: array of (key, ctx, lo, hi)) to (key, ctx, words)."""
+    """The words of ranges: rows (doc, text, want: array of (key, ctx, lo, hi, later, n)) to pieces."""
     for b in batches:
         w = common.Words(b["text"])
         raw = w.data.tobytes()
-        keys, ctxs, out = [], [], []
-        for i, want in enumerate(b["want"].to_pylist()):
-            for x in want:
-                keys.append(x["key"])
-                ctxs.append(x["ctx"])
-                out.append(raw[w.start[w.first[i] + x["lo"]] : w.end[w.first[i] + x["hi"] - 1]])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ctxs, pa.int64()), pa.array(out, pa.binary())], ["key", "ctx", "words"])
+        want = b["want"]
+        row = want.value_parent_indices()
+        x = want.flatten()
+        base = w.first[row.to_numpy()]
+        frm = w.start[base + x.field("lo").to_numpy()].tolist()
+        to = w.end[base + x.field("hi").to_numpy() - 1].tolist()
+        words = pa.array([raw[i:j] for i, j in zip(frm, to, strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([x.field("key"), x.field("ctx"), b["doc"].take(row), x.field("later"), x.field("n"), words], _PIECE_COLS)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,14 +317,20 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         w = common.Words(b["text"])
         hashes = RangeHashes(w.hashes())
-        rows = [(x["key"], x["ctx"], k, x["lo"] + k, w.first[i] + x["lo"] + k) for i, want in enumerate(b["want"].to_pylist()) for x in want for k in range(x["pos"] - x["lo"] + 1) if x["lo"] + k + WINDOW <= x["hi"]]
-        key, ctx, at, lo, place = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 5
+        want = b["want"]
+        owner = want.value_parent_indices().to_numpy()
+        x = {c: want.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("key", "ctx", "pos", "lo", "hi", "later", "n")}
+        # windows of a context begin at its first word up to its anchor, and end within it
+        count = np.minimum(x["pos"] - x["lo"] + 1, np.maximum(0, x["hi"] - x["lo"] - WINDOW + 1))
+        own = np.repeat(np.arange(len(count)), count)
+        at = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+        key, ctx, later, m, lo = x["key"][own], x["ctx"][own], x["later"][own], x["n"][own], x["lo"][own] + at
+        place = w.first[owner[own]] + lo
         h = hashes.of(place, place + WINDOW)
-        n = np.fromiter((sum(1 for x in want for k in range(x["pos"] - x["lo"] + 1) if x["lo"] + k + WINDOW <= x["hi"]) for want in b["want"].to_pylist()), np.int64, b.num_rows)
-        row = pa.array(np.repeat(np.arange(b.num_rows), n))
+        row = pa.array(owner[own])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key), pa.array(ctx), b["doc"].take(row), b["text_key"].take(row), pa.array(at.astype(np.int32)), pa.array(lo.astype(np.int32)), pa.array(h.view(np.int64))],
-            ["key", "ctx", "doc", "text_key", "at", "lo", "hash"],
+            [pa.array(key), pa.array(ctx), b["doc"].take(row), b["text_key"].take(row), pa.array(at.astype(np.int32)), pa.array(lo.astype(np.int32)), pa.array(h.view(np.int64)),
+             pa.array(later), pa.array(m)], ["key", "ctx", "doc", "text_key", "at", "lo", "hash", "later", "n"],
         )
 
 
@@ -349,46 +367,37 @@ def _docs(docs: DataFrame) -> DataFrame:
 
 
 def _wanted(d: DataFrame, ranges: DataFrame) -> DataFrame:
-    """doc, text_key, text and want of the texts that ranges (doc, text_key, key, ctx, pos, lo, hi) lie in; a list is bounded by its text."""
-    want = ranges.groupBy("doc", "text_key").agg(F.collect_list(F.struct("key", "ctx", "pos", "lo", "hi")).alias("want"))
+    """doc, text_key, text and want of the texts that ranges (doc, text_key, key, ctx, pos, lo, hi, later, n) lie in; a list is bounded by its text."""
+    want = ranges.groupBy("doc", "text_key").agg(F.collect_list(F.struct("key", "ctx", "pos", "lo", "hi", "later", "n")).alias("want"))
     return d.join(want, ["doc", "text_key"])
 
 
-def _searched(pieces: DataFrame, n: int) -> DataFrame:
-    """The reports of shards of (key, ctx, route, doc, later, words)."""
+def _searched(d: DataFrame, ranges: DataFrame, n: int) -> DataFrame:
+    """The reports of the shards of n ranges; the ranges of one key share a shard."""
+    pieces = _wanted(d, ranges).select("doc", "text", "want").mapInArrow(_cut_out, _PIECE)
     shards = max(1, -(-n // SHARD_CONTEXTS))
-    return pieces.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).groupBy("shard").applyInPandas(search, _REPORT)
+    return pieces.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInPandas(search, _REPORT)
 
 
 def reports(d: DataFrame, one: DataFrame) -> DataFrame:
-    """(key, ctx, ats, firsts) of distinct contexts (key, ctx, doc, text_key, pos, lo, hi, later)."""
+    """(key, ctx, n, ats, firsts) of distinct contexts (key, ctx, doc, text_key, pos, lo, hi, later, n)."""
     total = one.count()
     limit = max(HOT, total // common.FEW)
-    hot_keys = one.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("key")
-    hot_keys = common.cut(hot_keys, "hot")
+    hot_keys = common.cut(one.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > limit).select("key"), "hot")
     if hot_keys.isEmpty():
-        plain, hot = one, None
-    else:  # fewer than FEW keys can have more than total / FEW contexts
-        plain, hot = one.join(F.broadcast(hot_keys), "key", "left_anti"), one.join(F.broadcast(hot_keys), "key", "left_semi")
-    words = _wanted(d, plain).select("text", "want").mapInArrow(_cut_out, "key long, ctx long, words binary").dropDuplicates(["key", "ctx"])
-    pieces = words.join(plain.select("key", "ctx", "doc", "later"), ["key", "ctx"]).withColumn("route", F.col("key"))
-    out = common.cut(_searched(pieces, total), "reports")
-    if hot is None:
-        return out
-    w = _wanted(d, hot).select("doc", "text_key", "text", "want").mapInArrow(_windows, "key long, ctx long, doc long, text_key long, at int, lo int, hash long")
+        return _searched(d, one, total)
+    # fewer than FEW keys can have more than total / FEW contexts
+    plain, hot = one.join(F.broadcast(hot_keys), "key", "left_anti"), one.join(F.broadcast(hot_keys), "key", "left_semi")
+    w = _wanted(d, hot).select("doc", "text_key", "text", "want").mapInArrow(_windows, "key long, ctx long, doc long, text_key long, at int, lo int, hash long, later boolean, n long")
     w = common.cut(w.dropDuplicates(["key", "ctx", "at"]), "windows")  # repeated rows cut out the same
-    once = w.groupBy("hash").agg(F.min(F.struct("doc", "text_key", "lo")).alias("o"), F.max("doc").alias("last"), F.count("*").alias("n"))
-    # contexts that several documents share stand for windows that later documents hold
-    shared = w.join(hot.where("later").select("key", "ctx"), ["key", "ctx"], "left_semi").select("hash").distinct().withColumn("again", F.lit(True))
-    once = once.join(shared, "hash", "left").where("again or o.doc < last").select("hash", "o.*", "n")
-    once = common.cut(once, "distinct_windows")
-    ranges = once.selectExpr("doc", "text_key", "hash as key", "0L as ctx", "lo as pos", "lo", f"lo + {WINDOW} as hi")
-    words = _wanted(d, ranges).select("text", "want").mapInArrow(_cut_out, "key long, ctx long, words binary").dropDuplicates(["key", "ctx"])
-    pieces = words.join(once.selectExpr("hash as key", "doc"), "key").selectExpr("key", "ctx", "key as route", "doc", "true as later", "words")
-    first = _searched(pieces, once.count()).select(F.col("key").alias("hash"), F.array_min("firsts").alias("first"))
-    first = common.cut(first.join(once.select("hash", "n"), "hash"), "first_windows")
-    found = common.skewed_join(w, first, ["hash"], "n")
-    return out.unionByName(found.groupBy("key", "ctx").agg(F.collect_list(F.struct("at", "first")).alias("x")).select("key", "ctx", F.col("x.at").alias("ats"), F.col("x.first").alias("firsts")))
+    # a window counts if another document holds it, in its own context or in another one
+    once = w.groupBy("hash").agg(F.min(F.struct("doc", "text_key", "lo")).alias("o"), F.max("doc").alias("last"), F.bool_or("later").alias("later"), F.count("*").alias("m"))
+    once = common.cut(once.where("later or o.doc < last").select("hash", "o.*", "m"), "distinct_windows")
+    ranges = once.selectExpr("doc", "text_key", "hash as key", "0L as ctx", "lo as pos", "lo", f"lo + {WINDOW} as hi", "true as later", "m as n")
+    first = _searched(d, ranges, once.count()).select(F.col("key").alias("hash"), F.array_min("firsts").alias("first"), F.col("n").alias("m"))
+    found = common.skewed_join(w, common.cut(first, "first_windows"), ["hash"], "m")
+    found = found.groupBy("key", "ctx").agg(F.max("n").alias("n"), F.collect_list(F.struct("at", "first")).alias("x"))
+    return _searched(d, plain, total).unionByName(found.select("key", "ctx", "n", F.col("x.at").alias("ats"), F.col("x.first").alias("firsts")))
 
 
 def intervals(docs: DataFrame) -> DataFrame:
@@ -401,7 +410,7 @@ def intervals(docs: DataFrame) -> DataFrame:
     # one occurrence of each distinct context, in its earliest document
     one = occ.groupBy("key", "ctx").agg(F.min(F.struct("doc", "text_key", "pos", "lo", "hi")).alias("o"), F.max("doc").alias("last"), F.count("*").alias("n"))
     one = common.cut(one.select("key", "ctx", "o.*", (F.col("o.doc") < F.col("last")).alias("later"), "n"), "contexts")
-    found = common.cut(reports(d, one).join(one.select("key", "ctx", "n"), ["key", "ctx"]), "found")
+    found = common.cut(reports(d, one), "found")
     back = common.skewed_join(occ, found, ["key", "ctx"], "n")
     gone = F.expr("transform(filter(arrays_zip(ats, firsts), x -> x.firsts < doc), x -> x.ats + lo)")
     back = back.select("doc", "text_key", gone.alias("c")).where("size(c) > 0")
