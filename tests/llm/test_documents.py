@@ -48,7 +48,7 @@ OPERATORS = {
     "quality": lambda d: quality.assess(d),
     "near": lambda d: neardup.near_duplicates(d),
     "substring": lambda d: substring.remove_repeats(d),
-    "secrets": lambda d: secrets.scan(d.select("doc_id", "text")),
+    "secrets": lambda d: secrets.redact(d.withColumns({c: F.lit("x") for c in ("secret_spans", "secret_base", "row", "n", "start")})),
     "bpe": lambda d: bpe.digests(d),
     "mixing": lambda d: mixing.positions(d.select("doc_id", "source", "text")),
     "language": lambda d: langid.predict(d, langid.fit(d)),
@@ -291,6 +291,35 @@ def test_secret_spans(spark):
     assert masked[0].text == '😀 [SECRET]" x' and masked[0].n_chars == len(masked[0].text) and masked[1].text == "Password:short" and masked[6].text is None
 
 
+def test_method_spans_equal_a_plain_model(spark):
+    rng = random.Random(21)
+    pool = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+    texts = []
+    for i in range(80):
+        parts = [rng.choice(["snake_case_identifier_name", "CamelCaseClassName2", "https", "connection"]) + rng.choice(["", "-handler", "_list"]) for _ in range(20)]
+        parts += ["".join(rng.choice(pool) for _ in range(rng.randint(15, 40))) for _ in range(2)]
+        if i % 2:
+            parts.append("token=" + "".join(rng.choice(pool[:62]) for _ in range(30)))
+        rng.shuffle(parts)
+        texts.append(rng.choice(["", "😀é "]) + " ".join(parts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = secrets.train(df)
+    got = {r.doc_id: r.spans for r in secrets.scan(df, table).select("doc_id", secrets._joined("secret_spans").alias("spans")).collect()}
+    added = 0
+    for i, t in enumerate(texts):
+        spans = [(int(a), secrets.KINDS.index(k), int(b)) for k, a, b in (x.split(":") for x in base_by_force(t).split(",") if x)]
+        base = list(spans)
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]+", t):
+            v = m[0]
+            if len(v) >= 20 and not any(a < m.end() and m.start() < b for a, _, b in base):
+                score = sum(round(table[(ord(x) - 33) * 94 + ord(y) - 33], 6) for x, y in zip(v, v[1:], strict=False)) / (len(v) - 1)
+                if score > secrets.THRESHOLD:
+                    spans.append((m.start(), 3, m.end()))
+                    added += 1
+        assert got[i] == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+    assert added > 40
+
+
 # --- mixing ------------------------------------------------------------------------------------
 def test_mixing_is_pfair(spark):
     rows = [(i, f"t{i}", "en", f"src{i % 5 if i % 2 else 0}", 1) for i in range(4000)]

@@ -8,7 +8,7 @@ labelled samples: values that the base patterns found are random, other tokens o
 documents that are made of words or numbers are ordinary. The trained table has 94 x 94 numbers and is a literal of the query.
 
 Offsets are code points, ends exclusive. Nulls: null text is empty and has no spans; a null doc_id
-is a value. Spans with one start are ordered by kind. Overlapping kinds are all reported; redaction
+is a value. Spans with one start are ordered by kind, then as found. Overlapping kinds are all reported; redaction
 merges them. Repeated rows are scanned alike, empty tables give empty results, and only doc_id and
 text are read (redaction also rewrites n_chars where there is one).
 """
@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 
 from veilspan.llm import common
 
+_RUN = "[A-Za-z0-9+/_=-]"
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
-TOKEN = r"[A-Za-z0-9+/_=-]+"
 KINDS = ["assign", "access", "hex", "random"]  # in the order of listing
 MIN_VALUE, MIN_ACCESS, MIN_HEX, MIN_TOKEN = 6, 20, 24, 20
+# whole runs of the least length: the same as all runs without the short ones, but short ones cost nothing
+ACCESS = f"AKIA[A-Z0-9]{{{MIN_ACCESS - 4},}}"
+HEX = f"(?<![0-9a-f])[0-9a-f]{{{MIN_HEX},}}"
+TOKEN = f"(?<!{_RUN}){_RUN}{{{MIN_TOKEN},}}"
 TRAIN_DOCS = 3000  # sampled documents to learn from, at most
 TRAIN_TOKEN, TRAIN_RANDOM = 8, 16  # shortest tokens to learn from, ordinary and random
 PRIOR_RANDOM, PRIOR_ORDINARY = 20.0, 0.2  # pseudo-counts per transition; random strings are near uniform
@@ -38,56 +40,57 @@ ORDINARY = "^(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/+=]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2
 MASK = "[SECRET]"
 _FIRST, _WIDTH = 33, 94  # printable ASCII
 
-_NONE = "cast(array() as array<struct<start:int,end:int,kind:int,len:int>>)"
+_NONE = "cast(array() as array<struct<start:int,end:int,kind:int,len:int,value:string>>)"
 
 
-def _sql(s: str) -> str:
-    return "r'" + s + "'" if "'" not in s else "r\"\"\"" + s + "\"\"\""
+def _found(pattern: str, text: Column, kind: int, gate: Column, group: int = 0) -> Column:
+    """array<struct<start,end,kind,len,value>> of all matches; len is that of the group. Texts without a match are read once."""
+    p = F.lit(pattern)
+    gaps = F.split(text, p, -1)
+    group_ = F.regexp_extract_all(text, p, F.lit(group)) if group else None
 
+    def placed(m: Column) -> Column:
+        zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(m)).alias("gap"), m.alias("m"), (m if group_ is None else group_).alias("g"))
+        seed = F.struct(F.lit(0).alias("at"), F.expr(_NONE).alias("out"))
 
-def _found(pattern: Column, text: Column, kind: int, gate: Column, group: int = 0) -> Column:
-    """array<struct<start,end,kind,len>> of all matches; len is that of the group."""
-    m = F.regexp_extract_all(text, pattern, F.lit(0))
-    g = F.regexp_extract_all(text, pattern, F.lit(group)) if group else m
-    pieces = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.expr(_NONE).alias("out"))
+        def step(a: Column, x: Column) -> Column:
+            begin = a["at"] + F.length(x["gap"])
+            end = begin + F.length(x["m"])
+            one = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), F.length(x["g"]).alias("len"), x["m"].alias("value"))
+            return F.struct(end.alias("at"), F.array_append(a["out"], one).alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + F.length(x["p"])
-        end = begin + F.length(x["m"])
-        one = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), F.length(x["g"]).alias("len"))
-        return F.struct(end.alias("at"), F.array_append(a["out"], one).alias("out"))
+        return F.when(F.size(m) > 0, F.aggregate(zipped, seed, step, lambda a: a["out"])).otherwise(F.expr(_NONE))
 
-    zipped = F.arrays_zip(pieces.alias("p"), m.alias("m"), g.alias("g"))
-    hits = F.filter(zipped, lambda x: x["m"].isNotNull())
-    return F.when(gate, F.aggregate(hits, start, step, lambda a: a["out"])).otherwise(F.expr(_NONE))
+    found = F.transform(F.array(F.regexp_extract_all(text, p, F.lit(0))), placed)[0]
+    return F.coalesce(F.when(gate, found), F.expr(_NONE))
+
+
+_BY_START_AND_KIND = "(a, b) -> case when a.start < b.start then -1 when a.start > b.start then 1 else a.kind - b.kind end"
 
 
 def with_base(docs: DataFrame) -> DataFrame:
-    """docs with secret_base: array<struct<start,end,kind,len>> ordered by start and kind."""
+    """docs with secret_base: array<struct<start,end,kind,len,value>> ordered by start and kind."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    # cheap tests that every text with a match passes; runs are tried at their starts only
+    # plain tests that every text with a match passes
+    low = F.lower(text)
     called = F.lit(False)
     for word in ("passw", "secret", "token", "apikey", "api_key"):
-        called = called | F.lower(text).contains(word)
-    found = [
-        (ASSIGN, 0, called, 2, MIN_VALUE),
-        (ACCESS, 1, text.contains("AKIA"), 0, MIN_ACCESS),
-        (HEX, 2, text.rlike(rf"(?<![0-9a-f])[0-9a-f]{{{MIN_HEX},}}"), 0, MIN_HEX),
-    ]
-    out = docs.withColumns({f"secret_{k}": _found(F.lit(p), text, k, gate, g) for p, k, gate, g, _ in found})
-    kept = [F.expr(f"filter(secret_{k}, x -> x.len >= {n})") for _, k, _, _, n in found]
-    return out.withColumn("secret_base", F.array_sort(F.concat(*kept))).drop(*[f"secret_{k}" for _, k, _, _, _ in found])
+        called = called | low.contains(word)
+    base = F.concat(
+        F.filter(_found(ASSIGN, text, 0, called, 2), lambda x: x["len"] >= MIN_VALUE), _found(ACCESS, text, 1, text.contains("AKIA")), _found(HEX, text, 2, F.lit(True))
+    )
+    d = docs.withColumn("secret_base", base)
+    return d.withColumn("secret_base", F.expr(f"array_sort(secret_base, {_BY_START_AND_KIND})"))
 
 
 def train(docs: DataFrame, sample_docs: int = TRAIN_DOCS) -> list[float]:
     """Log-likelihood ratios of all transitions, random over ordinary, learnt from at most sample_docs documents."""
     text = F.coalesce("text", F.lit(""))
     pick = common.sample(docs.select("doc_id", text.alias("text")), "doc_id", sample_docs, 5).select("text")
-    values = [F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("text", F.lit(rf"AKIA[A-Z0-9]{{{MIN_ACCESS - 4},}}"), F.lit(0)),
-              F.regexp_extract_all("text", F.lit(rf"[0-9a-f]{{{MIN_HEX},}}"), F.lit(0))]
-    bare = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), rf"AKIA[A-Z0-9]{{{MIN_ACCESS - 4},}}|[0-9a-f]{{{MIN_HEX},}}", " ")
-    ordinary = F.regexp_extract_all(bare, F.lit(rf"[A-Za-z0-9+/_=-]{{{TRAIN_TOKEN},}}"), F.lit(0))
+    values = [F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)),
+              F.regexp_extract_all("text", F.lit(HEX), F.lit(0))]
+    bare = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
+    ordinary = F.regexp_extract_all(bare, F.lit(f"{_RUN}{{{TRAIN_TOKEN},}}"), F.lit(0))
     labelled = pick.select(F.explode(F.concat(
         F.transform(F.concat(*values), lambda t: F.struct(F.lit(1).alias("y"), t.alias("t"))),
         F.transform(ordinary, lambda t: F.struct(F.lit(0).alias("y"), t.alias("t"))),
@@ -112,16 +115,13 @@ def scan(docs: DataFrame, table: list[float] | None = None, threshold: float = T
     literal = ",".join(f"{x:.6f}" for x in table)
     d = with_base(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = d.withColumn("secret_tokens", _found(F.lit(TOKEN), text, 3, text.rlike(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}")))
-    d = d.withColumn("secret_tokens", F.expr(
-        f"filter(secret_tokens, x -> x.len >= {MIN_TOKEN} and not exists(secret_base, b -> b.start < x.end and x.start < b.end))"
-    ))
-    # the tokens with their characters, so that the text is cut once for each
-    d = d.withColumn("secret_scored", F.expr(f"""transform(secret_tokens, x -> struct(x as span, aggregate(sequence(1, x.len - 1), 0D, (a, i) -> a +
-        cast(split('{literal}', ',') as array<double>)[(ascii(substring(text, x.start + i, 1)) - {_FIRST}) * {_WIDTH} + ascii(substring(text, x.start + i + 1, 1)) - {_FIRST}]
-        ) / (x.len - 1) as score))"""))
-    d = d.withColumn("secret_spans", F.expr(f"array_sort(concat(secret_base, transform(filter(secret_scored, s -> s.score > {threshold}), s -> s.span)))"))
-    return d.drop("secret_tokens", "secret_scored")
+    d = d.withColumn("secret_tokens", _found(TOKEN, text, 3, F.lit(True)))
+    code = f"(ascii(substring(x.value, i, 1)) - {_FIRST})"
+    following = f"(ascii(substring(x.value, i + 1, 1)) - {_FIRST})"
+    score = f"aggregate(sequence(1, x.len - 1), 0D, (a, i) -> a + cast(split('{literal}', ',') as array<double>)[{code} * {_WIDTH} + {following}]) / (x.len - 1)"
+    d = d.withColumn("secret_tokens", F.expr(f"filter(secret_tokens, x -> not exists(secret_base, b -> b.start < x.end and x.start < b.end) and {score} > {threshold})"))
+    d = d.withColumn("secret_spans", F.expr(f"array_sort(concat(secret_base, secret_tokens), {_BY_START_AND_KIND})"))
+    return d.drop("secret_tokens")
 
 
 def _joined(spans: str) -> Column:
@@ -131,15 +131,13 @@ def _joined(spans: str) -> Column:
 
 def redact(docs: DataFrame, table: list[float] | None = None) -> DataFrame:
     """docs with every secret span replaced by MASK, and n_chars counted anew."""
-    d = scan(docs, table)
+    d = scan(docs.select("doc_id", "text", common.packed(docs)), table)
     masked = F.expr(f"""if(size(secret_spans) = 0, text, aggregate(secret_spans, struct('' as out, 0 as at), (a, x) -> struct(
         if(x.start >= a.at, concat(a.out, substring(text, a.at + 1, x.start - a.at), '{MASK}'), a.out) as out, greatest(a.at, x.end) as at),
         a -> concat(a.out, substring(text, a.at + 1))))""")
     d = d.withColumn("text", masked)
-    if "n_chars" in docs.columns:
-        changed = F.when(F.size("secret_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-        d = d.withColumn("n_chars", changed)
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns])
+    n_chars = F.when(F.size("secret_spans") > 0, F.length("text")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(0))
+    return common.unpacked(d, docs, text=F.col("text"), n_chars=n_chars)
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
