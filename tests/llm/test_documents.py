@@ -321,27 +321,41 @@ def test_method_spans_equal_a_plain_model(spark):
 
 
 # --- mixing ------------------------------------------------------------------------------------
-def test_mixing_is_pfair(spark):
-    rows = [(i, f"t{i}", "en", f"src{i % 5 if i % 2 else 0}", 1) for i in range(4000)]
+@pytest.mark.parametrize(("sources", "rows"), [(5, 4000), (1000, 9000)])
+def test_mixing_is_pfair(spark, sources, rows):
+    from fractions import Fraction
+
+    rows = [(i, f"t{i}", "en", f"src{i % sources if i % 2 else 0}", 1) for i in range(rows)]
     df = spark.createDataFrame(rows, SCHEMA)
-    p = mixing.positions(df, weights={"src0": 3.0, "src4": 0.0}, period=70, block_docs=2).collect()
+    weights = {"src0": 3.0, "src4": 0.0, "src1": 0.7}
+    p = mixing.positions(df, weights=weights, block_docs=2).collect()
     blocks = {(r.mix_source, r.mix_block): r for r in p if r.mix_slot is not None}
     slots = sorted(r.mix_slot for r in blocks.values())
     assert len(set(slots)) == len(slots)
     assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in blocks.values())
-    assert {r.mix_source for r in p if r.mix_slot is None} == {"src4"}
+    assert {r.mix_source for r in p if r.mix_slot is None} <= {"src4"}
+    # while all sources last, none is a block from its exact target
+    names = {r.mix_source for r in blocks.values()}
+    total = sum(Fraction(str(weights.get(s, 1.0))) for s in names)
+    share = {s: Fraction(str(weights.get(s, 1.0))) / total for s in names}
     by_slot = {r.mix_slot: r.mix_source for r in blocks.values()}
-    share = Counter(by_slot[t] for t in range(70))
-    given = Counter()
-    for t in range(140):
+    given, ends = Counter(), min(max(r.mix_slot for k, r in blocks.items() if k[0] == s) for s in names)
+    for t in range(ends):
         given[by_slot[t]] += 1
-        assert all(abs(given[s] - (t + 1) * n / 70) < 1 for s, n in share.items())
+        assert all(abs(given[s] - (t + 1) * w) < 1 for s, w in share.items())
     numbers = defaultdict(list)
     for r in p:
         numbers[r.mix_source].append(r.mix_n)
     assert all(sorted(v) == list(range(len(v))) for v in numbers.values())
-    out = mixing.interleave(df)
-    assert out.columns == df.columns and out.count() == 4000
+
+
+def test_interleaving_keeps_rows_of_any_names(spark, docs, none):
+    odd = docs.withColumns({c: F.lit("x") for c in ("u", "at", "mix_slot", "mix_n", "row", "s", "h", "n")})
+    out = mixing.interleave(odd)
+    assert out.columns == odd.columns and out.count() == len(corpus()) and out.where("at = 'x' and mix_slot = 'x'").count() == len(corpus())
+    assert mixing.interleave(none).count() == 0
+    lost = spark.createDataFrame([(None, None, None, None, None), (1, "a", "en", None, 1)], SCHEMA)
+    assert {r.mix_source for r in mixing.positions(lost).collect()} == {""}
 
 
 # --- BPE ---------------------------------------------------------------------------------------

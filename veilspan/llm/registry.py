@@ -23,5 +23,5 @@ ORACLES: dict[str, str] = {
         line_docs=quality.LINE_DOCS, line_share=quality.LINE_SHARE, min_words=quality.MIN_WORDS, max_repeat=quality.MAX_REPEAT_PERCENT, depleted=quality.DEPLETED
     ),
     "op8_chat_formatting": sql.CHAT,
-    "op10_mixing_sources": sql.mixing(mixing.WEIGHTS, mixing.DEFAULT, mixing.PERIOD, mixing.BLOCK_DOCS),
+    "op10_mixing_sources": sql.mixing(*mixing.whole_units(mixing.WEIGHTS, mixing.DEFAULT), mixing.BLOCK_DOCS),
 }

@@ -4,13 +4,10 @@ MIXING = """
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '') AS source, row_number() OVER (PARTITION BY coalesce(source, '')
     ORDER BY md5(coalesce(doc_id::VARCHAR, ''))) - 1 AS n FROM documents),
-w AS (SELECT source, CASE source {cases} ELSE {default} END::DOUBLE AS w FROM (SELECT DISTINCT source FROM d)),
-tot AS (SELECT sum(w) AS tw, sum((w > 0)::INT) AS pos, greatest({period}, sum((w > 0)::INT)) - sum((w > 0)::INT) AS spare FROM w),
-e AS (SELECT source, (w > 0)::INT AS positive, CASE WHEN tw > 0 THEN w / tw * spare ELSE 0 END AS exact, spare FROM w, tot),
-l AS (SELECT *, floor(exact)::BIGINT AS low, row_number() OVER (ORDER BY positive DESC, round(exact - floor(exact), 9) DESC, source) AS rk,
-  spare - sum(floor(exact)) OVER () AS rest FROM e),
-u AS (SELECT source, CASE WHEN positive = 1 THEN 1 + low + CASE WHEN rk <= rest THEN 1 ELSE 0 END ELSE 0 END::BIGINT AS units FROM l),
-s AS (SELECT list(source ORDER BY source) AS names, list(units ORDER BY source) AS us, sum(units)::BIGINT AS h FROM u WHERE units > 0),
+u AS (SELECT source, CASE source {cases} ELSE {default} END::BIGINT AS units FROM (SELECT DISTINCT source FROM d)),
+m AS (SELECT *, row_number() OVER (PARTITION BY units ORDER BY source) - 1 AS turn, count(*) OVER (PARTITION BY units) AS members FROM u),
+c AS (SELECT units, (count(*) * units)::BIGINT AS total FROM u WHERE units > 0 GROUP BY units),
+s AS (SELECT list(units ORDER BY units) AS names, list(total ORDER BY units) AS us, sum(total)::BIGINT AS h FROM c),
 edf AS (
   SELECT 0::BIGINT AS t, list_transform(us, lambda x: 0::BIGINT) AS done, 0::BIGINT AS p, names, us, h FROM s
   UNION ALL
@@ -18,17 +15,18 @@ edf AS (
     SELECT *, (list_sort(list_filter(list_transform(done, lambda x, i: [CASE WHEN x < us[i] AND (x * h) // us[i] <= t THEN 0 ELSE 1 END,
        ((x + 1) * h + us[i] - 1) // us[i], CASE WHEN (x + 1) * h % us[i] = 0 THEN 1 ELSE 0 END, i]), lambda c: c[1] = 0))[1])[4] AS q
     FROM edf WHERE t < h)),
-plan AS (SELECT names[p] AS source, us[p] AS units, h, t - 1 AS at, row_number() OVER (PARTITION BY names[p] ORDER BY t) - 1 AS idx FROM edf WHERE p > 0),
-b AS (SELECT d.*, n // {block} AS block, u.units, tot_h.h FROM d LEFT JOIN (SELECT * FROM u WHERE units > 0) u USING (source), (SELECT max(h) AS h FROM s) tot_h)
-SELECT b.doc_id, b.source, b.n AS n_in_source, b.block AS block, (b.block // b.units) * b.h + plan.at AS slot,
+plan AS (SELECT names[p] AS units, us[p] AS total, h, t - 1 AS at, row_number() OVER (PARTITION BY names[p] ORDER BY t) - 1 AS idx FROM edf WHERE p > 0),
+heads AS (SELECT DISTINCT units, total, h FROM plan),
+b AS (SELECT d.*, n // {block} AS block, m.units, m.turn, m.members, (n // {block}) * members + turn AS own, total, h FROM d JOIN m USING (source) LEFT JOIN heads ON heads.units = m.units)
+SELECT b.doc_id, b.source, b.n AS n_in_source, b.block AS block, (own // b.total) * b.h + plan.at AS slot,
   b.block * b.h // b.units AS release, ((b.block + 1) * b.h + b.units - 1) // b.units AS deadline
-FROM b LEFT JOIN plan ON plan.source = b.source AND plan.idx = b.block % b.units
+FROM b LEFT JOIN plan ON plan.units = b.units AND plan.idx = b.own % b.total
 """
 
 
-def mixing(weights: dict[str, float], default: float, period: int, block: int) -> str:
-    cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items())
-    return MIXING.format(cases=cases, default=default, period=period, block=block)
+def mixing(units: dict[str, int], default: int, block: int) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in units.items())
+    return MIXING.format(cases=cases, default=default, block=block)
 
 
 # words of the whole text; firsts: the smallest document of each 50-word window
