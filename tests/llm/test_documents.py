@@ -376,6 +376,29 @@ def test_bpe_equals_the_library(docs):
         assert r.n_tokens * 4 == len(r.ids)
 
 
+@pytest.mark.parametrize("size", [30, 64, 500])
+def test_pieces_joined_equal_the_library(spark, monkeypatch, size):
+    monkeypatch.setattr(bpe, "PIECE", size)
+    lib = bpe.coder(bpe.default_path()).lib
+    rng = random.Random(size)
+    alphabet = "abcdefghinorst  éßÄ́'s0123.,#\n\x1c\x85 İΣ漢字👍​²ªµ_"
+    texts = [t for _, t, *_ in corpus()]
+    for _ in range(60):
+        texts.append("".join(rng.choice(alphabet) if rng.random() < 0.97 else rng.choice(["<|endoftext|>", "<|", "'LL"]) for _ in range(rng.randint(0, 900))))
+    for unit in ("ab", "aaaab", "theinreon", "éa", "!#", "a", "THe", "it's", "abc1"):
+        texts.append("".join(rng.choice(unit) for _ in range(3000)))
+        texts.append("x " + "".join(rng.choice(unit) for _ in range(700)) + " yy" * 300)
+    for t in texts:
+        c, parts = bpe.coder(bpe.default_path()), [t[i : i + size] for i in range(0, len(t or ""), size)]
+        if parts:
+            assert list(memoryview(c.concatenated([c.piece(x) for x in parts])).cast("I")) == lib.encode(t, add_special_tokens=False).ids
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(5, texts[5], "en", "s", 0)] * 2
+    got = bpe.encode_documents(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    for r in got:
+        assert list(memoryview(bytes(r.ids)).cast("I")) == lib.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+
+
 # --- language ----------------------------------------------------------------------------------
 def test_language(spark):
     rng = random.Random(8)

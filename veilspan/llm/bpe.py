@@ -1,15 +1,16 @@
 """BPE encoding and decoding, equal to the tokenizers library's, with tree concatenation.
 
-White space and the vocabulary's pre-tokens always separate, so a text is encoded unit by unit, and
-units are remembered by each worker. Long unsplit chunks are encoded by tree concatenation: the halves of a long word are
-encoded on their own (in lists of pieces, so that they can be encoded in parallel tasks), then for
-each join a window around it is encoded anew and grown until both sides agree exactly: a sequence
-of tokens is the encoding of its text if and only if each pair of neighbours is the encoding of
-its own text, so that only the two pairs at the window's ends have to be tested.
+A text of more than PIECE characters is cut into pieces, wherever the cut falls, and each piece is
+encoded on its own, in tasks of their own. Neighbours are then joined, level by level: around each
+join a window is encoded anew and grown until both sides agree exactly. White space separates
+tokens for certain, so a window that has reached white space on both sides agrees; a join inside a
+long run of letters agrees sooner: a sequence of tokens is the encoding of its text if and only if
+each pair of neighbours is the encoding of its own text, so that only the two pairs at the window's
+ends have to be tested. Words of more than LONG letters go the same way inside a task. Shorter
+units between white space and the vocabulary's pre-tokens are remembered by each worker.
 
 Nulls: null text is empty: no tokens, empty decoded text. Repeated rows are encoded alike; empty
-tables give empty results; other columns pass through `encode_documents` unless their names clash
-with its own (n_tokens, ids, decoded), which then win.
+tables give empty results; only doc_id, text and the carried columns are read.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,9 +29,10 @@ from pyspark.sql import functions as F
 
 from veilspan.llm import common
 
-LONG = 512  # a word of more bytes is encoded by tree concatenation
-WINDOW = 8  # tokens on each side of a join to start with
-CACHE = 300_000  # chunks that a worker remembers
+PIECE = 4096  # a longer text is cut into pieces of so many characters
+LONG = 24  # a word of more bytes is encoded by tree concatenation
+WINDOW = 4  # tokens on each side of a join to start with
+CACHE, CACHED_CHARS = 300_000, 512  # chunks that a worker remembers, and the longest of them
 # Latin-1 characters that rule the fast path out: separators that only Python takes for white
 # space, digits that only the library takes for numbers, and the start of a special token
 _PLAIN = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe]|<\\|")
@@ -37,6 +40,21 @@ _UNIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 _SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
+_WHITE, _LAST_WHITE = re.compile("[\t-\r ]"), re.compile("[\t-\r ](?=[^\t-\r ]*\\Z)")
+_LETTERS = re.compile("[A-Za-z]+")
+NEAR = 24  # letters on each side of a join that rule out contractions, special tokens and composed characters
+
+
+@dataclass
+class Piece:
+    """Ids of a piece as bytes, its first and last words, and whether white space lies between them."""
+
+    ids: bytes
+    head: str
+    tail: str
+    split: bool
+
+
 class Coder:
     """One vocabulary: library objects plus ranked merges for the partial encodings."""
 
@@ -155,7 +173,9 @@ class Coder:
             new = set(units)
         long = {u: self.long_chunk(u) for u in new if len(u) > LONG}
         fill([u for u in new if len(u) <= LONG])
-        return b"".join([long[u] if len(u) > LONG else cache[u] for u in units])
+        out = b"".join([cache[u] if u in cache else long[u] for u in units])
+        cache.update((u, e) for u, e in long.items() if len(u) <= CACHED_CHARS)
+        return out
 
     def fill_words(self, words: list[str]) -> None:
         """Encode single pre-tokens together: each ends with the one token that has the suffix."""
@@ -175,6 +195,57 @@ class Coder:
     def decode(self, ids: np.ndarray) -> str:
         return " ".join(map(self.tokens.__getitem__, ids.tolist()))
 
+    # -- pieces ------------------------------------------------------------------------------
+    def piece(self, text: str) -> Piece:
+        """A piece of a text, encoded on its own; head and tail are what lies outside its first and last white space."""
+        first, last = _WHITE.search(text), _LAST_WHITE.search(text)
+        if not first:
+            return Piece(self.encode(text), text, text, False)
+        return Piece(self.encode(text), text[: first.start()], text[last.end() :], True)
+
+    def joined(self, a: Piece, b: Piece) -> Piece:
+        """The encoding of two neighbours from their own encodings."""
+        head = a.head if a.split else a.head + b.head
+        tail = b.tail if b.split else a.tail + b.tail
+        ids = self.inside_word(a, b) if a.tail and b.head else a.ids + b.ids
+        if ids is None:  # the window reaches white space on both sides
+            left, right = len(self.encode(a.tail)), len(self.encode(b.head))
+            ids = a.ids[: len(a.ids) - left] + self.encode(a.tail + b.head) + b.ids[right:]
+        return Piece(ids, head, tail, a.split or b.split)
+
+    def inside_word(self, a: Piece, b: Piece) -> bytes | None:
+        """The join inside a run of letters, by pairs of tokens; None where other characters are near."""
+        if not (_LETTERS.fullmatch(a.tail[-NEAR:]) and _LETTERS.fullmatch(b.head[:NEAR])) or min(len(a.tail), len(b.head)) < NEAR:
+            return None
+        left, right = np.frombuffer(a.ids, "<u4"), np.frombuffer(b.ids, "<u4")
+        k = WINDOW
+        while True:
+            lo = self.tokens_back(left, k)
+            hi = self.tokens_on(right, k)
+            before, after = (list(map(self.tokens.__getitem__, x.tolist())) for x in (left[lo:], right[:hi]))
+            before[-1] = before[-1].removesuffix(self.suffix)  # the word goes on
+            middle = self.merge([s for t in before + after for s in self.split_token(t)])
+            opens = lo == 0 or bool(self.final[left[lo - 1]])
+            closes = bool(self.final[right[hi - 1]])
+            if (opens or self.agree(self.tokens[left[lo - 1]], middle[0])) and (closes or self.agree(middle[-1], self.tokens[right[hi]])):
+                return a.ids[: 4 * lo] + np.array([self.vocab[t] for t in middle], "<u4").tobytes() + b.ids[4 * hi :]
+            k *= 2
+
+    def tokens_back(self, ids: np.ndarray, k: int) -> int:
+        """The place k tokens before the end, or where the last word begins if that is nearer."""
+        ends = np.flatnonzero(self.final[ids[max(0, len(ids) - 1 - k) : -1]])
+        return max(0, len(ids) - 1 - k) + int(ends[-1]) + 1 if len(ends) else max(0, len(ids) - k)
+
+    def tokens_on(self, ids: np.ndarray, k: int) -> int:
+        """The number of tokens to the k-th, or to the end of the first word if that is nearer."""
+        ends = np.flatnonzero(self.final[ids[:k]])
+        return int(ends[0]) + 1 if len(ends) else min(k, len(ids))
+
+    def concatenated(self, pieces: list[Piece]) -> bytes:
+        while len(pieces) > 1:
+            pieces = [self.joined(*pieces[i : i + 2]) if i + 1 < len(pieces) else pieces[i] for i in range(0, len(pieces), 2)]
+        return pieces[0].ids
+
 
 _CODERS: dict[str, Coder] = {}
 
@@ -194,17 +265,45 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and ids (binary, little-endian unsigned 32-bit) of each document."""
-    path = path or default_path()
+def _encoded(docs: DataFrame, path: str | None, finish: Callable[[Coder, bytes], tuple], columns: str, carried: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, the carried columns (name: type) and what finish makes of the ids of each text."""
+    path, carried = path or default_path(), carried or {}
+    keys = ["doc_id", *carried]
+    names = [c.split()[0] for c in columns.split(", ")]
+    schema = ", ".join(["doc_id long", *[f"{c} {t}" for c, t in carried.items()], columns])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = coder(path)
+    def rows(b: pd.DataFrame, ids: list[bytes]) -> pd.DataFrame:
+        made = [finish(coder(path), x) for x in ids]
+        out = b[keys].reset_index(drop=True).astype({"doc_id": "Int64"} | {c: "Int64" for c, t in carried.items() if t == "long"})
+        return out.assign(**{n: pd.Series([m[i] for m in made], dtype=object) for i, n in enumerate(names)})
+
+    def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield rows(b, [coder(path).encode(t) for t in b["text"]])
+
+    def piece(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids = [c.encode(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_tokens": [len(x) // 4 for x in ids], "ids": ids})
+            p = [coder(path).piece(t) for t in b["piece"]]
+            yield b.drop(columns="piece").assign(ids=[x.ids for x in p], head=[x.head for x in p], tail=[x.tail for x in p], split=[x.split for x in p]).astype({"doc_id": "Int64"} | {c: "Int64" for c, t in carried.items() if t == "long"})
+
+    def join(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.sort_values("i")
+        ids = coder(path).concatenated([Piece(*x) for x in g[["ids", "head", "tail", "split"]].itertuples(index=False)])
+        return rows(g.iloc[np.zeros(int(g["copies"].iloc[0]), int)], [ids] * int(g["copies"].iloc[0]))
+
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).cast(t).alias(c) for c, t in carried.items()])
+    long = F.coalesce(F.length("text") > PIECE, F.lit(False))
+    cut = src.where(long).select(*keys, F.xxhash64("text").alias("text_key"), F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("i", "piece"))
+    # pieces are dealt over the tasks one by one; repeated rows are encoded once
+    cut = cut.groupBy(*keys, "text_key", "i").agg(F.first("piece").alias("piece"), F.count("*").alias("copies"))
+    of = ", ".join(["doc_id long", *[f"{c} {t}" for c, t in carried.items()]])
+    coded = cut.mapInPandas(piece, f"{of}, text_key long, i int, copies long, ids binary, head string, tail string, split boolean")
+    return src.where(~long).mapInPandas(short, schema).unionByName(coded.groupBy(*keys, "text_key").applyInPandas(join, schema))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_tokens long, ids binary")
+
+def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens and ids (binary, little-endian unsigned 32-bit) of each document."""
+    return _encoded(docs, path, lambda c, ids: (len(ids) // 4, ids), "n_tokens long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -219,42 +318,19 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, decoded string")
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256: encodes and decodes in one pass."""
-    path = path or default_path()
+def _digest(c: Coder, ids: bytes) -> str:
+    return hashlib.sha256(c.decode(np.frombuffer(ids, "<u4")).encode("utf-8", "surrogatepass")).hexdigest()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = coder(path)
-        for b in batches:
-            rows = []
-            for t in b["text"]:
-                ids = c.encode(t)
-                back = c.decode(np.frombuffer(ids, "<u4")).encode("utf-8", "surrogatepass")
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy())
-            yield out.astype({"doc_id": "Int64"})
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return src.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256: encodes and decodes in one pass."""
+    return _encoded(docs, path, lambda c, ids: (len(ids) // 4, hashlib.sha256(ids).hexdigest(), _digest(c, ids)), "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def token_table(docs: DataFrame, path: str | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, n_tokens, ids and decoded_sha256 of each document, and carried long columns: what a trainer reads."""
-    path = path or default_path()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = coder(path)
-        for b in batches:
-            ids = [np.frombuffer(c.encode(t), "<i4") for t in b["text"]]
-            back = [hashlib.sha256(c.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in ids]
-            yield pd.DataFrame(
-                {"doc_id": b["doc_id"].astype("Int64"), "source": b["source"], "n_tokens": [len(x) for x in ids], "ids": ids, "decoded_sha256": back}
-                | {c: b[c].astype("Int64") for c in carried}
-            )
-
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text", *[F.col(c).cast("long").alias(c) for c in carried])
-    return src.mapInPandas(run, ", ".join(["doc_id long, source string, n_tokens long, ids array<int>, decoded_sha256 string", *[f"{c} long" for c in carried]]))
+    """doc_id, source, carried long columns, n_tokens, ids and decoded_sha256 of each document: what a trainer reads."""
+    columns = {"source": "string"} | {c: "long" for c in carried}
+    return _encoded(docs, path, lambda c, ids: (len(ids) // 4, np.frombuffer(ids, "<i4"), _digest(c, ids)), "n_tokens long, ids array<int>, decoded_sha256 string", columns)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
