@@ -6,6 +6,8 @@ import os
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from veilspan.llm import ann, chat, registry, urlfilter
 
 SF = "/root/testdata/sf0.001"
@@ -108,7 +110,29 @@ def test_trees_learn_held_out_urls():
     m = urlfilter.train(rows[:600], y[:600])
     right = ((m.score(m.matrix(rows[600:])) >= 0.5).astype(int) == y[600:]).mean()
     assert right > 0.97
-    assert urlfilter.train([], []).score(np.zeros((1, 17)))[0] < 0.5
+    assert urlfilter.train([], []).score(np.zeros((1, 18)))[0] < 0.5
+
+
+def test_urls_of_any_shape_and_repeated_rows(spark):
+    rows = [(1, "http://casino-x.example.com/a")] * 3 + [(None, None), (2, "http://fine.example.com/a" + "b" * 5000)]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit("x") for c in ("host", "path", "rule", "verdict", "block_score", "html")})
+    got = urlfilter.judge(df).collect()
+    assert len(got) == 5 and len({(r.page_id, r.verdict) for r in got}) == 3
+
+
+SF01 = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF01), reason="no test tables")
+def test_trees_on_held_out_pages(spark):
+    pages = spark.read.parquet(f"{SF01}/pages.parquet")
+    m = urlfilter.fit(urlfilter.by_host_words(pages))
+    held = [(r.url, r.verdict) for r in urlfilter.by_host_words(pages).where(urlfilter.held_out(F.col("url"))).collect()]
+    parts = {r.url: (r.url, r.host, r.path) for r in urlfilter.parts(pages).collect()}
+    block = m.score(m.matrix([parts[u] for u, _ in held])) >= 0.5
+    truth = np.array([v == "block" for _, v in held])
+    assert len(held) > 400 and truth.sum() > 5
+    assert (block & truth).sum() >= 0.8 * truth.sum() and (block & ~truth).sum() <= 0.01 * len(held)
 
 
 # --- registered queries ------------------------------------------------------------------------

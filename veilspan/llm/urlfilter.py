@@ -2,15 +2,17 @@
 
 Host and path are cut out with SQL functions. Rules are pairs of host and path (`net/` is host
 `net`, path `/`); a rule fits its host and all subdomains when the URL's path starts with the
-rule's, and the longest fitting rule wins. URLs that a rule decides are the labelled examples for
-the trees (or any labels that the caller has): a bounded sample of them trains shallow regression
-trees on the logistic loss, over lexical features: lengths, depth, digit ratio, entropy, parameter
-counts and the block rate of the host's suffix.
+rule's, and the longest fitting rule wins. All other URLs are judged by shallow regression trees,
+boosted on the logistic loss over lexical features: lengths, depth, digit ratio, entropy,
+parameter counts and the block rates of the host's suffixes (two and three labels). They learn from
+labelled URLs: a table that the caller has, or else URLs labelled by words of ill repute among the
+words of their host. The rules label nothing. A bounded sample of the labelled URLs whose
+crc32 modulo 4 is not 2 trains; the others are held out.
 
 Nulls: a null URL, or one without `://`, has an empty host and path, fits no rule and is judged
 on its (empty) features. Repeated rows are judged alike, ties between rules of one length go to
-the alphabetically first, and without labels of both kinds every URL is allowed. Columns other
-than page_id and url are not read.
+the alphabetically first, and without labels of both kinds every URL is allowed (or blocked, if
+all labels say so). Columns other than page_id and url are not read.
 """
 
 from __future__ import annotations
@@ -28,26 +30,25 @@ from pyspark.sql import functions as F
 from veilspan.llm import common
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+# host words that mark a URL as an example to block; a caller's labels take their place
+ILL_WORDS = ["casino", "bets", "betting", "poker", "pills", "viagra", "porn", "xxx", "payday", "loans", "replica", "warez", "cheap", "win"]
 SAMPLE_URLS = 4000  # labelled URLs to learn from, at most
 TREES, DEPTH, RATE, BINS, MIN_LEAF = 40, 3, 0.2, 32, 8
 SMOOTH = 20.0  # prior rows of a suffix's block rate
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def host_of(url: Column) -> Column:
+def _after_scheme(url: Column) -> Column:
     at = F.instr(url, "://")
-    rest = F.when(at > 0, F.expr("substring({0}, {1} + 3)".format(*_names(url)))).otherwise(F.lit(""))
-    return F.translate(F.regexp_extract(F.coalesce(rest, F.lit("")), r"^([^/?#]*)", 1), UPPER, LOWER)
+    return F.coalesce(F.when(at > 0, F.substring(url, at + 3, F.length(url))), F.lit(""))
 
 
-def path_of(url: Column) -> Column:
-    at = F.instr(url, "://")
-    rest = F.when(at > 0, F.expr("substring({0}, {1} + 3)".format(*_names(url)))).otherwise(F.lit(""))
-    return F.regexp_extract(F.coalesce(rest, F.lit("")), r"^[^/?#]*([^?#]*)", 1)
+def host_of(url: Column) -> Column:
+    return F.translate(F.regexp_extract(_after_scheme(url), r"^([^/?#]*)", 1), UPPER, LOWER)
 
 
-def _names(url: Column) -> tuple[str, str]:
-    return "url", "instr(url, '://')"
+def path_of(url: Column) -> Column:
+    return F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^?#]*)", 1)
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -62,12 +63,14 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return (empty, empty) if name is None else (name, verdict)
 
 
-def suffix(host: str) -> str:
-    return ".".join(host.rsplit(".", 2)[-2:])
+def suffixes(host: str) -> tuple[str, str]:
+    """The last two and the last three labels of a host, told apart by a leading digit."""
+    labels = host.split(".")
+    return "2" + ".".join(labels[-2:]), "3" + ".".join(labels[-3:])
 
 
 def features(url: str, host: str, path: str) -> list[float]:
-    """Lexical features of one URL (the suffix statistic is appended by the model)."""
+    """Lexical features of one URL (the suffix statistics are appended by the model)."""
     n = len(url)
     query = url.partition("?")[2].partition("#")[0]
     count = Counter(url)
@@ -90,7 +93,7 @@ class Boosted:
     prior: float = 0.0
 
     def matrix(self, rows: list[tuple[str, str, str]]) -> np.ndarray:
-        return np.array([[*features(*r), self.rates.get(suffix(r[1]), self.prior)] for r in rows], float).reshape(len(rows), -1)
+        return np.array([[*features(*r), *(self.rates.get(s, self.prior) for s in suffixes(r[1]))] for r in rows], float).reshape(len(rows), -1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.base)
@@ -113,13 +116,13 @@ def train(rows: list[tuple[str, str, str]], y: list[int]) -> Boosted:
     total: Counter[str] = Counter()
     block: Counter[str] = Counter()
     for (_, h, _), v in zip(rows, y, strict=True):
-        total[suffix(h)] += 1
-        block[suffix(h)] += v
+        for s in suffixes(h):
+            total[s] += 1
+            block[s] += v
     m.rates = {s: (block[s] + SMOOTH * m.prior) / (n + SMOOTH) for s, n in total.items()}
     x = m.matrix(rows)
-    # a training row's own label must not reach its suffix statistic
-    own = np.array([(block[s] - v + SMOOTH * m.prior) / (total[s] - 1 + SMOOTH) for (_, h, _), v in zip(rows, y, strict=True) for s in [suffix(h)]])
-    x[:, -1] = own
+    # a training row's own label must not reach its suffix statistics
+    x[:, -2:] = [[(block[s] - v + SMOOTH * m.prior) / (total[s] - 1 + SMOOTH) for s in suffixes(h)] for (_, h, _), v in zip(rows, y, strict=True)]
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], 1)
     m.base = math.log(m.prior / (1 - m.prior))
@@ -163,17 +166,29 @@ def parts(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     return src.select("page_id", "url", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
 
 
+def by_host_words(pages: DataFrame, words: list[str] = ILL_WORDS) -> DataFrame:
+    """(url, verdict): block for URLs with one of the words in their host, allow for the others; URLs without a host have no label."""
+    url = F.col("url").cast("string")
+    ill = F.arrays_overlap(F.split(host_of(url), "[^a-z0-9]+"), F.array(*map(F.lit, words)))
+    return pages.where(host_of(url) != "").select(url.alias("url"), F.when(ill, "block").otherwise("allow").alias("verdict"))
+
+
+def held_out(url: Column) -> Column:
+    return F.pmod(F.crc32(url.cast("binary")), F.lit(4)) == 2
+
+
 def fit(labelled: DataFrame, sample_urls: int = SAMPLE_URLS) -> Boosted:
-    """Learn from at most sample_urls rows (url, host, path, verdict), chosen by a hash of the url; equal rows count once."""
-    known = labelled.where("verdict is not null and url is not null").select("url", "host", "path", "verdict")
-    got = common.sample(known, "url", sample_urls, 3).distinct().orderBy("url", "verdict").collect()
+    """Learn from at most sample_urls rows (url, verdict) that are not held out, chosen by a hash of the url; equal rows count once."""
+    known = labelled.where("verdict in ('block', 'allow') and url is not null").where(~held_out(F.col("url"))).select("url", "verdict")
+    got = common.sample(known, "url", sample_urls, 3).distinct().select("url", "verdict", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    got = got.orderBy("url", "verdict").collect()
     return train([(r["url"], r["host"], r["path"]) for r in got], [int(r["verdict"] == "block") for r in got])
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, model: Boosted | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict and block_score (null where a rule decides)."""
     p = parts(pages, rules)
-    shared = pages.sparkSession.sparkContext.broadcast(model or fit(p))  # TREES small trees
+    shared = pages.sparkSession.sparkContext.broadcast(model or fit(by_host_words(pages)))  # TREES small trees
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
