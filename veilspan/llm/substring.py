@@ -13,7 +13,8 @@ holds them. A failed search skips all windows that hold the failed piece. All re
 these reports: an occurrence of a context loses the reported intervals whose document is smaller.
 
 An anchor with very many contexts does not enter one shard: its windows do, on their own, each
-distinct window of two documents or more once, routed by its own hash.
+distinct window of two documents or more once, routed by its own hash. Before that, slices of SLICE
+windows whose common words stand in one document only are left out.
 
 Nulls: null or empty text has no words and loses none; a null doc_id counts as the largest id.
 Repeated rows (one doc_id) never remove each other's words, as no id is smaller. Empty tables give
@@ -37,6 +38,7 @@ WINDOW, GRAM = 50, 8
 SPAN = WINDOW - GRAM + 1  # grams in a window
 SHARD_CONTEXTS = 6_000  # contexts of a shard that the number of shards aims at
 HOT = 2_000  # the windows of an anchor with more distinct contexts are routed one by one
+SLICE = 15  # windows of a hot anchor that are looked at together; they share WINDOW - SLICE + 1 words
 LAST = 2**63 - 1
 NONE = 2**31 - 1
 
@@ -312,25 +314,34 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([x.field("key"), x.field("ctx"), b["doc"].take(row), x.field("later"), x.field("n"), words], _PIECE_COLS)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All windows of wanted contexts: (key, ctx, at, lo, hash); at: place in the context, lo: in the text."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of wanted contexts: the place of the first window in the context and in the text, the hash of the common words and those of the windows."""
     for b in batches:
         w = common.Words(b["text"])
         hashes = RangeHashes(w.hashes())
         want = b["want"]
         owner = want.value_parent_indices().to_numpy()
         x = {c: want.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("key", "ctx", "pos", "lo", "hi", "later", "n")}
-        # windows of a context begin at its first word up to its anchor, and end within it
-        count = np.minimum(x["pos"] - x["lo"] + 1, np.maximum(0, x["hi"] - x["lo"] - WINDOW + 1))
-        own = np.repeat(np.arange(len(count)), count)
-        at = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-        key, ctx, later, m, lo = x["key"][own], x["ctx"][own], x["later"][own], x["n"][own], x["lo"][own] + at
-        place = w.first[owner[own]] + lo
-        h = hashes.of(place, place + WINDOW)
+        anchor = x["pos"] - x["lo"]
+        top = np.minimum(anchor, x["hi"] - x["lo"] - WINDOW)  # the last window
+        found = []
+        for low in range(0, SPAN, SLICE):  # windows whose anchor is `low` to `high` words from their start
+            high = min(low + SLICE, SPAN) - 1
+            frm, to = np.maximum(0, anchor - high), np.minimum(top, anchor - low)
+            i = np.flatnonzero(frm <= to)
+            base = w.first[owner[i]] + x["lo"][i]
+            core = common.mix(hashes.of(base + anchor[i] - low, base + anchor[i] - high + WINDOW) + np.uint64(low))
+            size = to[i] - frm[i] + 1
+            place = np.repeat(base + frm[i], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(hashes.of(place, place + WINDOW).view(np.int64)))
+            found.append((i, frm[i], core, lists))
+        own = np.concatenate([f[0] for f in found])
+        at = np.concatenate([f[1] for f in found]).astype(np.int32)
         row = pa.array(owner[own])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key), pa.array(ctx), b["doc"].take(row), b["text_key"].take(row), pa.array(at.astype(np.int32)), pa.array(lo.astype(np.int32)), pa.array(h.view(np.int64)),
-             pa.array(later), pa.array(m)], ["key", "ctx", "doc", "text_key", "at", "lo", "hash", "later", "n"],
+            [pa.array(x["key"][own]), pa.array(x["ctx"][own]), b["doc"].take(row), b["text_key"].take(row), pa.array(at), pa.array((x["lo"][own] + at).astype(np.int32)),
+             pa.array(np.concatenate([f[2] for f in found]).view(np.int64)), pa.concat_arrays([f[3] for f in found]), pa.array(x["later"][own]), pa.array(x["n"][own])],
+            ["key", "ctx", "doc", "text_key", "at", "lo", "core", "hashes", "later", "n"],
         )
 
 
@@ -388,8 +399,13 @@ def reports(d: DataFrame, one: DataFrame) -> DataFrame:
         return _searched(d, one, total)
     # fewer than FEW keys can have more than total / FEW contexts
     plain, hot = one.join(F.broadcast(hot_keys), "key", "left_anti"), one.join(F.broadcast(hot_keys), "key", "left_semi")
-    w = _wanted(d, hot).select("doc", "text_key", "text", "want").mapInArrow(_windows, "key long, ctx long, doc long, text_key long, at int, lo int, hash long, later boolean, n long")
-    w = common.cut(w.dropDuplicates(["key", "ctx", "at"]), "windows")  # repeated rows cut out the same
+    w = _wanted(d, hot).select("doc", "text_key", "text", "want")
+    w = w.mapInArrow(_slices, "key long, ctx long, doc long, text_key long, at int, lo int, core long, hashes array<long>, later boolean, n long")
+    w = common.cut(w, "slices")
+    live = w.groupBy("core").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.bool_or("later").alias("l"), F.count("*").alias("m")).where("l or a < b")
+    w = common.skewed_join(w, common.cut(live.select("core", "m"), "live"), ["core"], "m")
+    w = w.select("key", "ctx", "doc", "text_key", "at", "lo", "later", "n", F.posexplode("hashes").alias("i", "hash"))
+    w = common.cut(w.selectExpr("key", "ctx", "doc", "text_key", "at + i as at", "lo + i as lo", "hash", "later", "n"), "windows")
     # a window counts if another document holds it, in its own context or in another one
     once = w.groupBy("hash").agg(F.min(F.struct("doc", "text_key", "lo")).alias("o"), F.max("doc").alias("last"), F.bool_or("later").alias("later"), F.count("*").alias("m"))
     once = common.cut(once.where("later or o.doc < last").select("hash", "o.*", "m"), "distinct_windows")
