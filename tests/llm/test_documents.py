@@ -61,6 +61,19 @@ def test_one_row_per_row(docs, none, name):
     assert OPERATORS[name](none).count() == 0
 
 
+def test_tables_are_deleted(spark, tmp_path):
+    import os
+
+    df = common.cut(spark.range(3), "t")
+    path = common._CUT[-1].removeprefix("file://")
+    assert df.count() == 3 and os.path.isdir(path)
+    kept = list(common._CUT[:-1])
+    common._CUT[:] = common._CUT[-1:]
+    common.drop_tables(spark)
+    common._CUT[:] = kept
+    assert not os.path.isdir(path)
+
+
 # --- quality rules -----------------------------------------------------------------------------
 def test_quality_counts(docs):
     got = {r.doc_id: r for r in quality.assess(docs).collect()}
@@ -181,6 +194,28 @@ def test_repeated_rows_leave_one(docs):
     assert Counter(kept)[0] == 1 and 6 not in kept and 7 not in kept
 
 
+def test_documents_without_words_stay_with_and_without_repeated_rows(spark):
+    empty = [(2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, None, "en", "s", 0)]
+    rng = random.Random(30)
+    one, other = (1, prose(rng, 60), "en", "s", 0), (4, prose(rng, 60), "en", "s", 0)
+    for rows in ([one, other, *empty], [one, one, other, *empty]):
+        df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("x") for c in ("fp", "row", "keep", "label", "n")})
+        out = neardup.drop_near_duplicates(df)
+        assert sorted(r.doc_id for r in out.collect()) == [1, 2, 2, 3, 4] and out.columns == df.columns
+
+
+def test_large_classes_with_hot_joins(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    monkeypatch.setattr(common, "FEW", 10**9)
+    rng = random.Random(31)
+    base, texts = prose(rng, 200), []
+    for i in range(120):  # near copies, and many exact ones of the first
+        texts.append(base if i % 3 == 0 else base.rsplit(" ", 1)[0] + f" w{i}x")
+    texts += [prose(rng, 80) for _ in range(20)]
+    got = {r.doc_id: (r.class_id, r.keep) for r in neardup.near_duplicates(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert all(got[i] == (0, i == 0) for i in range(120)) and all(got[i] == (i, True) for i in range(120, 140))
+
+
 # --- substring dedup ---------------------------------------------------------------------------
 def removed_by_force(rows):
     first: dict = {}

@@ -19,22 +19,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; a local run without one gets a temporary folder, a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+_CUT: list[str] = []  # tables of this session that are still there
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _CUT.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Delete all tables that cut has written; for callers that have written the results that read them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _CUT:
+        path = jvm.org.apache.hadoop.fs.Path(_CUT.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def words(text: str | None) -> list[bytes]:
     """Words of `[^\\x20\\x09-\\x0D]+`: bytes.split() parts at exactly those six characters."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
@@ -107,10 +121,6 @@ class Words:
         return h
 
 
-def text_words(text: str | None) -> Words:
-    return Words(pa.array([text], pa.string()))
-
-
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
     """Order-dependent 64-bit hashes of all k-word shingles (empty if there are fewer words)."""
     n = len(h) - k + 1

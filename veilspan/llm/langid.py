@@ -109,7 +109,7 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if not text or not self.langs or not common.has_letter(text):
             return "und", 0.0, True
-        total = self.total(tokens(text) or Counter([text.strip()[:100]]))
+        total = self.total(tokens(text))
         z = (total[:-1] / max(total[-1], 1) + self.bias) / self.temperature
         p = np.exp(z - z.max())
         p /= p.sum()

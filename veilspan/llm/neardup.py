@@ -8,7 +8,7 @@ candidates, and pairs are verified by their weighted Jaccard similarity over all
 
 Equal texts are one node from the start. In each bucket only pivots are compared with the other
 members: members in the pivots' components are decided, the others become pivots in ROUNDS later
-rounds, as many at once as keep the comparisons of a bucket near ROUND_PAIRS. What is then left in
+rounds, about as many at once as keep the comparisons of a bucket near ROUND_PAIRS. What is then left in
 buckets of two components or more is settled exactly by a prefix filter: of two similar texts, the
 first shared element in any fixed order lies among the first fifth of both, so that texts of
 different components meet by those elements, rare ones first. The order comes from a sample; only
@@ -29,9 +29,9 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from veilspan.llm import common
 
@@ -41,6 +41,7 @@ K = ROWS * BANDS
 DARTS = K * math.log(K) + 2 * K  # expected darts that fill all coordinates
 PIVOTS, ROUND_PAIRS, ROUNDS = 32, 512, 2  # pivots and comparisons of a bucket in a later round, rounds before the prefix filter
 RANKED_TEXTS, RANKED = 5_000, 300_000  # texts of the sample that orders elements, and elements it tells apart from rare ones
+LAST = 2**63 - 1
 LOW = -1  # the lowest rank region is [0, 2**LOW): few regions matter more than spare darts of long texts
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,32 +98,37 @@ def signature(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
         got.append(_region(elements, counts, top))
 
 
-def weighted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of a text and how often each occurs."""
-    h = common.text_words(text).hashes()
+def weighted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of a text, from the hashes of its words, and how often each occurs."""
     return np.unique(common.shingles(h, min(SHINGLE, max(1, len(h)))), return_counts=True)
 
 
-def bands(text: str | None) -> tuple[list[int], int]:
+def bands(h: np.ndarray) -> tuple[list[int], int]:
     """One 64-bit bucket per band, and the number of shingles; none for a text without words."""
-    elements, counts = weighted(text)
+    elements, counts = weighted(h)
     if not len(elements):
         return [], 0
     s = signature(elements, counts).reshape(BANDS, ROWS)
-    h = np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLD
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLD
     for i in range(ROWS):
-        h = h * _GOLD + s[:, i]
-    return common.mix(h).astype(np.int64).tolist(), int(counts.sum())
+        key = key * _GOLD + s[:, i]
+    return common.mix(key).astype(np.int64).tolist(), int(counts.sum())
 
 
-def members(text: str | None) -> bytes:
+def members(h: np.ndarray) -> bytes:
     """Sorted 32-bit hashes of (shingle, which occurrence): weighted similarity is set similarity of these."""
-    elements, counts = weighted(text)
+    elements, counts = weighted(h)
     at = np.repeat(np.arange(len(elements)), counts)
     nth = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
     return np.sort((common.mix(elements[at] + nth.astype(np.uint64) * _GOLD) >> np.uint64(32)).astype("<u4")).tobytes()
 
 
+def word_hashes(texts: pa.Array) -> list[np.ndarray]:
+    """The hashes of the words of each text."""
+    w = common.Words(texts)
+    return np.split(w.hashes(), w.first[1:-1]) if len(texts) else []
+
+
 def similar(a: bytes, b: bytes) -> float:
     x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
     if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
@@ -147,26 +153,27 @@ def nodes(docs: DataFrame) -> DataFrame:
 def buckets(docs: DataFrame) -> DataFrame:
     """(fp, h, size): the buckets of each distinct text and its number of shingles, distinct."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [bands(t) for t in b["text"]]
-            got, fp = [g for g in got if g[1]], b["fp"][[g[1] > 0 for g in got]].to_numpy()
-            h = np.array([g[0] for g in got], np.int64).ravel()
-            yield pd.DataFrame({"fp": np.repeat(fp, BANDS).astype(np.int64), "h": h, "size": np.repeat([g[1] for g in got], BANDS).astype(np.int64)})
+            got = [bands(h) for h in word_hashes(b["text"])]
+            some = [i for i, g in enumerate(got) if g[1]]
+            keys = np.array([got[i][0] for i in some], np.int64).ravel()
+            fp = b["fp"].take(pa.array(np.repeat(np.array(some, np.int64), BANDS)))
+            yield pa.RecordBatch.from_arrays([fp, pa.array(keys), pa.array(np.repeat(np.array([got[i][1] for i in some], np.int64), BANDS))], ["fp", "h", "size"])
 
-    src = docs.select(fingerprint(F.col("text")).alias("fp"), "text")
-    return src.mapInPandas(run, "fp long, h long, size long").distinct()
+    src = docs.select(fingerprint(F.col("text")).alias("fp"), F.col("text").cast("string").alias("text"))
+    return src.mapInArrow(run, "fp long, h long, size long").distinct()
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(fp, s): the shingles of the texts in wanted (fp); copies of one text have one set."""
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"fp": b["fp"], "s": [members(t) for t in b["text"]]})
+            yield pa.RecordBatch.from_arrays([b["fp"], pa.array([members(h) for h in word_hashes(b["text"])], pa.binary())], ["fp", "s"])
 
-    texts = docs.select(fingerprint(F.col("text")).alias("fp"), "text")
-    one = texts.join(wanted, "fp", "left_semi").mapInPandas(sets, "fp long, s binary")
+    texts = docs.select(fingerprint(F.col("text")).alias("fp"), F.col("text").cast("string").alias("text"))
+    one = texts.join(wanted, "fp", "left_semi").mapInArrow(sets, "fp long, s binary")
     return one.groupBy("fp").agg(F.first("s").alias("s"))
 
 
@@ -283,8 +290,11 @@ def classes(docs: DataFrame) -> DataFrame:
             fresh = left_over(common.cut(open_.select("fp", "label", "size").distinct(), "open"), sets)
         else:
             left = open_.where("label <> main").join(used, ["h", "fp"], "left_anti")
-            order = F.row_number().over(Window.partitionBy("h").orderBy("fp"))
-            pivots = left.withColumn("n", order).where(F.col("n") <= F.greatest(F.lit(1), F.least(F.lit(PIVOTS), F.expr(f"{ROUND_PAIRS} div members"))))
+            # the first member of each bucket, and a few by their hash, so that no bucket is sorted in one task
+            wanted = F.expr(f"least({PIVOTS}, {ROUND_PAIRS} div members)")
+            few = left.where(F.pmod(F.xxhash64("fp", F.lit(i)), F.col("members")) < wanted).select("h", "fp", "label", "size")
+            first = left.groupBy("h").agg(F.min(F.struct("fp", "label", "size")).alias("m")).select("h", "m.*")
+            pivots = few.union(first).distinct()
             pivots = common.cut(pivots.select("h", F.col("fp").alias("p"), F.col("label").alias("pl"), F.col("size").alias("ps")), "pivots")
             if pivots.isEmpty():
                 return labels
@@ -300,24 +310,35 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, keep: one row per document; keep marks the one that stands for its class."""
+    """doc_id, class_id, keep, fp: one row per document; keep marks the one that stands for its class.
+
+    Repeated rows of the one that stands for its class are all marked.
+    """
     every = nodes(docs)
-    label = F.coalesce("label", "fp").alias("label")
-    every = every.join(classes(docs), "fp", "left").select("fp", "doc_id", label)
-    best = every.where("label is not null").groupBy("label").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "fp")).alias("best"), F.min("doc_id").alias("first"))
-    out = every.join(best, "label", "left")
-    keep = F.col("label").isNull() | (F.coalesce("doc_id", F.lit(2**63 - 1)).eqNullSafe(F.col("best.d")) & (F.col("fp") == F.col("best.fp")))
-    return out.select("doc_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("class_id"), keep.alias("keep"), "fp")
+    copies = every.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.coalesce("doc_id", F.lit(LAST))).alias("low"), F.count("*").alias("n"))
+    texts = common.cut(copies.join(classes(docs), "fp", "left").select("fp", "first", "low", "n", F.coalesce("label", "fp").alias("label")), "texts")
+    best = texts.groupBy("label").agg(F.min("first").alias("class_id"), F.min(F.struct("low", "fp")).alias("best"), F.count("*").alias("m"))
+    # classes and copies are joined back in two steps, hot ones spread
+    texts = common.skewed_join(texts, common.cut(best, "best"), ["label"], "m")
+    texts = common.cut(texts.select("fp", "class_id", "best", "n"), "classed")
+    known = common.skewed_join(every.where("fp is not null"), texts, ["fp"], "n")
+    keep = (F.coalesce("doc_id", F.lit(LAST)) == F.col("best.low")) & (F.col("fp") == F.col("best.fp"))
+    wordless = every.where("fp is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("keep"), "fp")
+    return known.select("doc_id", "class_id", keep.alias("keep"), "fp").unionByName(wordless)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class, with their own columns."""
-    verdict = near_duplicates(docs)
-    gone = verdict.where("not keep").select(F.col("doc_id").alias("_gone_id"), F.col("fp").alias("_gone_fp")).distinct()
-    fp = fingerprint(docs["text"])
-    out = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]) & (fp == gone["_gone_fp"]), "left_anti")
-    twice = verdict.where("keep and fp is not null").groupBy("doc_id", "fp").agg(F.count("*").alias("n")).where("n > 1")
-    return out.dropDuplicates(["doc_id", "text"]) if not twice.isEmpty() else out
+    """docs with one document of each class, with their own columns; documents without words stay."""
+    verdict = common.cut(near_duplicates(docs), "verdicts")
+    gone = verdict.where("not keep").select("doc_id", "fp").distinct()
+    twice = verdict.where("keep and fp is not null").groupBy("doc_id", "fp").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "fp")
+    d = docs.select(common.packed(docs), F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text")).alias("fp"))
+    same = lambda x: d["doc_id"].eqNullSafe(x["doc_id"]) & (d["fp"] == x["fp"])
+    left = d.join(gone, same(gone), "left_anti")
+    if not twice.isEmpty():  # repeated rows of a document that stays: one of them
+        same = lambda x: left["doc_id"].eqNullSafe(x["doc_id"]) & (left["fp"] == x["fp"])
+        left = left.join(twice, same(twice), "left_anti").unionByName(left.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "fp"]))
+    return common.unpacked(left, docs)
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
