@@ -4,7 +4,8 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the las
 columns of docs. Quality rules drop documents and lines, near-dedup drops documents, the secret
 scan masks spans in the texts, mixing orders all rows, and the last stage encodes the texts. As
 files are not read again in order, it states each row's place in the mix: by mix_slot (null last),
-source and mix_n.
+source and mix_n. Nulls in any column, empty tables and further columns of any name are handled by
+the operators (see there); documents without text do not pass the quality rules.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.token_table(mixing.positions(docs), carried=("mix_slot", "mix_n"))
+    return bpe.token_table(mixing.positions(docs.select("doc_id", "source", "text")), carried=("mix_slot", "mix_n"))
 
 
 STAGES = [
