@@ -124,6 +124,28 @@ def test_pipeline_removes_lines_and_states_the_mix(spark):
     assert {r.doc_id: (r.mix_slot, r.mix_n) for r in got} == want and len(set(want.values())) == 60
 
 
+def test_pipeline_with_nulls_clashes_and_no_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    lib = bpe.coder(bpe.default_path()).lib
+    odd = {c: F.lit("x") for c in ("mix_slot", "mix_n", "row", "fp", "kept", "secret_spans", "u", "at", "ids")}
+    rng = random.Random(40)
+    secret = "password=abcdef123456"
+    rows = [*corpus(), (50, f"{prose(rng, 60)} {secret}", "en", "src1", 1), (51, prose(rng, 70), None, "src2", None)]
+    for name, data in (("some", rows), ("none", [])):
+        spark.createDataFrame(data, SCHEMA).withColumns(odd).write.parquet(str(tmp_path / name / "documents.parquet"))
+        got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path / name)).collect()}
+        if name == "none":
+            assert not got
+            continue
+        # by hand: 50 words or more, few repeated ones; the first of equal or similar texts
+        assert set(got) == {0, 1, 2, 3, 4, 5, 9, 10, 50, 51}
+        want = {i: t for i, t, *_ in rows} | {50: rows[-2][1].replace(secret, secrets.MASK)}
+        for i, r in got.items():
+            assert list(r.ids) == [x if x < 2**31 else x - 2**32 for x in lib.encode(want[i], add_special_tokens=False).ids]
+        assert len({(r.source, r.mix_n) for r in got.values()}) == len(got)
+
+
 # --- near duplicates ---------------------------------------------------------------------------
 def _similar(a, b):
     x, y = (Counter(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in (a, b))
