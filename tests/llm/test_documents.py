@@ -61,6 +61,15 @@ def test_one_row_per_row(docs, none, name):
     assert OPERATORS[name](none).count() == 0
 
 
+def test_portions_hold_all_rows_in_order(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(common, "PORTION", 10)
+    texts = ["abc", None, "x" * 30, "", "abcdef", "abcdef", None]
+    out = list(common.portions(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["t"]), pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["t"])]), "t"))
+    assert [x for b in out for x in b["t"].to_pylist()] == texts and len(out) > 3
+
+
 def test_tables_are_deleted(spark, tmp_path):
     import os
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,6 +123,20 @@ class Words:
         return h
 
 
+PORTION = 4 << 20  # bytes of text that are looked at together
+
+
+def portions(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in smaller ones of about PORTION bytes in a column, so that arrays over words stay small."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PORTION, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
     """Order-dependent 64-bit hashes of all k-word shingles (empty if there are fewer words)."""
     n = len(h) - k + 1

@@ -154,7 +154,7 @@ def buckets(docs: DataFrame) -> DataFrame:
     """(fp, h, size): the buckets of each distinct text and its number of shingles, distinct."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.portions(batches, "text"):
             got = [bands(h) for h in word_hashes(b["text"])]
             some = [i for i, g in enumerate(got) if g[1]]
             keys = np.array([got[i][0] for i in some], np.int64).ravel()
@@ -169,7 +169,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(fp, s): the shingles of the texts in wanted (fp); copies of one text have one set."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.portions(batches, "text"):
             yield pa.RecordBatch.from_arrays([b["fp"], pa.array([members(h) for h in word_hashes(b["text"])], pa.binary())], ["fp", "s"])
 
     texts = docs.select(fingerprint(F.col("text")).alias("fp"), F.col("text").cast("string").alias("text"))

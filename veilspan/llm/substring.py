@@ -282,7 +282,7 @@ _PIECE_COLS = ["key", "ctx", "doc", "later", "n", "words"]
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in common.portions(batches, "text"):
         w = common.Words(b["text"])
         h = w.hashes()
         g = grams(h) if len(h) >= WINDOW else np.zeros(0, np.uint64)
@@ -301,7 +301,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of ranges: rows (doc, text, want: array of (key, ctx, lo, hi, later, n)) to pieces."""
-    for b in batches:
+    for b in common.portions(batches, "text"):
         w = common.Words(b["text"])
         raw = w.data.tobytes()
         want = b["want"]
@@ -316,7 +316,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of wanted contexts: the place of the first window in the context and in the text, the hash of the common words and those of the windows."""
-    for b in batches:
+    for b in common.portions(batches, "text"):
         w = common.Words(b["text"])
         hashes = RangeHashes(w.hashes())
         want = b["want"]
@@ -347,7 +347,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, n_words, n_removed and the kept words, joined by one space."""
-    for b in batches:
+    for b in common.portions(batches, "text"):
         w = common.Words(b["text"])
         change = np.zeros(len(w.start) + 1, np.int64)
         cuts = b["cuts"]
