@@ -56,7 +56,7 @@ def _normalized(texts: pd.Series) -> pd.DataFrame:
 
 def normalized(text: Column) -> Column:
     """struct<n,starts,ends> of an unstable text; stable ones send no more than a null to Python."""
-    udf = F.pandas_udf(_normalized, "struct<n:string,starts:array<int>,ends:array<int>>")
+    udf = F.pandas_udf(_normalized, "struct<n:string,starts:array<int>,ends:array<int>>").asNondeterministic()  # evaluated once, where it stands
     return udf(F.when(~is_stable(text), text))
 
 

@@ -43,6 +43,47 @@ def precision(proposed: DataFrame, gold: DataFrame) -> DataFrame:
     )
 
 
+def expand_occurrences(proposed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, start, end, confidence): every whole-word place of each proposed text in any case, with its highest confidence."""
+    p = proposed.join(texts.select("doc_id", "text"), "doc_id").select("doc_id", "text", F.expr("lower(substring(text, start + 1, end - start))").alias("value"), "confidence")
+    level = F.max(F.expr("case confidence when 'high' then 2 when 'medium' then 1 else 0 end"))
+    p = p.where("value <> ''").groupBy("doc_id", "value").agg(level.alias("level"), F.any_value("text").alias("text"))
+    whole = r"concat(r'(?iu)(?<![\p{L}\p{N}])\Q', value, r'\E(?![\p{L}\p{N}])')"
+    places = f"""aggregate(split(text, {whole}, -1), struct(0 as at, cast(array() as array<int>) as out),
+        (a, g) -> struct(a.at + length(g) + length(value) as at, array_append(a.out, a.at + length(g)) as out), a -> slice(a.out, 1, size(a.out) - 1))"""
+    o = p.select("doc_id", "value", "level", F.explode(F.expr(places)).alias("start"))
+    return o.selectExpr("doc_id", "start", "cast(start + length(value) as int) as end", "element_at(array('low', 'medium', 'high'), level + 1) as confidence").distinct()
+
+
+def lcg(state: str) -> str:
+    """SQL: the next state of a linear congruential generator modulo 2^31."""
+    return f"(({state}) * 1103515245 + 12345) % 2147483648"
+
+
+def fill_templates(keys: DataFrame, template: list[str], slots: list[list[str]]) -> DataFrame:
+    """(doc_id, text, entities) of keys (doc_id): a template with one slot between any two of its pieces, filled from lists by the generator seeded with the key.
+
+    entities: array<struct<start,end,slot>>, where each filling lies in the text.
+    """
+    draws, state = [], "doc_id"
+    for words in slots:
+        state = lcg(state)
+        values = ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+        draws.append(f"array({values})[cast(({state}) div 65536 % {len(words)} as int)]")
+    d = keys.select("doc_id", F.expr(f"array({', '.join(draws)})").alias("f"), F.array(*map(F.lit, template)).alias("t"))
+    text = "concat_ws('', transform(t, (x, i) -> concat(x, coalesce(get(f, i), ''))))"
+    spans = """aggregate(sequence(0, size(f) - 1), struct(0 as at, cast(array() as array<struct<start:int,end:int,slot:int>>) as out), (a, i) -> struct(
+        a.at + length(t[i]) + length(f[i]) as at, array_append(a.out, struct(a.at + length(t[i]) as start, a.at + length(t[i]) + length(f[i]) as end, i as slot)) as out)).out"""
+    return d.select("doc_id", F.expr(text).alias("text"), F.expr(spans).alias("entities"))
+
+
+def high_rate(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """(kind, high, total, rate) of generated values (doc_id, kind, category) that are found high (doc_id, category, confidence)."""
+    hit = found.where("confidence = 'high'").select("doc_id", "category").distinct().withColumn("hit", F.lit(1))
+    j = expected.join(hit, ["doc_id", "category"], "left").groupBy("kind").agg(F.count("hit").alias("high"), F.count("*").alias("total"))
+    return j.withColumn("rate", recall_rate(F.col("high"), F.col("total")))
+
+
 def tier(person_recall: Column, preselected_precision: Column) -> Column:
     return F.when((preselected_precision < PRECISION_TARGET) | (person_recall < RECALL_MINIMUM), "fail").when(person_recall >= RECALL_TARGET, "target").otherwise("minimum")
 

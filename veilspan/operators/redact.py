@@ -38,6 +38,28 @@ def attachment_decision(name: str, content: str, texts: str) -> Column:
     return F.expr(f"if({contains_any(name, texts)} or {contains_any(content, texts)}, 'remove', 'keep')")
 
 
+# The side channels of a document, and how many outline entries are looked at.
+CHANNELS = ["infoDictionary", "xmp", "outline", "annotations", "formFields", "attachments"]
+OUTLINE_LIMIT = 10_000
+
+
+def scrub_channels(values: DataFrame, plans: DataFrame) -> DataFrame:
+    """(doc_id, channel, ord, scrubbed, removed) of side-channel values (doc_id, channel, ord, value) by plans (doc_id, texts).
+
+    Texts are cut out of values; an attachment goes as a whole (null). Outline entries are in
+    breadth-first order, and those beyond OUTLINE_LIMIT are left alone.
+    """
+    from veilspan.functions import normalize
+
+    v = values.select(F.struct("doc_id", "channel", "ord").alias("doc_id"), F.col("value").alias("text"))
+    v = normalize.prepare(v).select("doc_id.*", F.col("text").alias("value"), "n", "starts", "ends").join(plans.select("doc_id", "texts"), "doc_id")
+    d = scrub(v)
+    whole, far = F.col("channel") == "attachments", (F.col("channel") == "outline") & (F.col("ord") >= OUTLINE_LIMIT)
+    gone = whole & (F.col("removed") > 0)
+    kept = F.when(far, F.col("value")).when(whole & ~gone, F.col("value")).when(~gone, F.col("scrubbed"))
+    return d.select("doc_id", "channel", "ord", kept.alias("scrubbed"), F.when(far, 0).when(gone, 1).otherwise(F.col("removed")).alias("removed"))
+
+
 def channel_counts(scrubbed: DataFrame) -> DataFrame:
     """(doc_id, channel, removed) without zero counts."""
     return scrubbed.groupBy("doc_id", "channel").agg(F.sum("removed").alias("removed")).where("removed > 0")

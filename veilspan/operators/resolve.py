@@ -40,7 +40,7 @@ def merged(column: str) -> str:
 
 def filtered(column: str, text: str = "text") -> str:
     """SQL: candidates that are not low, inside the text, and have enough characters that are not white space."""
-    kept = f"length(regexp_replace(substring({text}, x.start + 1, x.end - x.start), '\\\\\\\\s+', '')) >= {MIN_CHARS}"
+    kept = f"length(regexp_replace(substring({text}, x.start + 1, x.end - x.start), r'\\s+', '')) >= {MIN_CHARS}"
     return f"filter({column}, x -> x.confidence <> 'low' and x.start >= 0 and x.end <= length({text}) and {kept})"
 
 

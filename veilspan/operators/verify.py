@@ -33,9 +33,23 @@ def side_channels(values: DataFrame, plans: DataFrame) -> DataFrame:
     return j.where(F.expr(f"size({whole_word_occurrences('n', 't')}) > 0")).select("doc_id", "channel", "text_index")
 
 
-def image_pixels(samples: DataFrame) -> DataFrame:
-    """(doc_id, passed): every sampled image region is uniform."""
-    return samples.groupBy("doc_id").agg(F.bool_and("uniform").alias("passed"))
+PIXEL_TOLERANCE, INSET, JPEG_INSET = 8, 2.0, 8.0
+
+
+def image_pixels(pixels: DataFrame, areas: DataFrame) -> DataFrame:
+    """(doc_id, area_id, samples, passed): all samples under an area differ by no more than the tolerance in any band.
+
+    pixels: (doc_id, x, y, bands); areas: (doc_id, area_id, box, jpeg). The edges of an area are
+    not looked at, more of them in a JPEG image. An area without samples passes.
+    """
+    inset = F.when(F.col("jpeg"), JPEG_INSET).otherwise(INSET)
+    a = areas.select("doc_id", "area_id", (F.col("box.x") + inset).alias("x0"), (F.col("box.y") + inset).alias("y0"),
+                     (F.col("box.x") + F.col("box.w") - inset).alias("x1"), (F.col("box.y") + F.col("box.h") - inset).alias("y1"))
+    j = pixels.join(a, "doc_id").where("x >= x0 and x < x1 and y >= y0 and y < y1").select("doc_id", "area_id", F.posexplode("bands").alias("band", "v"))
+    spread = j.groupBy("doc_id", "area_id", "band").agg((F.max("v") - F.min("v")).alias("spread"), F.count("*").alias("n"))
+    seen = spread.groupBy("doc_id", "area_id").agg(F.max("n").alias("samples"), (F.max("spread") <= PIXEL_TOLERANCE).alias("even"))
+    out = areas.select("doc_id", "area_id").join(seen, ["doc_id", "area_id"], "left")
+    return out.select("doc_id", "area_id", F.coalesce("samples", F.lit(0)).alias("samples"), F.coalesce("even", F.lit(True)).alias("passed"))
 
 
 def single_revision(revisions: Column) -> Column:

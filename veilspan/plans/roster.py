@@ -58,7 +58,25 @@ def normalize_text(spark, sf):
 @query(f"SELECT conv_id, turn, {_N} AS n FROM conversations")
 def normalize_conversations(spark, sf):
     c = table(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("doc_id"), "text")
-    return c.select("doc_id.conv_id", "doc_id.turn", normalize.fast(F.col("text")).alias("n"))
+    return normalize.prepare(c).select("doc_id.conv_id", "doc_id.turn", "n")
+
+
+_ODD_TEXT = "concat('ﬁrst\u00a0\u2009  Ａ', cast(k as string), '\u200b\tE\u0301\u00ad ½', repeat(' ', cast(k % 3 as int)), 'Ω')"
+_ODD_N = "concat('first a', cast(k as string), ' é 1⁄2', CASE WHEN k % 3 = 0 THEN '' ELSE ' ' END, 'ω')"
+
+
+@query(f"SELECT c_custkey AS doc_id, {_ODD_N.replace('(k', '(c_custkey').replace('k %', 'c_custkey %')} AS n, length({_ODD_N.replace('(k', '(c_custkey').replace('k %', 'c_custkey %')})::INT AS places FROM customer")
+def normalize_unstable_texts(spark, sf):
+    d = normalize.prepare(_derived(spark, sf, "customer", "c_custkey", _ODD_TEXT))
+    return d.select("doc_id", "n", F.size("starts").alias("places"))
+
+
+_ODD_MAIL = "concat('ｍail:  user', cast(k as string), '\u200b@ex\u00adample.org')"
+
+
+@query("""SELECT c_custkey AS doc_id, 7 AS start, (25 + length(c_custkey::VARCHAR))::INT AS "end", 'high' AS confidence FROM customer""")
+def detect_email_in_unstable_texts(spark, sf):
+    return _found(_derived(spark, sf, "customer", "c_custkey", _ODD_MAIL), "email")
 
 
 NEEDLES = ["the", "et la", "nd"]
@@ -76,6 +94,24 @@ def whole_word_occurrences_of_needles(spark, sf):
     return d.select("doc_id", "needle", F.explode(F.expr(whole_word_occurrences("n", "needle"))).alias("start"))
 
 
+@query(f"""{_OCC.replace('SELECT doc_id, needle, start FROM m', 'SELECT doc_id, needle, start, (start + length(needle))::INT AS "end" FROM m')}
+UNION SELECT doc_id, 'the', 1, 4 FROM documents""")
+def occurrences(spark, sf):
+    d = _docs(spark, sf)
+    r = d.select("doc_id", F.explode(F.array(*map(F.lit, NEEDLES))).alias("key")).selectExpr("doc_id", "key", "if(key = 'the', 1, null) as start", "if(key = 'the', 4, null) as end")
+    return review.occurrences(r, normalize.prepare(d)).select("doc_id", F.col("key").alias("needle"), "start", "end")
+
+
+_ODD_PLACES = "concat('x ﬁrst  Line y ﬁrst', repeat(' ', cast(k % 4 + 1 as int)), 'Line ', cast(k as string))"
+
+
+@query("""SELECT c_custkey AS doc_id, unnest([2, 15]) AS start, unnest([12, (24 + c_custkey % 4)::INT]) AS "end" FROM customer""")
+def occurrences_in_unstable_texts(spark, sf):
+    d = _derived(spark, sf, "customer", "c_custkey", _ODD_PLACES)
+    r = d.select("doc_id", normalize.key(F.substring("text", 3, 10)).alias("key"), F.lit(2).alias("start"), F.lit(12).alias("end"))
+    return review.occurrences(r, normalize.prepare(d)).select("doc_id", "start", "end")
+
+
 # --- checksums ---------------------------------------------------------------------------------
 _CARD = "concat('4', lpad(cast(k * 7919 as string), 14, '0'), cast(k % 10 as string))"
 _LUHN = """(SELECT sum(CASE WHEN i % 2 = 0 THEN d ELSE CASE WHEN 2 * d > 9 THEN 2 * d - 9 ELSE 2 * d END END) % 10 = 0
@@ -144,7 +180,10 @@ m AS (SELECT doc_id, n, v[i] AS value, (list_sum(list_transform(gaps[1:i], lambd
 _EMAIL = r"(^|[^\p{L}\p{N}._%+-])([a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,24})($|[^\p{L}\p{N}])"
 
 
-@query(_matches("documents", _EMAIL) + " SELECT doc_id, start, (start + length(value))::INT AS \"end\", 'high' AS confidence FROM m")
+_EMAIL_SQL = _matches("documents", _EMAIL) + " SELECT doc_id, start, (start + length(value))::INT AS \"end\", 'high' AS confidence FROM m"
+
+
+@query(_EMAIL_SQL)
 def detect_email(spark, sf):
     return _found(_docs(spark, sf), "email")
 
@@ -157,9 +196,12 @@ def detect_url(spark, sf):
 _LONG = r"(^|[^\p{L}\p{N}.,/])([0-9](?:-?[0-9]){7,})"
 
 
-@query(_matches("documents", _LONG) + r""" SELECT doc_id, start, (start + length(value))::INT AS "end", 'high' AS confidence FROM m
+_LONG_SQL = _matches("documents", _LONG) + r""" SELECT doc_id, start, (start + length(value))::INT AS "end", 'high' AS confidence FROM m
 WHERE length(replace(value, '-', '')) <= 16 AND NOT (start >= 2 AND regexp_matches(substring(n, start - 1, 2), '^[0-9][ -]$'))
-AND NOT regexp_matches(substring(n, start + length(value) + 1, 2), '^([\p{L}\p{N}]|[.,/][0-9]|[ -][0-9])')""")
+AND NOT regexp_matches(substring(n, start + length(value) + 1, 2), '^([\p{L}\p{N}]|[.,/][0-9]|[ -][0-9])')"""
+
+
+@query(_LONG_SQL)
 def detect_long_number(spark, sf):
     return _found(_docs(spark, sf), "long-number")
 
@@ -169,13 +211,16 @@ _CARDS = r"(^|[^\p{L}\p{N}])([0-9](?:(?:  |-)?[0-9]){12,22})($|[^\p{L}\p{N}])"
 _ISSUER = r"^(?:4|5[1-5]|2(?:2[2-9]|[3-6][0-9]|7[01]|720)|3[47]|3[068]|35|6011|65)"
 
 
-@query(_matches("documents", _CARDS).replace(f"SELECT doc_id, {_N} AS n FROM documents", f"SELECT doc_id, replace({_N}, ' ', '  ') AS n FROM documents") + rf""",
+_CARD_SQL = _matches("documents", _CARDS).replace(f"SELECT doc_id, {_N} AS n FROM documents", f"SELECT doc_id, replace({_N}, ' ', '  ') AS n FROM documents") + rf""",
 q AS (SELECT doc_id, replace(n, '  ', ' ') AS n, replace(value, '  ', ' ') AS value, regexp_replace(value, '[^0-9]', '', 'g') AS d, length(replace(substring(n, 1, start), '  ', ' '))::INT AS start FROM m),
 p AS (SELECT *, CASE WHEN length(d) BETWEEN 13 AND 19 AND regexp_matches(substring(n, greatest(start - 30, 0) + 1, least(30, start)), '(^|[^\p{{L}}\p{{N}}])(?:carta|bancomat|card|credit card|debit card)') THEN length(d)
   ELSE (SELECT max(k) FROM (SELECT unnest(range(13, 20)) AS k) WHERE k <= length(d) AND regexp_matches(substring(d, 1, k), '{_ISSUER}') AND
     (SELECT sum(CASE WHEN i % 2 = 0 THEN x WHEN 2 * x > 9 THEN 2 * x - 9 ELSE 2 * x END) % 10 = 0 FROM (SELECT i, substring(d, (k - i)::BIGINT, 1)::INT AS x FROM (SELECT unnest(range(k)) AS i)))) END AS digits FROM q),
 e AS (SELECT doc_id, start, value, digits, (SELECT min(i) FROM (SELECT unnest(range(1, length(value) + 1)) AS i) WHERE length(regexp_replace(substring(value, 1, i), '[^0-9]', '', 'g')) = digits) AS len FROM p WHERE digits IS NOT NULL)
-SELECT doc_id, start, (start + len)::INT AS "end", 'high' AS confidence FROM e""")
+SELECT doc_id, start, (start + len)::INT AS "end", 'high' AS confidence FROM e"""
+
+
+@query(_CARD_SQL)
 def detect_card(spark, sf):
     return _found(_docs(spark, sf), "payment-card")
 
@@ -292,6 +337,16 @@ def detect_first_name_pair(spark, sf):
     return _found(_derived(spark, sf, "customer", "c_custkey", _PEOPLE), "first-name-pair")
 
 
+_NAMED = "concat('ieri Zo', chr(cast(97 + k % 26 as int)), 'a Bianchi scrive')"
+
+
+@query("""SELECT c_custkey AS doc_id, 5 AS start, 17 AS "end", 'high' AS confidence FROM customer WHERE c_custkey % 26 IN (SELECT n_nationkey FROM nation)""")
+def detect_first_names_of_a_table(spark, sf):
+    names_ = table(spark, sf, "nation").selectExpr("concat('ZO', chr(65 + n_nationkey), 'A')")
+    d = rules.apply(normalize.prepare(_derived(spark, sf, "customer", "c_custkey", _NAMED)), "first-name-pair", "c", names_)
+    return d.select("doc_id", F.explode_outer("c").alias("c")).where("c is not null").select("doc_id", "c.start", "c.end", "c.confidence")
+
+
 @query(_expect("customer", "c_custkey", _PEOPLE, """SELECT k AS doc_id, 'first-name-pair' AS rule, 7 AS start, 20 AS "end" FROM y WHERE k % 5 = 2
 UNION ALL SELECT k, 'propagation', 26, 33 FROM y WHERE k % 5 = 2 UNION ALL SELECT k, 'titled-name', 12, 17 FROM y WHERE k % 5 = 1 UNION ALL SELECT k, 'labeled-field', 8, 13 FROM y WHERE k % 5 = 0
 UNION ALL SELECT k, 'labeled-field', 7, 25 FROM y WHERE k % 5 = 3"""))
@@ -317,19 +372,58 @@ def merge_candidates(spark, sf):
     return resolve.merge_rows(c).select("doc_id", "ord", "start", "end", "category", "confidence")
 
 
-@query()
+_RAW = """SELECT doc_id, text, cast(k as int) AS ord, cast(length(text) * k / 9 - 3 as int) AS start, cast(length(text) * k / 9 - 3 + 1 + (doc_id + k) % 6 as int) AS "end", 'EMAIL' AS category,
+  CASE (doc_id + 2 * k) % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence FROM documents, (SELECT unnest(range(10)) AS k) WHERE length(text) > 100"""
+
+
+@query(f"""WITH c AS ({_RAW.replace('cast(length(text) * k / 9 - 3 as int)', '((length(text) * k) // 9 - 3)::INT').replace('cast(length(text) * k / 9 - 3 + 1 + (doc_id + k) % 6 as int)', '((length(text) * k) // 9 - 2 + (doc_id + k) % 6)::INT')})
+SELECT doc_id, start, "end", confidence FROM c WHERE confidence <> 'low' AND start >= 0 AND "end" <= length(text)
+  AND length(regexp_replace(substring(text, start + 1, "end" - start), '\\s+', '', 'g')) >= 3""")
+def finalize_filters(spark, sf):
+    k = _docs(spark, sf).where("length(text) > 100").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
+    c = k.selectExpr("doc_id", "text", "k", "cast((length(text) * k) div 9 - 3 as int) as start", "cast((length(text) * k) div 9 - 2 + (doc_id + k) % 6 as int) as end", "'EMAIL' as category",
+                     "case (doc_id + 2 * k) % 3 when 0 then 'high' when 1 then 'medium' else 'low' end as confidence", "'rule' as method", "'test' as rule")
+    one = c.groupBy("doc_id").agg(F.any_value("text").alias("text"), F.expr("transform(sort_array(collect_list(struct(k, struct(start, end, category, confidence, method, rule) as c))), x -> x.c)").alias("candidates"))
+    d = resolve.finalize(one, propagate=False).select("doc_id", F.explode_outer("candidates").alias("c")).where("c is not null")
+    return d.select("doc_id", "c.start", "c.end", "c.confidence")
+
+
+_TITLED = rf"(^|[^\p{{L}}])((?i:{lexicon.TITLE})[ \t]+\p{{Lu}}[\p{{L}}''’-]+(?:[ \t]+\p{{Lu}}[\p{{L}}''’-]+){{0,2}})"
+_STOPS = ", ".join(f"'{w}'" for w in lexicon.FORM_LABELS + lexicon.GREETINGS + lexicon.LEGAL_FORMS)
+# the rules that fire on the tables (the others are compared on derived texts), then the greedy choice; every finding is high
+_ALL = f"""WITH RECURSIVE email AS ({_EMAIL_SQL}), card AS ({_CARD_SQL}), long AS ({_LONG_SQL}),
+titled AS (WITH q AS ({_matches("documents", _TITLED).replace(f"SELECT doc_id, {_N} AS n FROM documents", "SELECT doc_id, text AS n FROM documents")} SELECT doc_id, start, value, regexp_extract(value, '^(?i:{lexicon.TITLE})[ \t]+', 0) AS head FROM m),
+  w AS (SELECT doc_id, (start + length(head))::INT AS start, string_split_regex(substring(value, length(head) + 1), '[ \t]+') AS ws FROM q),
+  x AS (SELECT doc_id, start, ws, list_position(list_transform(ws, lambda v: lower(v) IN ({_STOPS}) OR regexp_matches(v, '^(?i:{lexicon.TITLE})$') OR regexp_matches(v || '.', '^(?i:{lexicon.TITLE})$')), true) AS cut FROM w),
+  y AS (SELECT doc_id, start, array_to_string(CASE WHEN cut > 0 THEN ws[1:cut - 1] ELSE ws END, ' ') AS name FROM x)
+  SELECT doc_id, start, (start + length(name))::INT AS "end" FROM y WHERE length(name) >= 2),
+u AS (SELECT doc_id, start, "end", 'EMAIL' AS category, 0 AS ord FROM email UNION ALL SELECT doc_id, start, "end", 'PAYMENT_CARD', 1 FROM card
+  UNION ALL SELECT doc_id, start, "end", 'CONTEXTUAL_ID', 2 FROM long UNION ALL SELECT doc_id, start, "end", 'PERSON', 3 FROM titled),
+f AS (SELECT u.* FROM u JOIN documents USING (doc_id) WHERE length(regexp_replace(substring(text, start + 1, "end" - start), '\\s+', '', 'g')) >= 3),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start - "end", category = 'CONTEXTUAL_ID', start, ord) AS rk FROM f),
+r AS (SELECT DISTINCT doc_id, 0::BIGINT AS rk, []::STRUCT(s INT, e INT)[] AS acc, false AS ok FROM f UNION ALL
+  SELECT p.doc_id, p.rk, CASE WHEN len(list_filter(acc, lambda x: x.s < p."end" AND p.start < x.e)) = 0 THEN list_append(acc, {{'s': p.start, 'e': p."end"}}) ELSE acc END,
+    len(list_filter(acc, lambda x: x.s < p."end" AND p.start < x.e)) = 0 FROM r JOIN p ON p.doc_id = r.doc_id AND p.rk = r.rk + 1),
+a AS (SELECT p.doc_id, p.start, p."end", p.category, 'high' AS confidence, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.start) - 1 AS ord FROM p JOIN r ON p.doc_id = r.doc_id AND p.rk = r.rk WHERE r.ok)"""
+
+
+_ALL_ROWS = _ALL + """ SELECT doc_id, ord::INT AS ord, start, "end", category, confidence, 'rule' AS method,
+CASE category WHEN 'EMAIL' THEN 'email' WHEN 'PAYMENT_CARD' THEN 'payment-card' WHEN 'PERSON' THEN 'titled-name' ELSE 'long-number' END AS rule FROM a"""
+
+
+@query(_ALL_ROWS)
 def detect_all(spark, sf):
     return resolve.findings(resolve.detect(_docs(spark, sf)))
 
 
-@query()
+@query(_ALL + " SELECT category, confidence, count(*) AS findings, count(DISTINCT doc_id) AS documents FROM a GROUP BY category, confidence")
 def category_confidence_summary(spark, sf):
     return detect_all(spark, sf).groupBy("category", "confidence").agg(F.count("*").alias("findings"), F.countDistinct("doc_id").alias("documents"))
 
 
-@query()
+@query(_ALL_ROWS)  # segments end at lines or spaces: no finding of the tables is cut
 def segmented_detect(spark, sf):
-    return resolve.findings(resolve.detect_segmented(_docs(spark, sf), rule_names=["email", "payment-card", "long-number"]))
+    return resolve.findings(resolve.detect_segmented(_docs(spark, sf)))
 
 
 @query("SELECT doc_id, length(text)::BIGINT AS chars, true AS faithful FROM documents")
@@ -357,6 +451,65 @@ def bio_aggregate(spark, sf):
     return e.select("doc_id", "start", "end", "type", F.round("score", 4).alias("score"))
 
 
+def _events(spark, sf, sql):
+    return spark.sql(sql.replace('"end"', "`end`").replace("FROM events", "FROM {t}"), t=table(spark, sf, "events"))
+
+
+_ENTITIES = """SELECT user_id AS doc_id, cast(row_number() OVER (PARTITION BY user_id ORDER BY event_id) as int) AS word, upper(event_type) AS category, round(abs(value) - floor(abs(value)), 3) AS score FROM events"""
+
+
+@query(f"""WITH e AS (SELECT *, word * 6 AS start, word * 6 + 4 + word % 2 AS "end" FROM ({_ENTITIES})),
+p AS (SELECT *, lag(category) OVER (PARTITION BY doc_id ORDER BY word) AS pc, lag("end") OVER (PARTITION BY doc_id ORDER BY word) AS pe FROM e),
+g AS (SELECT *, sum(CASE WHEN pc = category AND start - pe <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY word) AS i FROM p)
+SELECT doc_id, category, min(start)::INT AS start, max("end")::INT AS "end", min(score) AS score FROM g GROUP BY doc_id, category, i""")
+def join_adjacent(spark, sf):
+    e = _events(spark, sf, f"""SELECT doc_id, word * 6 AS start, word * 6 + 4 + word % 2 AS "end", category, score FROM ({_ENTITIES})""")
+    texts = e.groupBy("doc_id").agg(F.max("end").alias("n")).select("doc_id", F.expr("regexp_replace(repeat('abcd  ', n div 6 + 1), '(abcd)  abcd  ', '$1  abcde ')").alias("text"))
+    return ner.join_adjacent(e, texts.select("doc_id", F.expr("repeat(' ', length(text))").alias("text")))
+
+
+_KINDS = ["FULLNAME", "ORG", "CITY", "EMAIL", "AGE", "STREET", "TELEPHONENUM", "DATE", "DOCID"]
+
+
+@query(f"""WITH m AS (SELECT unnest({list(lexicon.MODEL_LABELS)!r}) AS type, unnest({list(lexicon.MODEL_LABELS.values())!r}) AS category), e AS (SELECT event_id, {_KINDS!r}[event_id % 9 + 1] AS type FROM events)
+SELECT event_id, category FROM e JOIN m USING (type)""")
+def map_labels(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.expr(f"array({', '.join(repr(k) for k in _KINDS)})[event_id % 9]").alias("type"))
+    return ner.map_labels(e)
+
+
+@query("""WITH e AS (SELECT event_id AS doc_id, ['EMAIL', 'PHONE', 'URL', 'LOCATION'][event_id % 4 + 1] AS category, round(0.85 + (event_id % 16) / 100.0, 3) AS score, (event_id % 3 + 1) * 4 - 1 AS stop FROM events)
+SELECT doc_id, 0 AS start, stop::INT AS "end", category, 'medium' AS confidence FROM e WHERE score >= CASE WHEN category IN ('EMAIL', 'PHONE') THEN 0.9 ELSE 0.99 END AND (category <> 'LOCATION' OR stop > 3)""")
+def grade_model(spark, sf):
+    g = table(spark, sf, "events").selectExpr("event_id as doc_id", "array('EMAIL', 'PHONE', 'URL', 'LOCATION')[event_id % 4] as category", "0 as start", "cast((event_id % 3 + 1) * 4 - 1 as int) as end",
+                                              "round(0.85D + (event_id % 16) / 100D, 3) as score", "1L as models")
+    return ner.graded(g, g.selectExpr("doc_id", "'abc def ghi' as text"))
+
+
+_LINE_WORDS = """l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS chunk, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, chunk::INT AS chunk, unnest(range(len(string_split(ls[chunk + 1], ' ')))) AS i, string_split(ls[chunk + 1], ' ') AS ws FROM l),
+v AS (SELECT doc_id, chunk, i, ws[i + 1] AS word, coalesce(sum(length(ws[i + 1]) + 1) OVER (PARTITION BY doc_id, chunk ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS p FROM w)"""
+
+
+@query(f"""WITH {_LINE_WORDS}, t AS (SELECT doc_id, chunk, i, 0 AS part, p AS start, (p + least(3, length(word)))::INT AS "end" FROM v WHERE word <> ''
+UNION ALL SELECT doc_id, chunk, i, 1, p + 3, (p + length(word))::INT FROM v WHERE length(word) > 3)
+SELECT doc_id, chunk, (row_number() OVER (PARTITION BY doc_id, chunk ORDER BY i, part) - 1)::INT AS token, start, "end" FROM t""")
+def align_tokens(spark, sf):
+    lines = _docs(spark, sf).where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("chunk", "text"))
+    pieces = "flatten(transform(filter(split(text, ' ', -1), w -> w <> ''), w -> if(length(w) > 3, array(substring(w, 1, 3), concat('##', substring(w, 4))), array(w))))"
+    t = lines.select("doc_id", "chunk", ner.token_spans(F.col("text"), F.expr(pieces)).alias("s"))
+    return t.select("doc_id", "chunk", F.posexplode_outer("s").alias("token", "s")).where("s is not null").select("doc_id", "chunk", "token", "s.start", "s.end")
+
+
+@query("""WITH e AS (SELECT user_id AS doc_id, unnest([0, 1]) AS chunk, (event_id % 50)::INT AS start, (event_id % 50 + 4)::INT AS "end", event_type AS category, event_id FROM events),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, start, "end", category ORDER BY chunk, event_id) AS r FROM e)
+SELECT doc_id, start, "end", category, (event_id % 89 + chunk)::DOUBLE AS score FROM f WHERE r = 1""")
+def dedupe_chunks(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_id", "event_type", F.explode(F.array(F.lit(0), F.lit(1))).alias("c"))
+    e = e.selectExpr("user_id as doc_id", "c * 100000000 + event_id as chunk", "cast(event_id % 50 as int) as start", "cast(event_id % 50 + 4 as int) as end", "event_type as category", "cast(event_id % 89 + c as double) as score")
+    return ner.dedupe(e).select("doc_id", "start", "end", "category", "score")
+
+
 _VOTES = """SELECT l_orderkey AS doc_id, CASE WHEN l_suppkey % 2 = 0 THEN 'PERSON' ELSE 'EMAIL' END AS category, cast(l_partkey % 60 as int) AS start, cast(l_partkey % 60 + 3 + l_linenumber as int) AS "end",
   round(l_discount, 2) AS score, concat('m', cast(l_suppkey % 3 as string)) AS model FROM lineitem"""
 
@@ -388,7 +541,7 @@ def classify_pages(spark, sf):
     return ingest.classify_pages(pages).select("doc_id", "support")
 
 
-_RANGES = "SELECT doc_id, k AS range_id, cast(k * 37 as int) AS r_start, cast(k * 37 + 25 as int) AS r_end FROM documents, (SELECT unnest([0, 1, 2, 5]) AS k)"
+_RANGES = "SELECT doc_id, k AS range_id, ((length(text) * k) // 6)::INT AS r_start, ((length(text) * k) // 6 + 25)::INT AS r_end FROM documents, (SELECT unnest([0, 1, 2, 5]) AS k)"
 
 
 @query(f"""WITH {_LINES}, r AS ({_RANGES}), j AS (SELECT r.doc_id, range_id, page, line, greatest(r_start, start) - start AS a, least(r_end, start + length(text)) - start AS b
@@ -396,7 +549,8 @@ _RANGES = "SELECT doc_id, k AS range_id, cast(k * 37 as int) AS r_start, cast(k
 SELECT doc_id, range_id, page, line, (10 + 5 * a)::DOUBLE AS x, (10 + 12 * line)::DOUBLE AS y, (5 * (b - a))::DOUBLE AS w, 12::DOUBLE AS h FROM j""")
 def page_areas(spark, sf):
     spans = ingest.fixed_boxes(ingest.spans_of(ingest.lines_of(_docs(spark, sf))))
-    r = _docs(spark, sf).select("doc_id", F.explode(F.array(*map(F.lit, (0, 1, 2, 5)))).alias("range_id")).selectExpr("doc_id", "range_id", "range_id * 37 as r_start", "range_id * 37 + 25 as r_end")
+    r = _docs(spark, sf).select("doc_id", "text", F.explode(F.array(*map(F.lit, (0, 1, 2, 5)))).alias("range_id"))
+    r = r.selectExpr("doc_id", "range_id", "cast((length(text) * range_id) div 6 as int) as r_start", "cast((length(text) * range_id) div 6 + 25 as int) as r_end")
     return ingest.areas_for(spans, r).select("doc_id", "range_id", "page", "line", "box.x", "box.y", "box.w", "box.h")
 
 
@@ -404,7 +558,8 @@ def page_areas(spark, sf):
 FROM r JOIN s ON r.doc_id = s.doc_id WHERE length(text) > 0 AND start < r_end AND r_start < start + length(text) GROUP BY r.doc_id, range_id""")
 def page_of(spark, sf):
     spans = ingest.spans_of(ingest.lines_of(_docs(spark, sf)))
-    r = _docs(spark, sf).select("doc_id", F.explode(F.array(*map(F.lit, (0, 1, 2, 5)))).alias("range_id")).selectExpr("doc_id", "range_id", "range_id * 37 as r_start", "range_id * 37 + 25 as r_end")
+    r = _docs(spark, sf).select("doc_id", "text", F.explode(F.array(*map(F.lit, (0, 1, 2, 5)))).alias("range_id"))
+    r = r.selectExpr("doc_id", "range_id", "cast((length(text) * range_id) div 6 as int) as r_start", "cast((length(text) * range_id) div 6 + 25 as int) as r_end")
     return ingest.page_of(spans, r)
 
 
@@ -416,24 +571,35 @@ def unreadable_lines(spark, sf):
     return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(ingest.is_unreadable(F.col("text"))).alias("unreadable"))
 
 
-@query("SELECT page_id, octet_length(encode(html))::BIGINT AS size, CASE WHEN octet_length(encode(html)) > 52428800 THEN 'tooLarge' ELSE 'notPdf' END AS support FROM pages WHERE html NOT LIKE '%PDF-%'")
+_HEADED = "concat(repeat('é', cast(k % 600 as int)), CASE WHEN k % 2 = 0 THEN '%PDF-1.7' ELSE '%PDF' END, text)"
+_HEADER = "instr(hex(encode(c))[1:2048], '255044462D') % 2 = 1"
+
+
+@query(f"WITH x AS (SELECT page_id AS k, html AS text FROM pages), y AS (SELECT k, {_HEADED} AS c FROM x) SELECT k AS page_id, {_HEADER} AS pdf FROM y")
+def looks_like_pdf(spark, sf):
+    x = table(spark, sf, "pages").selectExpr("page_id as k", "html as text").selectExpr("k", f"cast({_HEADED} as binary) as c")
+    return x.select(F.col("k").alias("page_id"), ingest.looks_like_pdf(F.col("c")).alias("pdf"))
+
+
+@query(f"""WITH x AS (SELECT page_id AS k, html AS text FROM pages), y AS (SELECT k, CASE WHEN k % 3 = 0 THEN {_HEADED} ELSE text END AS c FROM x)
+SELECT k AS page_id, octet_length(encode(c))::BIGINT AS size, CASE WHEN octet_length(encode(c)) > 52428800 THEN 'tooLarge' WHEN NOT ({_HEADER}) THEN 'notPdf' END AS support FROM y""")
 def classify_size(spark, sf):
-    p = table(spark, sf, "pages").where("html not like '%PDF-%'").select("page_id", F.col("html").cast("binary").alias("content"))
+    p = table(spark, sf, "pages").selectExpr("page_id as k", "html as text").selectExpr("k as page_id", f"cast(case when k % 3 = 0 then {_HEADED} else text end as binary) as content")
     return p.select("page_id", F.octet_length("content").cast("long").alias("size"), ingest.classify_file(F.octet_length("content"), F.col("content")).alias("support"))
 
 
 # --- review ------------------------------------------------------------------------------------
-_PICK = """SELECT doc_id, cast(k as int) AS ord, cast(k * 11 % 90 as int) AS start, cast(k * 11 % 90 + 8 as int) AS "end", CASE WHEN k % 2 = 0 THEN 'PERSON' ELSE 'LOCATION' END AS category,
-  CASE WHEN (doc_id + k) % 3 = 0 THEN 'high' ELSE 'medium' END AS confidence, text FROM documents, (SELECT unnest(range(9)) AS k) WHERE length(text) > 100"""
+_PICK = """SELECT doc_id, cast(k as int) AS ord, ((length(text) * k) // 9)::INT AS start, ((length(text) * k) // 9 + 8)::INT AS "end", CASE WHEN k % 2 = 0 THEN 'PERSON' ELSE 'LOCATION' END AS category,
+  CASE WHEN (doc_id + k) % 3 = 0 THEN 'high' ELSE 'medium' END AS confidence, text FROM documents, (SELECT unnest(range(9)) AS k) WHERE text IS NOT NULL"""
 _INTAKE = f"""WITH p AS ({_PICK}), q AS (SELECT *, substring(text, start + 1, 8) AS raw FROM p), t AS (SELECT *, regexp_replace(regexp_replace(raw, '^\\s+', ''), '\\s+$', '') AS value FROM q WHERE NOT regexp_matches(raw, '^\\s*$')),
 k AS (SELECT *, {_N.replace('text', 'value')} AS key, CASE confidence WHEN 'high' THEN 2 ELSE 1 END AS r FROM t),
 i AS (SELECT doc_id, key, arg_min(value, ord) AS text, arg_min(category, ord) AS category, max(r) AS r FROM k GROUP BY doc_id, key)"""
 
 
 def _picked(spark, sf):
-    d = _docs(spark, sf).where("length(text) > 100")
-    k = d.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k"))
-    return k.selectExpr("doc_id", "k as ord", "k * 11 % 90 as start", "k * 11 % 90 + 8 as end", "if(k % 2 = 0, 'PERSON', 'LOCATION') as category", "if((doc_id + k) % 3 = 0, 'high', 'medium') as confidence")
+    d = _docs(spark, sf).where("text is not null")
+    k = d.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k"))
+    return k.selectExpr("doc_id", "k as ord", "cast((length(text) * k) div 9 as int) as start", "cast((length(text) * k) div 9 + 8 as int) as end", "if(k % 2 = 0, 'PERSON', 'LOCATION') as category", "if((doc_id + k) % 3 = 0, 'high', 'medium') as confidence")
 
 
 @query(f"{_INTAKE} SELECT doc_id, key, text, category, CASE r WHEN 2 THEN 'high' ELSE 'medium' END AS confidence, r = 2 AS selected FROM i")
@@ -496,10 +662,21 @@ def scrub_text(spark, sf):
     return _scrubbed(spark, sf).select("doc_id", "removed", F.length("scrubbed").alias("chars_left"))
 
 
-@query(f"{_SCRUB} SELECT source AS channel, sum(removed)::BIGINT AS removed FROM c JOIN documents USING (doc_id) GROUP BY source")
+# side channels: the lines of a text, dealt over the channels
+_CHANNELS = ["infoDictionary", "xmp", "outline", "annotations", "formFields", "attachments"]
+_VALUES = f"""v AS (SELECT doc_id, i AS ord, {_CHANNELS!r}[i % 6 + 1] AS channel, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL))"""
+_SIDE = f"""WITH {_VALUES}, d AS (SELECT struct_pack(doc_id, ord) AS doc_id, line AS text, {_N.replace('text', 'line')} AS n FROM v), """ + _SCRUB.split("FROM documents),", 1)[1].lstrip()
+
+
+def _side_values(spark, sf):
+    lines = _docs(spark, sf).where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ord", "value"))
+    return lines.select("doc_id", F.expr(f"array({', '.join(repr(c) for c in redact.CHANNELS)})[ord % 6]").alias("channel"), "ord", "value")
+
+
+@query(f"""{_SIDE}, r2 AS (SELECT c.doc_id.doc_id AS doc_id, v.channel, CASE WHEN channel = 'attachments' THEN 1 ELSE removed END AS removed FROM c JOIN v ON v.doc_id = c.doc_id.doc_id AND v.ord = c.doc_id.ord)
+SELECT doc_id, channel, sum(removed)::BIGINT AS removed FROM r2 GROUP BY doc_id, channel""")
 def channel_counts(spark, sf):
-    s = _scrubbed(spark, sf).select("doc_id", "removed").join(table(spark, sf, "documents").select("doc_id", F.col("source").alias("channel")), "doc_id")
-    return redact.channel_counts(s.withColumn("doc_id", F.lit(0))).select("channel", "removed")
+    return redact.channel_counts(redact.scrub_channels(_side_values(spark, sf), _plans(spark, sf))).select("doc_id", "channel", F.col("removed").cast("long").alias("removed"))
 
 
 @query(f"""{_SCRUB} SELECT d.doc_id, CASE WHEN c.removed > 0 THEN 'remove' ELSE 'keep' END AS decision FROM d LEFT JOIN c ON d.doc_id = c.doc_id""")
@@ -511,31 +688,73 @@ def attachment_decision(spark, sf):
 def _control(spark, sf):
     """The scrubbed texts, but every tenth document is left as it was; as (doc_id, page, n)."""
     s = _scrubbed(spark, sf).select("doc_id", F.when(F.col("doc_id") % 10 == 0, F.col("text")).otherwise(F.col("scrubbed")).alias("text"))
-    return s.select("doc_id", F.lit(0).alias("page"), normalize.fast(F.col("text")).alias("n"))
+    return normalize.prepare(s).select("doc_id", F.lit(0).alias("page"), "n")
 
 
 def _plans(spark, sf):
     return _docs(spark, sf).select("doc_id", F.array(*map(F.lit, TEXTS)).alias("texts"))
 
 
-@query(f"{_SCRUB} SELECT doc_id, 0 AS page FROM c WHERE doc_id % 10 = 0")
+# what the cuts leave is normalised anew: white space that meets is one space
+_LEFT = f"""{_SCRUB},
+o AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS p0 FROM g),
+z AS (SELECT doc_id, string_agg(substring(n, p0 + 1, s - p0), '' ORDER BY s) AS head, max(e) AS stop FROM o JOIN d USING (doc_id) GROUP BY doc_id),
+x AS (SELECT d.doc_id, regexp_replace(CASE WHEN d.doc_id % 10 = 0 OR z.stop IS NULL THEN d.n ELSE z.head || substring(d.n, z.stop + 1) END, ' +', ' ', 'g') AS n FROM d LEFT JOIN z ON d.doc_id = z.doc_id),
+h2 AS (SELECT doc_id, n, needle, unnest(range(length(n) - length(needle) + 1)) AS s FROM x, k WHERE contains(n, needle)),
+bad AS (SELECT DISTINCT doc_id FROM h2 WHERE substring(n, s + 1, length(needle)) = needle
+  AND NOT (s > 0 AND regexp_matches(substring(n, s, 1), '^[\\p{{L}}\\p{{N}}\\p{{M}}]$')) AND NOT regexp_matches(substring(n, s + length(needle) + 1, 1), '^[\\p{{L}}\\p{{N}}\\p{{M}}]$'))"""
+
+
+@query(f"{_LEFT} SELECT doc_id, 0 AS page FROM bad")
 def verify_text_absent(spark, sf):
-    return verify.text_absent(_control(spark, sf), _plans(spark, sf)).where("doc_id % 10 = 0").select("doc_id", "page").distinct()
+    return verify.text_absent(_control(spark, sf), _plans(spark, sf)).select("doc_id", "page").distinct()
+
+
+# values of the channels: cut for odd documents, as they were for even ones
+def _left_values(spark, sf):
+    s = redact.scrub_channels(_side_values(spark, sf), _plans(spark, sf))
+    even = _side_values(spark, sf).where("doc_id % 2 = 0").select("doc_id", "channel", "value")
+    v = even.unionByName(s.where("doc_id % 2 = 1 and scrubbed is not null").select("doc_id", "channel", F.col("scrubbed").alias("value")))
+    v = normalize.prepare(v.select(F.struct("doc_id", "channel").alias("doc_id"), F.col("value").alias("text")))
+    return v.select("doc_id.doc_id", "doc_id.channel", "n")
+
+
+_HITS = """SELECT DISTINCT doc_id, t, needle FROM (SELECT doc_id, t, n, needle, unnest(range(length(n) - length(needle) + 1)) AS s FROM {src}, k WHERE contains(n, needle)) WHERE substring(n, s + 1, length(needle)) = needle
+  AND NOT (s > 0 AND regexp_matches(substring(n, s, 1), '^[\\p{{L}}\\p{{N}}\\p{{M}}]$')) AND NOT regexp_matches(substring(n, s + length(needle) + 1, 1), '^[\\p{{L}}\\p{{N}}\\p{{M}}]$')"""
+_SIDE_LEFT = f"""{_SIDE},
+o AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS p0 FROM g),
+z AS (SELECT o.doc_id, string_agg(substring(n, p0 + 1, s - p0), '' ORDER BY s) AS head, max(e) AS stop FROM o JOIN d ON o.doc_id = d.doc_id GROUP BY o.doc_id),
+x AS (SELECT d.doc_id.doc_id AS doc_id, d.doc_id.ord AS t, {_CHANNELS!r}[d.doc_id.ord % 6 + 1] AS channel,
+  regexp_replace(CASE WHEN d.doc_id.doc_id % 2 = 0 OR z.stop IS NULL THEN d.n ELSE z.head || substring(d.n, z.stop + 1) END, ' +', ' ', 'g') AS n, z.stop IS NOT NULL AS hit FROM d LEFT JOIN z ON d.doc_id = z.doc_id),
+y AS (SELECT * FROM x WHERE NOT (doc_id % 2 = 1 AND channel = 'attachments' AND hit)),
+side AS (SELECT f.doc_id, y.channel, count(*) AS failures FROM ({_HITS.format(src='y')}) f JOIN y ON y.doc_id = f.doc_id AND y.t = f.t GROUP BY f.doc_id, y.channel)"""
 
 
-@query(f"""{_SCRUB} SELECT d.doc_id, CASE WHEN d.doc_id % 10 = 0 AND c.removed > 0 THEN 'failed' ELSE 'verified' END AS outcome FROM d LEFT JOIN c ON d.doc_id = c.doc_id
-WHERE d.doc_id % 10 = 0""")
+@query(f"{_SIDE_LEFT} SELECT doc_id, channel, failures FROM side")
+def verify_side_channels(spark, sf):
+    return verify.side_channels(_left_values(spark, sf), _plans(spark, sf)).groupBy("doc_id", "channel").agg(F.count("*").alias("failures"))
+
+
+@query(f"""WITH text_ AS ({_LEFT} SELECT doc_id FROM bad), side_ AS ({_SIDE_LEFT} SELECT DISTINCT doc_id FROM side)
+SELECT doc_id, 2::BIGINT AS n_checks, ((doc_id IN (SELECT doc_id FROM text_))::INT + (doc_id IN (SELECT doc_id FROM side_))::INT)::BIGINT AS n_failed,
+  CASE WHEN doc_id IN (SELECT doc_id FROM text_) OR doc_id IN (SELECT doc_id FROM side_) THEN 'failed' ELSE 'verified' END AS outcome FROM documents""")
 def verify_outcome(spark, sf):
     docs = _docs(spark, sf)
     absent = verify.text_absent(_control(spark, sf), _plans(spark, sf))
-    checks = verify.checks_from(docs, {"textAbsent": absent, "sideChannels": absent.limit(0)})
-    return verify.report(docs, checks).where("doc_id % 10 = 0").select("doc_id", "outcome")
+    side = verify.side_channels(_left_values(spark, sf), _plans(spark, sf))
+    return verify.report(docs, verify.checks_from(docs, {"textAbsent": absent, "sideChannels": side})).select("doc_id", "outcome", "n_checks", "n_failed")
 
 
-@query(f"""{_SCRUB} SELECT doc_id, 'body' AS channel, count(*) AS failures FROM (SELECT DISTINCT m.doc_id, substring(n, s + 1, e - s) AS t FROM m JOIN d ON m.doc_id = d.doc_id) GROUP BY doc_id""")
-def verify_side_channels(spark, sf):
-    values = normalize.prepare(_docs(spark, sf)).select("doc_id", F.lit("body").alias("channel"), "n")
-    return verify.side_channels(values, _plans(spark, sf)).groupBy("doc_id", "channel").agg(F.count("*").alias("failures"))
+@query("""WITH p AS (SELECT vec_id AS doc_id, i % 8 AS x, i // 8 AS y, (v * 255)::DOUBLE AS v FROM (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding) AS v FROM embeddings)),
+a AS (SELECT vec_id AS doc_id, unnest([0, 1, 2]) AS area_id FROM embeddings), b AS (SELECT *, CASE area_id WHEN 0 THEN -2 WHEN 1 THEN -1 ELSE -8 END AS lo, CASE area_id WHEN 0 THEN 4 WHEN 1 THEN 1 ELSE 2 END AS hi FROM a),
+s AS (SELECT b.doc_id, b.area_id, count(*) AS samples, max(v) - min(v) <= 8 AS passed FROM p JOIN b ON p.doc_id = b.doc_id AND x >= greatest(lo + CASE WHEN area_id = 2 THEN 8 ELSE 2 END, 0) AND y >= greatest(lo + CASE WHEN area_id = 2 THEN 8 ELSE 2 END, 0) AND x < hi AND y < hi GROUP BY b.doc_id, b.area_id)
+SELECT a.doc_id, a.area_id, coalesce(samples, 0)::BIGINT AS samples, coalesce(passed, true) AS passed FROM a LEFT JOIN s ON a.doc_id = s.doc_id AND a.area_id = s.area_id""")
+def image_pixels(spark, sf):
+    e = table(spark, sf, "embeddings")
+    p = e.select(F.col("vec_id").alias("doc_id"), F.posexplode("embedding").alias("i", "v")).selectExpr("doc_id", "i % 8 as x", "i div 8 as y", "array(cast(v * 255 as double)) as bands")
+    a = e.select(F.col("vec_id").alias("doc_id"), F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("area_id"))
+    box = "named_struct('x', {lo}, 'y', {lo}, 'w', {size}, 'h', {size})".format(lo="array(-2D, -1D, -8D)[area_id]", size="array(8D, 4D, 18D)[area_id]")
+    return verify.image_pixels(p, a.selectExpr("doc_id", "area_id", f"{box} as box", "area_id = 2 as jpeg"))
 
 
 @query(f"""WITH {_LINES}, g AS (SELECT doc_id, page, 10 + 5 * unnest(range(length(text))) + 2.5 AS cx, 10 + 12 * line + 6 AS cy FROM s WHERE length(text) > 0)
@@ -547,16 +766,23 @@ def verify_geometry(spark, sf):
     return verify.geometry(glyphs, areas)
 
 
-@query("SELECT label, count(*) AS n, CASE label % 2 WHEN 0 THEN 'removeIfCovered' ELSE 'removeIfTouched' END AS mode FROM embeddings GROUP BY label")
+@query(f"""WITH {_LINES}, r AS ({_RANGES}) SELECT CASE range_id % 2 WHEN 0 THEN 'removeIfCovered' ELSE 'removeIfTouched' END AS mode, count(*) AS areas
+FROM r JOIN s ON r.doc_id = s.doc_id WHERE length(text) > 0 AND start < r_end AND r_start < start + length(text) GROUP BY 1""")
 def line_art_mode(spark, sf):
-    e = table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
-    return e.select("label", "n", redact.line_art_mode(F.when(F.col("label") % 2 == 0, "text").otherwise("area")).alias("mode"))
+    a = page_areas(spark, sf).select(F.when(F.col("range_id") % 2 == 0, "text").otherwise("area").alias("origin"))
+    return a.groupBy(redact.line_art_mode(F.col("origin")).alias("mode")).agg(F.count("*").alias("areas"))
+
+
+@query(f"""{_SCRUB} SELECT d.doc_id, CASE WHEN coalesce(c.removed, 0) = 0 THEN 'emptyPlan' WHEN d.doc_id % 3 = 0 THEN 'incomplete' END AS error FROM d LEFT JOIN c ON d.doc_id = c.doc_id""")
+def plan_consistency(spark, sf):
+    s = _scrubbed(spark, sf)
+    return s.select("doc_id", redact.export_error(F.col("removed"), F.col("removed") - F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)).alias("error"))
 
 
 # --- evaluation --------------------------------------------------------------------------------
 _SENTENCES = "concat('Il signor Mario Rossi nr ', cast(k as string), ' abita qui')"
 _GOLD = "k AS doc_id, 0 AS gold_id, 10 AS start, 21 AS \"end\", CASE WHEN k % 2 = 0 THEN 'it' ELSE 'en' END AS lang"
-_PROPOSED = "k AS doc_id, 10 AS start, CASE k % 4 WHEN 0 THEN 15 ELSE 21 END AS \"end\", CASE WHEN k % 3 = 0 THEN 'medium' ELSE 'high' END AS confidence"
+_PROPOSED = "k AS doc_id, CASE WHEN k % 7 = 0 THEN 0 ELSE 10 END AS start, CASE WHEN k % 7 = 0 THEN 8 WHEN k % 4 = 0 THEN 15 ELSE 21 END AS \"end\", CASE WHEN k % 3 = 0 THEN 'medium' ELSE 'high' END AS confidence"
 
 
 def _gold(spark, sf):
@@ -565,7 +791,7 @@ def _gold(spark, sf):
     return gold, proposed, k.selectExpr("k as doc_id", f"{_SENTENCES} as text")
 
 
-_FOUND = "WITH x AS (SELECT c_custkey AS k FROM customer), f AS (SELECT k, CASE WHEN k % 2 = 0 THEN 'it' ELSE 'en' END AS lang, k % 5 <> 0 AND k % 4 <> 0 AS found FROM x)"
+_FOUND = "WITH x AS (SELECT c_custkey AS k FROM customer), f AS (SELECT k, CASE WHEN k % 2 = 0 THEN 'it' ELSE 'en' END AS lang, k % 5 <> 0 AND k % 4 <> 0 AND k % 7 <> 0 AS found FROM x)"
 
 
 @query(f"{_FOUND} SELECT k AS doc_id, found FROM f")
@@ -578,10 +804,59 @@ def eval_recall(spark, sf):
     return evaluate.recall(evaluate.covered(*_gold(spark, sf)), ["lang"]).withColumn("recall", F.round("recall", 6))
 
 
-@query(f"{_FOUND} SELECT count(*)::BIGINT AS shown, count(*)::BIGINT AS shown_correct, count(*) FILTER (k % 3 <> 0) AS preselected, CASE WHEN count(*) > 0 THEN 'fail' END AS tier FROM f WHERE k % 5 <> 0")
+@query(f"""{_FOUND}, p AS (SELECT count(*) AS shown, count(*) FILTER (k % 7 <> 0) AS shown_correct, count(*) FILTER (k % 3 <> 0) AS preselected, count(*) FILTER (k % 3 <> 0 AND k % 7 <> 0) AS ok FROM f WHERE k % 5 <> 0),
+r AS (SELECT count(*) FILTER (found) / count(*) AS recall FROM f)
+SELECT shown, shown_correct, preselected, CASE WHEN ok / preselected < 0.95 OR recall < 0.85 THEN 'fail' WHEN recall >= 0.95 THEN 'target' ELSE 'minimum' END AS tier FROM p, r""")
 def eval_precision_tier(spark, sf):
     gold, proposed, texts = _gold(spark, sf)
     p = evaluate.precision(proposed, gold).agg(F.sum("shown").alias("shown"), F.sum("shown_correct").alias("shown_correct"), F.sum("preselected").alias("preselected"), F.sum("preselected_correct").alias("ok"))
     r = evaluate.recall(evaluate.covered(gold, proposed, texts), []).select("recall")
     p = p.crossJoin(r)  # two one-row totals
     return p.select("shown", "shown_correct", "preselected", evaluate.tier(F.col("recall"), F.col("ok") / F.col("preselected")).alias("tier"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_N} AS n FROM documents), k AS (SELECT unnest({NEEDLES!r}) AS needle),
+h AS (SELECT doc_id, n, needle, unnest(range(length(n) - length(needle) + 1)) AS s FROM d, k WHERE contains(n, needle))
+SELECT doc_id, s::INT AS start, (s + length(needle))::INT AS "end", CASE WHEN doc_id % 2 = 0 THEN 'high' ELSE 'medium' END AS confidence FROM h WHERE substring(n, s + 1, length(needle)) = needle
+  AND NOT (s > 0 AND regexp_matches(substring(n, s, 1), '^[\\p{{L}}\\p{{N}}]$')) AND NOT regexp_matches(substring(n, s + length(needle) + 1, 1), '^[\\p{{L}}\\p{{N}}]$')""")
+def expand_occurrences(spark, sf):
+    """From two proposals of each needle of a document, wherever it begins, to all its whole-word places."""
+    d = _docs(spark, sf)
+    k = d.select("doc_id", F.lower(F.translate("text", "\n\t\f\r", "    ")).alias("text"))
+    p = k.select("doc_id", "text", F.explode(F.array(*map(F.lit, NEEDLES))).alias("needle")).where("contains(text, needle)").selectExpr("doc_id", "locate(needle, text) - 1 as start", "length(needle) as size")
+    level = F.explode(F.expr("if(doc_id % 2 = 0, array('medium', 'high'), array('medium', 'low'))")).alias("confidence")
+    return evaluate.expand_occurrences(p.select("doc_id", "start", (F.col("start") + F.col("size")).alias("end"), level), k)
+
+
+_TEMPLATE = ["Il signor ", " ", " abita a ", "."]
+_SLOTS = [["Mario", "Anna", "Luca", "Elena", "Paolo"], ["Rossi", "Bianchi", "Greco", "Ferrari"], ["Roma", "Bari", "Torino"]]
+_NEXT = "(({}) * 1103515245 + 12345) % 2147483648"
+
+
+@query(f"""WITH x AS (SELECT c_custkey AS k FROM customer), a AS (SELECT k, {_NEXT.format('k')} AS s1 FROM x), b AS (SELECT *, {_NEXT.format('s1')} AS s2 FROM a), c AS (SELECT *, {_NEXT.format('s2')} AS s3 FROM b),
+f AS (SELECT k, {_SLOTS[0]!r}[s1 // 65536 % 5 + 1] AS f1, {_SLOTS[1]!r}[s2 // 65536 % 4 + 1] AS f2, {_SLOTS[2]!r}[s3 // 65536 % 3 + 1] AS f3 FROM c)
+SELECT k AS doc_id, 'Il signor ' || f1 || ' ' || f2 || ' abita a ' || f3 || '.' AS text, (10 + length(f1))::INT AS end0, (11 + length(f1))::INT AS start1, (20 + length(f1) + length(f2))::INT AS start2 FROM f""")
+def corpus_generate(spark, sf):
+    g = evaluate.fill_templates(table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("doc_id")), _TEMPLATE, _SLOTS)
+    return g.selectExpr("doc_id", "text", "entities[0].end as end0", "entities[1].start as start1", "entities[2].start as start2")
+
+
+_CARD_DIGIT = "cast((10 - aggregate(transform(sequence(1, 15), i -> cast(substring(s, i, 1) as int) * if(i % 2 = 1, 2, 1)), 0, (a, d) -> a + if(d > 9, d - 9, d)) % 10) % 10 as string)"
+
+
+@query("""SELECT kind, count(*) FILTER (c_custkey % 10 <> 0) AS high, count(*) AS total, round(count(*) FILTER (c_custkey % 10 <> 0) / count(*), 6) AS rate FROM customer, (SELECT unnest(['email', 'card', 'iban']) AS kind) GROUP BY kind""")
+def identifier_high_rate(spark, sf):
+    """Generated identifiers, every tenth of them broken."""
+    k = table(spark, sf, "customer").selectExpr("cast(c_custkey as long) as k", "concat('4', lpad(cast(c_custkey * 7919 as string), 14, '0')) as s", "lpad(cast(c_custkey * 31 as string), 14, '0') as b")
+    k = k.selectExpr("k", "s", f"{_CARD_DIGIT} as digit", "b", "lpad(cast(98 - cast(concat('32142829', b, '161100') as decimal(38,0)) % 97 as string), 2, '0') as mod")
+    text = {
+        "email": ("EMAIL", "if(k % 10 = 0, concat('user', k, '@local'), concat('user', k, '@example.org'))"),
+        "card": ("PAYMENT_CARD", "concat(if(k % 10 = 0, '9', '4'), substring(s, 2), digit)"),
+        "iban": ("IBAN", "concat('GB', if(k % 10 = 0, lpad(cast(cast(mod as int) % 97 + 1 as string), 2, '0'), mod), 'WEST', b)"),
+    }
+    every = None
+    for kind, (category, expr) in text.items():
+        one = k.selectExpr(f"struct(k, '{kind}' as kind) as doc_id", f"'{category}' as category", f"{expr} as text")
+        every = one if every is None else every.unionByName(one)
+    found = resolve.findings(resolve.detect(every.select("doc_id", "text"), ["email", "iban", "payment-card"]))
+    return evaluate.high_rate(every.select("doc_id", "doc_id.kind", "category"), found).withColumn("rate", F.round("rate", 6))
