@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from veilspan.llm import common
 
-PIECE = 4096  # a longer text is cut into pieces of so many characters
+PIECE = 8192  # a longer text is cut into pieces of so many characters
 LONG = 24  # a word of more bytes is encoded by tree concatenation
 WINDOW = 4  # tokens on each side of a join to start with
-CACHE, CACHED_CHARS = 300_000, 512  # chunks that a worker remembers, and the longest of them
+CACHE, CACHED_CHARS = 150_000, 512  # chunks that a worker remembers, and the longest of them
 # Latin-1 characters that rule the fast path out: separators that only Python takes for white
 # space, digits that only the library takes for numbers, and the start of a special token
 _PLAIN = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe]|<\\|")
@@ -40,7 +40,7 @@ _UNIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 _SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
-_WHITE, _LAST_WHITE = re.compile("[\t-\r ]"), re.compile("[\t-\r ](?=[^\t-\r ]*\\Z)")
+_WHITE = re.compile("[\t-\r ]")
 _LETTERS = re.compile("[A-Za-z]+")
 NEAR = 24  # letters on each side of a join that rule out contractions, special tokens and composed characters
 
@@ -198,10 +198,10 @@ class Coder:
     # -- pieces ------------------------------------------------------------------------------
     def piece(self, text: str) -> Piece:
         """A piece of a text, encoded on its own; head and tail are what lies outside its first and last white space."""
-        first, last = _WHITE.search(text), _LAST_WHITE.search(text)
+        first, last = _WHITE.search(text), max(map(text.rfind, " \t\n\v\f\r"))
         if not first:
             return Piece(self.encode(text), text, text, False)
-        return Piece(self.encode(text), text[: first.start()], text[last.end() :], True)
+        return Piece(self.encode(text), text[: first.start()], text[last + 1 :], True)
 
     def joined(self, a: Piece, b: Piece) -> Piece:
         """The encoding of two neighbours from their own encodings."""

@@ -123,7 +123,7 @@ class Words:
         return h
 
 
-PORTION = 4 << 20  # bytes of text that are looked at together
+PORTION = 1 << 20  # bytes of text that are looked at together
 
 
 def portions(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
