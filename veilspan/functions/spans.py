@@ -91,23 +91,6 @@ def has_context_before(n: Column, start: Column, keywords: list[str], window: in
     return before.rlike(r"(^|[^\p{L}\p{N}])" + any_of(keywords))
 
 
-def candidates(matches: Column, category: str, confidence: Column | str, rule: str, mapped: bool, method: str = "rule") -> Column:
-    """Matches as candidates; `mapped` moves offsets of the normalised text to the original (columns starts, ends)."""
-
-    def one(m: Column) -> Column:
-        level = F.lit(confidence) if isinstance(confidence, str) else confidence
-        start, end = m["start"], m["end"]
-        if mapped:
-            start = F.when(F.col("starts").isNull(), start).otherwise(F.element_at("starts", start + 1))
-            end = F.when(F.col("ends").isNull(), end).otherwise(F.element_at("ends", end))
-        return F.struct(
-            start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(category).alias("category"), level.alias("confidence"),
-            F.lit(method).alias("method"), F.lit(rule).alias("rule"),
-        )
-
-    return F.transform(matches, one)
-
-
 def rank(confidence: Column | str) -> Column:
     """0, 1, 2 for low, medium, high; comparing confidences is comparing ranks."""
     return F.array_position(F.array(*[F.lit(c) for c in CONFIDENCE]), confidence).cast("int") - 1
