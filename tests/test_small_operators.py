@@ -70,6 +70,13 @@ def test_plan_with_areas_and_wire_form(spark):
     assert [x.key for x in wire.first().w] == [0, 2] and sorted(wire.select(review.from_wire(F.col("w"))).first()[0]) == [0, 2]
 
 
+def test_events_without_a_document_are_one_document(spark):
+    rows = [(None, 0, "addManual", "a"), (None, 1, "addManual", "b"), (None, 2, "undo", ""), (7, 0, "add", "c"), (7, 1, "deselectAll", "")]
+    e = spark.createDataFrame(rows, "doc_id long, seq long, op string, key string")
+    got = {(r.doc_id, r.position, r.key, r.manual, r.selected) for r in review.replay(e).collect()}
+    assert got == {(None, 0, "a", True, True), (7, 0, "c", False, False)}
+
+
 def test_checks_around_a_save(spark):
     lit = F.lit
     assert one(spark, verify.valid_counts(lit(3), lit(3), lit(3)), verify.valid_counts(lit(3), lit(2), lit(3)), verify.valid_counts(lit(3), lit(None), lit(3))) == (True, False, False)

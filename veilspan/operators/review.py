@@ -164,13 +164,14 @@ def replay(events: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, todo, rows = None, [], []
+        doc, todo, rows = None, [], []  # a null id is a document like any other; todo is empty before the first event
 
         def close() -> None:
             rows.extend((doc, i, *x) for i, x in enumerate(run_commands(todo)))
 
         for b in batches:
-            for d, op, key in zip(b["doc_id"], b["op"], b["key"], strict=True):
+            ids = [None if pd.isna(d) else int(d) for d in b["doc_id"]]
+            for d, op, key in zip(ids, b["op"], b["key"], strict=True):
                 if d != doc and todo:
                     close()
                     todo = []
@@ -183,7 +184,7 @@ def replay(events: DataFrame) -> DataFrame:
         yield frame(rows)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["doc_id", "position", "key", "manual", "selected"])
+        return pd.DataFrame(rows, columns=["doc_id", "position", "key", "manual", "selected"]).astype({"doc_id": "Int64"})
 
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     e = events.select("doc_id", "seq", "op", "key").repartition(n, "doc_id").sortWithinPartitions("doc_id", "seq")
