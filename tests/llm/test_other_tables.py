@@ -44,6 +44,24 @@ def test_neighbours(spark):
     assert all([r for r, _, _ in sorted(v)] == [1, 2, 3, 4, 5] for v in got.values())
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_recall_on_a_given_table(spark):
+    rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    got: dict = {}
+    for r in ann.op7_nearest_neighbours(spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = exact_neighbours(rows, ann.QUERY_STEP)
+    assert got.keys() == want.keys()
+    assert sum(len(got[q] & {v for _, v in want[q]}) for q in want) >= 0.95 * 5 * len(want)
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    rows = [(i, [float(i % 3), 1.0, float(i)]) for i in range(10)] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("node", "q", "s", "rank", "vec", "score", "part")})
+    got = ann.nearest_rows(df, query_step=5).collect()
+    assert sorted((r.query_id, r.rank) for r in got) == [(q, k) for q in (0, 5) for k in range(1, 6)] and all(r.vec_id != r.query_id for r in got)
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.vec_id, round(r.score, 6)) for r in ann.nearest_rows(df).collect()] == [(0, 3, 0.707107)]
@@ -71,6 +89,13 @@ def test_rendering_is_reversible(role, text):
     assert [chat.unescape(out[a:b]) for a, b in chat.loss_spans(out)] == ([text] if role == "assistant" else [])
 
 
+def test_null_turns_unknown_kinds_and_clashing_names(spark):
+    rows = [(1, None, 0, "message", "user", "first"), (1, 0, 1, "nonsense", "assistant", "second"), (1, 0, 2, "delta", "assistant", "!")]
+    df = spark.createDataFrame(rows, LOG).withColumns({c: F.lit("x") for c in ("formatted", "n_turns", "piece")})
+    got = [(r.turn, r.role, chat.parse(r.formatted)[0][1]) for r in chat.format_turns(df).collect()]
+    assert got == [(None, "user", "first"), (0, "assistant", "second!")]  # unknown kinds are messages, null turns come first
+
+
 def test_digests(spark):
     rows = [(5, t, 0, "message", "assistant" if t % 2 else "user", f"é{t}") for t in range(6)]
     r = chat.digests(spark.createDataFrame(rows, LOG)).first()

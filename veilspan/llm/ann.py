@@ -28,7 +28,8 @@ from veilspan.llm import common
 DEGREE, ROUNDS = 32, 3
 BLOCK, ORDERS, BITS = 256, 3, 14  # size of starting blocks, how many orders, code bits
 PER_JOIN = 12  # best new neighbours that one local join offers to a node
-BEAM, EXPAND, RERANK = 256, 128, 32  # nodes kept and expanded by a walk, nodes ranked exactly after it
+BEAM, EXPAND, RERANK = 128, 48, 32  # nodes kept and expanded by a walk, nodes ranked exactly after it
+RANGE_ROWS = 8_192  # rows of one sorted range that starting blocks are cut from
 PART_NODES = 2_000  # nodes in one part of the table that walks look up vectors in
 NEAREST, QUERY_STEP = 5, 50
 
@@ -151,7 +152,7 @@ def both_ways(graph: DataFrame) -> DataFrame:
 
 def build(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(a, b, s): the neighbour graph over (node, vec)."""
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, -(-nodes.count() * ORDERS // RANGE_ROWS))
     keyed = nodes.select("node", "vec").mapInPandas(_codes, "ord int, key double, node long, vec binary")
     spread = keyed.repartitionByRange(n, "ord", "key", "node").sortWithinPartitions("ord", "key", "node")
     graph = common.cut(_nearest(spread.mapInPandas(_blocks, "a long, b long, s double"), DEGREE), "graph")
