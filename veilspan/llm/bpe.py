@@ -286,10 +286,28 @@ def _encoded(docs: DataFrame, path: str | None, finish: Callable[[Coder, bytes],
             p = [coder(path).piece(t) for t in b["piece"]]
             yield b.drop(columns="piece").assign(ids=[x.ids for x in p], head=[x.head for x in p], tail=[x.tail for x in p], split=[x.split for x in p]).astype({"doc_id": "Int64"} | {c: "Int64" for c, t in carried.items() if t == "long"})
 
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("i")
-        ids = coder(path).concatenated([Piece(*x) for x in g[["ids", "head", "tail", "split"]].itertuples(index=False)])
-        return rows(g.iloc[np.zeros(int(g["copies"].iloc[0]), int)], [ids] * int(g["copies"].iloc[0]))
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted: the pieces of one text follow each other; one text at a time is joined."""
+        now, pieces, ids, heads = None, [], [], []
+
+        def close() -> None:
+            ids.extend([coder(path).concatenated(pieces)] * now[-1])
+            heads.extend([now[: len(keys)]] * now[-1])
+
+        for b in batches:
+            own = b[keys].astype(object).where(b[keys].notna(), None)
+            for key, text_key, copies, i, *x in zip(own.itertuples(index=False, name=None), b["text_key"], b["copies"], b["i"], b["ids"], b["head"], b["tail"], b["split"], strict=True):
+                if i == 0:
+                    if now:
+                        close()
+                    now, pieces = (*key, text_key, copies), []
+                pieces.append(Piece(*x))
+            if len(ids) >= 200:
+                yield rows(pd.DataFrame(heads, columns=keys), ids)
+                ids, heads = [], []
+        if now:
+            close()
+        yield rows(pd.DataFrame(heads, columns=keys), ids)
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).cast(t).alias(c) for c, t in carried.items()])
     long = F.coalesce(F.length("text") > PIECE, F.lit(False))
@@ -298,7 +316,8 @@ def _encoded(docs: DataFrame, path: str | None, finish: Callable[[Coder, bytes],
     cut = cut.groupBy(*keys, "text_key", "i").agg(F.first("piece").alias("piece"), F.count("*").alias("copies"))
     of = ", ".join(["doc_id long", *[f"{c} {t}" for c, t in carried.items()]])
     coded = cut.mapInPandas(piece, f"{of}, text_key long, i int, copies long, ids binary, head string, tail string, split boolean")
-    return src.where(~long).mapInPandas(short, schema).unionByName(coded.groupBy(*keys, "text_key").applyInPandas(join, schema))
+    coded = coded.repartition(*keys, "text_key").sortWithinPartitions(*keys, "text_key", "i")
+    return src.where(~long).mapInPandas(short, schema).unionByName(coded.mapInPandas(join, schema))
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
