@@ -347,9 +347,10 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def token_table(docs: DataFrame, path: str | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, carried long columns, n_tokens, ids and decoded_sha256 of each document: what a trainer reads."""
+    """doc_id, source, n_tokens, ids, decoded_sha256 and carried long columns of each document: what a trainer reads."""
     columns = {"source": "string"} | {c: "long" for c in carried}
-    return _encoded(docs, path, lambda c, ids: (len(ids) // 4, np.frombuffer(ids, "<i4"), _digest(c, ids)), "n_tokens long, ids array<int>, decoded_sha256 string", columns)
+    out = _encoded(docs, path, lambda c, ids: (len(ids) // 4, np.frombuffer(ids, "<i4"), _digest(c, ids)), "n_tokens long, ids array<int>, decoded_sha256 string", columns)
+    return out.select("doc_id", "source", "n_tokens", "ids", "decoded_sha256", *carried)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

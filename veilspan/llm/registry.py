@@ -1,6 +1,6 @@
 """Queries and DuckDB oracles of the training-data operators."""
 
-from veilspan.llm import ann, bpe, chat, langid, mixing, neardup, quality, secrets, sql, substring, urlfilter
+from veilspan.llm import ann, bpe, chat, langid, merkle, mixing, neardup, quality, secrets, spelling, sql, substring, urlfilter, warc
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +15,9 @@ QUERIES = {
         chat.op8_chat_formatting,
         urlfilter.op9_url_filters,
         mixing.op10_mixing_sources,
+        merkle.op11_merkle_manifest,
+        spelling.op12_spelling_variants,
+        warc.op13_warc,
     )
 }
 ORACLES: dict[str, str] = {
@@ -24,4 +27,7 @@ ORACLES: dict[str, str] = {
     ),
     "op8_chat_formatting": sql.CHAT,
     "op10_mixing_sources": sql.mixing(*mixing.whole_units(mixing.WEIGHTS, mixing.DEFAULT), mixing.BLOCK_DOCS),
+    "op11_merkle_manifest": sql.MERKLE,
+    "op12_spelling_variants": sql.SPELLING,
+    "op13_warc": sql.WARC,
 }

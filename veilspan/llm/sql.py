@@ -75,3 +75,62 @@ SELECT d.doc_id, n_words, word_chars, length(regexp_replace(t, '[^#*$%&|<>]', ''
   NOT (n_words < {min_words} OR 100 * n_repeat_words > {max_repeat} * n_words) AND n_words - n_removed_words >= {depleted} * n_words AS kept, n_removed_words
 FROM d JOIN c ON c.doc_id = d.doc_id
 """
+
+# unsigned crc32 of UTF-8: one table step per byte; the table follows from the polynomial
+CRC = r"""
+powers AS (SELECT list(t ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_concat([i::UBIGINT], range(8)::UBIGINT[]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END) AS t
+  FROM (SELECT unnest(range(256)) AS i)))
+"""
+_CRC_OF = r"""xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(octet_length(encode({s}))), lambda b: ('0x' || substr(hex(encode({s})), 2 * b::INT + 1, 2))::UBIGINT)),
+  lambda c, b: xor(c // 256, crc[(xor(c, b) % 256)::INT + 1])), 4294967295::UBIGINT)"""
+_FIELD = "coalesce(octet_length(encode({v}::VARCHAR)) || ':' || {v}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(v=v) for v in ("doc_id", "source", "lang", "{chars}", "text")) + ")"
+
+# trees level by level (of languages, then of their roots), and each leaf's way up
+MERKLE = f"""
+WITH RECURSIVE {CRC},
+d AS (SELECT doc_id, lang, coalesce('=' || lang, '') AS tree, {_LEAF.format(chars='n_chars')} AS leaf,
+  CASE WHEN n_chars IS NOT NULL AND {_CRC_OF.format(s='doc_id::VARCHAR')} % 7 = 0 THEN {_LEAF.format(chars='(n_chars + 1)')} END AS changed FROM documents, powers),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM d),
+up AS (SELECT tree, 0 AS level, idx, n, leaf AS digest, lead(leaf) OVER (PARTITION BY tree ORDER BY idx) AS after FROM l UNION ALL
+  SELECT tree, level + 1, idx // 2, (n + 1) // 2, sha256(digest || CASE WHEN idx + 1 < n THEN after ELSE '' END),
+    lead(sha256(digest || CASE WHEN idx + 1 < n THEN after ELSE '' END)) OVER (PARTITION BY tree ORDER BY idx) FROM (SELECT * FROM up WHERE n > 1 AND idx % 2 = 0)),
+roots AS (SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (SELECT 0 AS level, idx, n, digest, lead(digest) OVER (ORDER BY idx) AS after FROM roots UNION ALL
+  SELECT level + 1, idx // 2, (n + 1) // 2, sha256(digest || CASE WHEN idx + 1 < n THEN after ELSE '' END),
+    lead(sha256(digest || CASE WHEN idx + 1 < n THEN after ELSE '' END)) OVER (ORDER BY idx) FROM (SELECT * FROM top WHERE n > 1 AND idx % 2 = 0)),
+way AS (SELECT doc_id, tree, leaf, 0 AS level, idx AS place, '' AS path, coalesce(changed, leaf) AS folded FROM l UNION ALL
+  SELECT way.doc_id, way.tree, leaf, way.level + 1, place // 2, path || coalesce(s.digest, ''), sha256(CASE WHEN place % 2 = 1 THEN s.digest || folded ELSE folded || coalesce(s.digest, '') END)
+  FROM way JOIN (SELECT DISTINCT tree, level, n FROM up WHERE n > 1) h ON h.tree = way.tree AND h.level = way.level LEFT JOIN up s ON s.tree = way.tree AND s.level = way.level AND s.idx = xor(place, 1)),
+low AS (SELECT way.* FROM way JOIN up ON up.tree = way.tree AND up.n = 1 AND up.level = way.level),
+far AS (SELECT low.doc_id, low.tree, leaf, roots.digest AS subroot, 0 AS level, roots.idx AS place, path, folded FROM low JOIN roots ON roots.tree = low.tree UNION ALL
+  SELECT far.doc_id, far.tree, leaf, subroot, far.level + 1, place // 2, path || coalesce(s.digest, ''), sha256(CASE WHEN place % 2 = 1 THEN s.digest || folded ELSE folded || coalesce(s.digest, '') END)
+  FROM far JOIN (SELECT DISTINCT level, n FROM top WHERE n > 1) h ON h.level = far.level LEFT JOIN top s ON s.level = far.level AND s.idx = xor(place, 1))
+SELECT far.doc_id, leaf, subroot, top.digest AS root, sha256(path) AS proof_sha256, folded AS folded_root, folded = top.digest AS verified
+FROM far JOIN top ON top.n = 1 AND top.level = far.level
+"""
+
+# near words meet by one code point left out (replaced: at the same place)
+SPELLING = f"""
+WITH RECURSIVE {CRC},
+d AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]{{6,}}')) AS run FROM documents),
+c AS (SELECT id || ':' || run AS s, run, count(*) AS k FROM d GROUP BY 1, 2),
+h AS (SELECT run, k, {_CRC_OF.format(s='s')} AS h FROM c, powers),
+r AS (SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, (h % length(run))::INT) || substring(run, (h % length(run))::INT + 2) ELSE run END AS word, k FROM h),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM r WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+v AS (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word, b.word AS near, b.n AS k FROM v a JOIN v b ON a.less = b.less AND a.i = b.i AND length(a.word) = length(b.word) AND a.word <> b.word
+  UNION SELECT v.word, w.word, w.n FROM v JOIN w ON v.less = w.word UNION SELECT w.word, v.word, v.n FROM v JOIN w ON v.less = w.word),
+b AS (SELECT word, count(*) AS n_near, max(k) AS k, arg_min(near, (-k, near)) AS near FROM p GROUP BY word),
+f AS (SELECT w.word, CASE WHEN b.k >= 5 * w.n THEN b.near END AS form, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN b.k >= 5 * w.n THEN b.k END AS form_n FROM w LEFT JOIN b ON b.word = w.word),
+roots AS (SELECT word, word AS root, form FROM f UNION ALL SELECT roots.word, f.word, f.form FROM roots JOIN f ON roots.form = f.word)
+SELECT f.word, f.form, roots.root, n, n_near, form_n FROM f JOIN roots ON roots.word = f.word AND roots.form IS NULL
+"""
+
+WARC = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id) AS k, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+h AS (SELECT *, sha1(html) AS s FROM p)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(s, (5 * (i // 4) + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN first END AS refers_to, true AS intact FROM h
+"""
