@@ -45,21 +45,46 @@ def by_initial(forms: list[str]) -> str:
     return f"(?=[{''.join(groups)}])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in groups.items()) + ")"
 
 
+BLOCK = 256  # values of one inner fold of `running`
+
+
+def _fold(values: Column, step) -> Column:
+    return F.aggregate(values, empty("array<int>"), lambda a, x: F.array_append(a, F.coalesce(step(F.get(a, F.size(a) - 1), x), x)))
+
+
+def running(values: Column, step) -> Column:
+    """array<int>: an array of ints folded up to each of its places, by an associative step (sums, maxima).
+
+    An array that grows by appending is copied each time, so long ones are folded in blocks, and the
+    blocks' totals on their own.
+    """
+
+    def in_blocks(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: _fold(F.slice(v, b * BLOCK + 1, F.lit(BLOCK)), step))
+        totals = lambda p: F.array(_fold(F.transform(p, lambda q: F.get(q, F.size(q) - 1)), step))
+        raised = lambda q, before: F.transform(q, lambda x: F.coalesce(step(before, x), x))
+        return F.transform(F.array(parts), lambda p: F.transform(totals(p), lambda t: F.flatten(F.transform(p, lambda q, i: raised(q, F.get(t, i - 1)))))[0])[0]
+
+    return F.transform(F.array(values), lambda v: F.when(F.size(v) <= BLOCK, _fold(v, step)).otherwise(in_blocks(v)))[0]
+
+
+def plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def _placed(text: Column, p: Column, values: Column, grp: Column | None, zero_width: bool) -> Column:
     """Matches with their places: each begins where the piece before it ends."""
     gaps = F.split(text, p, -1)
     if zero_width:  # a match at the very beginning leaves no empty piece before it
         gaps = F.transform(F.array(gaps), lambda g: F.when(F.size(g) == F.size(values), F.concat(F.array(F.lit("")), g)).otherwise(g))[0]
     zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(values)).alias("gap"), values.alias("value"), (values if grp is None else grp).alias("grp"))
-    seed = F.struct(F.lit(0).alias("at"), empty(MATCHES).alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        hit = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), x["grp"].alias("grp"))
-        return F.struct((start if zero_width else end).alias("at"), F.array_append(a["out"], hit).alias("out"))
+    def at(z: Column) -> Column:
+        size = (lambda x: F.length(x["gap"])) if zero_width else (lambda x: F.length(x["gap"]) + F.length(x["value"]))
+        start = (lambda x, k: k) if zero_width else (lambda x, k: k - F.length(x["value"]))
+        return F.zip_with(z, running(F.transform(z, size), plus), lambda x, k: F.struct(start(x, k).alias("start"), (start(x, k) + F.length(x["value"])).alias("end"), x["value"].alias("value"), x["grp"].alias("grp")))
 
-    return F.aggregate(zipped, seed, step, lambda a: a["out"])
+    return F.transform(F.array(zipped), at)[0]
 
 
 def find(text: Column, pattern: str, group: int = 0, gate: Column | None = None) -> Column:
@@ -164,21 +189,28 @@ def is_whole_word(text: str, start: str, end: str) -> str:
     return f"({left} and {right})"
 
 
-def whole_word_occurrences(text: str, needle: str) -> str:
-    """SQL: starts (0-based) of all whole-word occurrences, overlapping ones included; none for an empty needle.
+def whole_word_occurrences(text: Column, needle: Column) -> Column:
+    """array<int>: starts of all whole-word occurrences, overlapping ones included; none for an empty needle.
 
-    A needle that cannot overlap itself is found by one split at a quoted pattern; others (and
-    needles that would end the quotation) by a search that steps over each occurrence found.
+    A needle that cannot overlap itself is what one split takes out of the text; others are looked
+    ahead for at every place.
     """
-    w, none = r"[\p{L}\p{N}\p{M}]", "cast(array() as array<int>)"
-    edge = sql(f"^{w}$")
-    pattern = f"""concat(if(substring({needle}, 1, 1) rlike {edge}, {sql(f"(?<!{w})")}, ''), {sql(chr(92) + "Q")}, {needle}, {sql(chr(92) + "E")},
-      if(right({needle}, 1) rlike {edge}, {sql(f"(?!{w})")}, ''))"""
-    fast = f"""aggregate(split({text}, {pattern}, -1), struct(0 as at, {none} as out), (a, g) -> struct(
-      a.at + length(g) + length({needle}) as at, array_append(a.out, a.at + length(g)) as out), a -> slice(a.out, 1, size(a.out) - 1))"""
-    step = f"""aggregate(sequence(0, ((length({text}) - length(replace({text}, {needle}, ''))) div length({needle}) + 1) * length({needle})),
-      struct(0 as at, {none} as out),
-      (a, i) -> if(a.at < 0, a, transform(array(locate({needle}, {text}, a.at + 1)), p -> if(p = 0, struct(-1 as at, a.out as out), struct(p as at, array_append(a.out, p - 1) as out)))[0])).out"""
-    slow = f"filter({step}, s -> {is_whole_word(text, 's', f's + length({needle})')})"
-    overlaps_itself = f"exists(sequence(0, length({needle}) - 1), k -> k > 0 and startswith({needle}, right({needle}, k))) or contains({needle}, {sql(chr(92) + 'E')})"
-    return f"""case when coalesce(length({needle}), 0) = 0 or not contains({text}, {needle}) then {none} when {overlaps_itself} then {slow} else {fast} end"""
+    w, none = r"[\p{L}\p{N}\p{M}]", empty("array<int>")
+    left = F.when(F.substring(needle, 1, 1).rlike(f"^{w}$"), F.lit(f"(?<!{w})")).otherwise(F.lit(""))
+    right = F.when(F.right(needle, F.lit(1)).rlike(f"^{w}$"), F.lit(f"(?!{w})")).otherwise(F.lit(""))
+    quoted = F.concat(F.lit(r"\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"), right)
+
+    def consumed(gaps: Column) -> Column:
+        ends = running(F.transform(gaps, lambda g: F.length(g) + F.length(needle)), plus)
+        return F.transform(F.slice(ends, F.lit(1), F.size(gaps) - 1), lambda e: e - F.length(needle))
+
+    def ahead(gaps: Column) -> Column:  # nothing is taken out, and nothing stands before a match at the very beginning
+        p = F.concat(left, F.lit("(?="), quoted, F.lit(")"))
+        full = F.when(F.size(gaps) == F.regexp_count(text, p), F.concat(F.array(F.lit("")), gaps)).otherwise(gaps)
+        return F.transform(F.array(full), lambda g: running(F.transform(F.slice(g, F.lit(1), F.size(g) - 1), F.length), plus))[0]
+
+    pieces = lambda p: F.array(F.split(text, p, -1))
+    fast = F.transform(pieces(F.concat(left, quoted)), consumed)[0]
+    slow = F.transform(pieces(F.concat(left, F.lit("(?="), quoted, F.lit(")"))), ahead)[0]
+    overlaps_itself = F.exists(F.sequence(F.lit(0), F.length(needle) - 1), lambda k: (k > 0) & F.startswith(needle, F.right(needle, k)))
+    return F.when((F.coalesce(F.length(needle), F.lit(0)) == 0) | ~F.contains(text, needle), none).when(overlaps_itself, slow).otherwise(fast)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.functions.spans import overlaps
+from veilspan.functions.spans import plus, running
+from veilspan.operators.geometry import overlapping
 
 PRECISION_TARGET, RECALL_TARGET, RECALL_MINIMUM = 0.95, 0.95, 0.85
 
@@ -13,11 +14,14 @@ PRECISION_TARGET, RECALL_TARGET, RECALL_MINIMUM = 0.95, 0.95, 0.85
 def covered(gold: DataFrame, proposed: DataFrame, texts: DataFrame) -> DataFrame:
     """gold (doc_id, gold_id, start, end, ...) with found: every character that is not white space lies in a proposal."""
     g = gold.select("doc_id", "gold_id", F.col("start").alias("g0"), F.col("end").alias("g1"))
-    spots = g.join(texts.select("doc_id", "text"), "doc_id").select("doc_id", "gold_id", "text", F.explode(F.expr("sequence(g0, g1 - 1)")).alias("i"))
-    spots = spots.where(r"not substring(text, i + 1, 1) rlike r'\s'").drop("text")
     p = proposed.select("doc_id", F.col("start").alias("p0"), F.col("end").alias("p1")).distinct()
-    bare = spots.join(p, (spots["doc_id"] == p["doc_id"]) & (spots["i"] >= p["p0"]) & (spots["i"] < p["p1"]), "left_anti")
-    missed = bare.select("doc_id", "gold_id").distinct().withColumn("_missed", F.lit(True))
+    within = overlapping(g, p, ["doc_id"], ("g0", "g1"), ("p0", "p1")).groupBy("doc_id", "gold_id").agg(F.array_sort(F.collect_list(F.struct("p0", "p1"))).alias("ps"))
+    j = g.join(within, ["doc_id", "gold_id"], "left").join(texts.select("doc_id", "text"), "doc_id").withColumn("ps", F.coalesce("ps", F.expr("cast(array() as array<struct<p0:int,p1:int>>)")))
+    # what lies between the proposals, each after the furthest end so far, is white space
+    j = j.withColumn("reach", running(F.expr("transform(ps, p -> p.p1)"), F.greatest))
+    gaps = r"""forall(concat(transform(ps, (p, i) -> struct(if(i = 0, g0, greatest(g0, reach[i - 1])) as a, p.p0 as b)), array(struct(greatest(g0, coalesce(try_element_at(reach, -1), g0)) as a, g1 as b))),
+        x -> x.b <= x.a or substring(text, x.a + 1, x.b - x.a) rlike r'^\s*$')"""
+    missed = j.where(~F.expr(gaps)).select("doc_id", "gold_id").distinct().withColumn("_missed", F.lit(True))
     return gold.join(missed, ["doc_id", "gold_id"], "left").withColumn("found", F.col("_missed").isNull()).drop("_missed")
 
 
@@ -33,14 +37,14 @@ def recall_rate(found: Column, total: Column) -> Column:
 
 def precision(proposed: DataFrame, gold: DataFrame) -> DataFrame:
     """(doc_id, shown, shown_correct, preselected, preselected_correct): correct means overlapping a gold span."""
-    g = gold.select(F.col("doc_id").alias("gd"), F.col("start").alias("g0"), F.col("end").alias("g1"))
-    p = proposed.select("doc_id", "start", "end", "confidence")
-    right = p.join(g, (F.col("doc_id") == F.col("gd")) & overlaps(F.col("start"), F.col("end"), F.col("g0"), F.col("g1")), "left_semi").withColumn("ok", F.lit(1))
-    wrong = p.join(g, (F.col("doc_id") == F.col("gd")) & overlaps(F.col("start"), F.col("end"), F.col("g0"), F.col("g1")), "left_anti").withColumn("ok", F.lit(0))
+    p = proposed.select("doc_id", F.col("start").alias("p0"), F.col("end").alias("p1"), "confidence").groupBy("doc_id", "p0", "p1", "confidence").agg(F.count("*").alias("n"))
+    hit = overlapping(p, gold.select("doc_id", "start", "end"), ["doc_id"], ("p0", "p1"), ("start", "end")).select("doc_id", "p0", "p1", "confidence").distinct().withColumn("ok", F.lit(True))
+    j = p.join(hit, ["doc_id", "p0", "p1", "confidence"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
     high = F.col("confidence") == "high"
-    return right.union(wrong).groupBy("doc_id").agg(
-        F.count("*").alias("shown"), F.sum("ok").alias("shown_correct"), F.count_if(high).alias("preselected"), F.count_if(high & (F.col("ok") == 1)).alias("preselected_correct")
-    )
+    total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    return j.groupBy("doc_id").agg(
+        F.sum("n").alias("shown"), total(F.col("ok")).alias("shown_correct"), total(high).alias("preselected"), total(high & F.col("ok")).alias("preselected_correct")
+    )
 
 
 def expand_occurrences(proposed: DataFrame, texts: DataFrame) -> DataFrame:
@@ -49,9 +53,8 @@ def expand_occurrences(proposed: DataFrame, texts: DataFrame) -> DataFrame:
     level = F.max(F.expr("case confidence when 'high' then 2 when 'medium' then 1 else 0 end"))
     p = p.where("value <> ''").groupBy("doc_id", "value").agg(level.alias("level"), F.any_value("text").alias("text"))
     whole = r"concat(r'(?iu)(?<![\p{L}\p{N}])\Q', value, r'\E(?![\p{L}\p{N}])')"
-    places = f"""aggregate(split(text, {whole}, -1), struct(0 as at, cast(array() as array<int>) as out),
-        (a, g) -> struct(a.at + length(g) + length(value) as at, array_append(a.out, a.at + length(g)) as out), a -> slice(a.out, 1, size(a.out) - 1))"""
-    o = p.select("doc_id", "value", "level", F.explode(F.expr(places)).alias("start"))
+    ends = running(F.expr(f"transform(split(text, {whole}, -1), g -> length(g) + length(value))"), plus)
+    o = p.withColumn("ends", ends).select("doc_id", "value", "level", F.explode(F.expr("transform(slice(ends, 1, size(ends) - 1), e -> e - length(value))")).alias("start"))
     return o.selectExpr("doc_id", "start", "cast(start + length(value) as int) as end", "element_at(array('low', 'medium', 'high'), level + 1) as confidence").distinct()
 
 

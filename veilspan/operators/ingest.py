@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilspan.functions.spans import hull, overlaps
+from veilspan.functions.spans import hull
+from veilspan.operators.geometry import overlapping
 
 MAX_BYTES = 52_428_800
 READABLE = r"[^\p{IsLatin}0-9!-/:-@\[-`{-~«»°€£§·•–—‘’‚“”„…′″±½¼¾¹²³µ©®™]"
@@ -74,7 +75,7 @@ def fixed_boxes(spans: DataFrame) -> DataFrame:
 
 def areas_for(spans: DataFrame, ranges: DataFrame) -> DataFrame:
     """(doc_id, range_id, page, line, box): a hull box for each line that a range (doc_id, range_id, r_start, r_end) touches."""
-    j = ranges.join(spans, "doc_id").where(overlaps(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end")))
+    j = overlapping(ranges.select("doc_id", "range_id", "r_start", "r_end"), spans, ["doc_id"], ("r_start", "r_end"), ("start", "end"))
     part = "slice(char_boxes, greatest(r_start - start, 0) + 1, least(r_end, end) - greatest(r_start, start))"
     box = f"""transform(array({part}), b -> struct(array_min(transform(b, k -> k.x)) as x, array_min(transform(b, k -> k.y)) as y,
         array_max(transform(b, k -> k.x + k.w)) - array_min(transform(b, k -> k.x)) as w, array_max(transform(b, k -> k.y + k.h)) - array_min(transform(b, k -> k.y)) as h))[0]"""
@@ -83,7 +84,7 @@ def areas_for(spans: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def page_of(spans: DataFrame, ranges: DataFrame) -> DataFrame:
     """(doc_id, range_id, page): the page of the first span that a range overlaps."""
-    j = ranges.join(spans, "doc_id").where(overlaps(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end")))
+    j = overlapping(ranges.select("doc_id", "range_id", "r_start", "r_end"), spans, ["doc_id"], ("r_start", "r_end"), ("start", "end"))
     return j.groupBy("doc_id", "range_id").agg(F.min_by("page", "start").alias("page"))
 
 

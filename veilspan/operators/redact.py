@@ -5,37 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.functions.spans import whole_word_occurrences
-
-
-def ranges(n: str, texts: str) -> str:
-    """SQL: merged ranges (overlapping or touching) of all whole-word matches of normalised texts in n."""
-    hits = f"flatten(transform({texts}, t -> transform({whole_word_occurrences(n, 't')}, s -> struct(s as start, s + length(t) as end))))"
-    kind = "array<struct<start:int,end:int>>"
-    return f"""aggregate(array_sort(cast({hits} as {kind})), cast(array() as {kind}), (a, x) -> if(size(a) > 0 and get(a, size(a) - 1).end >= x.start,
-        concat(slice(a, 1, size(a) - 1), array(struct(get(a, size(a) - 1).start as start, greatest(get(a, size(a) - 1).end, x.end) as end))), array_append(a, x)))"""
+from veilspan.functions import needles
 
 
 def scrub(df: DataFrame, value: str = "value", n: str = "n", texts: str = "texts") -> DataFrame:
-    """df with scrubbed (the value without all matches) and removed (how many ranges went).
+    """df with scrubbed (the value without all whole-word matches of texts in n) and removed (how many disjoint ranges went).
 
     n is the normalised value with identical offsets, or with starts and ends of `prepare`.
     """
-    d = df.withColumn("_r", F.expr(ranges(n, texts)))
+    d = df.withColumn("_hits", needles.places(F.col(n), F.col(texts))).withColumn("_r", needles.united(F.col("_hits")))
     if "starts" in df.columns:
-        d = d.withColumn("_r", F.expr("""if(starts is null, _r, transform(_r, x -> struct(element_at(starts, x.start + 1) as start, element_at(ends, x.end) as end)))"""))
-    kept = f"""aggregate(_r, struct('' as out, 0 as at), (a, x) -> struct(concat(a.out, substring({value}, a.at + 1, x.start - a.at)) as out, x.end as at),
-        a -> concat(a.out, substring({value}, a.at + 1)))"""
-    return d.withColumns({"scrubbed": F.expr(f"if(size(_r) = 0, {value}, {kept})"), "removed": F.size("_r")}).drop("_r")
+        d = d.withColumn("_r", F.expr("if(starts is null, _r, transform(_r, x -> struct(starts[x.start] as start, ends[x.end - 1] as end)))"))
+    d = d.withColumn("scrubbed", needles.without(F.col(value), F.col("_r")))
+    return d.withColumn("removed", F.size("_r")).drop("_r", "_hits")
 
 
-def contains_any(n: str, texts: str) -> str:
-    """SQL: a redacted text stands in the normalised value as whole words."""
-    return f"exists({texts}, t -> size({whole_word_occurrences(n, 't')}) > 0)"
+def contains_any(n: Column, texts: Column) -> Column:
+    """A redacted text stands in the normalised value as whole words."""
+    return F.size(needles.places(n, texts)) > 0
 
 
-def attachment_decision(name: str, content: str, texts: str) -> Column:
-    return F.expr(f"if({contains_any(name, texts)} or {contains_any(content, texts)}, 'remove', 'keep')")
+def attachment_decision(name: Column, content: Column, texts: Column) -> Column:
+    return F.when(contains_any(name, texts) | contains_any(content, texts), "remove").otherwise("keep")
 
 
 # The side channels of a document, and how many outline entries are looked at.

@@ -6,36 +6,49 @@ candidates never leave its row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilspan.functions import normalize
-from veilspan.functions.spans import CANDIDATES
+from veilspan.functions.spans import CANDIDATES, rank, running
 
 MIN_CHARS = 3
 SEGMENT_CHARS = 12_000
-_RANK = "case {c}.confidence when 'high' then 2 when 'medium' then 1 else 0 end"
 
 
-def _order(x: str) -> str:
-    """The priority of a candidate as a struct that sorts ascending."""
-    return (
-        f"struct(-({_RANK.format(c=x)}) as p1, if({x}.category = 'ORGANIZATION', 1, 0) as p2, {x}.start - {x}.end as p3, "
-        f"if({x}.category = 'CONTEXTUAL_ID', 1, 0) as p4, {x}.start as p5"
-    )
+def _order(x: Column, i: Column) -> Column:
+    """The priority of a candidate, at place i of its array, as a struct that sorts ascending."""
+    return F.struct(
+        (-rank(x["confidence"])).alias("p1"), (x["category"] == "ORGANIZATION").alias("p2"), (x["start"] - x["end"]).alias("p3"),
+        (x["category"] == "CONTEXTUAL_ID").alias("p4"), x["start"].alias("p5"), i.alias("p6"),
+    )
 
 
-def merged(column: str) -> str:
-    """SQL: the candidates that survive, ordered by start.
+def merged(candidates: Column) -> Column:
+    """The candidates that survive, ordered by start.
 
     Candidates are taken by priority (confidence, not an organisation, length, not a contextual id,
-    start, place in the array) unless they overlap one already taken; touching is no overlap.
+    start, place in the array) unless they overlap one already taken; touching is no overlap. Only
+    candidates of one island (a range that overlaps link) can be in each other's way.
     """
-    ranked = f"array_sort(transform({column}, (x, i) -> named_struct('o', {_order('x')}, i as p6), 'c', x)))"
-    fold = f"""aggregate({ranked}, slice({column}, 1, 0),
-        (a, x) -> if(exists(a, k -> k.start < x.c.end and x.c.start < k.end), a, array_append(a, x.c)))"""
-    return f"array_sort({fold}, (a, b) -> case when a.start < b.start then -1 when a.start > b.start then 1 else 0 end)"
+    placed = F.array_sort(F.transform(candidates, lambda x, i: F.struct(x["start"].alias("start"), i.alias("i"), x["end"].alias("end"), _order(x, i).alias("o"), x.alias("c"))))
+
+    def islands_of(s: Column, reach: Column) -> Column:
+        heads = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x["start"] >= F.get(reach, i - 1)), i).otherwise(-1)), lambda i: i >= 0)
+        cut = lambda h: F.transform(h, lambda i, k: F.slice(s, i + 1, F.coalesce(F.get(h, k + 1), F.size(s)) - i))
+        return F.transform(F.array(heads), cut)[0]
+
+    def greedy(island: Column) -> Column:
+        free = lambda a, x: ~F.exists(a, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))
+        queue = F.transform(F.array_sort(F.transform(island, lambda x: F.struct(x["o"].alias("o"), x["c"].alias("c")))), lambda x: x["c"])
+        taken = F.aggregate(queue, F.slice(candidates, 1, 0), lambda a, x: F.when(free(a, x), F.array_append(a, x)).otherwise(a))
+        by_start = F.array_sort(taken, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
+        return F.when(F.size(island) == 1, F.transform(island, lambda x: x["c"])).otherwise(by_start)
+
+    ends = lambda s: F.array(running(F.transform(s, lambda x: x["end"]), F.greatest))
+    several = F.flatten(F.transform(F.transform(F.array(placed), lambda s: F.transform(ends(s), lambda r: islands_of(s, r))[0])[0], greedy))
+    return F.when(F.size(candidates) > 1, several).otherwise(candidates)
 
 
 def filtered(column: str, text: str = "text") -> str:
@@ -46,7 +59,7 @@ def filtered(column: str, text: str = "text") -> str:
 
 def finalize(df: DataFrame, column: str = "candidates", propagate: bool = True) -> DataFrame:
     """df with the final candidates in the same column."""
-    df = df.withColumn("_f", F.expr(filtered(column))).withColumn(column, F.expr(merged("_f"))).drop("_f")
+    df = df.withColumn("_f", F.expr(filtered(column))).withColumn(column, merged(F.col("_f"))).drop("_f")
     if not propagate:
         return df
     from veilspan.operators import names
@@ -109,9 +122,8 @@ def detect_segmented(docs: DataFrame, segment_chars: int = SEGMENT_CHARS, rule_n
 
 def merge_rows(candidates: DataFrame) -> DataFrame:
     """The greedy merge for candidates kept as rows (doc_id, ord, start, end, category, confidence)."""
-    c = F.struct("ord", F.struct("start", "end", "category", "confidence", "ord").alias("c"))
     one = candidates.groupBy("doc_id").agg(F.expr("transform(sort_array(collect_list(struct(ord, struct(start, end, category, confidence, ord) as c))), x -> x.c)").alias("c"))
-    return one.select("doc_id", F.explode(F.expr(merged("c"))).alias("c")).select("doc_id", "c.*")
+    return one.select("doc_id", F.explode(merged(F.col("c"))).alias("c")).select("doc_id", "c.*")
 
 
 def islands(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", touching: bool = False) -> DataFrame:

@@ -8,8 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.functions import normalize
-from veilspan.functions.spans import whole_word_occurrences
+from veilspan.functions import needles, normalize
 
 HISTORY = 200
 
@@ -58,14 +57,16 @@ def with_manual(automatic: DataFrame, manual: DataFrame) -> DataFrame:
 
 
 def occurrences(redactions: DataFrame, prepared: DataFrame) -> DataFrame:
-    """(doc_id, key, start, end): all whole-word places of each key, and the range it was found at."""
-    p = prepared.select("doc_id", "n", "starts", "ends")
-    j = redactions.select("doc_id", "key", F.col("start").alias("s0"), F.col("end").alias("e0")).join(p, "doc_id")
-    found = F.expr(f"""transform({whole_word_occurrences("n", "key")}, s -> struct(if(starts is null, s, element_at(starts, s + 1)) as start,
-        if(ends is null, s + length(key), element_at(ends, s + length(key))) as end))""")
-    own = F.expr("if(s0 is null, cast(array() as array<struct<start:int,end:int>>), array(struct(s0 as start, e0 as end)))")
-    j = j.select("doc_id", "key", F.explode(F.array_union(found, own)).alias("o"))
-    return j.select("doc_id", "key", "o.start", "o.end").distinct()
+    """(doc_id, key, start, end): all whole-word places of each key, and the range it was found at.
+
+    The keys of a document are looked for together, in one pass over its text.
+    """
+    keys = redactions.groupBy("doc_id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    j = keys.join(prepared.select("doc_id", "n", "starts", "ends"), "doc_id").withColumn("hits", needles.places(F.col("n"), F.col("keys")))
+    j = j.select("doc_id", "keys", "starts", "ends", F.explode("hits").alias("h"))
+    found = j.selectExpr("doc_id", "keys[h.needle] as key", "if(starts is null, h.start, starts[h.start]) as start", "if(ends is null, h.end, ends[h.end - 1]) as end")
+    own = redactions.where("start is not null").select("doc_id", "key", "start", "end")
+    return found.unionByName(own.join(prepared.select("doc_id"), "doc_id", "left_semi")).distinct()
 
 
 def valid_areas(areas: DataFrame, pages: DataFrame, tolerance: float = 0.5) -> DataFrame:

@@ -250,7 +250,7 @@ def detect(prepared: DataFrame, rules: list[str] | None = None, out: str = "cand
     d = d.withColumns({f"_{p}": _RULES[p].judged(f"`_{p}`") for p in parts}) if parts else d
     pairs = {f"_{r}": _PAIRS[r][2](F.col(f"`_{_PAIRS[r][0]}`"), F.col(f"`_{_PAIRS[r][1]}`")) for r in rules if r in _PAIRS}
     d = d.withColumns(pairs) if pairs else d
-    own = [F.expr(merged("`_organization`")) if r == "organization" else F.col(f"`_{r}`") for r in rules]
+    own = [merged(F.col("_organization")) if r == "organization" else F.col(f"`_{r}`") for r in rules]
     return d.withColumn(out, F.concat(*own)).select(*[F.col(c) for c in prepared.columns], out)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.functions.spans import whole_word_occurrences
+from veilspan.functions import needles
+from veilspan.operators.geometry import points_in
 
 
 def valid_counts(expected: Column, independent: Column, inspected: Column) -> Column:
@@ -14,23 +15,21 @@ def valid_counts(expected: Column, independent: Column, inspected: Column) -> Co
 
 def text_absent(pages: DataFrame, plans: DataFrame) -> DataFrame:
     """Failures (doc_id, page, text_index): pages (doc_id, page, n) that still hold a text of the plan (doc_id, texts)."""
-    j = pages.select("doc_id", "page", "n").join(plans.select("doc_id", "texts"), "doc_id")
-    j = j.select("doc_id", "page", "n", F.posexplode("texts").alias("text_index", "t"))
-    return j.where(F.expr(f"size({whole_word_occurrences('n', 't')}) > 0")).select("doc_id", "page", "text_index").distinct()
+    j = pages.select("doc_id", "page", "n").join(plans.select("doc_id", "texts"), "doc_id").withColumn("hits", needles.places(F.col("n"), F.col("texts")))
+    return j.select("doc_id", "page", F.explode(F.expr("array_distinct(transform(hits, h -> h.needle))")).alias("text_index")).distinct()
 
 
 def geometry(glyphs: DataFrame, areas: DataFrame) -> DataFrame:
     """Failures (doc_id, page): a glyph's centre is strictly inside an area of its page (both: doc_id, page, box)."""
     g = glyphs.select("doc_id", "page", (F.col("box.x") + F.col("box.w") / 2).alias("cx"), (F.col("box.y") + F.col("box.h") / 2).alias("cy"))
-    a = areas.select("doc_id", "page", F.col("box.x").alias("x"), F.col("box.y").alias("y"), F.col("box.w").alias("w"), F.col("box.h").alias("h"))
-    j = g.join(a, ["doc_id", "page"]).where("cx > x and cx < x + w and cy > y and cy < y + h")
-    return j.select("doc_id", "page").distinct()
+    a = areas.select("doc_id", "page", F.col("box.x").alias("x0"), F.col("box.y").alias("y0"), (F.col("box.x") + F.col("box.w")).alias("x1"), (F.col("box.y") + F.col("box.h")).alias("y1"))
+    return points_in(g, a, ["doc_id", "page"], "cx", "cy").select("doc_id", "page").distinct()
 
 
 def side_channels(values: DataFrame, plans: DataFrame) -> DataFrame:
     """Failures (doc_id, channel, text_index), one per value and text; values: (doc_id, channel, n)."""
-    j = values.join(plans.select("doc_id", "texts"), "doc_id").select("doc_id", "channel", "n", F.posexplode("texts").alias("text_index", "t"))
-    return j.where(F.expr(f"size({whole_word_occurrences('n', 't')}) > 0")).select("doc_id", "channel", "text_index")
+    j = values.select("doc_id", "channel", "n").join(plans.select("doc_id", "texts"), "doc_id").withColumn("hits", needles.places(F.col("n"), F.col("texts")))
+    return j.select("doc_id", "channel", F.explode(F.expr("array_distinct(transform(hits, h -> h.needle))")).alias("text_index"))
 
 
 PIXEL_TOLERANCE, INSET, JPEG_INSET = 8, 2.0, 8.0
@@ -44,8 +43,8 @@ def image_pixels(pixels: DataFrame, areas: DataFrame) -> DataFrame:
     """
     inset = F.when(F.col("jpeg"), JPEG_INSET).otherwise(INSET)
     a = areas.select("doc_id", "area_id", (F.col("box.x") + inset).alias("x0"), (F.col("box.y") + inset).alias("y0"),
-                     (F.col("box.x") + F.col("box.w") - inset).alias("x1"), (F.col("box.y") + F.col("box.h") - inset).alias("y1"))
-    j = pixels.join(a, "doc_id").where("x >= x0 and x < x1 and y >= y0 and y < y1").select("doc_id", "area_id", F.posexplode("bands").alias("band", "v"))
+                     (F.col("box.x") + F.col("box.w") - inset).alias("x1"), (F.col("box.y") + F.col("box.h") - inset).alias("y1"), F.lit(True).alias("closed"))
+    j = points_in(pixels, a, ["doc_id"]).select("doc_id", "area_id", F.posexplode("bands").alias("band", "v"))
     spread = j.groupBy("doc_id", "area_id", "band").agg((F.max("v") - F.min("v")).alias("spread"), F.count("*").alias("n"))
     seen = spread.groupBy("doc_id", "area_id").agg(F.max("n").alias("samples"), (F.max("spread") <= PIXEL_TOLERANCE).alias("even"))
     out = areas.select("doc_id", "area_id").join(seen, ["doc_id", "area_id"], "left")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.functions import checksums, normalize
-from veilspan.functions.spans import has_context_before, is_whole_word, whole_word_occurrences
+from veilspan.functions.spans import has_context_before, whole_word_occurrences
 from veilspan.functions import lexicon
 from veilspan.operators import evaluate, ingest, ner, redact, resolve, review, rules, verify
 from veilspan.sources.readers import spread, table
@@ -91,7 +91,7 @@ SELECT doc_id, needle, start FROM m WHERE NOT (start > 0 AND regexp_matches(b, '
 @query(_OCC)
 def whole_word_occurrences_of_needles(spark, sf):
     d = normalize.prepare(_docs(spark, sf)).select("doc_id", "n", F.explode(F.array(*map(F.lit, NEEDLES))).alias("needle"))
-    return d.select("doc_id", "needle", F.explode(F.expr(whole_word_occurrences("n", "needle"))).alias("start"))
+    return d.select("doc_id", "needle", F.explode(whole_word_occurrences(F.col("n"), F.col("needle"))).alias("start"))
 
 
 @query(f"""{_OCC.replace('SELECT doc_id, needle, start FROM m', 'SELECT doc_id, needle, start, (start + length(needle))::INT AS "end" FROM m')}
@@ -682,7 +682,7 @@ def channel_counts(spark, sf):
 @query(f"""{_SCRUB} SELECT d.doc_id, CASE WHEN c.removed > 0 THEN 'remove' ELSE 'keep' END AS decision FROM d LEFT JOIN c ON d.doc_id = c.doc_id""")
 def attachment_decision(spark, sf):
     d = normalize.prepare(_docs(spark, sf)).withColumn("texts", F.array(*map(F.lit, TEXTS)))
-    return d.select("doc_id", redact.attachment_decision("concat('file ', cast(doc_id as string))", "n", "texts").alias("decision"))
+    return d.select("doc_id", redact.attachment_decision(F.concat(F.lit("file "), F.col("doc_id").cast("string")), F.col("n"), F.col("texts")).alias("decision"))
 
 
 def _control(spark, sf):
