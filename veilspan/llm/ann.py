@@ -43,9 +43,14 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by the power of two of their largest component, which changes no digit; their squares stay finite."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def _units(col: pd.Series) -> np.ndarray:
     x = np.stack(col.to_numpy()).astype(float) if len(col) else np.zeros((0, 1))
-    x = x / np.abs(x).max(1, keepdims=True)
+    x = _scaled(x)
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("<f4")
 
 
@@ -232,7 +237,7 @@ def nearest_rows(vectors: DataFrame, query_step: int = QUERY_STEP, k: int = NEAR
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                x, y = (np.stack(b[c].to_numpy()).astype(float) for c in ("qe", "embedding"))
+                x, y = (_scaled(np.stack(b[c].to_numpy()).astype(float)) for c in ("qe", "embedding"))
                 s = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
                 yield pd.DataFrame({"query_id": b["q"], "vec_id": b["vec_id"], "score": s})
 

@@ -20,6 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspan.functions.spans import running
 from veilspan.llm import common
 
 _RUN = "[A-Za-z0-9+/_=-]"
@@ -38,6 +39,7 @@ THRESHOLD = 0.5  # mean log-likelihood ratio of a transition, in nats
 # words, snake and camel case, capitals and numbers, joined in any way
 ORDINARY = "^(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/+=]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]+))*$"
 MASK = "[SECRET]"
+FEW_SPANS = 64  # more are cut out of a text's array of characters
 _FIRST, _WIDTH = 33, 94  # printable ASCII
 
 _NONE = "cast(array() as array<struct<start:int,end:int,kind:int,len:int,value:string>>)"
@@ -51,15 +53,12 @@ def _found(pattern: str, text: Column, kind: int, gate: Column, group: int = 0)
 
     def placed(m: Column) -> Column:
         zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(m)).alias("gap"), m.alias("m"), (m if group_ is None else group_).alias("g"))
-        seed = F.struct(F.lit(0).alias("at"), F.expr(_NONE).alias("out"))
 
-        def step(a: Column, x: Column) -> Column:
-            begin = a["at"] + F.length(x["gap"])
-            end = begin + F.length(x["m"])
-            one = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), F.length(x["g"]).alias("len"), x["m"].alias("value"))
-            return F.struct(end.alias("at"), F.array_append(a["out"], one).alias("out"))
+        def at(z: Column) -> Column:
+            ends = running(F.transform(z, lambda x: F.length(x["gap"]) + F.length(x["m"])), lambda a, x: a + x)
+            return F.zip_with(z, ends, lambda x, end: F.struct((end - F.length(x["m"])).alias("start"), end.alias("end"), F.lit(kind).alias("kind"), F.length(x["g"]).alias("len"), x["m"].alias("value")))
 
-        return F.when(F.size(m) > 0, F.aggregate(zipped, seed, step, lambda a: a["out"])).otherwise(F.expr(_NONE))
+        return F.when(F.size(m) > 0, F.transform(F.array(zipped), at)[0]).otherwise(F.expr(_NONE))
 
     found = F.transform(F.array(F.regexp_extract_all(text, p, F.lit(0))), placed)[0]
     return F.coalesce(F.when(gate, found), F.expr(_NONE))
@@ -116,12 +115,16 @@ def scan(docs: DataFrame, table: list[float] | None = None, threshold: float = T
     d = with_base(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
     d = d.withColumn("secret_tokens", _found(TOKEN, text, 3, F.lit(True)))
-    code = f"(ascii(substring(x.value, i, 1)) - {_FIRST})"
-    following = f"(ascii(substring(x.value, i + 1, 1)) - {_FIRST})"
-    score = f"aggregate(sequence(1, x.len - 1), 0D, (a, i) -> a + cast(split('{literal}', ',') as array<double>)[{code} * {_WIDTH} + {following}]) / (x.len - 1)"
-    d = d.withColumn("secret_tokens", F.expr(f"filter(secret_tokens, x -> not exists(secret_base, b -> b.start < x.end and x.start < b.end) and {score} > {threshold})"))
-    d = d.withColumn("secret_spans", F.expr(f"array_sort(concat(secret_base, secret_tokens), {_BY_START_AND_KIND})"))
-    return d.drop("secret_tokens")
+    # a token's code points once, the transitions from the two shifted arrays, and their sum
+    codes = f"transform(split(x.value, ''), c -> ascii(c) - {_FIRST})"
+    steps = f"transform(array({codes}), c -> zip_with(slice(c, 1, x.len - 1), slice(c, 2, x.len - 1), (a, b) -> a * {_WIDTH} + b))[0]"
+    score = f"aggregate({steps}, 0D, (a, k) -> a + cast(split('{literal}', ',') as array<double>)[k]) / (x.len - 1)"
+    # tokens do not overlap each other: what overlaps one is a base span that began before, or the next span
+    d = d.withColumn("secret_all", F.expr(f"array_sort(concat(secret_base, secret_tokens), {_BY_START_AND_KIND})"))
+    d = d.withColumn("secret_reach", running(F.expr("transform(secret_all, x -> if(x.kind < 3, x.end, 0))"), F.greatest))
+    clear = "secret_reach[i] <= x.start and coalesce(get(secret_all, i + 1).start >= x.end, true)"
+    d = d.withColumn("secret_spans", F.expr(f"filter(secret_all, (x, i) -> x.kind < 3 or (if({clear}, {score}, 0) > {threshold}))"))
+    return d.drop("secret_tokens", "secret_all", "secret_reach")
 
 
 def _joined(spans: str) -> Column:
@@ -132,9 +135,15 @@ def _joined(spans: str) -> Column:
 def redact(docs: DataFrame, table: list[float] | None = None) -> DataFrame:
     """docs with every secret span replaced by MASK, and n_chars counted anew."""
     d = scan(docs.select("doc_id", "text", common.packed(docs)), table)
-    masked = F.expr(f"""if(size(secret_spans) = 0, text, aggregate(secret_spans, struct('' as out, 0 as at), (a, x) -> struct(
+    few = f"""aggregate(secret_spans, struct('' as out, 0 as at), (a, x) -> struct(
         if(x.start >= a.at, concat(a.out, substring(text, a.at + 1, x.start - a.at), '{MASK}'), a.out) as out, greatest(a.at, x.end) as at),
-        a -> concat(a.out, substring(text, a.at + 1))))""")
+        a -> concat(a.out, substring(text, a.at + 1)))"""
+    # where there are many, the text's characters are counted off once: heads are the spans that begin after all before them
+    d = d.withColumn("secret_reach", running(F.expr("transform(secret_spans, x -> x.end)"), F.greatest))
+    d = d.withColumn("secret_heads", F.expr("filter(transform(secret_spans, (x, i) -> if(i = 0 or x.start >= secret_reach[i - 1], i, -1)), i -> i >= 0)"))
+    many = f"""transform(array(split(text, '')), c -> concat(array_join(transform(secret_heads, (h, k) -> transform(array(if(h = 0, 0, secret_reach[h - 1])), at ->
+        concat(array_join(slice(c, at + 1, secret_spans[h].start - at), ''), '{MASK}'))[0]), ''), array_join(slice(c, element_at(secret_reach, -1) + 1, size(c)), '')))[0]"""
+    masked = F.expr(f"case when size(secret_spans) = 0 then text when size(secret_spans) <= {FEW_SPANS} then {few} else {many} end")
     d = d.withColumn("text", masked)
     n_chars = F.when(F.size("secret_spans") > 0, F.length("text")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(0))
     return common.unpacked(d, docs, text=F.col("text"), n_chars=n_chars)
