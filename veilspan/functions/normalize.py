@@ -1,8 +1,9 @@
 """Normalised text with exact offsets into the original.
 
-Stable texts (characters that NFKC and lower-casing map one to one, no white-space runs) are
-normalised in the JVM and need no offsets: `starts` and `ends` are null. Only the others travel to
-an Arrow UDF.
+Texts whose characters NFKC and lower-casing map one to one, without white-space runs, need no
+offsets: `starts` and `ends` are null. Latin ones among them (stable) take the cheapest way. All others
+are folded in the JVM too (`folding`), except those with marks to be reordered or composed in several
+steps, which travel to an Arrow UDF.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.functions import folding
+
 # A character outside the first class, or two white-space characters in a row, make a text unstable;
 # most texts need the cheaper test of the second class only.
 _ODD, _NOT_ASCII = r"[^\t\n\f\r -~À-ÖØ-öø-įĴ-ľŁ-ňŊ-ž‘’“”–—€]", r"[^\t\n\f\r -~]"
@@ -54,14 +57,20 @@ def _normalized(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(None, None, None) if t is None else normalize(t) for t in texts], columns=["n", "starts", "ends"], dtype=object)
 
 
+_KIND = "struct<n:string,starts:array<int>,ends:array<int>>"
+
+
 def normalized(text: Column) -> Column:
-    """struct<n,starts,ends> of an unstable text; stable ones send no more than a null to Python."""
-    udf = F.pandas_udf(_normalized, "struct<n:string,starts:array<int>,ends:array<int>>").asNondeterministic()  # evaluated once, where it stands
-    return udf(F.when(~is_stable(text), text))
+    """struct<n,starts,ends> of a text that is not stable; Python sees the hard ones only."""
+    udf = F.pandas_udf(_normalized, _KIND).asNondeterministic()  # evaluated once, where it stands
+    odd = F.transform(F.array(F.when(~is_stable(text), text)), lambda t: F.when(folding.is_hard(t), F.lit(None)).when(
+        folding.is_plain(t), F.struct(folding.single(t).alias("n"), F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<int>").alias("ends")).cast(_KIND)
+    ).otherwise(folding.folded(t).cast(_KIND)))[0]
+    return F.coalesce(odd, udf(F.when(~is_stable(text) & folding.is_hard(text), text)))
 
 
 def prepare(docs: DataFrame) -> DataFrame:
-    """doc_id and text with n, starts and ends; stable texts are normalised in the JVM."""
+    """doc_id and text with n, starts and ends (both null where every character keeps its place)."""
     d = docs.select("doc_id", "text", normalized(F.col("text")).alias("u"))
     return d.select("doc_id", "text", F.coalesce("u.n", fast(F.col("text"))).alias("n"), "u.starts", "u.ends")
 
