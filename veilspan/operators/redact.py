@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veilspan.functions import needles
 
@@ -34,6 +35,29 @@ CHANNELS = ["infoDictionary", "xmp", "outline", "annotations", "formFields", "at
 OUTLINE_LIMIT = 10_000
 
 
+def outline_order(entries: DataFrame, limit: int = OUTLINE_LIMIT) -> DataFrame:
+    """(doc_id, id, ord) of the first `limit` outline entries of each document in breadth-first order.
+
+    entries: (doc_id, id, parent, pos), parent null at the top; siblings are ordered by pos and id.
+    Each round joins the entries below those of the last one; what lies beyond the limit, or below
+    no top entry, has no number. (A recursive query would stop at a fixed number of rows in all.)
+    """
+    from veilspan.sources.shared import cut
+
+    level, before, out = entries.where("parent is null").select("doc_id", "id", F.lit(0).alias("up"), "pos"), None, None
+    while True:
+        w = Window.partitionBy("doc_id").orderBy("up", "pos", "id")
+        ranked = level.withColumn("r", F.row_number().over(w) - 1)
+        if before is not None:
+            ranked = ranked.join(before, "doc_id").withColumn("r", F.col("r") + F.col("n"))
+        ranked = cut(ranked.where(F.col("r") < limit).select("doc_id", "id", F.col("r").cast("int").alias("ord")), "outline")
+        if ranked.isEmpty():
+            return ranked if out is None else out
+        out = ranked if out is None else out.unionByName(ranked)
+        before = ranked.groupBy("doc_id").agg((F.max("ord") + 1).alias("n"))
+        level = entries.join(ranked.select("doc_id", F.col("id").alias("parent"), F.col("ord").alias("up")), ["doc_id", "parent"]).select("doc_id", "id", "up", "pos")
+
+
 def scrub_channels(values: DataFrame, plans: DataFrame) -> DataFrame:
     """(doc_id, channel, ord, scrubbed, removed) of side-channel values (doc_id, channel, ord, value) by plans (doc_id, texts).
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -102,60 +103,78 @@ def from_wire(entries: Column) -> Column:
 
 
 # --- commands and history ----------------------------------------------------------------------
-def run_commands(commands: list[tuple]) -> list[tuple[str, bool, bool]]:
-    """(key, manual, selected) after ordered commands (op, key): add, addManual, select, deselect, delete, selectAll, deselectAll, undo, redo.
+class History:
+    """The items of one document under commands: add, addManual, select, deselect, delete, selectAll, deselectAll, undo, redo.
 
     Automatic additions are not recorded. Undo and redo revert only items that did not change
     since; a deleted item returns to its place.
     """
-    items: dict[str, tuple[bool, bool]] = {}
-    order: list[str] = []
-    undo: list[dict] = []
-    redo: list[dict] = []
 
-    def put(key: str, state: tuple[bool, bool] | None, at: int | None = None) -> None:
-        if state is None:
-            items.pop(key, None)
-            if key in order:
-                order.remove(key)
-        else:
-            if key not in items:
-                order.insert(len(order) if at is None else min(at, len(order)), key)
-            items[key] = state
+    def __init__(self, saved: str | None = None) -> None:
+        at = json.loads(saved) if saved else {"items": [], "undo": [], "redo": []}
+        self.items: dict[str, tuple[bool, bool]] = {k: (m, s) for k, m, s in at["items"]}
+        self.order = [k for k, _, _ in at["items"]]
+        self.undo, self.redo = ([{k: (b and tuple(b), a and tuple(a), i) for k, b, a, i in d} for d in at[x]] for x in ("undo", "redo"))
+
+    def saved(self) -> str:
+        """Everything the next command depends on, as JSON."""
+        stack = lambda s: [[[k, *x] for k, x in d.items()] for d in s]
+        return json.dumps({"items": self.rows(), "undo": stack(self.undo), "redo": stack(self.redo)})
 
-    def change(new: dict[str, tuple[bool, bool] | None]) -> None:
-        diff = {k: (items.get(k), v, order.index(k) if k in items else len(order)) for k, v in new.items() if items.get(k) != v}
+    def rows(self) -> list[tuple[str, bool, bool]]:
+        return [(k, *self.items[k]) for k in self.order]
+
+    def _put(self, key: str, state: tuple[bool, bool] | None, at: int | None = None) -> None:
+        if state is None:
+            self.items.pop(key, None)
+            if key in self.order:
+                self.order.remove(key)
+            return
+        if key not in self.items:
+            self.order.insert(len(self.order) if at is None else min(at, len(self.order)), key)
+        self.items[key] = state
+
+    def _change(self, new: dict[str, tuple[bool, bool] | None]) -> None:
+        diff = {k: (self.items.get(k), v, self.order.index(k) if k in self.items else len(self.order)) for k, v in new.items() if self.items.get(k) != v}
         for k, (_, v, _) in diff.items():
-            put(k, v)
+            self._put(k, v)
         if diff:
-            undo.append(diff)
-            del undo[:-HISTORY]
-            redo.clear()
+            self.undo.append(diff)
+            del self.undo[:-HISTORY]
+            self.redo.clear()
 
-    for op, key in commands:
+    def apply(self, op: str, key: str | None) -> None:
+        items = self.items
         if op == "add":
             if key not in items:
-                put(key, (False, True))
+                self._put(key, (False, True))
         elif op == "addManual":
-            change({key: (True, True)})
+            self._change({key: (True, True)})
         elif op in ("select", "deselect"):
             if key in items:
-                change({key: (items[key][0], op == "select")})
+                self._change({key: (items[key][0], op == "select")})
         elif op in ("selectAll", "deselectAll"):
-            change({k: (m, op == "selectAll") for k, (m, _) in items.items()})
+            self._change({k: (m, op == "selectAll") for k, (m, _) in items.items()})
         elif op == "delete":
             if items.get(key, (False, False))[0]:
-                change({key: None})
+                self._change({key: None})
         elif op in ("undo", "redo"):
-            source, target = (undo, redo) if op == "undo" else (redo, undo)
+            source, target = (self.undo, self.redo) if op == "undo" else (self.redo, self.undo)
             if source:
                 diff = source.pop()
                 for k, (before, after, at) in diff.items():
                     now, to = (after, before) if op == "undo" else (before, after)
                     if items.get(k) == now:
-                        put(k, to, at)
+                        self._put(k, to, at)
                 target.append(diff)
-    return [(k, *items[k]) for k in order]
+
+
+def run_commands(commands: list[tuple]) -> list[tuple[str, bool, bool]]:
+    """(key, manual, selected) after ordered commands (op, key)."""
+    h = History()
+    for op, key in commands:
+        h.apply(op, key)
+    return h.rows()
 
 
 def replay(events: DataFrame) -> DataFrame:
@@ -165,24 +184,17 @@ def replay(events: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, todo, rows = None, [], []  # a null id is a document like any other; todo is empty before the first event
-
-        def close() -> None:
-            rows.extend((doc, i, *x) for i, x in enumerate(run_commands(todo)))
-
+        doc, h, rows = None, None, []  # a null id is a document like any other; h is missing before the first event
         for b in batches:
             ids = [None if pd.isna(d) else int(d) for d in b["doc_id"]]
             for d, op, key in zip(ids, b["op"], b["key"], strict=True):
-                if d != doc and todo:
-                    close()
-                    todo = []
-                doc = d
-                todo.append((op, key))
+                if h is None or d != doc:
+                    rows += [(doc, i, *x) for i, x in enumerate(h.rows() if h else ())]
+                    doc, h = d, History()
+                h.apply(op, key)
             yield frame(rows)
             rows = []
-        if todo:
-            close()
-        yield frame(rows)
+        yield frame([(doc, i, *x) for i, x in enumerate(h.rows() if h else ())])
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["doc_id", "position", "key", "manual", "selected"]).astype({"doc_id": "Int64"})

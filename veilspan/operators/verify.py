@@ -74,7 +74,34 @@ def report(docs: DataFrame, checks: DataFrame) -> DataFrame:
 
 
 def engine_fault(parsed: Column, inspected: Column) -> Column:
-    return F.when(~parsed & ~inspected, "both").when(~parsed, "independentParser").when(~inspected, "inspector")
+    """Which of the two engines could not open an output; null if both could."""
+    return F.when(~parsed & ~inspected, "bothEnginesFailed").when(~parsed, "parserFailed").when(~inspected, "inspectorFailed")
+
+
+# The checks that cannot be made without both engines; the page counts are compared in any case.
+DEPENDENT = ["textAbsent", "geometry", "sideChannels", "imagePixels", "singleRevision"]
+
+
+def outcomes(outputs: DataFrame, failures: dict[str, DataFrame]) -> DataFrame:
+    """(doc_id, outcome, fault, n_checks, n_failed, checks) of outputs, by all six checks.
+
+    outputs: (doc_id, parsed, inspected, pages, parsed_pages, inspected_pages, revisions).
+    failures: rows with a doc_id for textAbsent, geometry, sideChannels and imagePixels. An output
+    that an engine cannot open fails every check that depends on it. checks: array<struct<kind,passed,failures>>.
+    """
+    every = None
+    for kind, f in failures.items():
+        one = f.select("doc_id", F.lit(kind).alias("kind"))
+        every = one if every is None else every.unionByName(one)
+    counted = every.groupBy("doc_id").agg(*[F.count_if(F.col("kind") == k).alias(f"_{k}") for k in failures])
+    d = outputs.join(counted, "doc_id", "left").withColumn("fault", engine_fault(F.coalesce("parsed", F.lit(False)), F.coalesce("inspected", F.lit(False))))
+    broken = F.col("fault").isNotNull()
+    found = {k: F.coalesce(F.col(f"_{k}"), F.lit(0)) for k in failures} | {"singleRevision": F.when(single_revision(F.coalesce("revisions", F.lit(0))), 0).otherwise(1)}
+    found = {k: F.when(broken, 1).otherwise(found.get(k, F.lit(0))) for k in DEPENDENT}
+    found["pageCount"] = F.when(valid_counts(F.col("pages"), F.col("parsed_pages"), F.col("inspected_pages")), 0).otherwise(1)
+    checks = F.array(*[F.struct(F.lit(k).alias("kind"), (n == 0).alias("passed"), n.cast("long").alias("failures")) for k, n in found.items()])
+    d = d.select("doc_id", "fault", checks.alias("checks")).withColumn("n_failed", F.expr("cast(size(filter(checks, c -> not c.passed)) as long)"))
+    return d.select("doc_id", F.when(F.col("n_failed") == 0, "verified").otherwise("failed").alias("outcome"), "fault", F.size("checks").cast("long").alias("n_checks"), "n_failed", "checks")
 
 
 def save_decision(outcome: Column) -> Column:

@@ -458,14 +458,15 @@ def _events(spark, sf, sql):
 _ENTITIES = """SELECT user_id AS doc_id, cast(row_number() OVER (PARTITION BY user_id ORDER BY event_id) as int) AS word, upper(event_type) AS category, round(abs(value) - floor(abs(value)), 3) AS score FROM events"""
 
 
+# words of four or five letters every six characters; after every fifth of them stands a letter instead of a space
 @query(f"""WITH e AS (SELECT *, word * 6 AS start, word * 6 + 4 + word % 2 AS "end" FROM ({_ENTITIES})),
-p AS (SELECT *, lag(category) OVER (PARTITION BY doc_id ORDER BY word) AS pc, lag("end") OVER (PARTITION BY doc_id ORDER BY word) AS pe FROM e),
-g AS (SELECT *, sum(CASE WHEN pc = category AND start - pe <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY word) AS i FROM p)
+p AS (SELECT *, lag(category) OVER (PARTITION BY doc_id ORDER BY word) AS pc, lag("end") OVER (PARTITION BY doc_id ORDER BY word) AS pe, lag(word) OVER (PARTITION BY doc_id ORDER BY word) AS pw FROM e),
+g AS (SELECT *, sum(CASE WHEN pc = category AND start - pe <= 2 AND pw % 5 <> 0 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY word) AS i FROM p)
 SELECT doc_id, category, min(start)::INT AS start, max("end")::INT AS "end", min(score) AS score FROM g GROUP BY doc_id, category, i""")
 def join_adjacent(spark, sf):
-    e = _events(spark, sf, f"""SELECT doc_id, word * 6 AS start, word * 6 + 4 + word % 2 AS "end", category, score FROM ({_ENTITIES})""")
-    texts = e.groupBy("doc_id").agg(F.max("end").alias("n")).select("doc_id", F.expr("regexp_replace(repeat('abcd  ', n div 6 + 1), '(abcd)  abcd  ', '$1  abcde ')").alias("text"))
-    return ner.join_adjacent(e, texts.select("doc_id", F.expr("repeat(' ', length(text))").alias("text")))
+    e = _events(spark, sf, f"""SELECT doc_id, word, word * 6 AS start, word * 6 + 4 + word % 2 AS "end", category, score FROM ({_ENTITIES})""")
+    texts = e.groupBy("doc_id").agg(F.max("word").alias("n")).select("doc_id", F.expr("array_join(transform(sequence(0, n), w -> concat(if(w % 2 = 0, 'abcd', 'abcde'), if(w % 5 = 0, 'x', ' '), if(w % 2 = 0, ' ', ''))), '')").alias("text"))
+    return ner.join_adjacent(e.drop("word"), texts)
 
 
 _KINDS = ["FULLNAME", "ORG", "CITY", "EMAIL", "AGE", "STREET", "TELEPHONENUM", "DATE", "DOCID"]
@@ -911,3 +912,62 @@ def tag_held_out_sentences(spark, sf):
     s = _sentences(spark, sf)
     labels = tagger.tag(s.where("doc_id % 5 = 0"), tagger.train(s.where("doc_id % 5 <> 0")))
     return ner.entities(labels).select("doc_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("type").alias("category"))
+
+
+# --- policies for persons and organisations ----------------------------------------------------
+_VOTED = "case k % 3 when 0 then 'il dott. Rossi scrive' when 1 then 'scrive Mario Rossi oggi' else 'presso Alfa Servizi oggi' end"
+_SCORE = "round(0.3 + (k % 14) * 0.05, 3)"
+
+
+@query(_expect("customer", "c_custkey", _VOTED, f"""SELECT k AS doc_id, CASE k % 3 WHEN 0 THEN 9 ELSE 7 END AS start, CASE k % 3 WHEN 0 THEN 14 WHEN 1 THEN 18 ELSE 19 END AS "end",
+CASE WHEN k % 3 = 2 THEN 'ORGANIZATION' ELSE 'PERSON' END AS category, CASE WHEN k % 3 = 0 OR (k % 3 = 1 AND ({_SCORE} >= 0.9 OR (k % 2 = 1 AND {_SCORE} >= 0.85))) THEN 'high' ELSE 'medium' END AS confidence
+FROM y WHERE {_SCORE} >= CASE WHEN k % 3 = 0 THEN 0.4 ELSE 0.5 END"""))
+def grade_persons_and_organizations(spark, sf):
+    k = table(spark, sf, "customer").selectExpr("cast(c_custkey as long) as k")
+    g = k.selectExpr("k as doc_id", "if(k % 3 = 2, 'ORGANIZATION', 'PERSON') as category", "if(k % 3 = 0, 9, 7) as start", "case k % 3 when 0 then 14 when 1 then 18 else 19 end as end",
+                     f"cast({_SCORE} as double) as score", "1L + k % 2 as models")
+    return ner.graded(g, k.selectExpr("k as doc_id", f"{_VOTED} as text"))
+
+
+# --- plans with areas, outlines, all checks ----------------------------------------------------
+@query(f"""{_INTAKE.replace("arg_min(value, ord) AS text,", "arg_min(start + length(raw) - length(regexp_replace(raw, '^\\s+', '')), ord)::INT AS s0, arg_min(length(value), ord)::INT AS n0, arg_min(value, ord) AS text,").replace("WITH p AS", f"WITH {_LINES}, p AS").replace("), q AS (", "), q AS (", 1)},
+j AS (SELECT i.doc_id, s.page, s.line, greatest(s0, s.start) - s.start AS a, least(s0 + n0, s.start + length(s.text)) - s.start AS b FROM i JOIN s ON i.doc_id = s.doc_id
+  WHERE r = 2 AND length(s.text) > 0 AND s.start < s0 + n0 AND s0 < s.start + length(s.text))
+SELECT doc_id, page, count(*) AS areas, sum(b - a)::BIGINT AS glyphs FROM (SELECT DISTINCT doc_id, page, line, a, b FROM j) GROUP BY doc_id, page""")
+def redaction_plan_areas(spark, sf):
+    """The areas of a plan by page: where the first places of all selected redactions lie on the pages."""
+    docs = _docs(spark, sf)
+    auto = review.intake(_picked(spark, sf), docs).withColumn("source", F.lit("automatic"))
+    spans = ingest.fixed_boxes(ingest.spans_of(ingest.lines_of(docs)))
+    ranges = auto.select("doc_id", F.col("key").alias("range_id"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    areas = ingest.areas_for(spans, ranges).select("doc_id", F.col("range_id").alias("key"), "page", "box", F.lit("text").alias("origin"))
+    p = review.plan(auto, areas).select("doc_id", F.explode("areas_by_page").alias("page", "a"))
+    return p.select("doc_id", "page", F.size("a").cast("long").alias("areas"), F.expr("cast(aggregate(a, 0D, (t, x) -> t + x.box.w / 5) as long)").alias("glyphs"))
+
+
+# a text's lines as an outline of three entries below each, siblings from the last to the first
+@query("""WITH RECURSIVE e AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS id FROM documents WHERE text IS NOT NULL),
+o AS (SELECT doc_id, id, [-id] AS path FROM e WHERE id = 0 UNION ALL SELECT e.doc_id, e.id, list_append(o.path, -e.id) FROM e JOIN o ON e.doc_id = o.doc_id AND e.id > 0 AND (e.id - 1) // 3 = o.id),
+r AS (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY len(path), path) - 1 AS ord FROM o)
+SELECT doc_id, id::INT AS id, ord::INT AS ord FROM r WHERE ord < 100""")
+def outline_order(spark, sf):
+    e = _docs(spark, sf).where("text is not null").select("doc_id", F.explode(F.expr("sequence(0, size(split(text, '\n', -1)) - 1)")).alias("id"))
+    return redact.outline_order(e.selectExpr("doc_id", "id", "if(id = 0, null, (id - 1) div 3) as parent", "-id as pos"), 100)
+
+
+_GEOMETRY, _PIXELS = ORACLES["verify_geometry"], ORACLES["image_pixels"]
+
+
+@query(f"""WITH text_ AS ({_LEFT} SELECT doc_id FROM bad), side_ AS ({_SIDE_LEFT} SELECT DISTINCT doc_id FROM side), geo_ AS (SELECT DISTINCT doc_id FROM ({_GEOMETRY})), pix_ AS (SELECT DISTINCT doc_id FROM ({_PIXELS}) WHERE NOT passed),
+c AS (SELECT doc_id, doc_id % 11 = 0 AS p, doc_id % 13 = 0 AS i FROM documents),
+f AS (SELECT doc_id, p, i, CASE WHEN p OR i THEN 5 ELSE (doc_id IN (SELECT doc_id FROM text_))::INT + (doc_id IN (SELECT doc_id FROM side_))::INT + (doc_id IN (SELECT doc_id FROM geo_))::INT
+  + (doc_id IN (SELECT doc_id FROM pix_))::INT + (doc_id % 17 = 0)::INT END + (doc_id % 19 = 0)::INT AS n FROM c)
+SELECT doc_id, CASE WHEN n = 0 THEN 'verified' ELSE 'failed' END AS outcome, CASE WHEN p AND i THEN 'bothEnginesFailed' WHEN p THEN 'parserFailed' WHEN i THEN 'inspectorFailed' END AS fault, 6::BIGINT AS n_checks, n::BIGINT AS n_failed FROM f""")
+def verify_all_checks(spark, sf):
+    """All six checks of all outputs; some outputs have a second revision, a page too few, or cannot be opened."""
+    outputs = _docs(spark, sf).selectExpr("doc_id", "doc_id % 11 <> 0 as parsed", "doc_id % 13 <> 0 as inspected", "3 as pages", "3 as parsed_pages", "if(doc_id % 19 = 0, 2, 3) as inspected_pages", "if(doc_id % 17 = 0, 2, 1) as revisions")
+    failures = {
+        "textAbsent": verify.text_absent(_control(spark, sf), _plans(spark, sf)), "sideChannels": verify.side_channels(_left_values(spark, sf), _plans(spark, sf)),
+        "geometry": verify_geometry(spark, sf), "imagePixels": image_pixels(spark, sf).where("not passed"),
+    }
+    return verify.outcomes(outputs, failures).drop("checks")
