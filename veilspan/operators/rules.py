@@ -21,37 +21,27 @@ LETTER_OR_NUMBER = r"[\p{L}\p{N}]"
 L, R = rf"(?<!{LETTER_OR_NUMBER})", rf"(?!{LETTER_OR_NUMBER})"  # isolated on the left, on the right
 
 
-def times(unit: str, low: int, high: int | None = None, between: str = "") -> str:
-    """A unit repeated low to high times (exactly low times without high), with something between."""
-    more = f"{{{low - 1}}}" if high is None else f"{{{low - 1},{high - 1}}}"
-    return f"{unit}(?:{between}{unit}){more}"
-
-
-def numbers(*groups: str, sep: str) -> str:
-    """Groups of digits such as '3' or '2,4' with an optional separator between."""
-    return f"{sep}?".join(f"[0-9]{{{g}}}" for g in groups)
-
-
 # --- numbers and codes (on n) ------------------------------------------------------------------
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,24}" + R
-CARD = L + times("[0-9]", 13, 23, "[ -]?") + R
-ISSUER = "^(?:4|5[1-5]|2(?:2[2-9]|[3-6][0-9]|7[01]|720)|3[047]|3[68]|35|6011|65)"
-_DOTTED = "[ .-]"
-PHONE_INTERNATIONAL = rf"(?<![\p{{N}}+])\+{numbers('1,3', '1,4', sep=_DOTTED)}(?:{_DOTTED}?[0-9]{{2,4}}){{1,4}}(?!\p{{N}})"
-_MOBILE, _LANDLINE = "3" + numbers("2", "3", "3,4", sep=_DOTTED), f"0[0-9]{{1,3}}(?:{_DOTTED}?[0-9]{{2,8}}){{1,3}}"
-PHONE_ITALIAN = rf"(?<![\p{{N}}+/])(?:{_MOBILE}|{_LANDLINE})(?![\p{{N}}/])"
+# Digits of cards and separators between them, and the first four digits that issuers have (from, to).
+CARD = L + "[0-9](?:[ -]?[0-9]){12,22}" + R
+ISSUERS = [(2220, 2720), (3000, 3099), (3400, 3899), (4000, 4999), (5100, 5599), (6011, 6011), (6500, 6599)]
+# Groups of digits in telephone numbers (with a country code; of mobile telephones or with an area code).
+PHONE_INTERNATIONAL = r"(?<![\p{N}+])\+[0-9]{1,3}[ .-]?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}(?!\p{N})"
+PHONE_ITALIAN = r"(?<![\p{N}+/])(?:3[0-9]{2}[ .-]?[0-9]{3}[ .-]?[0-9]{3,4}|0[0-9]{1,3}(?:[ .-]?[0-9]{2,8}){1,3})(?![\p{N}/])"
 VAT = L + r"(?:it ?)?[0-9]{11}(?!\p{N})"
 ID_DOCUMENT = L + "[a-z]{2}(?:[0-9]{7}|[0-9]{5}[a-z]{2})" + R
 # a run of digits cannot be cut short: what follows a shorter one would be a digit or a dash and a digit
 LONG_NUMBER = r"(?<![\p{L}\p{N}.,/])(?<![0-9][ -])[0-9](?:-?[0-9]){7,}+(?![\p{L}\p{N}]|[.,/ -][0-9])"
 _GROUPS, _TOKEN = r"[0-9]+(?: [0-9]+){1,5}" + R, r"[a-z0-9][a-z0-9/_-]*[0-9][a-z0-9/_-]*"
 CONTEXTUAL = rf"(?<!\p{{L}}){by_initial(lexicon.CONTEXT_ID_KEYWORDS)}(?!\p{{L}})\s*[:#]?\s*({_GROUPS}|{_TOKEN})"
-_LOT = r"(?:n\. ?)?[0-9]+[a-z]?"
-_PARCEL, _UNIT = ["particella", "mappale", "p.lla", "part.", "mapp."], r"(?:subalterno|sub\.?)"
-CADASTRAL = rf"(?<!\p{{L}})foglio {_LOT},? {any_of(_PARCEL)} {_LOT}(?:,? {_UNIT} {_LOT})?" + R
-_OMOCODE = "[0-9lmnpqrstuv]"  # letters may stand for digits
-_TAX_PLACES = ["[a-z]"] * 6 + [_OMOCODE] * 2 + ["[abcdehlmprst]"] + [_OMOCODE] * 2 + ["[a-z]"] + [_OMOCODE] * 3 + ["[a-z]"]
-TAX_CODE = rf"{L}(?=({' ?'.join(_TAX_PLACES)}){R})"
+# The parts of a land registry reference, in their order.
+CADASTRAL = (
+    r"(?<!\p{L})foglio (?:n\. ?)?[0-9]+[a-z]?,? (?:particella|mappale|p\.lla|part\.|mapp\.) (?:n\. ?)?[0-9]+[a-z]?"
+    r"(?:,? (?:subalterno|sub\.?) (?:n\. ?)?[0-9]+[a-z]?)?" + R
+)
+# The places of a tax code; letters may stand for digits (L to V without O), months are A to T.
+TAX_CODE = L + r"(?=((?:[a-z] ?){6}(?:[0-9lmnpqrstuv] ?){2}[abcdehlmprst] ?(?:[0-9lmnpqrstuv] ?){2}[a-z] ?(?:[0-9lmnpqrstuv] ?){3}[a-z]" + R + "))"
 IBAN_HEAD = L + by_initial([c.lower() for c in lexicon.IBAN_LENGTHS]) + "[0-9]{2}(?= ?[a-z0-9])"
 # any dotted host; which of its labels is the top-level domain is looked at afterwards
 URL = r"(?<![\p{L}\p{N}@._/-])(?:https?://)?+[a-z0-9-]++(?:\.[a-z0-9-]++)++(?:(?![\p{L}\p{N}@_-])(?::[0-9]{2,5})?(?:[/?#][^\s<>\x22\x27]*)?)?"
@@ -66,6 +56,7 @@ STREET = rf"(?<![\p{{L}}0-9]){_STREETS}(?=[ \t])"
 _ORDINAL = r"(?<![\p{L}0-9])(?:[IVX]{1,4}|[0-9]{1,2}[ªa°º]?)[ \t]+$"
 _SMALL = ["dei", "degli", "della", "delle", "del", "dello", "di", "da", "de", "d'", "san", "santa", "santo"]
 _STREET_NAME = rf"(?:{any_of(_SMALL)}[ \t]+|[\p{{Lu}}0-9][\p{{L}}'’.0-9-]*"
+# A house number with its letter, stair and addition.
 _NUMBER = r"(?:nr?\.?\s*)?[0-9]{1,4}(?:[ \t]?[A-Za-z](?!\p{L}))?(?:/[\p{L}0-9]+)?(?:[ \t](?:bis|ter|quater)(?!\p{L}))?"
 _GAP = r"(?:[ \t]*[,\-–][ \t]*|[ \t]+)"
 _CITY = rf"\p{{Lu}}{_WORD}+(?:[ \t]+(?:(?:di|del|della|sul|in)[ \t]+)?\p{{Lu}}{_WORD}+){{0,2}}"
@@ -147,9 +138,10 @@ _IBAN = "replace(x.grp, ' ', '')"
 _IBAN_LEVEL = f"""case when {checksums.iban(_IBAN)} then 'high'
     when startswith(x.grp, 'it') and not {_IBAN} rlike {sql("^it[0-9]{2}[a-z][0-9]{10}[a-z0-9]{12}$")} then null
     when {context("n", "x.start", lexicon.IBAN_KEYWORDS, 40)} then 'high' else 'medium' end"""
+_ISSUED = "(" + " or ".join(f"cast(substring({_digits('x.value')}, 1, 4) as int) between {a} and {b}" for a, b in ISSUERS) + ")"
 # the number of digits that are the card's: all after a keyword, else the longest valid prefix
 _CARD_DIGITS = f"""if(length({_digits("x.value")}) between 13 and 19 and {context("n", "x.start", lexicon.CARD_KEYWORDS, 30)}, length({_digits("x.value")}),
-    get(filter(sequence(19, 13, -1), k -> k <= length({_digits("x.value")}) and substring({_digits("x.value")}, 1, k) rlike {sql(ISSUER)}
+    get(filter(sequence(19, 13, -1), k -> k <= length({_digits("x.value")}) and {_ISSUED}
         and {checksums.luhn(f"substring({_digits('x.value')}, 1, k)")}), 0))"""
 _CARD_END = f"""x.start + get(filter(sequence(1, length(x.value)), i -> length({_digits("substring(x.value, 1, i)")}) = {_CARD_DIGITS}), 0)"""
 _VAT_LEVEL = f"""case when if({checksums.vat(_VAT_NUMBER)}, {context("n", "x.start", lexicon.VAT_KEYWORDS, 40)},
@@ -177,8 +169,9 @@ _URL_VALUE = "regexp_replace(x.grp, '[.,;:!?)\\\\]]+$', '')"
 _URL_SEEN = f"substring(text, if(starts is null, x.start, element_at(starts, x.start + 1)) + 1, length({_URL_VALUE}))"
 _URL_LEVEL = f"""case when {_URL_SEEN} rlike '(?i)^(?:https?://|www[.])' or not {_URL_SEEN} rlike {sql(r"^[^/?#:]*[.]\p{Lu}\p{Ll}+(?=$|[/?#:])")} then 'high' end"""
 
-_LINE_BEFORE = "substring_index(substring(text, 1, x.start), '\\n', -1)"
-_AFTER = "substring(text, x.end + 1)"
+REACH = 400  # characters around a trigger that a rule reads
+_LINE_BEFORE = f"substring_index(substring(text, greatest(x.start - {REACH}, 0) + 1, least({REACH}, x.start)), '\\n', -1)"
+_AFTER = f"substring(text, x.end + 1, {REACH})"
 _STREET_START = f"x.start - length(regexp_extract(substring(text, greatest(x.start - 40, 0) + 1, least(40, x.start)), {sql(_ORDINAL)}, 0))"
 _TAIL_WORDS = f"split(x.grp, {sql('[ \\t' + chr(39) + '’]+')})"
 _LABELS = ", ".join(f"'{w}'" for w in lexicon.FORM_LABELS)
