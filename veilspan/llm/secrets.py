@@ -122,8 +122,10 @@ def scan(docs: DataFrame, table: list[float] | None = None, threshold: float = T
     # tokens do not overlap each other: what overlaps one is a base span that began before, or the next span
     d = d.withColumn("secret_all", F.expr(f"array_sort(concat(secret_base, secret_tokens), {_BY_START_AND_KIND})"))
     d = d.withColumn("secret_reach", running(F.expr("transform(secret_all, x -> if(x.kind < 3, x.end, 0))"), F.greatest))
-    clear = "secret_reach[i] <= x.start and coalesce(get(secret_all, i + 1).start >= x.end, true)"
-    d = d.withColumn("secret_spans", F.expr(f"filter(secret_all, (x, i) -> x.kind < 3 or (if({clear}, {score}, 0) > {threshold}))"))
+    # both arrays are bound once; an array that a lambda names could be made anew for each element
+    clear = "z.r[i] <= x.start and coalesce(get(z.a, i + 1).start >= x.end, true)"
+    kept = f"filter(z.a, (x, i) -> x.kind < 3 or (if({clear}, {score}, 0) > {threshold}))"
+    d = d.withColumn("secret_spans", F.expr(f"transform(array(struct(secret_all as a, secret_reach as r)), z -> {kept})[0]"))
     return d.drop("secret_tokens", "secret_all", "secret_reach")
 
 
