@@ -75,9 +75,11 @@ def report(docs: DataFrame, checks: DataFrame) -> DataFrame:
 
 def engine_fault(parsed: Column, inspected: Column) -> Column:
     """Which of the two engines could not open an output; null if both could."""
-    return F.when(~parsed & ~inspected, "bothEnginesFailed").when(~parsed, "parserFailed").when(~inspected, "inspectorFailed")
+    return F.when(~parsed & ~inspected, "both").when(~parsed, "independentParser").when(~inspected, "inspector")
 
 
+# The faults of a report, by the engine that failed.
+FAULTS = {"both": "bothEnginesFailed", "independentParser": "parserFailed", "inspector": "inspectorFailed"}
 # The checks that cannot be made without both engines; the page counts are compared in any case.
 DEPENDENT = ["textAbsent", "geometry", "sideChannels", "imagePixels", "singleRevision"]
 
@@ -94,7 +96,8 @@ def outcomes(outputs: DataFrame, failures: dict[str, DataFrame]) -> DataFrame:
         one = f.select("doc_id", F.lit(kind).alias("kind"))
         every = one if every is None else every.unionByName(one)
     counted = every.groupBy("doc_id").agg(*[F.count_if(F.col("kind") == k).alias(f"_{k}") for k in failures])
-    d = outputs.join(counted, "doc_id", "left").withColumn("fault", engine_fault(F.coalesce("parsed", F.lit(False)), F.coalesce("inspected", F.lit(False))))
+    d = outputs.join(counted, "doc_id", "left").withColumn("engine", engine_fault(F.coalesce("parsed", F.lit(False)), F.coalesce("inspected", F.lit(False))))
+    d = d.withColumn("fault", F.create_map(*[F.lit(x) for pair in FAULTS.items() for x in pair])[F.col("engine")])
     broken = F.col("fault").isNotNull()
     found = {k: F.coalesce(F.col(f"_{k}"), F.lit(0)) for k in failures} | {"singleRevision": F.when(single_revision(F.coalesce("revisions", F.lit(0))), 0).otherwise(1)}
     found = {k: F.when(broken, 1).otherwise(found.get(k, F.lit(0))) for k in DEPENDENT}
