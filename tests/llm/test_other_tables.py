@@ -169,9 +169,11 @@ def test_oracle(spark, name):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "pages", "conversations"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    got, want = registry.QUERIES[name](spark, SF).toPandas(), con.sql(registry.ORACLES[name]).df()
-    rows = lambda d: sorted(tuple(map(str, r)) for r in d[sorted(d.columns)].itertuples(index=False))
-    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+    got, want = registry.QUERIES[name](spark, SF), con.sql(registry.ORACLES[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    # values as they are: in pandas a column of whole numbers with nulls has another type on each side
+    rows = lambda found: sorted(tuple(map(str, r)) for r in found)
+    assert rows(got.select(*want.columns).collect()) == rows(want.fetchall())
 
 
 @needs_tables
