@@ -194,16 +194,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(fp, label): the smallest node of each component, for nodes with an edge."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     both = common.cut(both.union(both.select("v", "u")).distinct(), "edges")
-    labels = common.cut(both.groupBy(F.col("u").alias("fp")).agg(F.least(F.first("u"), F.min("v")).alias("label")), "labels")
+    labels = both.groupBy(F.col("u").alias("fp")).agg(F.least(F.first("u"), F.min("v")).alias("label"), F.count("*").alias("links"))
+    labels = common.cut(labels, "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("fp", "v"), "v").groupBy(F.col("u").alias("fp")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "fp").select("fp", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("fp").alias("label"), F.col("label").alias("far"))
-        step = step.join(jump, "label").select("fp", F.least("label", "far").alias("label"), (F.least("label", "far") != F.col("was")).alias("moved"))
+        # a hub has many links, a class many nodes: both are spread
+        near = common.skewed_join(both, labels.select(F.col("fp").alias("v"), "label", F.col("links").alias("n")), ["v"], "n")
+        near = near.groupBy(F.col("u").alias("fp")).agg(F.min("label").alias("near"))
+        step = common.cut(labels.join(near, "fp").select("fp", "links", F.col("label").alias("was"), F.least("label", "near").alias("label")), "near")
+        jump = labels.select(F.col("fp").alias("label"), F.col("label").alias("far")).join(step.groupBy("label").agg(F.count("*").alias("n")), "label")
+        step = common.skewed_join(step, common.cut(jump, "jump"), ["label"], "n")
+        step = step.select("fp", "links", F.least("label", "far").alias("label"), (F.least("label", "far") != F.col("was")).alias("moved"))
         step = common.cut(step, "labels")
-        labels = step.select("fp", "label")
+        labels = step.select("fp", "label", "links")
         if step.where("moved").isEmpty():
-            return labels
+            return labels.drop("links")
 
 
 def _fits(a: str, b: str) -> str:
@@ -273,9 +277,9 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """(fp, label) of all nodes that are linked with another."""
     spread = common.cut(buckets(docs), "buckets")
-    heads = spread.groupBy("h").agg(F.min(F.struct("fp", "size")).alias("head"), F.max("fp").alias("last")).where("head.fp < last")
-    heads = common.cut(heads.select("h", F.col("head.fp").alias("head"), F.col("head.size").alias("head_size")), "heads")
-    spread = common.cut(spread.join(heads, "h"), "shared")  # members of buckets with two texts or more
+    heads = spread.groupBy("h").agg(F.min(F.struct("fp", "size")).alias("head"), F.max("fp").alias("last"), F.count("*").alias("members")).where("head.fp < last")
+    heads = common.cut(heads.select("h", F.col("head.fp").alias("head"), F.col("head.size").alias("head_size"), "members"), "heads")
+    spread = common.cut(common.skewed_join(spread, heads, ["h"], "members"), "shared")  # members of buckets with two texts or more
     sets = common.cut(shingle_sets(docs, spread.select("fp").distinct()), "sets")
     tested = spread.where("fp <> head and " + _fits("size", "head_size")).select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct()
     tested = common.cut(tested, "pairs")
@@ -284,8 +288,9 @@ def classes(docs: DataFrame) -> DataFrame:
     for i in range(ROUNDS + 1):
         state = spread.select("h", "fp", "size").join(labels, "fp", "left").select("h", "fp", "size", F.coalesce("label", "fp").alias("label"))
         state = common.cut(state, "state")
-        main = state.groupBy("h").agg(F.min("label").alias("main"), F.max("label").alias("hi"), F.count("*").alias("members")).where("main < hi").select("h", "main", "members")
-        open_ = state.join(main, "h")
+        main = state.groupBy("h").agg(F.min("label").alias("main"), F.max("label").alias("hi"), F.count("*").alias("members")).where("main < hi")
+        main = common.cut(main.select("h", "main", "members", F.col("members").alias("n")), "main")
+        open_ = common.skewed_join(state, main, ["h"], "n")
         if i == ROUNDS:
             fresh = left_over(common.cut(open_.select("fp", "label", "size").distinct(), "open"), sets)
         else:
@@ -299,7 +304,8 @@ def classes(docs: DataFrame) -> DataFrame:
             if pivots.isEmpty():
                 return labels
             used = common.cut(used.union(pivots.select("h", F.col("p").alias("fp"))), "used")
-            fresh = open_.join(pivots, "h").where("label <> pl and " + _fits("size", "ps"))
+            met = pivots.join(main.select("h", "n"), "h")  # at most PIVOTS + 1 rows a bucket
+            fresh = common.skewed_join(open_, met, ["h"], "n").where("label <> pl and " + _fits("size", "ps"))
             fresh = fresh.select(F.least("p", "fp").alias("a"), F.greatest("p", "fp").alias("b")).distinct()
         fresh = common.cut(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
         links = common.cut(verified(fresh, sets), "links")
