@@ -192,4 +192,12 @@ def skewed_join(rows: DataFrame, small: DataFrame, keys: list[str], n: str) -> D
     return rows.join(few, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(plain, keys))
 
 
+def skewed_split(rows: DataFrame, small: DataFrame, keys: list[str], n: str) -> tuple[DataFrame, DataFrame]:
+    """rows with a key of small, and the other rows; small may be of any length, and n counts the rows of a key, as for skewed_join."""
+    limit = max(HOT_ROWS, rows.count() // FEW)
+    hot, plain = F.broadcast(small.where(F.col(n) > limit).select(*keys)), small.where(F.col(n) <= limit).select(*keys)
+    rest = rows.join(hot, keys, "left_anti")  # no key of these is hot
+    return rows.join(hot, keys, "left_semi").unionByName(rest.join(plain, keys, "left_semi")), rest.join(plain, keys, "left_anti")
+
+
 HOT_ROWS = 5_000

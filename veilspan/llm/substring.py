@@ -37,7 +37,7 @@ from veilspan.llm.common import GOLD, UNGOLD
 WINDOW, GRAM = 50, 8
 SPAN = WINDOW - GRAM + 1  # grams in a window
 SHARD_CONTEXTS = 6_000  # contexts of a shard that the number of shards aims at
-HOT = 2_000  # the windows of an anchor with more distinct contexts are routed one by one
+HOT = 2_000  # the windows of an anchor with more distinct contexts are routed one by one, at any size of the corpus
 SLICE = 15  # windows of a hot anchor that are looked at together; they share WINDOW - SLICE + 1 words
 LAST = 2**63 - 1
 NONE = 2**31 - 1
@@ -393,12 +393,10 @@ def _searched(d: DataFrame, ranges: DataFrame, n: int) -> DataFrame:
 def reports(d: DataFrame, one: DataFrame) -> DataFrame:
     """(key, ctx, n, ats, firsts) of distinct contexts (key, ctx, doc, text_key, pos, lo, hi, later, n)."""
     total = one.count()
-    limit = max(HOT, total // common.FEW)
-    hot_keys = common.cut(one.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > limit).select("key"), "hot")
+    hot_keys = common.cut(one.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > HOT), "hot")
     if hot_keys.isEmpty():
         return _searched(d, one, total)
-    # fewer than FEW keys can have more than total / FEW contexts
-    plain, hot = one.join(F.broadcast(hot_keys), "key", "left_anti"), one.join(F.broadcast(hot_keys), "key", "left_semi")
+    hot, plain = common.skewed_split(one, hot_keys, ["key"], "m")
     w = _wanted(d, hot).select("doc", "text_key", "text", "want")
     w = w.mapInArrow(_slices, "key long, ctx long, doc long, text_key long, at int, lo int, core long, hashes array<long>, later boolean, n long")
     w = common.cut(w, "slices")
