@@ -2,8 +2,9 @@
 
 Lines are lower-cased and their whitespace runs made one space; their hashes are counted over the
 distinct documents of a host (the `source` column; null is a host of its own). Documents of a host
-with equal texts are one document, so that a text is not rejected for having been copied verbatim;
-texts that differ anywhere are different documents, near copies too. A line in more than
+with equal texts are one document, so that a text is not rejected for having been copied verbatim
+(`count="ids"` counts them by doc_id instead); texts that differ anywhere are different documents,
+near copies too. A line in more than
 LINE_DOCS documents of its host and in more than LINE_SHARE of them is above the limit and is
 removed; a document with less than DEPLETED of its words left is rejected.
 
@@ -101,15 +102,21 @@ def id_key(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(-(2**63)))
 
 
-def verdicts(docs: DataFrame, *, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, depleted: float = DEPLETED) -> DataFrame:
-    """One row per document: the counts, words on removed lines, base_failed, kept, keys (host_key, k, text_key) and removed lines."""
+def verdicts(docs: DataFrame, *, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, depleted: float = DEPLETED, count: str = "texts") -> DataFrame:
+    """One row per document: the counts, words on removed lines, base_failed, kept, keys (host_key, k, text_key) and removed lines.
+
+    Lines are counted over the distinct "texts" of a host, or over its distinct "ids" (a null id is one).
+    """
+    if count not in ("texts", "ids"):
+        raise ValueError(f"count must be texts or ids, not {count}")
     m = common.cut(measured(docs), "quality")
     host = host_key(F.col("host")).alias("host")
     one = m.select(host, "doc_id", "text_key", "lines")
+    unit = (F.col("text_key") if count == "texts" else id_key(F.col("doc_id"))).alias("unit")
     lines = one.select("host", "doc_id", "text_key", F.explode("lines").alias("l")).select("host", "doc_id", "text_key", F.col("l.h").alias("h"), F.col("l.n").alias("n"))
-    sizes = one.select("host", "text_key").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    sizes = one.select("host", unit).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     # equal (host, line, text) are dropped before anything is counted by line, so that a line of many copies is no hot key
-    often = lines.select("host", "h", "text_key").distinct().groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > line_docs)
+    often = lines.select("host", "h", unit).distinct().groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > line_docs)
     often = common.cut(often.join(sizes, "host").where(F.col("docs") > F.col("host_docs") * line_share).select("host", "h"), "often")
     gone = lines.join(often, ["host", "h"], "left_semi")
     key = ["host", id_key(F.col("doc_id")).alias("k"), "text_key"]
