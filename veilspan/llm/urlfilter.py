@@ -5,12 +5,14 @@ Host and path are cut out with SQL functions. Rules are pairs of host and path (
 rule's, and the longest fitting rule wins. All other URLs are judged by shallow regression trees,
 boosted on the logistic loss over lexical features: lengths, depth, digit ratio, entropy,
 parameter counts and the block rates of the host's suffixes (two and three labels). They learn from
-labelled URLs: a table that the caller has, or else URLs labelled by words of ill repute among the
-words of their host. The rules label nothing. A bounded sample of the labelled URLs whose
+labelled URLs: a table that the caller has, or URLs labelled by what their pages hold
+(`by_page_content`), or else URLs labelled by words of ill repute among the words of their host
+(`by_host_words`). The rules label nothing. A bounded sample of the labelled URLs whose
 crc32 modulo 4 is not 2 trains; the others are held out.
 
 Nulls: a null URL, or one without `://`, has an empty host and path, fits no rule and is judged
-on its (empty) features. Repeated rows are judged alike, ties between rules of one length go to
+on its (empty) features; a null page is an empty one. Very long URLs and pages are read whole.
+Repeated rows are judged alike, ties between rules of one length go to
 the alphabetically first, and without labels of both kinds every URL is allowed (or blocked, if
 all labels say so). Columns other than page_id and url are not read.
 """
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from veilspan.llm import common
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+MIN_PAGE_WORDS, MAX_SYMBOLS, MIN_DISTINCT, MAX_LINKS = 20, 0.1, 0.2, 0.5  # by_page_content: words of a page, and shares of its words
 # host words that mark a URL as an example to block; a caller's labels take their place
 ILL_WORDS = ["casino", "bets", "betting", "poker", "pills", "viagra", "porn", "xxx", "payday", "loans", "replica", "warez", "cheap", "win"]
 SAMPLE_URLS = 4000  # labelled URLs to learn from, at most
@@ -173,6 +176,34 @@ def by_host_words(pages: DataFrame, words: list[str] = ILL_WORDS) -> DataFrame:
     return pages.where(host_of(url) != "").select(url.alias("url"), F.when(ill, "block").otherwise("allow").alias("verdict"))
 
 
+def by_page_content(pages: DataFrame) -> DataFrame:
+    """(url, verdict) from a page's html alone: block for pages with hardly any text, or full of symbols, repeated words or links.
+
+    Words are counted outside tags, scripts, styles and comments. No part of the URL is looked at (but those without a host have no label), so that what the
+    trees find in URLs is not what labelled them.
+    """
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    text = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", " ")
+    page = pages.where(host_of(F.col("url").cast("string")) != "").select(
+        F.col("url").cast("string").alias("url"), F.regexp_count(html, F.lit(r"(?i)<a\s")).alias("links"), F.regexp_replace(text, "<[^>]*>", " ").alias("text")
+    )
+    page = page.select("url", "links", F.expr(r"filter(split(text, '[ \t-\r]+'), w -> w <> '')").alias("w"), F.regexp_count("text", F.lit("[#*$%|<>]")).alias("symbols"))
+    n = F.size("w")
+    ill = (n < MIN_PAGE_WORDS) | (F.col("symbols") > MAX_SYMBOLS * n) | (F.size(F.array_distinct("w")) < MIN_DISTINCT * n) | (F.col("links") > MAX_LINKS * n)
+    return page.select("url", F.when(ill, "block").otherwise("allow").alias("verdict"))
+
+
+def held_out_report(pages: DataFrame, labelled: DataFrame, model: Boosted | None = None) -> DataFrame:
+    """One row: held-out labelled URLs, those to block, those blocked, and those rightly blocked, over all pages' URLs with a label."""
+    known = labelled.where("verdict in ('block', 'allow') and url is not null").select("url", F.col("verdict").alias("truth")).distinct()
+    judged = judge(pages, [], model or fit(labelled)).select("page_id", "verdict")
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).where(held_out(F.col("url")))
+    both = own.join(judged, "page_id").select("url", "verdict").distinct().join(known, "url")
+    hit = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    ill, blocked = F.col("truth") == "block", F.col("verdict") == "block"
+    return both.agg(F.count("*").alias("urls"), hit(ill).alias("to_block"), hit(blocked).alias("blocked"), hit(ill & blocked).alias("rightly"))
+
+
 def held_out(url: Column) -> Column:
     return F.pmod(F.crc32(url.cast("binary")), F.lit(4)) == 2
 
