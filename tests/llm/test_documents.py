@@ -110,6 +110,19 @@ def test_frequent_lines_deplete(spark):
     assert quality.keep_good(spark.createDataFrame(rows, SCHEMA)).columns == [c.split()[0] for c in SCHEMA.split(", ")]
 
 
+def test_lines_counted_by_texts_or_by_ids(spark):
+    rng = random.Random(5)
+    page = f"{prose(rng, 40)}\n{prose(rng, 20)}"
+    rows = [(i, page, "en", "s", 0) for i in range(30)] + [(100 + i, f"{prose(rng, 60)}\n{prose(rng, 9)}", "en", "s", 0) for i in range(9)]
+    df = spark.createDataFrame(rows + rows[:1], SCHEMA)  # a repeated row is no further document
+    by_text, by_id = ({r.doc_id: (r.n_removed_words, r.kept) for r in quality.assess(df, line_docs=limit, count=c).collect()} for c, limit in (("texts", 5), ("ids", 29)))
+    assert all(v == (0, True) for v in by_text.values())
+    assert all(by_id[i] == ((60, False) if i < 30 else (0, True)) for i, *_ in rows)
+    assert all(r.kept for r in quality.assess(df, line_docs=30, count="ids").collect())
+    with pytest.raises(ValueError):
+        quality.assess(df, count="lines")
+
+
 @pytest.mark.parametrize("common_words", [85, 400])
 def test_boilerplate_documents_are_rejected(spark, common_words):
     rng = random.Random(12)
@@ -247,6 +260,27 @@ def test_large_classes_with_hot_joins(spark, monkeypatch):
     assert all(got[i] == (0, i == 0) for i in range(120)) and all(got[i] == (i, True) for i in range(120, 140))
 
 
+@pytest.mark.parametrize("hot_rows", [1, 10**6])
+def test_components_of_stars_and_chains(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)  # 1: every node and class is spread
+    monkeypatch.setattr(common, "FEW", 10**9)
+    edges = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 130)] + [(300, 250), (250, 300), (400, 401)]
+    got = {r.fp: r.label for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = dict.fromkeys(range(60), 0) | dict.fromkeys(range(100, 131), 100) | {300: 250, 250: 250, 400: 400, 401: 400}
+    assert got == want
+
+
+@pytest.mark.parametrize("hot_rows", [0, 3, 10**6])
+def test_skewed_joins_and_splits(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(common, "FEW", 10**9)
+    rows = spark.createDataFrame([(k, i) for k, m in ((1, 9), (2, 4), (3, 2), (4, 1)) for i in range(m)], "k long, i long")
+    small = spark.createDataFrame([(1, 9), (2, 4), (4, 1), (7, 5)], "k long, n long")
+    inside, outside = common.skewed_split(rows, small, ["k"], "n")
+    assert Counter(r.k for r in inside.collect()) == {1: 9, 2: 4, 4: 1} and Counter(r.k for r in outside.collect()) == {3: 2}
+    assert Counter(r.k for r in common.skewed_join(rows, small, ["k"], "n").collect()) == {1: 9, 2: 4, 4: 1}
+
+
 # --- substring dedup ---------------------------------------------------------------------------
 def removed_by_force(rows):
     first: dict = {}

@@ -160,6 +160,27 @@ def test_trees_on_held_out_pages(spark):
     assert (block & truth).sum() >= 0.8 * truth.sum() and (block & ~truth).sum() <= 0.01 * len(held)
 
 
+def test_labels_from_pages(spark):
+    rng = np.random.default_rng(3)
+
+    def page(bad):
+        words = ["x%%%", "$$$", "y"] * 20 if bad else [f"w{rng.integers(0, 500)}" for _ in range(60)]
+        return f"<html><script>var a = '#|#|';</script><!-- {'$ ' * 99}--><p>{' '.join(words)}</p><a href=x>y</a></html>"
+
+    bad = [i % 4 == 0 for i in range(800)]
+    rows = [(i, f"http://site{i % 40}.com/{'offer-' if b else ''}{i}", page(b)) for i, b in enumerate(bad)]
+    rows += [(900, "http://a.com/empty", None), (901, None, page(True)), (902, "no scheme", page(True)), (903, "http://a.com/links", "<a href=x>one two</a> " * 40)]
+    rows += [(904, "http://a.com/same", "<p>" + "buy now " * 50), (905, "http://a.com/long", page(False) + "<p>" + " ".join(f"v{i}" for i in range(50_000)))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("verdict", "links", "text", "w", "host")})
+    got = {r.url: r.verdict for r in urlfilter.by_page_content(df).collect()}
+    assert None not in got and "no scheme" not in got and len(got) == 804
+    assert all((got[u] == "block") == b for (_, u, _), b in zip(rows, bad, strict=False))
+    assert [got[f"http://a.com/{x}"] for x in ("empty", "links", "same", "long")] == ["block", "block", "block", "allow"]
+    r = urlfilter.held_out_report(df, urlfilter.by_page_content(df)).first()
+    assert r.urls > 150 and r.to_block > 30 and r.rightly >= 0.9 * r.to_block and r.blocked - r.rightly <= 0.05 * r.urls
+    assert urlfilter.held_out_report(df.limit(0), urlfilter.by_page_content(df.limit(0))).first().urls == 0
+
+
 # --- registered queries ------------------------------------------------------------------------
 @needs_tables
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
