@@ -29,8 +29,10 @@ def intake(findings: DataFrame, texts: DataFrame) -> DataFrame:
     key fixes text and category, later ones only raise the confidence.
     """
     f = findings.join(texts.select("doc_id", "text"), "doc_id")
-    f = f.withColumn("sel", F.expr(trimmed("text", "start", "end"))).where("sel is not null")
-    f = f.withColumn("value", F.expr("substring(text, sel.start + 1, sel.end - sel.start)"))
+    f = f.withColumn("cut", F.expr("substring(text, start + 1, end - start)")).drop("text")  # the text is walked once a finding
+    f = f.withColumn("sel", F.expr(trimmed("cut", "0", "length(cut)"))).where("sel is not null")
+    f = f.withColumn("value", F.expr("substring(cut, sel.start + 1, sel.end - sel.start)"))
+    f = f.withColumn("sel", F.expr("struct(start + sel.start as start, start + sel.end as end)")).drop("cut")
     f = f.withColumn("key", normalize.key(F.col("value"))).withColumn("rank", F.expr("case confidence when 'high' then 2 when 'medium' then 1 else 0 end"))
     first = F.min_by(F.struct("value", "category", "sel"), "ord").alias("first")
     g = f.groupBy("doc_id", "key").agg(first, F.max("rank").alias("rank"))

@@ -188,9 +188,25 @@ def detect_email(spark, sf):
     return _found(_docs(spark, sf), "email")
 
 
-@query()
+_URLS = r"(^|[^\p{L}\p{N}@._/-])((?:https?://)?[a-z0-9-]+(?:\.[a-z0-9-]+)+(?::[0-9]{2,5})?(?:[/?#][^\s<>\x22\x27]*)?)"
+_BARE = ", ".join(f"'{t}'" for t in lexicon.BARE_TLDS)
+_PAGE_TEXTS = "(SELECT page_id AS doc_id, concat_ws(chr(10), html, url) AS text FROM pages)"
+
+
+# a dotted host with or without a scheme, cut after its last label that can be a top-level domain, without punctuation at the end
+@query(_matches(_PAGE_TEXTS, _URLS) + rf""",
+h AS (SELECT doc_id, n, start, value, regexp_extract(value, '^https?://', 0) AS scheme, regexp_extract(value, '^(?:https?://)?([a-z0-9-]+(?:\.[a-z0-9-]+)+)', 1) AS host FROM m),
+t AS (SELECT *, string_split(host, '.') AS g, substring(value, length(scheme) + length(host) + 1) AS tail, regexp_matches(substring(n, start + length(value) + 1, 1), '^[\p{{L}}\p{{N}}@_-]') AS goes_on FROM h),
+k AS (SELECT *, list_filter(range(2, len(g) + 1), lambda i: (i < len(g) OR tail <> '' OR NOT goes_on) AND regexp_matches(g[i], '^[a-z]{{2,24}}$') AND (scheme <> '' OR (g[1] = 'www' AND i > 2))) AS strict,
+  list_filter(range(2, len(g) + 1), lambda i: (i < len(g) OR tail <> '' OR NOT goes_on) AND scheme = '' AND g[i] IN ({_BARE})) AS bare FROM t),
+c AS (SELECT *, coalesce(strict[-1], bare[-1]) AS last FROM k),
+v AS (SELECT doc_id, start, regexp_replace(scheme || array_to_string(g[1:last], '.') || CASE WHEN last = len(g) THEN tail ELSE '' END, '[.,;:!?)\]]+$', '') AS found FROM c WHERE last IS NOT NULL),
+s AS (SELECT v.doc_id, start, found, substring(p.text, start + 1, length(found)) AS seen FROM v JOIN {_PAGE_TEXTS} AS p ON v.doc_id = p.doc_id)
+SELECT doc_id, start, (start + length(found))::INT AS "end", 'high' AS confidence FROM s
+WHERE regexp_matches(seen, '(?i)^(?:https?://|www[.])') OR NOT regexp_matches(seen, '^[^/?#:]*[.]\p{{Lu}}\p{{Ll}}+(?:$|[/?#:])')""")
 def detect_url(spark, sf):
-    return _found(spread(table(spark, sf, "pages").selectExpr("page_id as doc_id", "html as text")), "url")
+    """URLs in the pages and their own addresses, as one text."""
+    return _found(spread(table(spark, sf, "pages").selectExpr("page_id as doc_id", "concat_ws('\n', html, url) as text")), "url")
 
 
 _LONG = r"(^|[^\p{L}\p{N}.,/])([0-9](?:-?[0-9]){7,})"
@@ -309,12 +325,16 @@ def detect_address(spark, sf):
     return _found(_derived(spark, sf, "supplier", "s_suppkey", _STREETS), "address")
 
 
-_ORGS = "case k % 3 when 0 then 'con Alfa Servizi S.r.l. oggi' when 1 then 'il Comune di Bari dice' else 'il comune di residenza' end"
+# firms with a name made from the key, institutions with a name after the head, and texts with only one of both
+_ORG_NAME = "concat(chr(cast(65 + k % 26 as int)), 'ena', repeat('r', cast(k % 5 as int)))"
+_ORGS = f"""case k % 7 when 0 then concat('con {{n}} Servizi S.r.l. oggi') when 1 then 'il Comune di Bari dice' when 2 then 'il comune di residenza' when 3 then concat('per la ', {_ORG_NAME}, ' & Figli SpA, poi')
+  when 4 then concat('presso Banca ', {_ORG_NAME}, ' di Roma nr ', cast(k as string)) when 5 then concat('ditta ', lower({_ORG_NAME}), ' srl') else concat('vale per ', {_ORG_NAME}, ' Servizi') end""".replace("'con {n} Servizi", f"'con ', {_ORG_NAME}, ' Servizi")
 
 
-@query(_expect("nation", "n_nationkey", _ORGS, """SELECT k AS doc_id, CASE WHEN k % 3 = 0 THEN 4 ELSE 3 END AS start, CASE WHEN k % 3 = 0 THEN 23 ELSE 17 END AS "end", 'high' AS confidence FROM y WHERE k % 3 <> 2"""))
+@query(_expect("customer", "c_custkey", _ORGS, f"""SELECT k AS doc_id, CASE k % 7 WHEN 1 THEN 3 WHEN 0 THEN 4 ELSE 7 END AS start,
+(length({_ORG_NAME}) + CASE k % 7 WHEN 0 THEN 19 WHEN 1 THEN 17 - length({_ORG_NAME}) WHEN 3 THEN 19 ELSE 21 END)::INT AS "end", 'high' AS confidence FROM y WHERE k % 7 IN (0, 1, 3, 4)"""))
 def detect_organization(spark, sf):
-    return _found(_derived(spark, sf, "nation", "n_nationkey", _ORGS), "organization")
+    return _found(_derived(spark, sf, "customer", "c_custkey", _ORGS), "organization")
 
 
 _PEOPLE = """case k % 5 when 0 then concat('Cognome ROSSI', chr(10), 'nr ', cast(k as string)) when 1 then 'la dott.ssa Greco scrive' when 2 then 'scrive Bianchi Mario, poi BIANCHI'
@@ -372,18 +392,15 @@ def merge_candidates(spark, sf):
     return resolve.merge_rows(c).select("doc_id", "ord", "start", "end", "category", "confidence")
 
 
-_RAW = """SELECT doc_id, text, cast(k as int) AS ord, cast(length(text) * k / 9 - 3 as int) AS start, cast(length(text) * k / 9 - 3 + 1 + (doc_id + k) % 6 as int) AS "end", 'EMAIL' AS category,
-  CASE (doc_id + 2 * k) % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence FROM documents, (SELECT unnest(range(10)) AS k) WHERE length(text) > 100"""
-
-
-@query(f"""WITH c AS ({_RAW.replace('cast(length(text) * k / 9 - 3 as int)', '((length(text) * k) // 9 - 3)::INT').replace('cast(length(text) * k / 9 - 3 + 1 + (doc_id + k) % 6 as int)', '((length(text) * k) // 9 - 2 + (doc_id + k) % 6)::INT')})
+# a proposal of one to six characters in every ten of a text, the first of them before its begin
+@query("""WITH c AS (SELECT doc_id, text, (10 * k - 3)::INT AS start, (10 * k - 2 + (doc_id + k) % 6)::INT AS "end", CASE (doc_id + 2 * k) % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence
+  FROM (SELECT doc_id, text, unnest(range(length(text) // 10 + 1)) AS k FROM documents))
 SELECT doc_id, start, "end", confidence FROM c WHERE confidence <> 'low' AND start >= 0 AND "end" <= length(text)
   AND length(regexp_replace(substring(text, start + 1, "end" - start), '\\s+', '', 'g')) >= 3""")
 def finalize_filters(spark, sf):
-    k = _docs(spark, sf).where("length(text) > 100").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
-    c = k.selectExpr("doc_id", "text", "k", "cast((length(text) * k) div 9 - 3 as int) as start", "cast((length(text) * k) div 9 - 2 + (doc_id + k) % 6 as int) as end", "'EMAIL' as category",
-                     "case (doc_id + 2 * k) % 3 when 0 then 'high' when 1 then 'medium' else 'low' end as confidence", "'rule' as method", "'test' as rule")
-    one = c.groupBy("doc_id").agg(F.any_value("text").alias("text"), F.expr("transform(sort_array(collect_list(struct(k, struct(start, end, category, confidence, method, rule) as c))), x -> x.c)").alias("candidates"))
+    grade = "element_at(array('high', 'medium', 'low'), cast((doc_id + 2 * k) % 3 as int) + 1)"
+    each = f"k -> struct(cast(10 * k - 3 as int) as start, cast(10 * k - 2 + (doc_id + k) % 6 as int) as end, 'EMAIL' as category, {grade} as confidence, 'rule' as method, 'test' as rule)"
+    one = _docs(spark, sf).where("text is not null").selectExpr("doc_id", "text", f"transform(sequence(0, length(text) div 10), {each}) as candidates")
     d = resolve.finalize(one, propagate=False).select("doc_id", F.explode_outer("candidates").alias("c")).where("c is not null")
     return d.select("doc_id", "c.start", "c.end", "c.confidence")
 
@@ -426,12 +443,19 @@ def segmented_detect(spark, sf):
     return resolve.findings(resolve.detect_segmented(_docs(spark, sf)))
 
 
-@query("SELECT doc_id, length(text)::BIGINT AS chars, true AS faithful FROM documents")
+# from one chunk to the next: the last line end within 1,000 characters, else after the last space, else there; a short last line is read again
+@query("""WITH RECURSIVE e AS (SELECT doc_id, i, sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS stop
+  FROM (SELECT doc_id, unnest(string_split_regex(text, '[\n\f]')) AS piece, unnest(range(len(string_split_regex(text, '[\n\f]')))) AS i FROM documents WHERE length(text) > 0)),
+b AS (SELECT doc_id, text, length(text) AS size, list(DISTINCT least(stop, length(text))) AS breaks FROM e JOIN documents USING (doc_id) GROUP BY ALL),
+c AS (SELECT doc_id, 0::BIGINT AS a0, -1::BIGINT AS stop, 0::BIGINT AS following FROM b UNION ALL
+  SELECT doc_id, a0, stop, CASE WHEN stop < size AND 2 * (stop - back) < 1000 THEN back ELSE stop END FROM (
+    SELECT doc_id, size, a0, stop, list_max(list_filter(breaks, lambda x: x > a0 AND x < stop)) AS back FROM (
+      SELECT doc_id, size, a0, breaks, coalesce(list_max(list_filter(breaks, lambda x: x > a0 AND x <= a0 + 1000)), CASE WHEN contains(ahead, ' ') THEN a0 + 2 + length(ahead) - strpos(reverse(ahead), ' ') END, a0 + 1000) AS stop FROM (
+        SELECT b.doc_id, b.size, b.breaks, c.following AS a0, substring(b.text, c.following + 2, 1000) AS ahead FROM c JOIN b ON b.doc_id = c.doc_id AND c.following < b.size)))),
+d AS (SELECT c.doc_id, c.a0, substring(b.text, c.a0 + 1, c.stop - c.a0) AS text FROM c JOIN b ON b.doc_id = c.doc_id WHERE c.stop >= 0)
+SELECT doc_id, a0::INT AS start, text FROM d""")
 def chunk_text(spark, sf):
-    d = _docs(spark, sf)
-    k = d.select("doc_id", "text", F.explode(ner.chunks(F.col("text"))).alias("k"))
-    k = k.selectExpr("doc_id", "k.start + length(k.text) as stop", "substring(text, k.start + 1, length(k.text)) = k.text and length(k.text) <= 1001 as ok")
-    return k.groupBy("doc_id").agg(F.max("stop").cast("long").alias("chars"), F.bool_and("ok").alias("faithful"))
+    return _docs(spark, sf).select("doc_id", F.explode(ner.chunks(F.col("text"))).alias("k")).select("doc_id", "k.start", "k.text")
 
 
 # --- model stage -------------------------------------------------------------------------------
@@ -590,17 +614,17 @@ def classify_size(spark, sf):
 
 
 # --- review ------------------------------------------------------------------------------------
-_PICK = """SELECT doc_id, cast(k as int) AS ord, ((length(text) * k) // 9)::INT AS start, ((length(text) * k) // 9 + 8)::INT AS "end", CASE WHEN k % 2 = 0 THEN 'PERSON' ELSE 'LOCATION' END AS category,
-  CASE WHEN (doc_id + k) % 3 = 0 THEN 'high' ELSE 'medium' END AS confidence, text FROM documents, (SELECT unnest(range(9)) AS k) WHERE text IS NOT NULL"""
+# every text is tiled by proposals of eight characters
+_PICK = """SELECT doc_id, k::INT AS ord, (8 * k)::INT AS start, CASE WHEN k % 2 = 0 THEN 'PERSON' ELSE 'LOCATION' END AS category, CASE WHEN (doc_id + k) % 3 = 0 THEN 'high' ELSE 'medium' END AS confidence, text
+  FROM (SELECT doc_id, text, unnest(range((length(text) + 7) // 8)) AS k FROM documents)"""
 _INTAKE = f"""WITH p AS ({_PICK}), q AS (SELECT *, substring(text, start + 1, 8) AS raw FROM p), t AS (SELECT *, regexp_replace(regexp_replace(raw, '^\\s+', ''), '\\s+$', '') AS value FROM q WHERE NOT regexp_matches(raw, '^\\s*$')),
 k AS (SELECT *, {_N.replace('text', 'value')} AS key, CASE confidence WHEN 'high' THEN 2 ELSE 1 END AS r FROM t),
 i AS (SELECT doc_id, key, arg_min(value, ord) AS text, arg_min(category, ord) AS category, max(r) AS r FROM k GROUP BY doc_id, key)"""
 
 
 def _picked(spark, sf):
-    d = _docs(spark, sf).where("text is not null")
-    k = d.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k"))
-    return k.selectExpr("doc_id", "k as ord", "cast((length(text) * k) div 9 as int) as start", "cast((length(text) * k) div 9 + 8 as int) as end", "if(k % 2 = 0, 'PERSON', 'LOCATION') as category", "if((doc_id + k) % 3 = 0, 'high', 'medium') as confidence")
+    k = _docs(spark, sf).where("length(text) > 0").selectExpr("doc_id", "length(text) as size", "explode(sequence(0, (length(text) - 1) div 8)) as k")
+    return k.selectExpr("doc_id", "cast(k as int) as ord", "cast(8 * k as int) as start", "cast(least(8 * k + 8, size) as int) as end", "if(k % 2 = 0, 'PERSON', 'LOCATION') as category", "if((doc_id + k) % 3 = 0, 'high', 'medium') as confidence")
 
 
 @query(f"{_INTAKE} SELECT doc_id, key, text, category, CASE r WHEN 2 THEN 'high' ELSE 'medium' END AS confidence, r = 2 AS selected FROM i")
@@ -634,7 +658,26 @@ def area_validation(spark, sf):
     return review.valid_areas(a, sizes).groupBy("doc_id").agg(F.count("*").alias("valid"))
 
 
-@query()
+# a state is 2 * manual + selected, none is -1; a change is a list of (key, from, to, place), undone with from and to swapped
+@query("""WITH RECURSIVE ev AS (SELECT user_id AS doc_id, ['add', 'addManual', 'deselect', 'select', 'delete', 'undo', 'redo', 'deselectAll'][event_id % 8 + 1] AS op, 'k' || (event_id * 7 % 5) AS key,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+h AS (SELECT DISTINCT doc_id, 0::BIGINT AS rn, []::STRUCT(k VARCHAR, v INT)[] AS items, []::STRUCT(k VARCHAR, f INT, t INT, p INT)[][] AS undo, []::STRUCT(k VARCHAR, f INT, t INT, p INT)[][] AS redo FROM ev
+UNION ALL SELECT doc_id, rn, CASE WHEN len(e) = 0 THEN items WHEN e[1].f = -1 THEN CASE WHEN list_contains(list_transform(items, lambda x: x.k), e[1].k) THEN items
+      ELSE items[1:least(e[1].p, len(items))] || [{'k': e[1].k, 'v': e[1].t}] || items[least(e[1].p, len(items)) + 1:] END
+    WHEN e[1].t = -1 THEN list_filter(items, lambda x: NOT (x.k = e[1].k AND x.v = e[1].f))
+    ELSE list_transform(items, lambda x: {'k': x.k, 'v': coalesce(list_filter(e, lambda y: y.k = x.k AND y.f = x.v)[1].t, x.v)}) END,
+  CASE WHEN op = 'undo' THEN undo[1:len(undo) - 1] WHEN op = 'redo' THEN CASE WHEN len(redo) > 0 THEN list_append(undo, redo[-1]) ELSE undo END
+    WHEN op <> 'add' AND len(e) > 0 THEN list_append(undo, e)[-200:] ELSE undo END,
+  CASE WHEN op = 'redo' THEN redo[1:len(redo) - 1] WHEN op = 'undo' THEN CASE WHEN len(undo) > 0 THEN list_append(redo, undo[-1]) ELSE redo END WHEN op <> 'add' AND len(e) > 0 THEN [] ELSE redo END
+FROM (SELECT *, CASE op WHEN 'undo' THEN list_transform(coalesce(undo[-1], []), lambda x: {'k': x.k, 'f': x.t, 't': x.f, 'p': x.p}) WHEN 'redo' THEN coalesce(redo[-1], [])
+    WHEN 'deselectAll' THEN list_transform(list_filter(items, lambda x: x.v % 2 = 1), lambda x: {'k': x.k, 'f': x.v, 't': x.v - 1, 'p': list_position(items, x)::INT - 1})
+    ELSE list_filter([{'k': key, 'f': now, 't': CASE op WHEN 'add' THEN CASE WHEN now < 0 THEN 1 ELSE now END WHEN 'addManual' THEN 3 WHEN 'delete' THEN CASE WHEN now >= 2 THEN -1 ELSE now END
+      WHEN 'select' THEN CASE WHEN now < 0 THEN now ELSE now + 1 - now % 2 END ELSE CASE WHEN now < 0 THEN now ELSE now - now % 2 END END, 'p': place}], lambda x: x.f <> x.t) END AS e
+  FROM (SELECT h.doc_id, ev.rn, op, key, items, undo, redo, coalesce(list_filter(items, lambda x: x.k = ev.key)[1].v, -1) AS now,
+    coalesce(nullif(list_position(list_transform(items, lambda x: x.k), ev.key), 0)::INT - 1, len(items)::INT) AS place FROM h JOIN ev ON ev.doc_id = h.doc_id AND ev.rn = h.rn + 1))),
+l AS (SELECT doc_id, arg_max(items, rn) AS items FROM h GROUP BY doc_id),
+o AS (SELECT doc_id, unnest(range(len(items))) AS i, unnest(items) AS x FROM l)
+SELECT doc_id, i::INT AS position, x.k AS key, x.v >= 2 AS manual, x.v % 2 = 1 AS selected FROM o""")
 def undo_redo_fold(spark, sf):
     ops = "array('add', 'addManual', 'deselect', 'select', 'delete', 'undo', 'redo', 'deselectAll')"
     e = table(spark, sf, "events").selectExpr("user_id as doc_id", "event_id as seq", f"{ops}[pmod(event_id, 8)] as op", "concat('k', cast(pmod(event_id * 7, 5) as string)) as key")
