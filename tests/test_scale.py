@@ -219,3 +219,20 @@ def test_tagger_learns(spark):
     held = spark.createDataFrame([(1, "oggi Ugo Ricci vive a Lecce."), (2, "niente da dire"), (3, ""), (4, None)], "doc_id long, text string")
     got = ner.entities(tagger.tag(held, m)).collect()
     assert sorted((r.doc_id, r.start, r.end, r.type) for r in got) == [(1, 5, 14, "PERSON"), (1, 22, 27, "LOCATION")]
+
+
+# --- long rows ---------------------------------------------------------------------------------
+def test_many_tokens_in_one_line(spark):
+    """A line of 100,000 words: one pass."""
+    df = spark.sql("select array_join(transform(sequence(0, 99999), i -> concat('w', i)), ' ') as text, transform(sequence(0, 99999), i -> concat('w', i)) as tokens")
+    df.limit(0).select(ner.token_spans(F.col("text"), F.col("tokens"))).collect()
+    began = time.time()
+    r = df.select(ner.token_spans(F.col("text"), F.col("tokens")).alias("s")).select(F.size("s").alias("n"), F.col("s")[99_999].alias("last")).first()
+    assert (r.n, tuple(r.last)) == (100_000, (688_883, 688_889))
+    assert time.time() - began < 10
+
+
+def test_tokens_without_a_place(spark):
+    rows = [(1, "ab cd", ["ab", None, "", "##", "zz", "cd"]), (2, None, ["ab"]), (3, "ab", []), (4, "ab", None), (5, "x" * 25 + "ab", ["ab", "x", "ab"]), (6, "😀é 😀", ["😀é", "▁😀"])]
+    got = {r.i: r.s and [x and tuple(x) for x in r.s] for r in spark.createDataFrame(rows, "i int, text string, tokens array<string>").select("i", ner.token_spans(F.col("text"), F.col("tokens")).alias("s")).collect()}
+    assert got == {1: [(0, 2), None, None, None, None, (3, 5)], 2: [None], 3: [], 4: None, 5: [None, (0, 1), (25, 27)], 6: [(0, 2), (3, 4)]}
