@@ -265,3 +265,13 @@ def test_intake_cuts_and_keys(spark):
     docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
     found = spark.createDataFrame(rows + [(2, 0, 0, 3, "X", "high"), (3, 0, 0, 3, "X", "high"), (4, 0, 0, 3, "X", "high")], "doc_id long, ord int, start int, end int, category string, confidence string")
     assert {r.key: (r.text, r.start, r.end, r.confidence) for r in review.intake(found, docs).collect()} == want
+
+
+# --- growth of single queries ------------------------------------------------------------------
+def test_generated_identifiers_are_dealt_over_the_cores(spark):
+    from veilspan.operators import rules
+    from veilspan.plans import roster
+
+    plan = roster.QUERIES["identifier_high_rate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan  # a small table is one row group, which one task reads
+    assert rules._CARD_END.index(rules._CARD_DIGITS) < rules._CARD_END.index("sequence(1, length(x.value))")  # worked out once a match, not at each of its places
