@@ -289,3 +289,19 @@ def test_filters_of_a_long_text(spark):
     assert time.time() - began < 20
     want = [(s, e) for s, e, _, level, _, _ in c if level != "low" and s >= 0 and e <= n and len("".join(text[s:e].split())) >= 3]
     assert [tuple(x) for x in got[1]] == want and got[2] == [] and not got[3]
+
+
+def test_areas_without_boxes_of_all_glyphs(spark):
+    """Boxes are made for the glyphs that a range touches, after the join: they are those of all boxes, cut."""
+    from veilspan.operators import ingest
+    from veilspan.plans import roster
+
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, "\n".join("x" * rng.choice([0, 1, 30, 3000]) for _ in range(90))) for i in range(6)], "doc_id int, text string")
+    ranges = spark.createDataFrame([(i, k, s := rng.randrange(60_000), s + rng.choice([0, 1, 40, 5000])) for i in range(6) for k in range(40)], "doc_id int, range_id int, r_start int, r_end int")
+    spans = ingest.spans_of(ingest.lines_of(docs))
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "range_id", "page", "line", "box.*").collect()))
+    got = rows(ingest.areas_for(spans, ranges, ingest.fixed_glyphs))
+    assert got and got == rows(ingest.areas_for(ingest.fixed_boxes(spans), ranges))
+    plan = roster.QUERIES["page_areas"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "char_boxes" not in plan

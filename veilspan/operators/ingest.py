@@ -55,9 +55,10 @@ def spans_of(lines: DataFrame) -> DataFrame:
     Lines are joined by a newline, pages by a form feed, so each line but the first adds one character.
     """
     order = Window.partitionBy("doc_id").orderBy("page", "line")
-    before = F.coalesce(F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = lines.withColumn("start", before.cast("int"))
-    return s.withColumn("end", (F.col("start") + F.length("text")).cast("int")).where("end > start").select("doc_id", "page", "line", "start", "end", "text")
+    s = lines.withColumn("_n", F.length("text"))  # so that the texts are not sorted if nobody reads them
+    before = F.coalesce(F.sum(F.col("_n") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = s.withColumn("start", before.cast("int"))
+    return s.withColumn("end", (F.col("start") + F.col("_n")).cast("int")).where("_n > 0").select("doc_id", "page", "line", "start", "end", "text")
 
 
 def joined_text(lines: DataFrame) -> DataFrame:
@@ -66,17 +67,31 @@ def joined_text(lines: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.expr("array_join(transform(sort_array(collect_list(struct(page, t))), x -> x.t), '\f')").alias("text"))
 
 
+def fixed_glyphs(first: str, end: str) -> str:
+    """SQL: the boxes of glyphs first to end of a line on a fixed-width page: glyph i of line j at x 10 + 5 i, y 10 + 12 j, 5 by 12."""
+    return f"transform(sequence({first}, {end} - 1), i -> struct(10D + 5 * i as x, 10D + 12 * line as y, 5D as w, 12D as h))"
+
+
 def fixed_boxes(spans: DataFrame) -> DataFrame:
-    """spans with char_boxes of a fixed-width page: glyph i of line j at x 10 + 5 i, y 10 + 12 j, 5 by 12."""
-    return spans.withColumn("char_boxes", F.expr(
-        "transform(sequence(0, end - start - 1), i -> struct(10D + 5 * i as x, 10D + 12 * line as y, 5D as w, 12D as h))"
-    ))
+    """spans with char_boxes of a fixed-width page."""
+    return spans.withColumn("char_boxes", F.expr(fixed_glyphs("0", "end - start")))
 
 
-def areas_for(spans: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(doc_id, range_id, page, line, box): a hull box for each line that a range (doc_id, range_id, r_start, r_end) touches."""
-    j = overlapping(ranges.select("doc_id", "range_id", "r_start", "r_end"), spans, ["doc_id"], ("r_start", "r_end"), ("start", "end"))
-    part = "slice(char_boxes, greatest(r_start - start, 0) + 1, least(r_end, end) - greatest(r_start, start))"
+def fixed_lines(spans: DataFrame) -> DataFrame:
+    """spans with box, the hull of their glyphs on a fixed-width page."""
+    return spans.withColumn("box", F.expr("struct(10D as x, 10D + 12 * line as y, 5D * (end - start) as w, 12D as h)"))
+
+
+def areas_for(spans: DataFrame, ranges: DataFrame, glyphs=None) -> DataFrame:
+    """(doc_id, range_id, page, line, box): a hull box for each line that a range (doc_id, range_id, r_start, r_end) touches.
+
+    The spans bring char_boxes, or glyphs gives SQL for the boxes of a line's glyphs from one place to
+    another; then only those of the places that are touched are made, and none of them is shuffled.
+    """
+    own = spans.select("doc_id", "page", "line", "start", "end", *(() if glyphs else ("char_boxes",)))
+    j = overlapping(ranges.select("doc_id", "range_id", "r_start", "r_end"), own, ["doc_id"], ("r_start", "r_end"), ("start", "end"))
+    first, last = "greatest(r_start - start, 0)", "least(r_end, end) - start"
+    part = glyphs(first, last) if glyphs else f"slice(char_boxes, {first} + 1, {last} - {first})"
     box = f"""transform(array({part}), b -> struct(array_min(transform(b, k -> k.x)) as x, array_min(transform(b, k -> k.y)) as y,
         array_max(transform(b, k -> k.x + k.w)) - array_min(transform(b, k -> k.x)) as w, array_max(transform(b, k -> k.y + k.h)) - array_min(transform(b, k -> k.y)) as h))[0]"""
     return j.select("doc_id", "range_id", "page", "line", F.expr(box).alias("box"))
