@@ -305,3 +305,26 @@ def test_areas_without_boxes_of_all_glyphs(spark):
     assert got and got == rows(ingest.areas_for(ingest.fixed_boxes(spans), ranges))
     plan = roster.QUERIES["page_areas"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "char_boxes" not in plan
+
+
+def test_glyphs_near_areas(spark):
+    """The glyphs that are left are all whose centres lie within the areas' hull, with and without the hulls of lines."""
+    from veilspan.operators import ingest
+    from veilspan.plans import roster
+
+    rng = random.Random(9)
+    spans = spark.createDataFrame([(d, p, i, 0, rng.randint(1, 120)) for d in range(3) for p in range(2) for i in range(40)], "doc_id int, page int, line int, start int, end int")
+    boxes = [(d, p, (float(rng.randint(0, 500)), float(rng.randint(0, 450)), float(rng.choice([0, 3, 30])), float(rng.choice([5, 25])))) for d in range(3) for p in range(2) for _ in range(3) if (d, p) != (2, 1)]
+    areas = spark.createDataFrame(boxes, "doc_id int, page int, box struct<x:double,y:double,w:double,h:double>")
+    every = ingest.fixed_boxes(spans).select("doc_id", "page", F.explode("char_boxes").alias("box"))
+    rows = lambda df: sorted((r.doc_id, r.page, *r.box) for r in df.collect())
+    want = []
+    for d, p, x, y, w, h in rows(every):
+        own = [b for i, j, b in boxes if (i, j) == (d, p)]
+        if own and min(b[0] for b in own) < x + w / 2 < max(b[0] + b[2] for b in own) and min(b[1] for b in own) < y + h / 2 < max(b[1] + b[3] for b in own):
+            want.append((d, p, x, y, w, h))
+    near = verify.glyphs_near(ingest.fixed_lines(spans), areas, ingest.fixed_glyphs("0", "end - start"))
+    assert want and rows(near) == want == rows(verify.glyphs_near(ingest.fixed_boxes(spans), areas))
+    assert sorted(verify.geometry(near, areas).collect()) == sorted(verify.geometry(every, areas).collect())
+    plan = roster.QUERIES["verify_geometry"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "char_boxes" not in plan

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions import needles
+from veilspan.functions.spans import boxes_intersect, hull
 from veilspan.operators.geometry import points_in
 
 
@@ -19,6 +20,20 @@ def text_absent(pages: DataFrame, plans: DataFrame) -> DataFrame:
     return j.select("doc_id", "page", F.explode(F.expr("array_distinct(transform(hits, h -> h.needle))")).alias("text_index")).distinct()
 
 
+def glyphs_near(spans: DataFrame, areas: DataFrame, glyphs: str = "char_boxes") -> DataFrame:
+    """(doc_id, page, box) of the glyphs that an area of their page can hold: their centres are within the hull of its areas.
+
+    glyphs: SQL over a span for the boxes of its glyphs. Spans may bring box, the hull of their
+    glyphs; the glyphs of spans that are away from all areas are then not made at all.
+    """
+    near = areas.groupBy("doc_id", "page").agg(hull(F.col("box")).alias("_near"))
+    s = spans.join(near, ["doc_id", "page"])
+    if "box" in spans.columns:
+        s = s.where(boxes_intersect(F.col("box"), F.col("_near")))
+    centre = "b.x + b.w / 2 > _near.x and b.x + b.w / 2 < _near.x + _near.w and b.y + b.h / 2 > _near.y and b.y + b.h / 2 < _near.y + _near.h"
+    return s.select("doc_id", "page", F.explode(F.expr(f"filter({glyphs}, b -> {centre})")).alias("box"))
+
+
 def geometry(glyphs: DataFrame, areas: DataFrame) -> DataFrame:
     """Failures (doc_id, page): a glyph's centre is strictly inside an area of its page (both: doc_id, page, box)."""
     g = glyphs.select("doc_id", "page", (F.col("box.x") + F.col("box.w") / 2).alias("cx"), (F.col("box.y") + F.col("box.h") / 2).alias("cy"))
