@@ -328,3 +328,19 @@ def test_glyphs_near_areas(spark):
     assert sorted(verify.geometry(near, areas).collect()) == sorted(verify.geometry(every, areas).collect())
     plan = roster.QUERIES["verify_geometry"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "char_boxes" not in plan
+
+
+def test_cuts_and_forms_without_places(spark):
+    """Many ranges are cut out in the JVM, and a form without places is the Python pass's."""
+    rng = random.Random(21)
+    text = "".join(rng.choice("ab é😀\n") for _ in range(20_000))
+    at = sorted(rng.sample(range(20_000), 400))
+    ranges = [(a, b) for a, b in zip(at[::2], at[1::2], strict=True)]
+    df = spark.createDataFrame([(text, ranges), (text, ranges[:3]), (text, []), (text, None), (None, ranges)], "t string, r array<struct<start:int,end:int>>")
+    df = df.withColumn("out", needles.without(F.col("t"), F.col("r")))
+    keep = lambda rs: "".join(text[a:b] for a, b in zip([0, *(e for _, e in rs)], [*(s for s, _ in rs), None], strict=True))
+    assert [r.out for r in df.collect()] == [keep(ranges), keep(ranges[:3]), text, text, None]
+    assert "ArrowEvalPython" not in df._jdf.queryExecution().executedPlan().toString()
+    texts = ["".join(rng.choice(" \t\ń​ aEﬁ") for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    forms = normalize.with_form(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect()
+    assert all(r.n == normalize.normalize(r.t)[0] for r in forms)

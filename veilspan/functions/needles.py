@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilspan.functions.spans import running, whole_word_occurrences
+from veilspan.functions.spans import cuts, running, whole_word_occurrences
 
 FEW = 8
 KEPT = 4  # automata that a task remembers
@@ -94,30 +94,9 @@ def united(hits: Column) -> Column:
     return F.transform(F.array(hits), lambda h: F.transform(ends(h), lambda reach: heads(h, reach))[0])[0].cast(RANGE)
 
 
-FEW_CUTS = 64
-
-
-def _cut(texts: pd.Series, ranges: pd.Series) -> pd.Series:
-    out = []
-    for t, r in zip(texts, ranges, strict=True):
-        if t is None or r is None:
-            out.append(None)
-            continue
-        at, pieces = 0, []
-        for x in r:
-            pieces.append(t[at : x["start"]])
-            at = x["end"]
-        out.append("".join([*pieces, t[at:]]))
-    return pd.Series(out, dtype=object)
-
-
 def without(text: Column, ranges: Column) -> Column:
-    """A text without disjoint sorted ranges; many of them are cut out by an Arrow UDF that passes once."""
-    many = F.size(ranges) > FEW_CUTS
-    kept = F.aggregate(
-        ranges, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda a, x: F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"])).alias("out"), x["end"].alias("at")),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
-    udf = F.pandas_udf(_cut, "string").asNondeterministic()
-    return F.when(many, udf(F.when(many, text), F.when(many, ranges))).when(F.size(ranges) > 0, kept).otherwise(text)
+    """A text without disjoint sorted ranges: what lies between them, joined."""
+    gap = lambda r, i: F.struct(F.coalesce(F.get(r, i - 1)["end"], F.lit(0)).alias("start"), F.coalesce(F.get(r, i)["start"], F.length(text)).alias("end"))
+    gaps = F.transform(F.array(ranges), lambda r: F.transform(F.sequence(F.lit(0), F.size(r)), lambda i: gap(r, i)))[0]
+    kept = F.transform(F.array(gaps), lambda g: F.array_join(cuts(text, g), ""))[0]
+    return F.when(text.isNotNull() & (F.size(ranges) > 0), kept).otherwise(text)
