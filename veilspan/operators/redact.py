@@ -66,8 +66,9 @@ def scrub_channels(values: DataFrame, plans: DataFrame) -> DataFrame:
     """
     from veilspan.functions import normalize
 
-    v = values.select(F.struct("doc_id", "channel", "ord").alias("doc_id"), F.col("value").alias("text"))
-    v = normalize.prepare(v).select("doc_id.*", F.col("text").alias("value"), "n", "starts", "ends").join(plans.select("doc_id", "texts"), "doc_id")
+    v = values.join(plans.select("doc_id", "texts"), "doc_id")  # before the texts have offsets, which are larger than they
+    v = v.select(F.struct("doc_id", "channel", "ord", "texts").alias("doc_id"), F.col("value").alias("text"))
+    v = normalize.prepare(v).select("doc_id.*", F.col("text").alias("value"), "n", "starts", "ends")
     d = scrub(v)
     whole, far = F.col("channel") == "attachments", (F.col("channel") == "outline") & (F.col("ord") >= OUTLINE_LIMIT)
     gone = whole & (F.col("removed") > 0)
