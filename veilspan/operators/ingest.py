@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilspan.functions.spans import hull
+from veilspan.functions.spans import counted, hull, plus, running
 from veilspan.operators.geometry import overlapping
 
 MAX_BYTES = 52_428_800
@@ -97,6 +97,44 @@ def areas_for(spans: DataFrame, ranges: DataFrame, glyphs=None) -> DataFrame:
     return j.select("doc_id", "range_id", "page", "line", F.expr(box).alias("box"))
 
 
+def lines_in(text: Column, page_lines: int = 40) -> Column:
+    """array<struct<page,line,start,end>>: the spans of `spans_of` in the row of their text."""
+    sizes = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), F.length)
+    line = lambda size, after, i: F.struct(
+        F.floor(i / page_lines).cast("int").alias("page"), (i % page_lines).alias("line"), (after - 1 - size).alias("start"), (after - 1).alias("end")
+    )
+    zipped = lambda s: F.arrays_zip(s.alias("size"), running(F.transform(s, lambda n: n + 1), plus).alias("after"))
+    placed = F.transform(F.array(sizes), lambda s: F.transform(zipped(s), lambda x, i: line(x["size"], x["after"], i)))[0]
+    return F.filter(placed, lambda x: x["end"] > x["start"])
+
+
+def fixed_hull(line: Column, first: Column, end: Column) -> Column:
+    """The hull of glyphs first to end of a line on a fixed-width page."""
+    return F.struct((F.lit(10.0) + 5 * first).alias("x"), (F.lit(10.0) + 12 * line).alias("y"), (F.lit(5.0) * (end - first)).alias("w"), F.lit(12.0).alias("h"))
+
+
+def areas_in(lines: Column, ranges: Column, box) -> Column:
+    """array<struct<range_id,page,line,box>>: the areas of `areas_for` in the row of a document, from the arrays of its lines and of (range_id, start, end).
+
+    box: the hull of a line's glyphs from one place to another. The lines of a range are looked up by bisection.
+    """
+
+    def of(ls: Column, rs: Column) -> Column:
+        starts = F.transform(ls, lambda x: x["start"])
+        found = lambda at: counted(starts, F.transform(rs, at))
+        zipped = F.arrays_zip(rs.alias("r"), found(lambda r: r["start"]).alias("first"), found(lambda r: r["end"] - 1).alias("last"))
+        return F.flatten(F.transform(F.filter(zipped, lambda z: z["r"]["end"] > z["r"]["start"]), lambda z: touched(ls, z["r"], F.greatest(z["first"], F.lit(1)), z["last"])))
+
+    def touched(ls: Column, r: Column, first: Column, last: Column) -> Column:
+        own = F.filter(F.slice(ls, first, F.greatest(last - first + 1, F.lit(0))), lambda x: x["end"] > r["start"])
+        return F.transform(own, lambda x: F.struct(
+            r["range_id"].alias("range_id"), x["page"].alias("page"), x["line"].alias("line"),
+            box(x["line"], F.greatest(r["start"], x["start"]) - x["start"], F.least(r["end"], x["end"]) - x["start"]).alias("box"),
+        ))
+
+    return F.transform(F.arrays_zip(F.array(lines).alias("ls"), F.array(ranges).alias("rs")), lambda b: of(b["ls"], b["rs"]))[0]
+
+
 def page_of(spans: DataFrame, ranges: DataFrame) -> DataFrame:
     """(doc_id, range_id, page): the page of the first span that a range overlaps."""
     j = overlapping(ranges.select("doc_id", "range_id", "r_start", "r_end"), spans, ["doc_id"], ("r_start", "r_end"), ("start", "end"))
